@@ -9,6 +9,13 @@ from foreshock.config import CHUNK
 from foreshock.functions.numbers import floor_div
 
 
+def place(df: DataFrame, *keys: str) -> DataFrame:
+    """Shuffle to ``spark.sql.shuffle.partitions`` tasks. It is the exchange the next window, join or aggregate
+    on these keys needs anyway; naming the number keeps small inputs of heavy steps from being merged into
+    one task."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def with_halo(
     df: DataFrame, before: int = 0, after: int = 0, size: int = CHUNK, key: str = "idx"
 ) -> DataFrame:
@@ -18,10 +25,11 @@ def with_halo(
     true on the one copy that belongs to the chunk.
     """
     idx = F.col(key)
-    return df.select(
+    copies = df.select(
         "*",
         F.explode(F.sequence(floor_div(idx - after, size), floor_div(idx + before, size))).alias("chunk"),
     ).withColumn("own", F.col("chunk") == floor_div(idx, size))
+    return place(copies, "station", "chunk")
 
 
 def drop_halo(df: DataFrame) -> DataFrame:

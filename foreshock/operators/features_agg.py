@@ -3,18 +3,21 @@
 Samples are melted to one row per stream, earlier samples are attached once on the series (so a sample's
 lags are shared by all windows that hold it), and one aggregate computes every wanted calculator. All buffers
 are fixed-width, so partial results of a window form on the map side and only those are shuffled.
+
+Calculators are SQL expressions over ``x`` (sample), ``x_1 ..`` (earlier samples) and ``pos`` (place in the
+window). A sample's lags may lie outside the window; ``_in`` leaves those rows out.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foreshock.config import CHUNK, SAMPLES_PER_DAY, Geometry
-from foreshock.functions.numbers import floor_div
 from foreshock.operators.chunks import chunk_order, drop_halo, with_halo
 from foreshock.operators.windows import complete_only, window_rows
 
@@ -25,210 +28,239 @@ RANGES = ((-1.0, 1.0), (1e12, 0.0), (0.0, 1e12))
 CROSSINGS = (0, -1, 1)
 LAGS_SHORT = (1, 2, 3)
 LAGS_AUTO = tuple(range(10))
+MAX_LAG = 40
 SEGMENTS = 10
+WAVELET_WIDTHS = (2, 5, 10, 20)
+WAVELET_COEFFS = 15
 TREND_CHUNKS = (5, 10, 50)
 TREND_STATS = ("max", "min", "mean", "var")
 TREND_ATTRS = ("slope", "intercept", "rvalue", "stderr")
 
 KEYS = ("station", "k", "e", "win_end", "stream")
+Named = dict[str, str]
 
 
 @dataclass(frozen=True)
 class Calculator:
-    """``aggs``: named aggregates; ``outs``: (params, column over those names); ``lag``: look-back needed."""
+    """``aggs``: named aggregates of a window of n samples; ``outs``: params -> expression over those names;
+    ``mid``: named expressions between the two; ``lag``: look-back needed."""
 
-    aggs: Callable[[int], dict[str, Column]]
-    outs: Callable[[int], list[tuple[str, Column]]]
+    aggs: Callable[[int], Named]
+    outs: Callable[[int], Named]
     lag: int = 0
+    mid: Callable[[int], Named] = field(default=lambda n: {})
 
 
-X, POS = "x", "pos"
-
+def _x(lag: int) -> str:
+    return "x" if lag == 0 else f"x_{lag}"
 
-def _x(lag: int = 0) -> Column:
-    return F.col(X) if lag == 0 else F.col(f"x_{lag}")
 
+def _in(lag: int, value: str) -> str:
+    return value if lag == 0 else f"CASE WHEN pos >= {lag} THEN {value} END"
 
-def _within(lag: int, value: Column) -> Column:
-    """Value of rows whose lagged sample is inside the window too."""
-    return value if lag == 0 else F.when(F.col(POS) >= lag, value)
 
+def _flag(condition: str) -> str:
+    return f"CAST({condition} AS DOUBLE)"
 
-def _flag(condition: Column) -> Column:
-    return condition.cast("double")
 
+_BASE = {
+    "n": "count(x)",
+    "s": "sum(x)",
+    "q": "sum(x * x)",
+    "sd": "stddev_pop(x)",
+    "vp": "var_pop(x)",
+    "mx": "max(x)",
+    "mn": "min(x)",
+    "mu": "avg(x)",
+    "skew": "skewness(x)",
+    "kurt": "kurtosis(x)",
+    "d2": f"sum({_in(1, '(x - x_1) * (x - x_1)')})",
+    "da": f"sum({_in(1, 'abs(x - x_1)')})",
+    "x_first": "max(CASE WHEN pos = 0 THEN x END)",
+}
 
-def _div(a: Column, b: Column) -> Column:
-    return F.try_divide(a, b)
 
+def _simple(names: Sequence[str], outs: Callable[[int], Named], lag: int = 0) -> Calculator:
+    return Calculator(lambda n: {a: _BASE[a] for a in names}, outs, lag)
 
-N, S, Q, SD, VAR, MX, MN, AVG = (lambda n=n: F.col(n) for n in ("n", "s", "q", "sd", "var", "mx", "mn", "avg"))
 
-_BASE = {
-    "n": lambda: F.count(X),
-    "s": lambda: F.sum(X),
-    "q": lambda: F.sum(_x() * _x()),
-    "sd": lambda: F.stddev_pop(X),
-    "var": lambda: F.var_pop(X),
-    "mx": lambda: F.max(X),
-    "mn": lambda: F.min(X),
-    "avg": lambda: F.avg(X),
-    "skew": lambda: F.skewness(X),
-    "kurt": lambda: F.kurtosis(X),
-    "d2": lambda: F.sum(_within(1, (_x() - _x(1)) * (_x() - _x(1)))),
-    "da": lambda: F.sum(_within(1, F.abs(_x() - _x(1)))),
-    "x_first": lambda: F.max(F.when(F.col(POS) == 0, _x())),
-}
+def _one(names: Sequence[str], out: str, lag: int = 0) -> Calculator:
+    return _simple(names, lambda n: {"": out}, lag)
 
 
-def _simple(names: Iterable[str], outs: Callable[[int], list[tuple[str, Column]]], lag: int = 0) -> Calculator:
-    names = tuple(names)
-    return Calculator(lambda n: {a: _BASE[a]() for a in names}, outs, lag)
+def _lag_sums(lags: Sequence[int]) -> Named:
+    return {f"ac{i}": f"sum({_in(i, f'x * {_x(i)}')})" for i in lags} | {
+        f"ah{i}": f"sum({_in(i, f'x + {_x(i)}')})" for i in lags
+    }
 
 
-def _one(names: Iterable[str], column: Callable[[], Column], lag: int = 0) -> Calculator:
-    return _simple(names, lambda n: [("", column())], lag)
+def _lag_cov(n: int, i: int) -> str:
+    """Mean product of deviations of samples ``i`` apart."""
+    return f"(ac{i} - mu * ah{i} + {n - i} * mu * mu) / {n - i}"
 
 
 def _autocorrelation() -> Calculator:
-    def aggs(n: int) -> dict[str, Column]:
-        out = {a: _BASE[a]() for a in ("avg", "var")}
-        for lag in LAGS_AUTO:
-            out[f"ac{lag}"] = F.sum(_within(lag, _x() * _x(lag)))
-            out[f"ah{lag}"] = F.sum(_within(lag, _x() + _x(lag)))
-        return out
-
-    def outs(n: int) -> list[tuple[str, Column]]:
-        return [
-            (
-                f"lag_{lag}",
-                _div(
-                    F.col(f"ac{lag}") - AVG() * F.col(f"ah{lag}") + (n - lag) * AVG() * AVG(),
-                    (n - lag) * VAR(),
-                ),
-            )
-            for lag in LAGS_AUTO
-        ]
+    return Calculator(
+        lambda n: {a: _BASE[a] for a in ("mu", "vp")} | _lag_sums(LAGS_AUTO),
+        lambda n: {f"lag_{i}": f"try_divide({_lag_cov(n, i)}, vp)" for i in LAGS_AUTO},
+        max(LAGS_AUTO),
+    )
+
+
+def _agg_autocorrelation() -> Calculator:
+    def mid(n: int) -> Named:
+        return {"acf": "array_sort(array(" + ", ".join(_lag_cov(n, i) for i in range(1, MAX_LAG + 1)) + "))"}
 
-    return Calculator(aggs, outs, max(LAGS_AUTO))
+    def outs(n: int) -> Named:
+        mean = f"(aggregate(acf, 0D, (a, v) -> a + v) / {MAX_LAG})"
+        square = f"(aggregate(acf, 0D, (a, v) -> a + v * v) / {MAX_LAG})"
+        middle = f"((acf[{MAX_LAG // 2 - 1}] + acf[{MAX_LAG // 2}]) / 2)"
+        return {
+            f"f_agg_mean__maxlag_{MAX_LAG}": f"try_divide({mean}, vp)",
+            f"f_agg_median__maxlag_{MAX_LAG}": f"try_divide({middle}, vp)",
+            f"f_agg_var__maxlag_{MAX_LAG}": f"try_divide({square} - {mean} * {mean}, vp * vp)",
+        }
+
+    return Calculator(
+        lambda n: {a: _BASE[a] for a in ("mu", "vp")} | _lag_sums(range(1, MAX_LAG + 1)), outs, MAX_LAG, mid
+    )
 
 
-def _lag_products(product: Callable[[int], Column], prefix: str) -> Calculator:
+def _lag_products(product: Callable[[int], str], prefix: str) -> Calculator:
     return Calculator(
-        lambda n: {f"{prefix}{lag}": F.avg(_within(2 * lag, product(lag))) for lag in LAGS_SHORT},
-        lambda n: [(f"lag_{lag}", F.col(f"{prefix}{lag}")) for lag in LAGS_SHORT],
+        lambda n: {f"{prefix}{i}": f"avg({_in(2 * i, product(i))})" for i in LAGS_SHORT},
+        lambda n: {f"lag_{i}": f"{prefix}{i}" for i in LAGS_SHORT},
         2 * max(LAGS_SHORT),
     )
 
 
-def segment_of(pos: Column, n: int, segments: int = SEGMENTS) -> Column:
+def segment_of(n: int, segments: int = SEGMENTS) -> str:
     """Number of the segment of a position when the first ``n mod segments`` hold one extra sample."""
     short, extra = divmod(n, segments)
     edge = extra * (short + 1)
-    return F.when(pos < edge, floor_div(pos, short + 1)).otherwise(
-        extra + floor_div(pos - edge, max(short, 1))
-    )
+    return f"CASE WHEN pos < {edge} THEN pos div {short + 1} ELSE {extra} + (pos - {edge}) div {max(short, 1)} END"
 
 
 def _energy_ratio() -> Calculator:
     return Calculator(
-        lambda n: {"q": _BASE["q"]()}
-        | {
-            f"en{i}": F.sum(F.when(segment_of(F.col(POS), n) == i, _x() * _x()).otherwise(0.0))
-            for i in range(SEGMENTS)
-        },
-        lambda n: [
-            (f"num_segments_{SEGMENTS}__segment_focus_{i}", _div(F.col(f"en{i}"), Q())) for i in range(SEGMENTS)
-        ],
+        lambda n: {"q": _BASE["q"]}
+        | {f"en{i}": f"sum(CASE WHEN ({segment_of(n)}) = {i} THEN x * x ELSE 0D END)" for i in range(SEGMENTS)},
+        lambda n: {f"num_segments_{SEGMENTS}__segment_focus_{i}": f"try_divide(en{i}, q)" for i in range(SEGMENTS)},
     )
 
 
 def _trend(scale: float) -> Calculator:
     """Least squares on the position times ``scale``."""
 
-    def outs(n: int) -> list[tuple[str, Column]]:
-        slope, r = F.col("slope") / scale, F.col("r")
+    def outs(n: int) -> Named:
         spread = scale * scale * (n * n - 1) / 12.0
-        err = F.sqrt(F.greatest(_div((1 - r * r) * VAR(), F.lit(spread * (n - 2))), F.lit(0.0)))
-        return [
-            ("attr_slope", slope),
-            ("attr_intercept", F.col("intercept")),
-            ("attr_rvalue", r),
-            ("attr_stderr", err),
-        ]
-
+        return {
+            "attr_slope": f"slope / {scale!r}D",
+            "attr_intercept": "intercept",
+            "attr_rvalue": "r",
+            "attr_stderr": f"sqrt(greatest((1 - r * r) * vp / {spread * (n - 2)!r}D, 0D))",
+        }
+
+    at = "CAST(pos AS DOUBLE)"
     return Calculator(
         lambda n: {
-            "slope": F.regr_slope(_x(), F.col(POS).cast("double")),
-            "intercept": F.regr_intercept(_x(), F.col(POS).cast("double")),
-            "r": F.corr(_x(), F.col(POS).cast("double")),
-            "var": _BASE["var"](),
+            "slope": f"regr_slope(x, {at})",
+            "intercept": f"regr_intercept(x, {at})",
+            "r": f"corr(x, {at})",
+            "vp": _BASE["vp"],
         },
         outs,
     )
 
 
+def ricker(points: int, width: float) -> list[float]:
+    scale = 2 / (math.sqrt(3 * width) * math.pi**0.25)
+    squares = [(i - (points - 1) / 2) ** 2 for i in range(points)]
+    return [scale * (1 - t / width**2) * math.exp(-t / (2 * width**2)) for t in squares]
+
+
+def wavelet_weights(n: int, width: int, coeff: int) -> list[float]:
+    """Weights on the first samples of a window that give one wavelet coefficient ('same' convolution)."""
+    points = min(10 * width, n)
+    psi = ricker(points, width)
+    centre = coeff + (points - 1) // 2
+    return [psi[centre - p] if 0 <= centre - p < points else 0.0 for p in range(min(n, centre + 1))]
+
+
+def literal_array(values: Iterable[float]) -> str:
+    return "array(" + ", ".join(f"{float(v)!r}D" for v in values) + ")"
+
+
+def _wavelets() -> Calculator:
+    """Wavelet coefficients are fixed weights on the samples: plain weighted sums."""
+
+    def names(n: int) -> list[tuple[int, int]]:
+        return [(w, c) for w in WAVELET_WIDTHS for c in range(min(WAVELET_COEFFS, n))]
+
+    widths = ", ".join(map(str, WAVELET_WIDTHS))
+    return Calculator(
+        lambda n: {
+            f"cw{w}_{c}": f"sum(x * get({literal_array(wavelet_weights(n, w, c))}, CAST(pos AS INT)))"
+            for w, c in names(n)
+        },
+        lambda n: {f"coeff_{c}__w_{w}__widths_({widths})": f"cw{w}_{c}" for w, c in names(n)},
+    )
+
+
 CALCULATORS: dict[str, Calculator] = {
-    "sum_values": _one(["s"], S),
-    "abs_energy": _one(["q"], Q),
-    "mean": _one(["avg"], AVG),
-    "length": _one(["n"], lambda: N().cast("double")),
-    "standard_deviation": _one(["sd"], SD),
-    "variance": _one(["var"], VAR),
-    "skewness": _simple(["skew"], lambda n: [("", F.col("skew") * ((n * (n - 1)) ** 0.5 / (n - 2)))]),
+    "sum_values": _one(["s"], "s"),
+    "abs_energy": _one(["q"], "q"),
+    "mean": _one(["mu"], "mu"),
+    "length": _one(["n"], "CAST(n AS DOUBLE)"),
+    "standard_deviation": _one(["sd"], "sd"),
+    "variance": _one(["vp"], "vp"),
+    "skewness": _simple(["skew"], lambda n: {"": f"skew * {(n * (n - 1)) ** 0.5 / (n - 2)!r}D"}),
     "kurtosis": _simple(
-        ["kurt"], lambda n: [("", ((n + 1) * F.col("kurt") + 6) * ((n - 1) / ((n - 2) * (n - 3))))]
+        ["kurt"], lambda n: {"": f"({n + 1} * kurt + 6) * {(n - 1) / ((n - 2) * (n - 3))!r}D"}
     ),
-    "maximum": _one(["mx"], MX),
-    "minimum": _one(["mn"], MN),
-    "variance_larger_than_standard_deviation": _one(["var", "sd"], lambda: _flag(VAR() > SD())),
+    "maximum": _one(["mx"], "mx"),
+    "minimum": _one(["mn"], "mn"),
+    "variance_larger_than_standard_deviation": _one(["vp", "sd"], _flag("vp > sd")),
     "large_standard_deviation": _simple(
-        ["sd", "mx", "mn"], lambda n: [(f"r_{r}", _flag(SD() > r * (MX() - MN()))) for r in R_LARGE_SD]
+        ["sd", "mx", "mn"], lambda n: {f"r_{r}": _flag(f"sd > {r}D * (mx - mn)") for r in R_LARGE_SD}
     ),
-    "mean_abs_change": _simple(["da"], lambda n: [("", F.col("da") / (n - 1))], 1),
+    "mean_abs_change": _simple(["da"], lambda n: {"": f"da / {n - 1}"}, 1),
     "mean_change": Calculator(
-        lambda n: {"x_first": _BASE["x_first"](), "x_last": F.max(F.when(F.col(POS) == n - 1, _x()))},
-        lambda n: [("", (F.col("x_last") - F.col("x_first")) / (n - 1))],
+        lambda n: {"x_first": _BASE["x_first"], "x_last": f"max(CASE WHEN pos = {n - 1} THEN x END)"},
+        lambda n: {"": f"(x_last - x_first) / {n - 1}"},
     ),
-    "absolute_sum_of_changes": _one(["da"], lambda: F.col("da"), 1),
+    "absolute_sum_of_changes": _one(["da"], "da", 1),
     "mean_second_derivative_central": Calculator(
-        lambda n: {"d2c": F.avg(_within(2, (_x() - 2 * _x(1) + _x(2)) / 2))},
-        lambda n: [("", F.col("d2c"))],
-        2,
+        lambda n: {"d2c": f"avg({_in(2, '(x - 2 * x_1 + x_2) / 2')})"}, lambda n: {"": "d2c"}, 2
     ),
     "cid_ce": _simple(
         ["d2", "sd"],
-        lambda n: [
-            ("normalize_True", F.coalesce(_div(F.sqrt(F.col("d2")), SD()), F.lit(0.0))),
-            ("normalize_False", F.sqrt(F.col("d2"))),
-        ],
+        lambda n: {"normalize_True": "coalesce(try_divide(sqrt(d2), sd), 0D)", "normalize_False": "sqrt(d2)"},
         1,
     ),
     "value_count": Calculator(
-        lambda n: {f"vc{i}": F.count_if(_x() == v) for i, v in enumerate(VALUES)},
-        lambda n: [(f"value_{v}", F.col(f"vc{i}").cast("double")) for i, v in enumerate(VALUES)],
+        lambda n: {f"vc{i}": f"count_if(x = {v})" for i, v in enumerate(VALUES)},
+        lambda n: {f"value_{v}": f"CAST(vc{i} AS DOUBLE)" for i, v in enumerate(VALUES)},
     ),
     "range_count": Calculator(
-        lambda n: {f"rc{i}": F.count_if((_x() >= a) & (_x() < b)) for i, (a, b) in enumerate(RANGES)},
-        lambda n: [
-            (f"max_{b:g}__min_{a:g}", F.col(f"rc{i}").cast("double")) for i, (a, b) in enumerate(RANGES)
-        ],
+        lambda n: {f"rc{i}": f"count_if(x >= {a!r}D AND x < {b!r}D)" for i, (a, b) in enumerate(RANGES)},
+        lambda n: {f"max_{b:g}__min_{a:g}": f"CAST(rc{i} AS DOUBLE)" for i, (a, b) in enumerate(RANGES)},
     ),
     "number_crossing_m": Calculator(
-        lambda n: {
-            f"cr{i}": F.count_if((F.col(POS) >= 1) & ((_x() > m) != (_x(1) > m))) for i, m in enumerate(CROSSINGS)
-        },
-        lambda n: [(f"m_{m}", F.col(f"cr{i}").cast("double")) for i, m in enumerate(CROSSINGS)],
+        lambda n: {f"cr{i}": f"count_if(pos >= 1 AND (x > {m}) <> (x_1 > {m}))" for i, m in enumerate(CROSSINGS)},
+        lambda n: {f"m_{m}": f"CAST(cr{i} AS DOUBLE)" for i, m in enumerate(CROSSINGS)},
         1,
     ),
     "time_reversal_asymmetry_statistic": _lag_products(
-        lambda lag: _x() * _x() * _x(lag) - _x(lag) * _x(2 * lag) * _x(2 * lag), "tr"
+        lambda i: f"x * x * x_{i} - x_{i} * x_{2 * i} * x_{2 * i}", "tr"
     ),
-    "c3": _lag_products(lambda lag: _x() * _x(lag) * _x(2 * lag), "cc"),
+    "c3": _lag_products(lambda i: f"x * x_{i} * x_{2 * i}", "cc"),
     "autocorrelation": _autocorrelation(),
+    "agg_autocorrelation": _agg_autocorrelation(),
     "energy_ratio_by_chunks": _energy_ratio(),
     "linear_trend": _trend(1.0),
     "linear_trend_timewise": _trend(24.0 / SAMPLES_PER_DAY),
+    "cwt_coefficients": _wavelets(),
 }
 
 # Computed by its own two-level aggregate below.
@@ -236,35 +268,21 @@ CHUNK_TREND = "agg_linear_trend"
 NAMES = (*CALCULATORS, CHUNK_TREND)
 
 
-def melt_streams(df: DataFrame, streams: Sequence[str]) -> DataFrame:
-    """One row per sample and stream: ``station, t0, t1, idx, stream, x``."""
-    pairs = F.array(*[F.struct(F.lit(s).alias("stream"), F.col(s).alias("x")) for s in streams])
-    return df.select("station", "t0", "t1", "idx", F.explode(pairs).alias("w")).select(
-        "station", "t0", "t1", "idx", "w.stream", "w.x"
-    )
-
-
-def attach_lags(df: DataFrame, streams: Sequence[str], lag: int, size: int = CHUNK) -> DataFrame:
-    """Melted samples with the ``lag`` samples before each as ``x_1 ..``, found once per series."""
-    if lag == 0:
-        return melt_streams(df, streams)
-    order = chunk_order()
-    whole = F.struct(*streams)
-    halo = with_halo(df.select("station", "t0", "t1", "idx", *streams), before=lag, size=size)
-    lagged = drop_halo(halo.withColumns({f"p_{j}": F.lag(whole, j).over(order) for j in range(1, lag + 1)}))
-    pairs = F.array(
-        *[
-            F.struct(
-                F.lit(s).alias("stream"),
-                F.col(s).alias("x"),
-                *[F.col(f"p_{j}")[s].alias(f"x_{j}") for j in range(1, lag + 1)],
-            )
-            for s in streams
-        ]
-    )
-    return lagged.select("station", "t0", "t1", "idx", F.explode(pairs).alias("w")).select(
-        "station", "t0", "t1", "idx", "w.*"
+def attach_lags(df: DataFrame, streams: Sequence[str], lag: int = 0, size: int = CHUNK) -> DataFrame:
+    """One row per sample and stream, ``station, t0, t1, idx, stream, x``, with the ``lag`` samples before it
+    as ``x_1 ..``. They are found once per series, in chunks."""
+    rows = df.select("station", "t0", "t1", "idx", *streams)
+    if lag:
+        order, whole = chunk_order(), F.struct(*streams)
+        halo = with_halo(rows, before=lag, size=size)
+        rows = drop_halo(halo.withColumns({f"p_{j}": F.lag(whole, j).over(order) for j in range(1, lag + 1)}))
+    pairs = ", ".join(
+        f"named_struct('stream', '{s}', 'x', `{s}`"
+        + "".join(f", 'x_{j}', p_{j}.`{s}`" for j in range(1, lag + 1))
+        + ")"
+        for s in streams
     )
+    return rows.selectExpr("station", "t0", "t1", "idx", f"inline(array({pairs}))")
 
 
 def column_name(calculator: str, params: str) -> str:
@@ -280,17 +298,19 @@ def window_sums(
     tf: float | None = None,
 ) -> DataFrame:
     """Wide features per (window, stream): one column per calculator and parameter set."""
-    calculators = list(calculators)
     chosen = {c: CALCULATORS[c] for c in calculators}
     n = geom.iw
     lag = max((c.lag for c in chosen.values()), default=0)
     rows = window_rows(attach_lags(df, streams, lag), geom, ti, tf)
-    aggs = {"n": _BASE["n"]()}
-    for calc in chosen.values():
+    aggs, mid, outs = {"n": _BASE["n"]}, {}, []
+    for name, calc in chosen.items():
         aggs |= calc.aggs(n)
-    summed = rows.groupBy(*KEYS).agg(*[col.alias(name) for name, col in aggs.items()])
-    outs = [col.alias(column_name(name, p)) for name, calc in chosen.items() for p, col in calc.outs(n)]
-    return complete_only(summed, geom).select(*KEYS, *outs)
+        mid |= calc.mid(n)
+        outs += [f"{expr} AS `{column_name(name, p)}`" for p, expr in calc.outs(n).items()]
+    summed = complete_only(rows.groupBy(*KEYS).agg(*[F.expr(f"{a} AS {name}") for name, a in aggs.items()]), geom)
+    if mid:
+        summed = summed.selectExpr("*", *[f"{m} AS {name}" for name, m in mid.items()])
+    return summed.selectExpr(*KEYS, *outs)
 
 
 def chunk_trends(
@@ -302,60 +322,42 @@ def chunk_trends(
 ) -> DataFrame:
     """Trend over the max, min, mean and variance of runs of 5, 10 and 50 samples in each window.
 
-    Two aggregates; the second one's key is a part of the first one's, whose rows number a fifth of the samples.
+    Runs of 10 and 50 are unions of runs of 5, so the first aggregate shrinks the samples to a fifth and the
+    later ones combine its counts, sums and squared deviations.
     """
-    rows = window_rows(melt_streams(df, streams), geom, ti, tf)
-    parts = rows.groupBy(*KEYS, floor_div(F.col(POS), 5).alias("part")).agg(
-        F.count(X).alias("c"),
-        F.sum(X).alias("s"),
-        F.avg(X).alias("a"),
-        F.var_pop(X).alias("v"),
-        F.max(X).alias("mx"),
-        F.min(X).alias("mn"),
+    rows = window_rows(attach_lags(df, streams), geom, ti, tf)
+    parts = rows.groupBy(*KEYS, F.expr("pos div 5 AS part")).agg(
+        *map(F.expr, ["count(x) AS c", "sum(x) AS s", "avg(x) AS a", "var_pop(x) AS v", "max(x) AS mx", "min(x) AS mn"])
     )
-    levels = F.explode(F.array(*[F.lit(length) for length in TREND_CHUNKS])).alias("length")
-    # Runs of 10 and 50 are unions of runs of 5: combine counts, means and squared deviations.
+    levels = ", ".join(map(str, TREND_CHUNKS))
     runs = (
-        parts.select("*", levels)
-        .withColumn("run", floor_div(F.col("part") * 5, F.col("length")))
-        .groupBy(*KEYS, "length", "run")
+        parts.selectExpr("*", f"explode(array({levels})) AS length")
+        .groupBy(*KEYS, "length", F.expr("part * 5 div length AS run"))
         .agg(
-            F.sum("c").alias("c"),
-            F.sum("s").alias("s"),
-            F.sum(F.col("c") * (F.col("v") + F.col("a") * F.col("a"))).alias("q"),
-            F.max("mx").alias("max"),
-            F.min("mn").alias("min"),
+            *map(
+                F.expr,
+                ["sum(c) AS c", "sum(s) AS s", "sum(c * (v + a * a)) AS q", "max(mx) AS max", "min(mn) AS min"],
+            )
         )
-        .withColumn("mean", F.col("s") / F.col("c"))
-        .withColumn("var", F.greatest(F.col("q") / F.col("c") - F.col("mean") * F.col("mean"), F.lit(0.0)))
+        .selectExpr("*", "s / c AS mean", "greatest(q / c - (s / c) * (s / c), 0D) AS var")
     )
-    at = F.col("run").cast("double")
     fits = runs.groupBy(*KEYS, "length").agg(
-        F.count("run").alias("m"),
-        F.sum("c").alias("n"),
-        F.var_pop("run").alias("vx"),
+        F.expr("count(run) AS m"),
+        F.expr("sum(c) AS n"),
+        F.expr("var_pop(run) AS vx"),
         *[
-            agg.alias(f"{part}_{s}")
+            F.expr(f"{agg} AS {part}_{s}")
             for s in TREND_STATS
             for part, agg in (
-                ("slope", F.regr_slope(F.col(s), at)),
-                ("intercept", F.regr_intercept(F.col(s), at)),
-                ("rvalue", F.corr(F.col(s), at)),
-                ("vy", F.var_pop(s)),
+                ("slope", f"regr_slope({s}, CAST(run AS DOUBLE))"),
+                ("intercept", f"regr_intercept({s}, CAST(run AS DOUBLE))"),
+                ("rvalue", f"corr({s}, CAST(run AS DOUBLE))"),
+                ("vy", f"var_pop({s})"),
             )
         ],
     )
-    m = F.col("m")
-    errors = {
-        f"stderr_{s}": F.sqrt(
-            F.greatest(
-                _div(
-                    (1 - F.col(f"rvalue_{s}") * F.col(f"rvalue_{s}")) * F.col(f"vy_{s}"), F.col("vx") * (m - 2)
-                ),
-                F.lit(0.0),
-            )
-        )
-        for s in TREND_STATS
-    }
-    kept = [f"{a}_{s}" for s in TREND_STATS for a in TREND_ATTRS]
-    return complete_only(fits.withColumns(errors), geom).select(*KEYS, "length", *kept)
+    error = "sqrt(greatest(try_divide((1 - rvalue_{s} * rvalue_{s}) * vy_{s}, vx * (m - 2)), 0D)) AS stderr_{s}"
+    kept = [f"{a}_{s}" for s in TREND_STATS for a in TREND_ATTRS[:3]]
+    return complete_only(fits, geom).selectExpr(
+        *KEYS, "length", *kept, *[error.format(s=s) for s in TREND_STATS]
+    )

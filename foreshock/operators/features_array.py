@@ -1,6 +1,13 @@
-"""Window features over the ordered samples of a window, as array expressions in one projection.
+"""Window features over the ordered samples of a window.
 
-Input rows come from ``window_arrays``: one row per (window, stream) with ``x``. Nothing here shuffles.
+Input rows come from ``window_arrays``: one row per (window, stream) with its samples ``x``. Most calculators
+are array expressions in one projection and shuffle nothing; they are SQL over the prepared columns
+
+    xs  samples sorted        mu, sd, vp  mean, deviation, variance      z  samples minus mean
+    lo, hi  extremes          med  median                                mass  sum of sizes
+
+prepared in stages so that none is computed twice. ``change_quantiles`` has many conditional sums per window
+and is an explode with a compiled aggregate instead.
 """
 
 from __future__ import annotations
@@ -8,7 +15,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foreshock.config import Geometry
@@ -20,293 +27,179 @@ R_SYMMETRY = [round(0.05 * i, 2) for i in range(20)]
 R_SIGMA = (0.5, 1, 1.5, 2, 2.5, 3, 5, 6, 7, 10)
 PEAK_SUPPORTS = (1, 3, 5, 10, 50)
 ENTROPY_BINS = 10
-CORRIDOR_LOWS = (0.0, 0.2, 0.4, 0.6, 0.8)
-CORRIDOR_HIGHS = (0.2, 0.4, 0.6, 0.8, 1.0)
-CORRIDORS = [(a, b) for a in CORRIDOR_LOWS for b in CORRIDOR_HIGHS if a < b]
-WAVELET_WIDTHS = (2, 5, 10, 20)
-WAVELET_COEFFS = 15
-MAX_LAG = 40
-
-
-def x() -> Column:
-    return F.col("x")
-
-
-def xs() -> Column:
-    """Sorted samples."""
-    return F.col("xs")
+CORRIDOR_LEVELS = (0.0, 0.2, 0.4, 0.6, 0.8, 1.0)
+CORRIDORS = [(a, b) for a in CORRIDOR_LEVELS for b in CORRIDOR_LEVELS if a < b]
 
 
-def total(a: Column) -> Column:
-    return F.aggregate(a, F.lit(0.0), lambda acc, v: acc + v)
+def total(array: str) -> str:
+    return f"aggregate({array}, 0D, (a, v) -> a + v)"
 
 
-def dot(a: Column, b: Column) -> Column:
-    return total(F.zip_with(a, b, lambda u, v: u * v))
-
-
-def _count(a: Column, test: Callable[[Column], Column]) -> Column:
-    return F.size(F.filter(a, test)).cast("double")
-
-
-def sorted_quantile(sorted_x: Column, n: int, q: float) -> Column:
-    """Linear interpolation between order statistics at literal positions."""
+def sorted_quantile(n: int, q: float, array: str = "xs") -> str:
+    """Linear interpolation between order statistics at literal places."""
     at = (n - 1) * q
     low = min(math.floor(at + 1e-9), n - 1)
     share = at - low
     if share < 1e-9 or low + 1 >= n:
-        return F.get(sorted_x, F.lit(low))
-    a, b = F.get(sorted_x, F.lit(low)), F.get(sorted_x, F.lit(low + 1))
-    return a + (b - a) * share
-
+        return f"{array}[{low}]"
+    return f"({array}[{low}] + ({array}[{low + 1}] - {array}[{low}]) * {share!r}D)"
 
-def ricker(points: int, width: float) -> list[float]:
-    scale = 2 / (math.sqrt(3 * width) * math.pi**0.25)
-    out = []
-    for i in range(points):
-        t2 = (i - (points - 1) / 2) ** 2
-        out.append(scale * (1 - t2 / width**2) * math.exp(-t2 / (2 * width**2)))
-    return out
-
-
-def wavelet_weights(n: int, width: int, coeff: int) -> list[float]:
-    """Weights on the first samples of a window that give one wavelet coefficient ('same' convolution)."""
-    points = min(10 * width, n)
-    psi = ricker(points, width)
-    centre = coeff + (points - 1) // 2
-    return [psi[centre - p] if 0 <= centre - p < points else 0.0 for p in range(min(n, centre + 1))]
-
-
-def _longest_run(test: Callable[[Column], Column]) -> Column:
-    start = F.struct(F.lit(0).alias("run"), F.lit(0).alias("best"))
-
-    def step(acc: Column, v: Column) -> Column:
-        run = F.when(test(v), acc["run"] + 1).otherwise(F.lit(0))
-        return F.struct(run.alias("run"), F.greatest(acc["best"], run).alias("best"))
 
-    return F.aggregate(x(), start, step, lambda acc: acc["best"].cast("double"))
-
-
-def _repeat_starts() -> Column:
-    """Sorted samples that open a run of equal ones."""
-    return F.filter(xs(), lambda v, i: (v == F.get(xs(), i + 1)) & ((i == 0) | (v != F.get(xs(), i - 1))))
+def _prepared(n: int) -> list[dict[str, str]]:
+    return [
+        {"xs": "sort_array(x)", "mu": f"{total('x')} / {n}", "mass": total("transform(x, v -> abs(v))")},
+        {
+            # The mean is bound as a lambda argument: were it inlined here, each sample would compute it anew.
+            "z": "transform(array(mu), m -> transform(x, v -> v - m))[0]",
+            "lo": "xs[0]",
+            "hi": f"xs[{n - 1}]",
+            "med": sorted_quantile(n, 0.5),
+        },
+        {"vp": f"aggregate(z, 0D, (a, v) -> a + v * v) / {n}"},
+        {"sd": "sqrt(vp)"},
+    ]
 
 
-def _repeated_points() -> Column:
-    return F.filter(
-        xs(),
-        lambda v, i: ((i > 0) & (v == F.get(xs(), i - 1))) | F.coalesce(v == F.get(xs(), i + 1), F.lit(False)),
+def _run(test: str) -> str:
+    """Longest run of centred samples that pass a test."""
+    step = f"CASE WHEN {test} THEN a.run + 1 ELSE 0 END"
+    return (
+        "CAST(aggregate(z, named_struct('run', 0, 'best', 0), (a, v) -> named_struct("
+        f"'run', {step}, 'best', greatest(a.best, {step})), a -> a.best) AS DOUBLE)"
     )
 
 
-def _peaks(n: int) -> list[tuple[str, Column]]:
-    """Positions larger than all neighbours at a distance up to the support. Supports are tried in rising
-    order, each only on the positions that passed the one before."""
-    out, found = [], F.sequence(F.lit(1), F.lit(n - 2))
-    for support in PEAK_SUPPORTS:
-        found = F.filter(
-            found,
-            lambda i, s=support: (i >= s)
-            & (i < n - s)
-            & (F.get(x(), i) > F.array_max(F.slice(x(), i - s + 1, s)))
-            & (F.get(x(), i) > F.array_max(F.slice(x(), i + 2, s))),
-        )
-        out.append((f"n_{support}", F.size(found).cast("double")))
-    return out
-
+# Sorted samples that open a run of equal ones, and all samples of such runs.
+_OPENERS = "filter(xs, (v, i) -> v = get(xs, i + 1) AND (i = 0 OR v <> get(xs, i - 1)))"
+_REPEATED = "filter(xs, (v, i) -> (i > 0 AND v = get(xs, i - 1)) OR coalesce(v = get(xs, i + 1), false))"
 
-def _mass_quantiles(n: int) -> tuple[Column, Column, list[str]]:
-    names = [f"q{i}" for i in range(len(QUANTILES))]
-    mass = total(F.transform(x(), F.abs))
-    start = F.struct(F.lit(0.0).alias("sum"), *[F.lit(0).alias(c) for c in names])
 
-    def step(acc: Column, v: Column) -> Column:
-        run = acc["sum"] + F.abs(v)
-        return F.struct(
-            run.alias("sum"),
-            *[(acc[c] + F.when(run < q * F.col("mass"), 1).otherwise(0)).alias(c) for c, q in zip(names, QUANTILES)],
+def _peaks(n: int) -> dict[str, str]:
+    """Places larger than all neighbours up to the support. Supports rise, and each one is tried only on the
+    places that passed the one before."""
+    found, out = f"sequence(1, {n - 2})", {}
+    for s in PEAK_SUPPORTS:
+        found = (
+            f"filter({found}, i -> i >= {s} AND i < {n - s} AND x[i] > array_max(slice(x, i - {s - 1}, {s})) "
+            f"AND x[i] > array_max(slice(x, i + 2, {s})))"
         )
-
-    counts = F.aggregate(x(), start, step)
-    return mass, counts, names
+        out[f"n_{s}"] = found
+    return out
 
 
-def _corridor(low: Column, high: Column) -> Column:
-    """Count, sums of change, of its square and of its size, over changes with both ends in the corridor."""
-    zero = F.struct(*[F.lit(0.0).alias(c) for c in ("c", "s", "q", "a")])
-    pairs = F.zip_with(
-        F.slice(x(), 1, F.size(x()) - 1), F.slice(x(), 2, F.size(x()) - 1), lambda u, v: F.struct(u.alias("u"), v.alias("v"))
+def _mass_index(n: int) -> dict[str, str]:
+    """Share of the window passed when the running mass first reaches each share of the total."""
+    fields = ", ".join(
+        f"'q{i}', a.q{i} + CASE WHEN a.run + abs(v) < {q}D * mass THEN 1 ELSE 0 END" for i, q in enumerate(QUANTILES)
     )
-
-    def step(acc: Column, p: Column) -> Column:
-        d = p["v"] - p["u"]
-        inside = (p["u"] >= low) & (p["u"] <= high) & (p["v"] >= low) & (p["v"] <= high)
-        return F.when(
-            inside,
-            F.struct(
-                (acc["c"] + 1).alias("c"),
-                (acc["s"] + d).alias("s"),
-                (acc["q"] + d * d).alias("q"),
-                (acc["a"] + F.abs(d)).alias("a"),
-            ),
-        ).otherwise(acc)
-
-    return F.aggregate(pairs, zero, step)
-
-
-def _corridor_outs(a: float, b: float, r: Column) -> list[tuple[str, Column]]:
-    c = r["c"]
-    mean, size = F.try_divide(r["s"], c), F.try_divide(r["a"], c)
-    square = F.try_divide(r["q"], c)
-    values = {
-        ("mean", False): mean,
-        ("mean", True): size,
-        ("var", False): F.greatest(square - mean * mean, F.lit(0.0)),
-        ("var", True): F.greatest(square - size * size, F.lit(0.0)),
-    }
-    return [
-        (f"f_agg_{f}__isabs_{absolute}__qh_{b}__ql_{a}", F.coalesce(v, F.lit(0.0)))
-        for (f, absolute), v in values.items()
-    ]
-
-
-def _autocorrelations(n: int, lags: int) -> Column:
-    z = F.col("z")
-    return F.transform(
-        F.sequence(F.lit(1), F.lit(lags)),
-        lambda lag: dot(F.slice(z, 1, n - lag), F.slice(z, lag + 1, n - lag)) / (n - lag),
+    zero = ", ".join(f"'q{i}', 0" for i in range(len(QUANTILES)))
+    walk = (
+        f"aggregate(x, named_struct('run', 0D, {zero}), (a, v) -> named_struct('run', a.run + abs(v), {fields}))"
     )
+    return {"mass_at": walk}
+
+
+_LEVEL = f"CAST(least(floor(coalesce(try_divide((v - lo) * {ENTROPY_BINS}, hi - lo), 0)), {ENTROPY_BINS - 1}) AS INT)"
+
+# name -> (extra prepared columns, outputs by params), both of a window of n samples.
+Entry = tuple[Callable[[int], dict[str, str]], Callable[[int], dict[str, str]]]
+
+
+def _plain(expr: str) -> Entry:
+    return (lambda n: {}), (lambda n: {"": expr.format(n=n, n2=n - 2)})
+
+
+CALCULATORS: dict[str, Entry] = {
+    "median": _plain("med"),
+    "quantile": ((lambda n: {}), lambda n: {f"q_{q}": sorted_quantile(n, q) for q in QUANTILES}),
+    "symmetry_looking": (
+        (lambda n: {}),
+        lambda n: {f"r_{r}": f"CAST(abs(mu - med) < {r}D * (hi - lo) AS DOUBLE)" for r in R_SYMMETRY},
+    ),
+    "has_duplicate": _plain("CAST(size(array_distinct(xs)) < {n} AS DOUBLE)"),
+    "has_duplicate_max": _plain("CAST(xs[{n2}] = hi AS DOUBLE)"),
+    "has_duplicate_min": _plain("CAST(xs[1] = lo AS DOUBLE)"),
+    "count_above_mean": _plain("CAST(size(filter(z, v -> v > 0)) AS DOUBLE)"),
+    "count_below_mean": _plain("CAST(size(filter(z, v -> v < 0)) AS DOUBLE)"),
+    "first_location_of_maximum": _plain("(array_position(x, hi) - 1) / {n}"),
+    "last_location_of_maximum": _plain("({n} + 1 - array_position(reverse(x), hi)) / {n}"),
+    "first_location_of_minimum": _plain("(array_position(x, lo) - 1) / {n}"),
+    "last_location_of_minimum": _plain("({n} + 1 - array_position(reverse(x), lo)) / {n}"),
+    "longest_strike_above_mean": _plain(_run("v > 0")),
+    "longest_strike_below_mean": _plain(_run("v < 0")),
+    "percentage_of_reoccurring_datapoints_to_all_datapoints": _plain(
+        f"size({_OPENERS}) / size(array_distinct(xs))"
+    ),
+    "percentage_of_reoccurring_values_to_all_values": _plain(f"size({_REPEATED}) / {{n}}"),
+    "sum_of_reoccurring_values": _plain(total(_OPENERS)),
+    "sum_of_reoccurring_data_points": _plain(total(_REPEATED)),
+    "ratio_value_number_to_time_series_length": _plain("size(array_distinct(xs)) / {n}"),
+    "ratio_beyond_r_sigma": (
+        (lambda n: {}),
+        lambda n: {f"r_{r}": f"size(filter(z, v -> abs(v) > {r}D * sd)) / {n}" for r in R_SIGMA},
+    ),
+    "binned_entropy": (
+        lambda n: {"level": f"transform(x, v -> {_LEVEL})"},
+        lambda n: {
+            f"max_bins_{ENTROPY_BINS}": "-aggregate(array("
+            + ", ".join(f"size(filter(level, v -> v = {b})) / {n}" for b in range(ENTROPY_BINS))
+            + "), 0D, (a, p) -> a + CASE WHEN p > 0 THEN p * ln(p) ELSE 0D END)"
+        },
+    ),
+    "index_mass_quantile": (
+        _mass_index,
+        lambda n: {f"q_{q}": f"(mass_at.q{i} + 1) / {n}" for i, q in enumerate(QUANTILES)},
+    ),
+    "number_peaks": (
+        (lambda n: {}),
+        lambda n: {p: f"CAST(size({found}) AS DOUBLE)" for p, found in _peaks(n).items()},
+    ),
+}
+
+CHANGE_QUANTILES = "change_quantiles"
+NAMES = (*CALCULATORS, CHANGE_QUANTILES)
 
 
 def window_array_features(arrays: DataFrame, geom: Geometry, calculators: Iterable[str]) -> DataFrame:
     """Wide features per (window, stream) from ``window_arrays`` rows."""
-    wanted = list(calculators)
-    n = geom.iw
-    out: list[Column] = []
-    # Stages of columns, each usable by the next: projections stay apart, so nothing is computed twice.
-    stages: list[dict[str, Column]] = [
-        {"xs": F.sort_array(x()), "mean": total(x()) / n},
-        {
-            "z": F.transform(x(), lambda v: v - F.col("mean")),
-            "lowest": F.get(xs(), F.lit(0)),
-            "highest": F.get(xs(), F.lit(n - 1)),
-            "median": sorted_quantile(xs(), n, 0.5),
-        },
-        {"var": dot(F.col("z"), F.col("z")) / n},
-        {"sd": F.sqrt("var")},
-    ]
-    late: dict[str, Column] = {}
-    width = F.col("highest") - F.col("lowest")
-
-    def emit(name: str, pairs: list[tuple[str, Column]]) -> None:
-        out.extend(col.alias(column_name(name, p)) for p, col in pairs)
-
-    for name in wanted:
-        if name == "median":
-            emit(name, [("", F.col("median"))])
-        elif name == "quantile":
-            emit(name, [(f"q_{q}", sorted_quantile(xs(), n, q)) for q in QUANTILES])
-        elif name == "symmetry_looking":
-            gap = F.abs(F.col("mean") - F.col("median"))
-            emit(name, [(f"r_{r}", (gap < r * width).cast("double")) for r in R_SYMMETRY])
-        elif name == "has_duplicate":
-            emit(name, [("", (F.size(F.array_distinct(x())) < n).cast("double"))])
-        elif name == "has_duplicate_max":
-            emit(name, [("", (F.get(xs(), F.lit(n - 2)) == F.col("highest")).cast("double"))])
-        elif name == "has_duplicate_min":
-            emit(name, [("", (F.get(xs(), F.lit(1)) == F.col("lowest")).cast("double"))])
-        elif name == "count_above_mean":
-            emit(name, [("", _count(x(), lambda v: v > F.col("mean")))])
-        elif name == "count_below_mean":
-            emit(name, [("", _count(x(), lambda v: v < F.col("mean")))])
-        elif name == "first_location_of_maximum":
-            emit(name, [("", (F.array_position(x(), F.col("highest")) - 1) / n)])
-        elif name == "last_location_of_maximum":
-            emit(name, [("", (n + 1 - F.array_position(F.reverse(x()), F.col("highest"))) / n)])
-        elif name == "first_location_of_minimum":
-            emit(name, [("", (F.array_position(x(), F.col("lowest")) - 1) / n)])
-        elif name == "last_location_of_minimum":
-            emit(name, [("", (n + 1 - F.array_position(F.reverse(x()), F.col("lowest"))) / n)])
-        elif name == "longest_strike_above_mean":
-            emit(name, [("", _longest_run(lambda v: v > F.col("mean")))])
-        elif name == "longest_strike_below_mean":
-            emit(name, [("", _longest_run(lambda v: v < F.col("mean")))])
-        elif name == "percentage_of_reoccurring_datapoints_to_all_datapoints":
-            emit(name, [("", F.size(_repeat_starts()) / F.size(F.array_distinct(x())))])
-        elif name == "percentage_of_reoccurring_values_to_all_values":
-            emit(name, [("", F.size(_repeated_points()) / n)])
-        elif name == "sum_of_reoccurring_values":
-            emit(name, [("", total(_repeat_starts()))])
-        elif name == "sum_of_reoccurring_data_points":
-            emit(name, [("", total(_repeated_points()))])
-        elif name == "ratio_value_number_to_time_series_length":
-            emit(name, [("", F.size(F.array_distinct(x())) / n)])
-        elif name == "ratio_beyond_r_sigma":
-            emit(name, [(f"r_{r}", _count(F.col("z"), lambda v, r=r: F.abs(v) > r * F.col("sd")) / n) for r in R_SIGMA])
-        elif name == "agg_autocorrelation":
-            late["acf"] = _autocorrelations(n, MAX_LAG)
-            acf = F.col("acf")
-            mean = total(acf) / MAX_LAG
-            square = dot(acf, acf) / MAX_LAG
-            pairs = [
-                ("mean", F.try_divide(mean, F.col("var"))),
-                ("median", F.try_divide(sorted_quantile(F.sort_array(acf), MAX_LAG, 0.5), F.col("var"))),
-                ("var", F.try_divide(square - mean * mean, F.col("var") * F.col("var"))),
-            ]
-            emit(name, [(f"f_agg_{f}__maxlag_{MAX_LAG}", v) for f, v in pairs])
-        elif name == "binned_entropy":
-            late["bin_of"] = F.transform(
-                x(),
-                lambda v: F.coalesce(
-                    F.least(
-                        F.floor(F.try_divide((v - F.col("lowest")) * ENTROPY_BINS, width)), F.lit(ENTROPY_BINS - 1)
-                    ),
-                    F.lit(0).cast("bigint"),
-                ),
-            )
-            share = [_count(F.col("bin_of"), lambda v, b=b: v == b) / n for b in range(ENTROPY_BINS)]
-            shares = F.filter(F.array(*share), lambda p: p > 0)
-            emit(name, [(f"max_bins_{ENTROPY_BINS}", -total(F.transform(shares, lambda p: p * F.log(p))))])
-        elif name == "index_mass_quantile":
-            mass, counts, names = _mass_quantiles(n)
-            stages[0]["mass"] = mass
-            late["mass_at"] = counts
-            emit(name, [(f"q_{q}", (F.col("mass_at")[c] + 1) / n) for c, q in zip(names, QUANTILES)])
-        elif name == "change_quantiles":
-            for i, (a, b) in enumerate(CORRIDORS):
-                late[f"corridor{i}"] = _corridor(sorted_quantile(xs(), n, a), sorted_quantile(xs(), n, b))
-                emit(name, _corridor_outs(a, b, F.col(f"corridor{i}")))
-        elif name == "number_peaks":
-            emit(name, _peaks(n))
-        elif name == "cwt_coefficients":
-            pairs = []
-            for width_ in WAVELET_WIDTHS:
-                for coeff in range(min(WAVELET_COEFFS, n)):
-                    w = wavelet_weights(n, width_, coeff)
-                    literal = F.array(*[F.lit(v) for v in w])
-                    pairs.append(
-                        (
-                            f"coeff_{coeff}__w_{width_}__widths_({', '.join(map(str, WAVELET_WIDTHS))})",
-                            dot(F.slice(x(), 1, len(w)), literal),
-                        )
-                    )
-            emit(name, pairs)
-        else:
+    n, extra, outs = geom.iw, {}, []
+    for name in calculators:
+        if name not in CALCULATORS:
             raise ValueError(f"unknown calculator {name!r}")
+        prepare, columns = CALCULATORS[name]
+        extra |= prepare(n)
+        outs += [f"{expr} AS `{column_name(name, p)}`" for p, expr in columns(n).items()]
     staged = arrays
-    for columns in [*stages, late]:
-        if columns:
-            staged = staged.withColumns(columns)
-    return staged.select(*KEYS, *out)
-
-
-NAMES = (
-    "median", "quantile", "symmetry_looking", "has_duplicate", "has_duplicate_max", "has_duplicate_min",
-    "count_above_mean", "count_below_mean", "first_location_of_maximum", "last_location_of_maximum",
-    "first_location_of_minimum", "last_location_of_minimum", "longest_strike_above_mean",
-    "longest_strike_below_mean", "percentage_of_reoccurring_datapoints_to_all_datapoints",
-    "percentage_of_reoccurring_values_to_all_values", "sum_of_reoccurring_values",
-    "sum_of_reoccurring_data_points", "ratio_value_number_to_time_series_length", "ratio_beyond_r_sigma",
-    "agg_autocorrelation", "binned_entropy", "index_mass_quantile", "change_quantiles", "number_peaks",
-    "cwt_coefficients",
-)
+    for stage in [*_prepared(n), extra]:
+        if stage:
+            staged = staged.selectExpr("*", *[f"{expr} AS {c}" for c, expr in stage.items()])
+    return staged.selectExpr(*KEYS, *outs)
+
+
+def change_quantiles(arrays: DataFrame, geom: Geometry) -> DataFrame:
+    """Mean and variance of the changes, and of their sizes, whose both ends lie in a quantile corridor.
+
+    Changes are exploded beside the six levels of their window and summed by a compiled aggregate. Its partial
+    step sees whole windows, so one row per window goes to the shuffle.
+    """
+    n = geom.iw
+    levels = [f"{sorted_quantile(n, q)} AS l{i}" for i, q in enumerate(CORRIDOR_LEVELS)]
+    names = [f"l{i}" for i in range(len(levels))]
+    changes = (
+        arrays.selectExpr(*KEYS, "x", "sort_array(x) AS xs")
+        .selectExpr(*KEYS, *levels, f"inline(arrays_zip(slice(x, 1, {n - 1}), slice(x, 2, {n - 1}))) AS (u, v)")
+        .selectExpr(*KEYS, *names, "least(u, v) AS low", "greatest(u, v) AS high", "v - u AS d")
+    )
+    at = {q: f"l{i}" for i, q in enumerate(CORRIDOR_LEVELS)}
+    aggs, outs = [], []
+    for i, (a, b) in enumerate(CORRIDORS):
+        inside = f"low >= {at[a]} AND high <= {at[b]}"
+        for part, value in (("c", "1D"), ("s", "d"), ("q", "d * d"), ("a", "abs(d)")):
+            aggs.append(f"sum(CASE WHEN {inside} THEN {value} ELSE 0D END) AS {part}{i}")
+        for size, top in ((False, "s"), (True, "a")):
+            mean = f"try_divide({top}{i}, c{i})"
+            spread = f"greatest(try_divide(q{i}, c{i}) - {mean} * {mean}, 0D)"
+            for f, value in (("mean", mean), ("var", spread)):
+                params = f"f_agg_{f}__isabs_{size}__qh_{b}__ql_{a}"
+                outs.append(f"coalesce({value}, 0D) AS `{column_name(CHANGE_QUANTILES, params)}`")
+    return changes.groupBy(*KEYS).agg(*map(F.expr, aggs)).selectExpr(*KEYS, *outs)

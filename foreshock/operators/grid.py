@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from foreshock.config import CHUNK, SAMPLES_PER_DAY, SIGNALS
 from foreshock.functions.numbers import floor_div
-from foreshock.operators.chunks import chunk_order, drop_halo, with_halo
+from foreshock.operators.chunks import chunk_order, drop_halo, place, with_halo
 
 
 def dedup_last(
@@ -71,7 +71,9 @@ def _chunk_carry(rows: DataFrame, signals: Sequence[str]) -> DataFrame:
 
 def _spread(df: DataFrame, signals: Sequence[str], size: int) -> DataFrame:
     """Dense grid rows, each with the nearest known sample at or before it and after it."""
-    rows = df.select("station", "idx", floor_div(F.col("idx"), size).alias("chunk"), *signals)
+    rows = place(
+        df.select("station", "idx", floor_div(F.col("idx"), size).alias("chunk"), *signals), "station", "chunk"
+    )
     joined = rows.join(_chunk_carry(rows, signals), ["station", "chunk"])
     up = chunk_order()
     upto = up.rowsBetween(Window.unboundedPreceding, Window.currentRow)

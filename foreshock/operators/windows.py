@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from foreshock.config import CHUNK, STEP_SECONDS, Geometry
 from foreshock.functions.numbers import ceil_div, floor_div
+from foreshock.operators.chunks import place
 
 
 def window_bounds(
@@ -96,8 +97,9 @@ def window_arrays(
     size = size or max(CHUNK, 4 * geom.iw)
     idx = F.col("idx")
     low, high = floor_div(idx + 1, size), floor_div(idx + geom.iw, size)
+    copies = df.select("station", "t0", "t1", "idx", *streams, F.explode(F.sequence(low, high)).alias("chunk"))
     chunks = (
-        df.select("station", "t0", "t1", "idx", *streams, F.explode(F.sequence(low, high)).alias("chunk"))
+        place(copies, "station", "chunk")
         .groupBy("station", "chunk", "t0", "t1")
         .agg(F.array_sort(F.collect_list(F.struct("idx", *streams))).alias("rows"))
         .select(

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foreshock.sources.landing import EVENT_LEVEL, EVENT_TYPE, SIGNAL_TYPES, USERS_PER_STATION
@@ -19,20 +18,19 @@ ORACLES: dict[str, str] = {}
 def tidy(df: DataFrame) -> DataFrame:
     """Output form: doubles to a common precision (six places, or ten digits when large), counts as BIGINT."""
 
-    def column(f: T.StructField):
-        c = F.col(f"`{f.name}`")
+    def column(f: T.StructField) -> str:
+        c = f"`{f.name}`"
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            scale = F.pow(F.lit(10.0), F.floor(F.log10(F.abs(c))) - 9)
+            scale = f"pow(10D, floor(log10(abs({c}))) - 9)"
             return (
-                F.when(F.abs(c) < 1e5, F.floor(c * 1e6 + 0.501) / F.lit(1e6))
-                .otherwise(F.floor(c / scale + 0.501) * scale)
-                .alias(f.name)
+                f"CASE WHEN abs({c}) < 1e5D THEN floor({c} * 1e6D + 0.501D) / 1e6D "
+                f"ELSE floor({c} / {scale} + 0.501D) * {scale} END AS {c}"
             )
         if isinstance(f.dataType, (T.IntegerType, T.ShortType, T.ByteType)):
-            return c.cast("bigint").alias(f.name)
+            return f"CAST({c} AS BIGINT) AS {c}"
         return c
 
-    return df.select(*[column(f) for f in df.schema.fields])
+    return df.selectExpr(*[column(f) for f in df.schema.fields])
 
 
 def sql_num(x: str) -> str:

@@ -57,7 +57,7 @@ def _params(name: str) -> list[str]:
             for f, a in (("mean", False), ("mean", True), ("var", False), ("var", True))
         ],
         "cwt_coefficients": [
-            f"coeff_{c}__w_{w}__widths_(2, 5, 10, 20)" for w in features_array.WAVELET_WIDTHS for c in range(15)
+            f"coeff_{c}__w_{w}__widths_(2, 5, 10, 20)" for w in features_agg.WAVELET_WIDTHS for c in range(15)
         ],
     }.get(name, [""])
 
@@ -67,6 +67,8 @@ def array_query(name: str, calculators: list[str], body: str, steps: str | None
 
     def run(spark, sf_dir):
         arrays = windows.window_arrays(landing.series(spark, sf_dir), GEOM, SIGNALS)
+        if calculators == [features_array.CHANGE_QUANTILES]:
+            return features_array.change_quantiles(arrays, GEOM).drop("k", "e")
         return features_array.window_array_features(arrays, GEOM, calculators).drop("k", "e")
 
     out = sql_out(body, OUT, columns)
@@ -317,13 +319,13 @@ def _psi(width: int, coeff: int) -> str:
     )
 
 
-array_query(
+agg_query(
     "feat_cwt",
     ["cwt_coefficients"],
     "SELECT station, win_end, stream, "
     + ", ".join(
         f'{_psi(w, c)} AS "cwt_coefficients__coeff_{c}__w_{w}__widths_(2, 5, 10, 20)"'
-        for w in features_array.WAVELET_WIDTHS
+        for w in features_agg.WAVELET_WIDTHS
         for c in range(15)
     )
     + f" FROM wx {GROUP}",
@@ -338,15 +340,17 @@ array_query(
     f"{_CENTRE}, {_ABOUT}",
 )
 
-array_query(
+_SHIFTED = "shifted AS (SELECT station, win_end, stream, x - mu AS z, sd, " + ", ".join(
+    f"lag(x - mu, {i}) OVER (PARTITION BY station, win_end, stream ORDER BY pos) AS z{i}" for i in range(1, 41)
+) + " FROM about)"
+
+agg_query(
     "feat_autocorr_agg",
     ["agg_autocorrelation"],
-    f"""SELECT station, win_end, stream, avg(r) AS "agg_autocorrelation__f_agg_mean__maxlag_40",
-      median(r) AS "agg_autocorrelation__f_agg_median__maxlag_40",
-      var_pop(r) AS "agg_autocorrelation__f_agg_var__maxlag_40" FROM rhos {GROUP}""",
-    f"""{_CENTRE}, {_ABOUT}, rhos AS (
-      SELECT a.station, a.win_end, a.stream, g.lag, sum((a.x - a.mu) * (b.x - b.mu)) / (({N} - g.lag) * any_value(a.sd * a.sd)) AS r
-      FROM about a, (SELECT unnest(range(1, 41)) AS lag) g, about b
-      WHERE b.station = a.station AND b.win_end = a.win_end AND b.stream = a.stream AND b.pos = a.pos + g.lag
-      GROUP BY a.station, a.win_end, a.stream, g.lag)""",
+    """SELECT station, win_end, stream, list_avg(r) AS "agg_autocorrelation__f_agg_mean__maxlag_40",
+      list_median(r) AS "agg_autocorrelation__f_agg_median__maxlag_40",
+      list_var_pop(r) AS "agg_autocorrelation__f_agg_var__maxlag_40" FROM rhos""",
+    f"{_CENTRE}, {_ABOUT}, {_SHIFTED}, rhos AS (SELECT station, win_end, stream, ["
+    + ", ".join(f"sum(z * z{i}) / ({N - i} * any_value(sd * sd))" for i in range(1, 41))
+    + f"] AS r FROM shifted {GROUP})",
 )
