@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from foreshock.config import Geometry
 from foreshock.operators.alerts import NO_ALERT_TN, _edges, first_candidate, number_windows
+from foreshock.sources.tables import cut_lineage
 
 STEPS = 100
 
@@ -68,7 +69,9 @@ def threshold_sweep(cons: DataFrame, labels: DataFrame, events: DataFrame, geom:
 
     False alerts are one fewer when the last event is missed and an alert opens after it.
     """
-    rows = levelled(cons.join(labels.select("station", "win_end", "label"), ["station", "win_end"]), geom)
+    # Both feed several branches below, so they are computed once: a row per window, a row per event.
+    rows = cut_lineage(levelled(cons.join(labels.select("station", "win_end", "label"), ["station", "win_end"]), geom))
+    events = cut_lineage(events.select("station", "te_us"))
     stations = rows.groupBy("station").agg(
         F.count("*").alias("n"),
         F.sum("label").alias("positives"),
@@ -148,10 +151,11 @@ def score_curves(scores: DataFrame) -> DataFrame:
     """Derived scores and curve points per threshold; undefined ratios are null."""
     tp, fp, fn, tn = (f"CAST({c} AS DOUBLE)" for c in ("TP", "FP", "FN", "TN"))
     ratio = "try_divide({}, {})".format
+    square = f"(({tp} + {fp}) * ({tp} + {fn}) * ({tn} + {fp}) * ({tn} + {fn}))"
     return scores.selectExpr(
         "station",
         "threshold",
-        f"{ratio(f'{tp} * {tn} - {fp} * {fn}', f'sqrt(({tp} + {fp}) * ({tp} + {fn}) * ({tn} + {fp}) * ({tn} + {fn}))')} AS mcc",
+        f"CASE WHEN {square} > 0 THEN ({tp} * {tn} - {fp} * {fn}) / sqrt({square}) END AS mcc",
         f"{ratio(f'2 * {tp}', f'(2 * {tp} + {fp} + {fn})')} AS f1",
         f"{ratio(f'({tp} + {tn})', f'({tp} + {tn} + {fp} + {fn})')} AS accuracy",
         f"{ratio(fp, f'({fp} + {tn})')} AS false_positive_rate",

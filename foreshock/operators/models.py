@@ -21,7 +21,8 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foreshock.operators.trees import cut_lineage, grow_trees, predict_rules
+from foreshock.operators.trees import grow_trees
+from foreshock.sources.tables import cut_lineage
 
 SMOOTHING = 1e-9
 BLOCK = 256

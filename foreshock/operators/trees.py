@@ -8,26 +8,17 @@ feature, so that prediction is one join with long features.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foreshock.operators.ranking import class_ranks, value_splits
-from foreshock.sources.tables import work_dir
+from foreshock.sources.tables import cut_lineage
 
 NODE = ("model_id", "node")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write and read back: the plan of an iterative job stays short, and lost executors lose nothing."""
-    spark = df.sparkSession
-    path = f"{work_dir(spark)}/step-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def balanced_weights(rows: DataFrame) -> DataFrame:
     """Class weights per model, from its distinct windows: ``model_id, w0, w1``."""
     counts = rows.select("model_id", "station", "win_end", "label").distinct().groupBy("model_id").agg(

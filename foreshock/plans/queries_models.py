@@ -11,6 +11,7 @@ from foreshock.operators import consensus as votes
 from foreshock.operators import features_agg, features_arrow, labels, models, sampling, selection, store, trees, windows
 from foreshock.plans.catalog import query, sql, sql_num, sql_out, tidy
 from foreshock.sources import landing
+from foreshock.sources.tables import cut_lineage
 
 GEOM = Geometry(window=2.0, overlap=0.75, look_forward=2.0)
 N_MODELS, SEED, TOP = 100, 0, 20
@@ -297,12 +298,17 @@ picked AS (SELECT model_id, feature, rank FROM (SELECT *, row_number() OVER (PAR
            ORDER BY abs(z) DESC, feature) AS rank FROM mw) WHERE rank <= {TOP})"""
 
 
-def statistics(spark, sf_dir):
-    return selection.mann_whitney(selection.ranked_values(samples(spark, sf_dir), features(spark, sf_dir)))
+def stored_inputs(spark, sf_dir):
+    """Samples and features, each written once: selection and training read them several times."""
+    return cut_lineage(samples(spark, sf_dir)), cut_lineage(features(spark, sf_dir))
+
+
+def statistics(drawn, feats):
+    return selection.mann_whitney(selection.ranked_values(drawn, feats))
 
 
 def selected(spark, sf_dir):
-    return selection.select_topk(selection.p_values(statistics(spark, sf_dir)), TOP)
+    return selection.select_topk(selection.p_values(statistics(*stored_inputs(spark, sf_dir))), TOP)
 
 
 @query(
@@ -310,12 +316,12 @@ def selected(spark, sf_dir):
     sql(_RANKED, sql_out("SELECT model_id, feature, c0, c1, u, z FROM mw", "model_id, feature, c0, c1", ["u", "z"])),
 )
 def mann_whitney(spark, sf_dir):
-    return statistics(spark, sf_dir).select("model_id", "feature", "c0", "c1", "u", "z")
+    return statistics(*stored_inputs(spark, sf_dir)).select("model_id", "feature", "c0", "c1", "u", "z")
 
 
 @query("fdr_flag")
 def fdr_flag(spark, sf_dir):
-    return selection.fdr_flag(selection.p_values(statistics(spark, sf_dir)))
+    return selection.fdr_flag(selection.p_values(statistics(*stored_inputs(spark, sf_dir))))
 
 
 @query("select_topk", sql(_RANKED, "SELECT model_id, rank, feature FROM picked"))
@@ -364,14 +370,15 @@ stump_votes AS (SELECT s.model_id, f.station, f.win_end,
 
 
 def _training(spark, sf_dir):
-    feats, chosen = features(spark, sf_dir), selected(spark, sf_dir)
-    return feats, models.training_rows(samples(spark, sf_dir), feats, chosen)
+    """Features, training rows and samples of the model set."""
+    drawn, feats = stored_inputs(spark, sf_dir)
+    chosen = selection.select_topk(selection.p_values(statistics(drawn, feats)), TOP)
+    return feats, cut_lineage(models.training_rows(drawn, feats, chosen)), drawn
 
 
 def stump_votes(spark, sf_dir):
-    feats, rows = _training(spark, sf_dir)
-    rules = trees.cut_lineage(trees.stump_rules(trees.grow_stumps(rows)))
-    return trees.predict_rules(feats, rules)
+    feats, rows, drawn = _training(spark, sf_dir)
+    return trees.predict_rules(feats, cut_lineage(trees.stump_rules(trees.grow_stumps(rows)))), drawn
 
 
 @query(
@@ -387,13 +394,13 @@ def stump_votes(spark, sf_dir):
     ),
 )
 def train_stumps(spark, sf_dir):
-    _, rows = _training(spark, sf_dir)
+    _, rows, _ = _training(spark, sf_dir)
     return trees.grow_stumps(rows)
 
 
 @query("train_vote", sql(_STUMP, "SELECT model_id, station, win_end, pred FROM stump_votes"))
 def train_vote(spark, sf_dir):
-    return stump_votes(spark, sf_dir)
+    return stump_votes(spark, sf_dir)[0]
 
 
 @query(
@@ -410,19 +417,19 @@ def train_vote(spark, sf_dir):
     ),
 )
 def balanced_accuracy(spark, sf_dir):
-    judged = stump_votes(spark, sf_dir).join(samples(spark, sf_dir), ["model_id", "station", "win_end"])
-    return models.balanced_accuracy(judged, ["model_id"])
+    cast, drawn = stump_votes(spark, sf_dir)
+    return models.balanced_accuracy(cast.join(drawn, ["model_id", "station", "win_end"]), ["model_id"])
 
 
 @query("train_consensus", sql(_STUMP, sql_out("SELECT station, win_end, avg(pred) AS consensus FROM stump_votes GROUP BY ALL", "station, win_end", ["consensus"])))
 def train_consensus(spark, sf_dir):
-    return votes.consensus(stump_votes(spark, sf_dir), N_MODELS)
+    return votes.consensus(stump_votes(spark, sf_dir)[0], N_MODELS)
 
 
 @query("tree_vote")
 def tree_vote(spark, sf_dir):
     """Consensus of depth-3 trees on four random features a node; checked against brute force in the tests."""
-    feats, rows = _training(spark, sf_dir)
+    feats, rows, _ = _training(spark, sf_dir)
     rules = trees.grow_trees(rows, depth=3, max_features=4)
     return votes.consensus(trees.predict_rules(feats, rules), N_MODELS)
 
@@ -442,7 +449,7 @@ def tree_vote(spark, sf_dir):
     ),
 )
 def nb_vote(spark, sf_dir):
-    feats, rows = _training(spark, sf_dir)
+    feats, rows, _ = _training(spark, sf_dir)
     return models.bayes_votes(feats, models.fit_bayes(rows))
 
 
@@ -458,7 +465,7 @@ def nb_vote(spark, sf_dir):
     ),
 )
 def knn_vote(spark, sf_dir):
-    feats, rows = _training(spark, sf_dir)
+    feats, rows, _ = _training(spark, sf_dir)
     chosen = rows.select("model_id", "feature").distinct()
     return models.neighbour_votes(models.input_rows(feats, chosen), models.neighbour_blocks(rows), k=3, p=2)
 
@@ -466,8 +473,8 @@ def knn_vote(spark, sf_dir):
 @query("logistic_vote")
 def logistic_vote(spark, sf_dir):
     """Logistic regression of the first two models on all windows."""
-    feats, rows = _training(spark, sf_dir)
-    rows = trees.cut_lineage(rows.filter("model_id < 2"))
+    feats, rows, _ = _training(spark, sf_dir)
+    rows = cut_lineage(rows.filter("model_id < 2"))
     sample = rows.select("model_id", "station", "win_end", "label").distinct()
     fitted = models.fit_estimators(
         rows, sampling.class_weights(sample), sampling.shuffle_split(sample, 2), "LR", 2, TOP, [{"C": 0.1}, {"C": 1}], 2

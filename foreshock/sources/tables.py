@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +23,15 @@ def work_dir(spark: SparkSession) -> str:
     return named or tempfile.mkdtemp(prefix="foreshock-")
 
 
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write and read back. Used where a result feeds several steps or a loop: it is computed once, plans stay
+    short, and a lost executor loses nothing."""
+    spark = df.sparkSession
+    path = f"{work_dir(spark)}/step-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 # ---- series ----------------------------------------------------------------------------------------------
 
 
