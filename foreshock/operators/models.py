@@ -159,6 +159,40 @@ def neighbour_votes(inputs: DataFrame, blocks: DataFrame, k: int = 3, p: int = 2
     return best.selectExpr(*KEYS, f"CAST({pull} > 0 AS DOUBLE) AS pred")
 
 
+def search_neighbours(rows: DataFrame, folded: DataFrame, points: list[dict]) -> DataFrame:
+    """Grid point of best balanced accuracy per model: ``model_id, k, p, weights``."""
+    folds = folded.select(*KEYS, "fold", "test")
+    spread = cut_lineage(
+        rows.join(folds, KEYS).withColumn("parent", F.col("model_id")).withColumn("model_id", F.col("model_id") * 1000 + F.col("fold"))
+    )
+    blocks, tests = cut_lineage(neighbour_blocks(spread.filter("NOT test"))), spread.filter("test")
+    labels = tests.select("model_id", "parent", "station", "win_end", "label").distinct()
+    scores = None
+    for number, point in enumerate(points):
+        votes = neighbour_votes(tests.select(*KEYS, "feature", "value"), blocks, point["n_neighbors"], point["p"], point["weights"])
+        score = cut_lineage(
+            balanced_accuracy(votes.join(labels, KEYS), ["model_id", "parent"])
+            .groupBy(F.col("parent").alias("model_id"))
+            .agg(F.avg("score").alias("score"))
+            .selectExpr("*", f"-{number} AS place", f"{point['n_neighbors']} AS k", f"{point['p']} AS p", f"'{point['weights']}' AS weights")
+        )
+        scores = score if scores is None else scores.unionByName(score)
+    return scores.groupBy("model_id").agg(F.max(F.struct("score", "place", "k", "p", "weights")).alias("s")).select(
+        "model_id", "s.k", "s.p", "s.weights"
+    )
+
+
+def searched_neighbour_votes(inputs: DataFrame, fitted: DataFrame) -> DataFrame:
+    """Votes of models that each have their own grid point (one branch per point in use)."""
+    used = [r.asDict() for r in fitted.select("k", "p", "weights").distinct().collect()]
+    out = None
+    for u in used:
+        mine = fitted.filter((F.col("k") == u["k"]) & (F.col("p") == u["p"]) & (F.col("weights") == u["weights"]))
+        part = neighbour_votes(inputs, mine.select("model_id", "block", "members"), u["k"], u["p"], u["weights"])
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 # ---- trees with a grid search over all models at once ----------------------------------------------------
 
 
