@@ -90,7 +90,7 @@ def alert_flag(cons: DataFrame, stations: DataFrame, now: DataFrame | int, geom:
     ``now`` is one time for all stations (epoch seconds) or a table ``station, now``.
     """
     clock = stations.select("station").distinct()
-    clock = clock.withColumn("now", F.lit(now)) if isinstance(now, int) else clock.join(now, "station")
+    clock = clock.withColumn("now", F.lit(now).cast("bigint")) if isinstance(now, int) else clock.join(now, "station")
     recent = cons.join(clock, "station").filter(F.col("win_end") * MICRO > F.col("now") * MICRO - geom.look_micros)
     state = recent.groupBy("station").agg(F.max((F.col("consensus") > level).cast("int")).alias("state"))
     return clock.join(state, "station", "left").select("station", F.coalesce("state", F.lit(-1)).alias("in_alert"))

@@ -74,7 +74,8 @@ def feature_corr(trimmed: DataFrame, names: Sequence[str]) -> DataFrame:
     """
     wide = wide_logs(trimmed, names)
     pairs = [(a, b) for i, a in enumerate(names) for b in names[:i]]
-    sums = wide.agg(*[F.corr(a, b).alias(f"c{n}") for n, (a, b) in enumerate(pairs)])
+    corr = "try_divide(covar_pop(`{a}`, `{b}`), stddev_pop(`{a}`) * stddev_pop(`{b}`)) AS c{n}"
+    sums = wide.agg(*[F.expr(corr.format(a=a, b=b, n=n)) for n, (a, b) in enumerate(pairs)])
     rows = ", ".join(f"named_struct('feature_a', '{a}', 'feature_b', '{b}', 'corr', c{n})" for n, (a, b) in enumerate(pairs))
     return sums.selectExpr(f"inline(array({rows}))")
 

@@ -150,26 +150,20 @@ def _energy_ratio() -> Calculator:
 
 
 def _trend(scale: float) -> Calculator:
-    """Least squares on the position times ``scale``."""
+    """Least squares on the position times ``scale``; a constant window has correlation 0."""
 
     def outs(n: int) -> Named:
-        spread = scale * scale * (n * n - 1) / 12.0
+        spread = (n * n - 1) / 12.0
+        r = f"coalesce(try_divide(cv, sqrt(vp * {spread!r}D)), 0D)"
         return {
-            "attr_slope": f"slope / {scale!r}D",
-            "attr_intercept": "intercept",
-            "attr_rvalue": "r",
-            "attr_stderr": f"sqrt(greatest((1 - r * r) * vp / {spread * (n - 2)!r}D, 0D))",
+            "attr_slope": f"cv / {scale * spread!r}D",
+            "attr_intercept": f"mu - cv * {(n - 1) / 2 / spread!r}D",
+            "attr_rvalue": r,
+            "attr_stderr": f"sqrt(greatest((1 - {r} * {r}) * vp / {scale * scale * spread * (n - 2)!r}D, 0D))",
         }
 
-    at = "CAST(pos AS DOUBLE)"
     return Calculator(
-        lambda n: {
-            "slope": f"regr_slope(x, {at})",
-            "intercept": f"regr_intercept(x, {at})",
-            "r": f"corr(x, {at})",
-            "vp": _BASE["vp"],
-        },
-        outs,
+        lambda n: {"cv": "covar_pop(x, CAST(pos AS DOUBLE))", "mu": _BASE["mu"], "vp": _BASE["vp"]}, outs
     )
 
 
@@ -344,19 +338,25 @@ def chunk_trends(
     fits = runs.groupBy(*KEYS, "length").agg(
         F.expr("count(run) AS m"),
         F.expr("sum(c) AS n"),
-        F.expr("var_pop(run) AS vx"),
+        F.expr("avg(run) AS x_mean"),
+        F.expr("var_pop(run) AS x_var"),
         *[
             F.expr(f"{agg} AS {part}_{s}")
             for s in TREND_STATS
-            for part, agg in (
-                ("slope", f"regr_slope({s}, CAST(run AS DOUBLE))"),
-                ("intercept", f"regr_intercept({s}, CAST(run AS DOUBLE))"),
-                ("rvalue", f"corr({s}, CAST(run AS DOUBLE))"),
-                ("vy", f"var_pop({s})"),
-            )
+            for part, agg in (("cv", f"covar_pop({s}, CAST(run AS DOUBLE))"), ("mu", f"avg({s})"), ("vp", f"var_pop({s})"))
         ],
     )
-    error = "sqrt(greatest(try_divide((1 - rvalue_{s} * rvalue_{s}) * vy_{s}, vx * (m - 2)), 0D)) AS stderr_{s}"
+    slopes = [f"try_divide(cv_{s}, x_var) AS slope_{s}" for s in TREND_STATS]
+    rest = [
+        expr.format(s=s)
+        for s in TREND_STATS
+        for expr in (
+            "mu_{s} - slope_{s} * x_mean AS intercept_{s}",
+            "coalesce(try_divide(cv_{s}, sqrt(vp_{s} * x_var)), 0D) AS rvalue_{s}",
+        )
+    ]
+    error = "sqrt(greatest(try_divide((1 - rvalue_{s} * rvalue_{s}) * vp_{s}, x_var * (m - 2)), 0D)) AS stderr_{s}"
+    fits = fits.selectExpr("*", *slopes).selectExpr("*", *rest)
     kept = [f"{a}_{s}" for s in TREND_STATS for a in TREND_ATTRS[:3]]
     return complete_only(fits, geom).selectExpr(
         *KEYS, "length", *kept, *[error.format(s=s) for s in TREND_STATS]

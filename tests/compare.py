@@ -53,18 +53,20 @@ def difference(left: pd.DataFrame, right: pd.DataFrame) -> str | None:
     return None
 
 
-def session(cores: int = 8, shuffle: int = 8):
+def session(cores: int = 8, shuffle: int = 8, shared: str | None = None):
     from pyspark.sql import SparkSession
 
-    spark = (
+    builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("compare")
         .config("spark.sql.shuffle.partitions", str(shuffle))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
-        .getOrCreate()
     )
+    if shared:
+        builder = builder.config("spark.checkpoint.dir", shared)
+    spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
