@@ -17,7 +17,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foreshock.config import CHUNK, SAMPLES_PER_DAY, Geometry
+from foreshock.config import CHUNK, SAMPLES_PER_DAY, STEP_SECONDS, Geometry
 from foreshock.operators.chunks import chunk_order, drop_halo, with_halo
 from foreshock.operators.windows import complete_only, window_rows
 
@@ -37,6 +37,8 @@ TREND_STATS = ("max", "min", "mean", "var")
 TREND_ATTRS = ("slope", "intercept", "rvalue", "stderr")
 
 KEYS = ("station", "k", "e", "win_end", "stream")
+# What samples are grouped by: the window date implies its grid index, and streams are numbered.
+GROUP = ("station", "code", "k", "win_end")
 Named = dict[str, str]
 
 
@@ -263,22 +265,28 @@ NAMES = (*CALCULATORS, CHUNK_TREND)
 
 
 def attach_lags(df: DataFrame, streams: Sequence[str], lag: int = 0, size: int = CHUNK) -> DataFrame:
-    """One row per sample and stream, ``station, t0, t1, idx, stream, x``, with the ``lag`` samples before it
-    as ``x_1 ..``. They are found once per series, in chunks."""
+    """One row per sample and stream, ``station, t0, t1, idx, code, x``, with the ``lag`` samples before it
+    as ``x_1 ..``, found once per series, in chunks. ``code`` is the place of the stream in ``streams``."""
     rows = df.select("station", "t0", "t1", "idx", *streams)
     if lag:
         order, whole = chunk_order(), F.struct(*streams)
         halo = with_halo(rows, before=lag, size=size)
         rows = drop_halo(halo.withColumns({f"p_{j}": F.lag(whole, j).over(order) for j in range(1, lag + 1)}))
     pairs = ", ".join(
-        f"named_struct('stream', '{s}', 'x', `{s}`"
+        f"named_struct('code', {i}, 'x', `{s}`"
         + "".join(f", 'x_{j}', p_{j}.`{s}`" for j in range(1, lag + 1))
         + ")"
-        for s in streams
+        for i, s in enumerate(streams)
     )
     return rows.selectExpr("station", "t0", "t1", "idx", f"inline(array({pairs}))")
 
 
+def group_keys(streams: Sequence[str]) -> list[str]:
+    """The key columns of grouped rows (``GROUP``), in full: stream names and the window end on the grid."""
+    names = ", ".join(f"'{s}'" for s in streams)
+    return ["station", "k", f"ceil(win_end / {STEP_SECONDS}) AS e", "win_end", f"array({names})[code] AS stream"]
+
+
 def column_name(calculator: str, params: str) -> str:
     return f"{calculator}__{params}" if params else calculator
 
@@ -301,10 +309,10 @@ def window_sums(
         aggs |= calc.aggs(n)
         mid |= calc.mid(n)
         outs += [f"{expr} AS `{column_name(name, p)}`" for p, expr in calc.outs(n).items()]
-    summed = complete_only(rows.groupBy(*KEYS).agg(*[F.expr(f"{a} AS {name}") for name, a in aggs.items()]), geom)
+    summed = complete_only(rows.groupBy(*GROUP).agg(*[F.expr(f"{a} AS {name}") for name, a in aggs.items()]), geom)
     if mid:
         summed = summed.selectExpr("*", *[f"{m} AS {name}" for name, m in mid.items()])
-    return summed.selectExpr(*KEYS, *outs)
+    return summed.selectExpr(*group_keys(streams), *outs)
 
 
 def chunk_trends(
@@ -320,13 +328,13 @@ def chunk_trends(
     later ones combine its counts, sums and squared deviations.
     """
     rows = window_rows(attach_lags(df, streams), geom, ti, tf)
-    parts = rows.groupBy(*KEYS, F.expr("pos div 5 AS part")).agg(
+    parts = rows.groupBy(*GROUP, F.expr("pos div 5 AS part")).agg(
         *map(F.expr, ["count(x) AS c", "sum(x) AS s", "avg(x) AS a", "var_pop(x) AS v", "max(x) AS mx", "min(x) AS mn"])
     )
     levels = ", ".join(map(str, TREND_CHUNKS))
     runs = (
         parts.selectExpr("*", f"explode(array({levels})) AS length")
-        .groupBy(*KEYS, "length", F.expr("part * 5 div length AS run"))
+        .groupBy(*GROUP, "length", F.expr("part * 5 div length AS run"))
         .agg(
             *map(
                 F.expr,
@@ -335,7 +343,7 @@ def chunk_trends(
         )
         .selectExpr("*", "s / c AS mean", "greatest(q / c - (s / c) * (s / c), 0D) AS var")
     )
-    fits = runs.groupBy(*KEYS, "length").agg(
+    fits = runs.groupBy(*GROUP, "length").agg(
         F.expr("count(run) AS m"),
         F.expr("sum(c) AS n"),
         F.expr("avg(run) AS x_mean"),
@@ -359,5 +367,5 @@ def chunk_trends(
     fits = fits.selectExpr("*", *slopes).selectExpr("*", *rest)
     kept = [f"{a}_{s}" for s in TREND_STATS for a in TREND_ATTRS[:3]]
     return complete_only(fits, geom).selectExpr(
-        *KEYS, "length", *kept, *[error.format(s=s) for s in TREND_STATS]
+        *group_keys(streams), "length", *kept, *[error.format(s=s) for s in TREND_STATS]
     )

@@ -100,6 +100,19 @@ def grow_stumps(rows: DataFrame, criterion: str = "gini") -> DataFrame:
     return best_splits(ranked, balanced_weights(rows), criterion).drop("node")
 
 
+def stumps_from_ranks(ranked: DataFrame, selected: DataFrame, weights: DataFrame, criterion: str = "gini") -> DataFrame:
+    """The same from values already ranked for the significance test, limited to each model's features.
+
+    ``weights`` are rows ``model_id, label, weight``.
+    """
+    sides = weights.groupBy("model_id").agg(
+        F.max(F.when(F.col("label") <= 0, F.col("weight"))).alias("w0"),
+        F.max(F.when(F.col("label") > 0, F.col("weight"))).alias("w1"),
+    )
+    kept = ranked.join(selected.select("model_id", "feature"), ["model_id", "feature"], "left_semi")
+    return best_splits(kept.withColumn("node", F.lit(1).cast("bigint")), sides, criterion).drop("node")
+
+
 def stump_rules(stumps: DataFrame) -> DataFrame:
     return stumps.selectExpr(
         "model_id",

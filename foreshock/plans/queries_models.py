@@ -376,9 +376,17 @@ def _training(spark, sf_dir):
     return feats, cut_lineage(models.training_rows(drawn, feats, chosen)), drawn
 
 
+def stumps(spark, sf_dir):
+    """Stumps of the model set, features and samples. Values are ranked once, for the test and the splits."""
+    drawn, feats = stored_inputs(spark, sf_dir)
+    ranked = cut_lineage(selection.ranked_values(drawn, feats))
+    chosen = selection.select_topk(selection.p_values(selection.mann_whitney(ranked)), TOP)
+    return trees.stumps_from_ranks(ranked, chosen, sampling.class_weights(drawn)), feats, drawn
+
+
 def stump_votes(spark, sf_dir):
-    feats, rows, drawn = _training(spark, sf_dir)
-    return trees.predict_rules(feats, cut_lineage(trees.stump_rules(trees.grow_stumps(rows)))), drawn
+    rules, feats, drawn = stumps(spark, sf_dir)
+    return trees.predict_rules(feats, cut_lineage(trees.stump_rules(rules))), drawn
 
 
 @query(
@@ -394,8 +402,7 @@ def stump_votes(spark, sf_dir):
     ),
 )
 def train_stumps(spark, sf_dir):
-    _, rows, _ = _training(spark, sf_dir)
-    return trees.grow_stumps(rows)
+    return stumps(spark, sf_dir)[0]
 
 
 @query("train_vote", sql(_STUMP, "SELECT model_id, station, win_end, pred FROM stump_votes"))
