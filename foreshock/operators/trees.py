@@ -188,3 +188,9 @@ def predict_rules(features: DataFrame, rules: DataFrame, extra: Sequence[str] =
         .agg(F.count("*").alias("met"))
     )
     return matched.filter("met = n_terms").select("model_id", "station", "win_end", *extra, F.col("vote").alias("pred"))
+
+
+def predict_stumps(features: DataFrame, rules: DataFrame) -> DataFrame:
+    """Votes of rule tables whose leaves have one range each: no grouping, so votes can be averaged map-side."""
+    met = features.select("station", "win_end", "feature", "value").join(rules, "feature")
+    return met.filter("value > lo AND value <= hi").select("model_id", "station", "win_end", F.col("vote").alias("pred"))

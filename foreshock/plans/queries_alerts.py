@@ -30,7 +30,7 @@ def means(spark, sf_dir, geom=GEOM):
 
 
 def votes_of(spark, sf_dir, geom=GEOM):
-    return trees.predict_rules(means(spark, sf_dir, geom), rules(spark))
+    return trees.predict_stumps(means(spark, sf_dir, geom), rules(spark))
 
 
 def consensus_of(spark, sf_dir, geom=GEOM):

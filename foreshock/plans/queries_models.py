@@ -386,7 +386,7 @@ def stumps(spark, sf_dir):
 
 def stump_votes(spark, sf_dir):
     rules, feats, drawn = stumps(spark, sf_dir)
-    return trees.predict_rules(feats, cut_lineage(trees.stump_rules(rules))), drawn
+    return trees.predict_stumps(feats, cut_lineage(trees.stump_rules(rules))), drawn
 
 
 @query(

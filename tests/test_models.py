@@ -140,6 +140,8 @@ def test_trees_equal_brute_force(spark, depth):
     rules = trees.stump_rules(trees.grow_stumps(rows)) if depth == 1 else trees.grow_trees(rows, depth)
     feats = rows.filter("model_id = 0").select("station", "win_end", "feature", "value")
     got = {(r.model_id, r.win_end): r.pred for r in trees.predict_rules(feats, rules).collect()}
+    if depth == 1:
+        assert got == {(r.model_id, r.win_end): r.pred for r in trees.predict_stumps(feats, rules).collect()}
     for m, (x, y) in enumerate(((x0, y0), (x1, y1))):
         tree = brute_tree(x, y, depth)
         assert [got[(m, i)] for i in range(len(x0))] == [tree(r) for r in x0]
