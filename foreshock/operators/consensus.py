@@ -22,16 +22,13 @@ def model_set_check(selected: DataFrame, members: DataFrame) -> DataFrame:
     """State of a stored set: highest number, how many feature lists and models, whether it is gapless from 0
     and whether each list has its model."""
     lists = selected.select("model_id").distinct()
-    have = members.select("model_id").distinct()
-    lone = lists.join(have, "model_id", "left_anti").agg(F.count("*").alias("unfitted"))
-    sizes = lists.agg(F.max("model_id").alias("last"), F.count("*").alias("n"))
-    one = F.lit(1).alias("one")
-    return (
-        sizes.select("*", one)
-        .join(lone.select("*", one), "one")
-        .select(
-            "last", "n", "unfitted", (F.col("last") == F.col("n") - 1).alias("gapless"), (F.col("unfitted") == 0).alias("complete")
-        )
+    have = members.select("model_id", F.lit(True).alias("fitted")).distinct()
+    return lists.join(have, "model_id", "left").agg(
+        F.max("model_id").alias("last"),
+        F.count("*").alias("n"),
+        F.count_if(F.col("fitted").isNull()).alias("unfitted"),
+    ).select(
+        "last", "n", "unfitted", (F.col("last") == F.col("n") - 1).alias("gapless"), (F.col("unfitted") == 0).alias("complete")
     )
 
 

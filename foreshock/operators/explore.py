@@ -36,10 +36,11 @@ def feature_hist(features: DataFrame, labelled: DataFrame) -> DataFrame:
     every table but the first is a few rows a feature.
     """
     calm = labelled.filter("label < 1").select("station", "win_end")
-    bins = calm.agg(F.expr("CAST(sqrt(count(*) / 2) AS INT) AS bins"))
-    logs = trim_low(features.join(calm, ["station", "win_end"]))
+    quiet = features.join(calm, ["station", "win_end"])
+    logs = trim_low(quiet)
+    bins = quiet.groupBy("feature").agg(F.expr("CAST(sqrt(count(*) / 2) AS INT) AS bins"))
     ranges = logs.groupBy("feature").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
-    sized = ranges.withColumn("one", F.lit(1)).join(bins.withColumn("one", F.lit(1)), "one").drop("one").filter("bins > 0")
+    sized = ranges.join(bins, "feature").filter("bins > 0")
     place = "CASE WHEN hi > lo THEN least(CAST(floor((x - lo) / (hi - lo) * bins) AS INT), bins - 1) ELSE 0 END AS bin"
     counted = logs.join(sized, "feature").groupBy("feature", "lo", "hi", "bins", F.expr(place)).agg(F.count("*").alias("n"))
     return counted.selectExpr("feature", "bin", "lo + bin * (hi - lo) / bins AS left", "(hi - lo) / bins AS width", "n")
@@ -83,20 +84,19 @@ def feature_corr(trimmed: DataFrame, names: Sequence[str]) -> DataFrame:
 def pair_counts(trimmed: DataFrame, names: Sequence[str], bins: int = 20) -> DataFrame:
     """Two-way histogram of each pair of features: ``feature_a, feature_b, bin_a, bin_b, n``."""
     wide = wide_logs(trimmed, names)
-    limits = wide.agg(*[f(n).alias(f"{p}{i}") for i, n in enumerate(names) for p, f in (("lo", F.min), ("hi", F.max))])
-    limited = wide.withColumn("one", F.lit(1)).join(limits.withColumn("one", F.lit(1)), "one")
-    place = [
-        f"CASE WHEN hi{i} > lo{i} THEN least(CAST(floor((`{n}` - lo{i}) / (hi{i} - lo{i}) * {bins}) AS INT), {bins - 1}) ELSE 0 END AS b{i}"
-        for i, n in enumerate(names)
-    ]
-    rows = ", ".join(
-        f"named_struct('feature_a', '{a}', 'feature_b', '{b}', 'bin_a', b{i}, 'bin_b', b{j})"
+    edges = wide.agg(*[f(n).alias(f"{p}{i}") for i, n in enumerate(names) for p, f in (("lo", F.min), ("hi", F.max))])
+    listed = ", ".join(f"named_struct('feature', '{n}', 'lo', lo{i}, 'hi', hi{i})" for i, n in enumerate(names))
+    limits = edges.selectExpr(f"inline(array({listed}))")
+    pairs = ", ".join(
+        f"named_struct('feature_a', '{a}', 'feature_b', '{b}', 'a', `{a}`, 'b', `{b}`)"
         for i, a in enumerate(names)
-        for j, b in enumerate(names[:i])
+        for b in names[:i]
     )
-    return (
-        limited.selectExpr(*place)
-        .selectExpr(f"inline(array({rows}))")
-        .groupBy("feature_a", "feature_b", "bin_a", "bin_b")
-        .agg(F.count("*").alias("n"))
+    place = "CASE WHEN hi_{s} > lo_{s} THEN least(CAST(floor(({s} - lo_{s}) / (hi_{s} - lo_{s}) * {n}) AS INT), {m}) ELSE 0 END AS bin_{s}"
+    out = wide.selectExpr(f"inline(array({pairs}))")
+    for side in ("a", "b"):
+        out = out.join(limits.selectExpr(f"feature AS feature_{side}", f"lo AS lo_{side}", f"hi AS hi_{side}"), f"feature_{side}")
+    bins_of = [place.format(s=side, n=bins, m=bins - 1) for side in ("a", "b")]
+    return out.selectExpr("feature_a", "feature_b", *bins_of).groupBy("feature_a", "feature_b", "bin_a", "bin_b").agg(
+        F.count("*").alias("n")
     )

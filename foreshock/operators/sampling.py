@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foreshock.operators.ranking import mark_smallest
+from foreshock.sources.tables import cut_lineage
 
 RATIO = 0.75
 FOLDS = 5
@@ -28,6 +29,7 @@ def class_sizes(labels: DataFrame, ratio: float = RATIO) -> DataFrame:
 
 def undersample(labels: DataFrame, n_models: int, seed: int = 0, ratio: float = RATIO) -> DataFrame:
     """One sample without replacement per model: ``model_id`` and the label rows (``station, win_end, label``)."""
+    labels = cut_lineage(labels.select("station", "win_end", "label"))
     sizes = class_sizes(labels, ratio)
     models = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_models - 1).cast("bigint")))
     digest = F.md5(F.concat_ws(":", F.col("model_id") + seed, "station", "win_end"))
@@ -53,6 +55,7 @@ def class_weights(samples: DataFrame) -> DataFrame:
 
 def shuffle_split(samples: DataFrame, folds: int = FOLDS, share: float = TEST_SHARE, seed: int = 0) -> DataFrame:
     """Random splits of each model's sample: adds ``fold`` and ``test``."""
+    samples = cut_lineage(samples)
     fold = F.explode(F.sequence(F.lit(0), F.lit(folds - 1))).alias("fold")
     digest = F.md5(F.concat_ws(":", F.col("model_id") + seed, "fold", "station", "win_end"))
     spread = samples.select("*", fold).withColumn("digest", digest)

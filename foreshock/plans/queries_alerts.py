@@ -9,6 +9,7 @@ from foreshock.operators import alerts, consensus, evaluate, explore, features_a
 from foreshock.plans.catalog import query, sql, sql_num, sql_out, tidy
 from foreshock.plans.queries_models import _FW, GEOM, features, labelled
 from foreshock.sources import landing
+from foreshock.sources.tables import cut_lineage
 
 # A fixed rule set to vote with: model m looks at the window mean of stream m mod 4 and at one of ten levels.
 RULES = 40
@@ -260,8 +261,8 @@ PAIRS = ["rsam__mean", "mf__mean", "hf__maximum", "dsar__standard_deviation"]
     ),
 )
 def feature_hist(spark, sf_dir):
-    feats = features(spark, sf_dir)
-    return explore.feature_hist(feats.select("station", "win_end", "feature", "value"), labelled(spark, sf_dir))
+    feats = cut_lineage(features(spark, sf_dir).select("station", "win_end", "feature", "value"))
+    return explore.feature_hist(feats, cut_lineage(labelled(spark, sf_dir)))
 
 
 @query(
@@ -287,12 +288,19 @@ trimmed AS (SELECT l.* FROM logs l JOIN qs USING (feature) WHERE x > a AND x < b
 
 @query("quantile_trim", sql(_TRIM, sql_out("SELECT station, win_end, feature, x FROM trimmed", "station, win_end, feature", ["x"])))
 def quantile_trim(spark, sf_dir):
-    return explore.quantile_trim(features(spark, sf_dir))
+    return explore.quantile_trim(cut_lineage(features(spark, sf_dir)))
 
 
 _WIDE = _TRIM + ", wide AS (SELECT * FROM (SELECT station, win_end, " + ", ".join(
     f"max(x) FILTER (feature = '{n}') AS f{i}" for i, n in enumerate(PAIRS)
 ) + " FROM trimmed GROUP BY station, win_end) WHERE " + " AND ".join(f"f{i} IS NOT NULL" for i in range(len(PAIRS))) + ")"
+
+
+def _pair_logs(spark, sf_dir):
+    kept = selection.keep_features(features(spark, sf_dir), PAIRS)
+    return cut_lineage(explore.quantile_trim(cut_lineage(kept)))
+
+
 _PAIRS = [(i, j) for i in range(len(PAIRS)) for j in range(i)]
 
 
@@ -310,7 +318,7 @@ _PAIRS = [(i, j) for i in range(len(PAIRS)) for j in range(i)]
     ),
 )
 def feature_corr(spark, sf_dir):
-    return explore.feature_corr(explore.quantile_trim(selection.keep_features(features(spark, sf_dir), PAIRS)), PAIRS)
+    return explore.feature_corr(_pair_logs(spark, sf_dir), PAIRS)
 
 
 def _bin(i: int) -> str:
@@ -328,4 +336,4 @@ def _bin(i: int) -> str:
     ),
 )
 def pair_counts(spark, sf_dir):
-    return explore.pair_counts(explore.quantile_trim(selection.keep_features(features(spark, sf_dir), PAIRS)), PAIRS)
+    return explore.pair_counts(_pair_logs(spark, sf_dir), PAIRS)

@@ -174,7 +174,7 @@ def keep_features(spark, sf_dir):
 def impute(spark, sf_dir):
     raw = features(spark, sf_dir).select("station", "win_end", "feature", (F.floor(F.col("value") / 25) - 1).alias("f"))
     logs = raw.select("station", "win_end", "feature", log10_signed(F.col("f")).alias("value"))
-    return store.impute(logs)
+    return store.impute(cut_lineage(logs))
 
 
 @query("feature_rows_missing", sql(f"SELECT station, k, win_end FROM win WHERE win_end < {SPLIT_AT}"))
