@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import functools
+import shutil
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -18,9 +21,23 @@ SERIES_FIELDS = ", ".join(["station BIGINT", "idx BIGINT", "t0 BIGINT", "t1 BIGI
 
 
 def work_dir(spark: SparkSession) -> str:
-    """Shared folder of the cluster for written intermediate tables; a temporary one only where none is named."""
+    """Folder for written intermediate tables: the shared one that the cluster names in ``spark.checkpoint.dir``.
+    Where none is named, a temporary folder serves a local master, which has one disk, until the process ends; on a
+    cluster that is an error, since executors would write to disks that nobody else reads."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    return named or tempfile.mkdtemp(prefix="foreshock-")
+    if named:
+        return named
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError(f"spark.checkpoint.dir must name a folder that all executors share (master is {master})")
+    return _local_dir()
+
+
+@functools.cache
+def _local_dir() -> str:
+    path = tempfile.mkdtemp(prefix="foreshock-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
