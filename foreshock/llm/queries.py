@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from foreshock.llm.near_dup import op4_min_max_near_duplicates
 from foreshock.llm.quality_rules import op6_repetition_coverage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_min_max_near_duplicates": op4_min_max_near_duplicates,
     "op6_repetition_coverage": op6_repetition_coverage,
 }
 
