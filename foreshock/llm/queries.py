@@ -7,13 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from foreshock.llm.katz import op9_katz_backoff
+from foreshock.llm.mixing import ORACLE_OP2, op2_pareto_mix
 from foreshock.llm.near_dup import op4_min_max_near_duplicates
 from foreshock.llm.quality_rules import op6_repetition_coverage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_pareto_mix": op2_pareto_mix,
     "op4_min_max_near_duplicates": op4_min_max_near_duplicates,
     "op6_repetition_coverage": op6_repetition_coverage,
     "op9_katz_backoff": op9_katz_backoff,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_pareto_mix": ORACLE_OP2}
