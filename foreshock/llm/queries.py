@@ -9,14 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 from foreshock.llm.katz import op9_katz_backoff
 from foreshock.llm.mixing import ORACLE_OP2, op2_pareto_mix
 from foreshock.llm.near_dup import op4_min_max_near_duplicates
+from foreshock.llm.quality_model import op8_boosted_quality
 from foreshock.llm.quality_rules import op6_repetition_coverage
 from foreshock.llm.secrets import op7_guess_cost_secrets
+from foreshock.llm.toxicity import op1_ordinal_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ordinal_toxicity": op1_ordinal_toxicity,
     "op2_pareto_mix": op2_pareto_mix,
     "op4_min_max_near_duplicates": op4_min_max_near_duplicates,
     "op6_repetition_coverage": op6_repetition_coverage,
     "op7_guess_cost_secrets": op7_guess_cost_secrets,
+    "op8_boosted_quality": op8_boosted_quality,
     "op9_katz_backoff": op9_katz_backoff,
 }
 

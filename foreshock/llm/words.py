@@ -99,6 +99,12 @@ class Texts:
             at = to
         return mix(out)
 
+    def prefixes(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Which words have more than ``k`` bytes, and the hash of the first ``k`` of each, lower-cased."""
+        rows = np.flatnonzero(self.ends - self.starts > k)
+        place = self.starts[rows][:, None] + np.arange(k)
+        return rows, mix((_BYTE_LOWER[self.data[place]] * _UP[:k]).sum(axis=1, dtype=np.uint64) + np.uint64(k))
+
     def code_points(self) -> np.ndarray:
         """Number of code points before each byte (one entry more than bytes)."""
         out = np.zeros(self.data.size + 1, np.int64)
