@@ -4,8 +4,8 @@
 the sum of these chances over k. Features are words and the first four or five bytes of longer words, hashed; their value is
 ``log(1 + times in the text)``.
 
-The labels say toxic or not. Grades above 0 are read from how densely a text holds what sets toxic texts apart: toxic training
-texts are cut into equal parts by the share of their words among the features found (nearly) only in toxic ones.
+The labels say toxic or not. Grades above 0 are read from how much a text holds of what sets toxic texts apart: toxic training
+texts are cut into equal parts by how often features occur in them that are found (nearly) only in toxic ones.
 
 Counts of features are taken by Spark over the sample; the ``FEATURES`` most telling ones are kept, and only their
 occurrences in the sample reach the fit. Every row is scored from its whole text.
@@ -35,8 +35,10 @@ LEAST_TEXTS = 5
 #: Grades above 0.
 LEVELS = 2
 STEPS, RATE, PENALTY = 300, 0.1, 1e-5
+#: Least distance of two thresholds.
+GAP = 0.05
 #: Chance of any toxicity from which a text is flagged.
-FLAG = 0.5
+FLAG = 0.4
 
 
 def sparse(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -111,11 +113,11 @@ class Ordinal:
 
 def fit(row: np.ndarray, column: np.ndarray, value: np.ndarray, grade: np.ndarray, features: int, levels: int) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds that minimise the mean negative log likelihood of the grades and a small square penalty, by
-    adaptive gradient steps. Thresholds are a first one and non-negative gaps, so their order holds throughout."""
+    adaptive gradient steps. Thresholds are a first one and gaps above 0, so their order holds throughout."""
     n = max(len(grade), 1)
     base = [min(max(((grade > k).sum() + 0.5) / (n + 1), 1e-6), 1 - 1e-6) for k in range(levels)]
     logits = np.log((1 - np.array(base)) / np.array(base))
-    params = np.concatenate([np.zeros(features), logits[:1], np.maximum(np.diff(logits), 1e-3)])
+    params = np.concatenate([np.zeros(features), logits[:1], np.maximum(np.diff(logits), GAP)])
     if len(grade) == 0 or grade.min() == grade.max():
         return params[:features], np.cumsum(params[features:])
     first, second = np.zeros_like(params), np.zeros_like(params)
@@ -125,11 +127,11 @@ def fit(row: np.ndarray, column: np.ndarray, value: np.ndarray, grade: np.ndarra
         above = np.hstack([np.ones((len(grade), 1)), 1 / (1 + np.exp(np.clip(t[None, :] - score[:, None], -50, 50))), np.zeros((len(grade), 1))])
         slope = above * (1 - above)
         rows = np.arange(len(grade))
-        chance = np.maximum(above[rows, grade] - above[rows, grade + 1], 1e-12)
-        by_score = -(slope[rows, grade] - slope[rows, grade + 1]) / chance
+        chance = np.maximum(above[rows, grade] - above[rows, grade + 1], 1e-300)
+        by_score = above[rows, grade] + above[rows, grade + 1] - 1
         by_t = np.zeros((len(grade), levels + 2))
-        by_t[rows, grade] += slope[rows, grade] / chance
-        by_t[rows, grade + 1] -= slope[rows, grade + 1] / chance
+        by_t[rows, grade] += np.minimum(slope[rows, grade] / chance, 1 / GAP)
+        by_t[rows, grade + 1] -= np.minimum(slope[rows, grade + 1] / chance, 1 / GAP)
         at_t = by_t[:, 1 : levels + 1].sum(axis=0) / n
         gradient = np.concatenate(
             [np.bincount(column, value * by_score[row], features) / n + PENALTY * w, at_t[::-1].cumsum()[::-1]]
@@ -137,7 +139,7 @@ def fit(row: np.ndarray, column: np.ndarray, value: np.ndarray, grade: np.ndarra
         first = 0.9 * first + 0.1 * gradient
         second = 0.999 * second + 0.001 * gradient**2
         params = params - RATE * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
-        params[features + 1 :] = np.maximum(params[features + 1 :], 1e-3)
+        params[features + 1 :] = np.maximum(params[features + 1 :], GAP)
     return params[:features], np.cumsum(params[features:])
 
 
@@ -147,14 +149,14 @@ def _collector(lookup: Lookup, marks: np.ndarray):
             for at, texts in slices(batch.column("text")):
                 owner, feature, times = _matrix(texts, lookup)
                 bounds = np.searchsorted(owner, np.arange(len(texts) + 1)).astype(np.int32)
-                dense = np.bincount(owner, times * marks[feature], len(texts)) / np.maximum(texts.counts, 1)
+                telling = np.bincount(owner, times * marks[feature], len(texts))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("label").slice(at, len(texts)), pa.array(dense),
+                        batch.column("label").slice(at, len(texts)), pa.array(telling),
                         pa.ListArray.from_arrays(bounds, pa.array(feature.astype(np.int32))),
                         pa.ListArray.from_arrays(bounds, pa.array(times.astype(np.int32))),
                     ],
-                    ["label", "dense", "features", "times"],
+                    ["label", "telling", "features", "times"],
                 )
 
     return run
@@ -179,17 +181,17 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int
     order = np.argsort(chosen["feature"].to_numpy(np.int64).view(np.uint64))
     marks[:] = chosen["odds"].to_numpy(float)[order] > np.log(20)
 
-    schema = "label INT, dense DOUBLE, features ARRAY<INT>, times ARRAY<INT>"
+    schema = "label INT, telling DOUBLE, features ARRAY<INT>, times ARRAY<INT>"
     got = rows.mapInArrow(_collector(lookup, marks), schema).toArrow()
-    label_, dense = got.column("label").to_numpy(), got.column("dense").to_numpy()
+    label_, amount = got.column("label").to_numpy(), got.column("telling").to_numpy()
     lists = got.column("features").combine_chunks()
     sizes = np.diff(lists.offsets.to_numpy()) if len(lists) else np.empty(0, np.int64)
     column, times = lists.flatten().to_numpy(), got.column("times").combine_chunks().flatten().to_numpy()
     grade = np.zeros(len(label_), np.int64)
     toxic = label_ > 0
     if toxic.any():
-        edges = np.quantile(dense[toxic], np.arange(1, levels) / levels)
-        grade[toxic] = 1 + np.searchsorted(edges, dense[toxic], "left")
+        edges = np.quantile(amount[toxic], np.arange(1, levels) / levels)
+        grade[toxic] = 1 + np.searchsorted(edges, amount[toxic], "left")
     row = np.repeat(np.arange(len(label_)), sizes)
     weights, thresholds = fit(row, column, np.log1p(times), grade, len(lookup.keys), levels)
     return Ordinal(lookup, weights, thresholds)
