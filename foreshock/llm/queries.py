@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from foreshock.llm.chat import ORACLE_OP5, op5_fingerprint_chat
+from foreshock.llm.decontaminate import op10_template_decontamination
 from foreshock.llm.katz import op9_katz_backoff
 from foreshock.llm.mixing import ORACLE_OP2, op2_pareto_mix
 from foreshock.llm.near_dup import op4_min_max_near_duplicates
@@ -18,10 +20,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ordinal_toxicity": op1_ordinal_toxicity,
     "op2_pareto_mix": op2_pareto_mix,
     "op4_min_max_near_duplicates": op4_min_max_near_duplicates,
+    "op5_fingerprint_chat": op5_fingerprint_chat,
     "op6_repetition_coverage": op6_repetition_coverage,
     "op7_guess_cost_secrets": op7_guess_cost_secrets,
     "op8_boosted_quality": op8_boosted_quality,
     "op9_katz_backoff": op9_katz_backoff,
+    "op10_template_decontamination": op10_template_decontamination,
 }
 
-ORACLES: dict[str, str] = {"op2_pareto_mix": ORACLE_OP2}
+ORACLES: dict[str, str] = {"op2_pareto_mix": ORACLE_OP2, "op5_fingerprint_chat": ORACLE_OP5}
