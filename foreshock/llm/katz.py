@@ -45,9 +45,9 @@ K = 5
 #: Mass that larger counts give up.
 TAIL = 1e-3
 #: Tokens and texts of a chunk at most (a longer text is a chunk of its own).
-CHUNK_TOKENS, CHUNK_TEXTS = 2_500_000, 60_000
+CHUNK_TOKENS, CHUNK_TEXTS = 1_500_000, 60_000
 #: Tokens for which one bucket is planned.
-BUCKET_TOKENS = 6_000_000
+BUCKET_TOKENS = 2_000_000
 
 START, END = (int(x) for x in seeds(2, 31))
 CHUNKS = "bucket INT, chunk BIGINT, held BOOLEAN, payload BINARY"
@@ -187,7 +187,7 @@ def _pairs_emitter(buckets: int):
         by_bucket = np.argsort(narrow(place), kind="stable")
         cut = np.searchsorted(place[by_bucket], np.arange(buckets + 1))
         home = int(bucket_of(np.array([END], np.uint64), buckets)[0])
-        for b in range(buckets):
+        for b in sorted({*np.flatnonzero(np.diff(cut)).tolist(), home}):
             rows = by_bucket[cut[b] : cut[b + 1]]
             w, h = words[rows], before[rows]
             order = np.argsort(h)
@@ -202,8 +202,7 @@ def _pairs_emitter(buckets: int):
             if b == home:
                 known = np.array([i is not None for i in ids], bool)
                 arrays += [np.array([int(i) if k else 0 for i, k in zip(ids, known)], np.int64), known]
-            if len(w) or b == home:
-                yield _rows([b], chunk, held, [pack(*arrays)])
+            yield _rows([b], chunk, held, [pack(*arrays)])
 
     return emit
 
@@ -271,6 +270,7 @@ def _bucket_scorer(total: int, share: np.ndarray, unknown: float, context_bucket
         pair, at = pair[order], runs(pair[order])
         pairs, w, h = pair[at], w[order][at], h[order][at]
         c = np.add.reduceat(c[order], at) if len(at) else c
+        del pair, order, at
         words, count = _sum_by(w, c)
         p1 = kept(count, share) / max(total, 1)
         small = np.bincount(np.minimum(c, K + 2), minlength=K + 3)
@@ -278,8 +278,13 @@ def _bucket_scorer(total: int, share: np.ndarray, unknown: float, context_bucket
 
         # sums over the words seen after a context
         behind = p1[np.searchsorted(words, w)] if len(w) else np.empty(0)
-        classes = [(c == r).astype(np.int64) for r in range(1, K + 1)] + [(c > K).astype(np.int64)]
-        contexts, mass, *numbers = _sum_by(h, behind, *classes)
+        order = np.argsort(h)
+        at = runs(h[order])
+        contexts = h[order][at]
+        which = np.empty(len(h), np.int64)
+        which[order] = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(h))))
+        mass = np.bincount(which, behind, len(at))
+        numbers = [np.bincount(which[(c == r) if r <= K else (c > K)], minlength=len(at)) for r in range(1, K + 2)]
         place = bucket_of(contexts, context_buckets)
         for b in np.unique(place).tolist():
             own = place == b
@@ -304,7 +309,9 @@ def _bucket_scorer(total: int, share: np.ndarray, unknown: float, context_bucket
             columns = [spread(value), spread(base), np.bincount(doc, minlength=n), spread((cw > 0).astype(float)).astype(np.int64)]
             columns[2:] = [narrow(v) for v in columns[2:]]
             columns += [narrow(spread((cp == r).astype(float)).astype(np.int64)) for r in range(1, K + 1)]
-            out.append((0, int(x), int(chunk), pack(*columns, *g[6:])))
+            here = np.flatnonzero(columns[2])
+            columns = [v[here] for v in columns]
+            out.append((0, int(x), int(chunk), pack(narrow(here), np.array([n]), *columns, *g[6:])))
             unseen = np.repeat(cp == 0, times)
             if unseen.any():
                 context, where = np.repeat(g[2], times)[unseen], doc[unseen]
@@ -351,7 +358,8 @@ def _backoff(share: np.ndarray):
             ctx, times, doc, n = unpack(payload)
             found, value = _look(contexts, weight, ctx) if len(contexts) else (None, np.zeros(len(ctx)))
             total = np.bincount(doc.astype(np.int64), np.repeat(value, times), int(n[0]))
-            out.append((3, 0, int(chunk), pack(total)))
+            here = np.flatnonzero(total)
+            out.append((3, 0, int(chunk), pack(narrow(here), n, total[here])))
         return pd.DataFrame(out, columns=["kind", "place", "chunk", "payload"])
 
     return run
@@ -362,17 +370,18 @@ def _gather(total: int, types: int, texts: int, share: np.ndarray):
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         """All parts of a chunk to one row per text."""
-        ids, parts, extra, held = None, None, 0.0, False
+        n = int(unpack(rows["payload"].iloc[0])[1][0])
+        parts, extra, ids, held = [np.zeros(n, float if i < 2 else np.int64) for i in range(4 + K)], np.zeros(n), None, False
         for kind, place, payload in zip(rows["kind"], rows["place"], rows["payload"]):
-            got = unpack(payload)
+            here, _, *got = unpack(payload)
             if kind == 3:
-                extra = extra + got[0]
+                extra[here] += got[0]
                 continue
             held = bool(place)
             if len(got) > 4 + K:
                 ids = pd.Series(pd.array(got[4 + K], "Int64")).mask(~got[5 + K])
-            values = [np.asarray(g, np.float64 if i < 2 else np.int64) for i, g in enumerate(got[: 4 + K])]
-            parts = values if parts is None else [a + b for a, b in zip(parts, values)]
+            for total_, value in zip(parts, got[: 4 + K]):
+                total_[here] += value
         score = parts[0] + extra + sum(s * m for s, m in zip(share_log, parts[4:]))
         if texts:
             score = score - np.log10(texts)  # the start mark as a context

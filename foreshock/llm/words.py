@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 SPACES = b" \t\n\x0b\x0c\r"
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 19
 _PIECE = 1 << 19
 
 _NOT_SPACE = np.ones(256, bool)
