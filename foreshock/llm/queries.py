@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from foreshock.llm.chat import ORACLE_OP5, op5_fingerprint_chat
 from foreshock.llm.decontaminate import op10_template_decontamination
 from foreshock.llm.katz import op9_katz_backoff
+from foreshock.llm.licenses import op3_dice_licenses
 from foreshock.llm.mixing import ORACLE_OP2, op2_pareto_mix
 from foreshock.llm.near_dup import op4_min_max_near_duplicates
 from foreshock.llm.quality_model import op8_boosted_quality
@@ -19,6 +20,7 @@ from foreshock.llm.toxicity import op1_ordinal_toxicity
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ordinal_toxicity": op1_ordinal_toxicity,
     "op2_pareto_mix": op2_pareto_mix,
+    "op3_dice_licenses": op3_dice_licenses,
     "op4_min_max_near_duplicates": op4_min_max_near_duplicates,
     "op5_fingerprint_chat": op5_fingerprint_chat,
     "op6_repetition_coverage": op6_repetition_coverage,
