@@ -36,14 +36,15 @@ def words_in(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
 
 
-def measured(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """``doc_id, source, size, u`` of every row."""
+def measured(docs: DataFrame, keep: tuple[str, ...] = (), doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """``doc_id, source, size, u`` of every row, and the columns to ``keep``."""
     digest = F.substring(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f":{SEED}"))), 1, 13)
     u = (F.conv(digest, 16, 10).cast("bigint") + F.lit(0.5)) / F.lit(float(1 << 52))
     plain = docs.select(
         F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"),
         F.col(f"`{source}`").cast("string").alias("source"),
         words_in(F.col(f"`{text}`").cast("string")).alias("size"),
+        *[F.col(f"`{c}`") for c in keep],
     )
     return plain.withColumn("u", u)
 

@@ -38,7 +38,7 @@ BLOCK = 256
 #: Signature values that may differ before a pair of a block is not compared, in shares of the threshold.
 SLACK = 0.75
 
-SIGNATURES = "doc_id BIGINT, n_shingles BIGINT, node BIGINT, bands ARRAY<BIGINT>, marks BINARY"
+SIGNATURES = "doc_id BIGINT, text_hash BIGINT, n_shingles BIGINT, node BIGINT, bands ARRAY<BIGINT>, marks BINARY"
 
 
 def shingle_sets(texts: Texts, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -97,12 +97,13 @@ def _signer(n: int, rows: int, bands: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id").slice(at, len(texts)),
+                        batch.column("text_hash").slice(at, len(texts)),
                         pa.array(sizes),
                         pa.array(nodes(shingles, begins).view(np.int64), mask=~filled),
                         pa.ListArray.from_arrays(ends, keys.ravel().view(np.int64)),
                         pa.BinaryArray.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(bytes_), pa.py_buffer(marks.ravel())]),
                     ],
-                    ["doc_id", "n_shingles", "node", "bands", "marks"],
+                    ["doc_id", "text_hash", "n_shingles", "node", "bands", "marks"],
                 )
 
     return run
@@ -279,10 +280,10 @@ def _rest(members: DataFrame, labels: DataFrame, info: DataFrame, texts: DataFra
 def near_duplicates(
     docs: DataFrame, n: int = 5, percent: int = 80, rows: int = 4, bands: int = 30, doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
-    """One row per row of ``docs``: ``doc_id, n_shingles, component_id, kept``. Texts are linked when ``100 *
+    """One row per row of ``docs``: ``doc_id, n_shingles, component_id, kept, text_hash``. Texts are linked when ``100 *
     intersection >= percent * union`` of their sets of ``n``-word shingles."""
     plain = docs.selectExpr(f"CAST(`{doc_id}` AS BIGINT) AS doc_id", f"CAST(`{text}` AS STRING) AS text")
-    signed = cut_lineage(plain.mapInArrow(_signer(n, rows, bands), SIGNATURES))
+    signed = cut_lineage(plain.withColumn("text_hash", F.xxhash64("text")).mapInArrow(_signer(n, rows, bands), SIGNATURES))
     distinct = signed.where("node IS NOT NULL").select("node", F.explode("bands").alias("band")).distinct()
     shared = distinct.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
     members = cut_lineage(distinct.join(shared, "band"))
@@ -306,15 +307,33 @@ def near_duplicates(
     classes = first.join(labels, "node", "left").selectExpr("node", "coalesce(comp, node) AS comp", "first")
     smallest = classes.groupBy("comp").agg(F.min("first").alias("component_id"))
     named = classes.join(smallest, "comp").select("node", "component_id")
-    out = signed.select("doc_id", "n_shingles", "node").join(named, "node", "left")
+    out = signed.select("doc_id", "text_hash", "n_shingles", "node").join(named, "node", "left")
     return out.selectExpr(
         "doc_id",
         "n_shingles",
         "CASE WHEN node IS NULL THEN doc_id ELSE component_id END AS component_id",
         "coalesce(node IS NULL OR doc_id = component_id, component_id IS NULL) AS kept",
+        "text_hash",
     )
 
 
+def without_copies(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each group of near duplicates, the one with the smallest id; all columns stay. Repeated rows with
+    that id and text count as one, rows without words are all kept."""
+    flags = near_duplicates(docs).groupBy("doc_id", "text_hash").agg(
+        F.max("kept").alias("kept"), F.count("*").alias("n"), F.max("n_shingles").alias("n_shingles")
+    )
+    some = cut_lineage(flags.where("NOT kept OR n > 1 AND n_shingles > 0").selectExpr("doc_id AS _id", "text_hash AS _hash", "kept AS _kept"))
+    key = F.xxhash64(F.col("text").cast("string"))
+    same = (key == F.col("_hash")) & F.col("doc_id").cast("bigint").eqNullSafe(F.col("_id"))
+    single = docs.join(some, same, "left_anti")
+    repeated = some.where("_kept")
+    if repeated.isEmpty():
+        return single
+    first = docs.join(repeated, same, "left_semi").withColumn("_key", key).dropDuplicates(["doc_id", "_key"]).drop("_key")
+    return single.unionByName(first)
+
+
 def op4_min_max_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return near_duplicates(docs, n=3, percent=85, rows=5, bands=24)
+    return near_duplicates(docs, n=3, percent=85, rows=5, bands=24).drop("text_hash")

@@ -166,23 +166,23 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
     return fit(x[order], y[order])
 
 
-def _scorer(trees: Trees):
+def _scorer(trees: Trees, text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [trees.score(statistics(texts)) for _, texts in slices(batch.column("text"))]
-            score = np.concatenate(parts) if parts else np.empty(0)
-            kept = [batch.column(i) for i in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(score)], [*batch.schema.names[:-1], "score"])
+            parts = [trees.score(statistics(texts)) for _, texts in slices(batch.column(text))]
+            score = pa.array(np.concatenate(parts) if parts else np.empty(0))
+            kept = [i for i, name in enumerate(batch.schema.names) if name != "_text"]
+            yield pa.RecordBatch.from_arrays([*map(batch.column, kept), score], [*(batch.schema.names[i] for i in kept), "score"])
 
     return run
 
 
 def with_score(docs: DataFrame, trees: Trees, columns: list[str], score: str = "score", text: str = "text") -> DataFrame:
     """The named columns of ``docs`` and each row's score."""
-    plain = docs.selectExpr(*[f"`{c}` AS c{i}" for i, c in enumerate(columns)], f"CAST(`{text}` AS STRING) AS text")
-    types = ", ".join(f"c{i} {plain.schema[i].dataType.simpleString()}" for i in range(len(columns)))
-    scored = plain.mapInArrow(_scorer(trees), f"{types}, score DOUBLE" if columns else "score DOUBLE")
-    return scored.toDF(*columns, score)
+    own = "_text" if text not in columns else f"c{columns.index(text)}"
+    plain = docs.selectExpr(*[f"`{c}` AS c{i}" for i, c in enumerate(columns)], *([f"CAST(`{text}` AS STRING) AS _text"] if own == "_text" else []))
+    types = [f"c{i} {plain.schema[i].dataType.simpleString()}" for i in range(len(columns))]
+    return plain.mapInArrow(_scorer(trees, own), ", ".join([*types, "score DOUBLE"])).toDF(*columns, score)
 
 
 def op8_boosted_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

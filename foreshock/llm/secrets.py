@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from foreshock.llm.words import Texts, slices
@@ -192,8 +193,7 @@ def secret_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 def _masker(text: str, mask: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.column(text)
-            new = column.to_pylist()
+            column, new = batch.column(text), {}
             for at, texts in slices(column):
                 for k, spans in spans_of(texts).items():
                     raw = texts.data[texts.offsets[k] : texts.offsets[k + 1]].tobytes()
@@ -203,8 +203,12 @@ def _masker(text: str, mask: bytes):
                             out += [raw[end:i], mask]
                         end = max(end, j)
                     new[at + k] = b"".join([*out, raw[end:]]).decode()
+            if new:
+                changed = np.zeros(len(column), bool)
+                changed[list(new)] = True
+                column = pc.replace_with_mask(column, pa.array(changed), pa.array([new[k] for k in sorted(new)], column.type))
             place = batch.schema.get_field_index(text)
-            yield batch.set_column(place, batch.schema.field(place), pa.array(new, column.type))
+            yield batch.set_column(place, batch.schema.field(place), column)
 
     return run
 
