@@ -10,10 +10,6 @@ from pyspark.sql import functions as F
 SEP = "__"
 
 
-def feature_name(stream: Column, calculator: Column, params: Column) -> Column:
-    return F.concat_ws(SEP, stream, calculator, F.when(params != "", params))
-
-
 def stream_of(feature: Column) -> Column:
     return F.split_part(feature, F.lit(SEP), F.lit(1))
 

@@ -40,6 +40,8 @@ def ceil_div(x: Column, size: int | Column) -> Column:
 
 
 def snap(x: Column, places: int = 6) -> Column:
-    """Round half up at a fixed place, with a small nudge so that sums taken in another order agree."""
+    """Round half up at a fixed place, with a small nudge so that sums taken in another order agree. Null, NaN and
+    infinite values stay what they are, and so do values too large for the place to matter."""
     scale = float(10**places)
-    return F.floor(x * scale + 0.501) / F.lit(scale)
+    near = F.abs(x) < 1e15 / scale
+    return F.when(near, F.floor(x * scale + 0.501) / F.lit(scale)).otherwise(x)

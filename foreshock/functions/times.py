@@ -21,7 +21,7 @@ def parse_time(text: Column, strict: bool = False) -> Column:
     parsed = F.coalesce(*[F.try_to_timestamp(trimmed, F.lit(layout)) for layout in TIME_LAYOUTS])
     if not strict:
         return parsed
-    message = F.concat(F.lit("time data '"), trimmed, F.lit("' not a recognized format"))
+    message = F.concat(F.lit("cannot read '"), trimmed, F.lit("' as a time"))
     return F.coalesce(parsed, F.when(text.isNotNull(), F.raise_error(message).cast("timestamp")))
 
 
@@ -37,7 +37,7 @@ def to_seconds(value: str | datetime | int | float) -> float:
             return datetime.strptime(value, layout).replace(tzinfo=timezone.utc).timestamp()
         except ValueError:
             continue
-    raise ValueError(f"time data '{value}' not a recognized format")
+    raise ValueError(f"cannot read {value!r} as a time")
 
 
 def grid_index(ts: Column, step: int = STEP_SECONDS) -> Column:

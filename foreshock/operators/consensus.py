@@ -38,7 +38,7 @@ def require_model_set(state: DataFrame) -> int:
     if not row["n"]:
         raise ValueError("no feature lists in the model set")
     if not row["gapless"]:
-        raise ValueError("model numbering appears not consecutive")
+        raise ValueError("the numbers of the models have gaps")
     if not row["complete"]:
         raise ValueError("some models of the set are missing")
     return row["n"]

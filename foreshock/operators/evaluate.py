@@ -1,4 +1,4 @@
-"""Scores of a consensus at 101 thresholds.
+"""Scores of a consensus at 101 thresholds, or at any others.
 
 A row's ``level`` is how many thresholds its consensus exceeds, so the state of all thresholds is in one
 number. A row opens alerts at the thresholds above the highest level within reach before it and up to its own;
@@ -8,6 +8,8 @@ per threshold.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,17 +17,17 @@ from foreshock.config import Geometry
 from foreshock.operators.alerts import NO_ALERT_TN, _edges, first_candidate, number_windows
 from foreshock.sources.tables import cut_lineage
 
-STEPS = 100
+THRESHOLDS = tuple(j / 100 for j in range(1, 101))
 
 
-def _level() -> str:
-    """Number of thresholds j/100, j = 1..100, below the consensus."""
-    return f"size(filter(sequence(1, {STEPS}), j -> consensus > j / {float(STEPS)!r}D))"
+def _array(thresholds: Sequence[float]) -> str:
+    return f"array({', '.join(f'{float(t)!r}D' for t in thresholds)})"
 
 
-def levelled(cons: DataFrame, geom: Geometry) -> DataFrame:
-    rows = number_windows(cons.filter("consensus IS NOT NULL"), geom)
-    return _edges(rows.withColumn("level", F.expr(_level())), geom.alert_reach)
+def levelled(cons: DataFrame, geom: Geometry, thresholds: Sequence[float] = THRESHOLDS) -> DataFrame:
+    """Windows with the number of (ascending) thresholds below their consensus; without a consensus that is 0."""
+    level = f"size(filter({_array(thresholds)}, t -> consensus > t AND NOT isnan(consensus)))"
+    return _edges(number_windows(cons, geom).withColumn("level", F.expr(level)), geom.alert_reach)
 
 
 def _tally(rows: DataFrame, low: str, high: str, values: dict[str, str]) -> DataFrame:
@@ -43,8 +45,8 @@ def _tally(rows: DataFrame, low: str, high: str, values: dict[str, str]) -> Data
     return spread.groupBy("station", "j").agg(*[F.sum(n).alias(n) for n in values])
 
 
-def _all_thresholds(stations: DataFrame) -> DataFrame:
-    return stations.select("station", F.explode(F.sequence(F.lit(1), F.lit(STEPS))).alias("j"))
+def _all_thresholds(stations: DataFrame, n: int) -> DataFrame:
+    return stations.select("station", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("j"))
 
 
 def event_levels(rows: DataFrame, events: DataFrame, geom: Geometry) -> DataFrame:
@@ -64,14 +66,17 @@ def event_levels(rows: DataFrame, events: DataFrame, geom: Geometry) -> DataFram
     return near.join(rows.filter("level > 0").select("station", "i", "level"), ["station", "i"])
 
 
-def threshold_sweep(cons: DataFrame, labels: DataFrame, events: DataFrame, geom: Geometry) -> DataFrame:
-    """Score table per station: ``station, threshold, FP, FN, TP, TN, alert_fraction, MCC`` for 101 thresholds.
+def threshold_sweep(
+    cons: DataFrame, labels: DataFrame, events: DataFrame, geom: Geometry, thresholds: Sequence[float] = THRESHOLDS
+) -> DataFrame:
+    """Score table per station: ``station, threshold, FP, FN, TP, TN, alert_fraction, MCC`` for the ascending thresholds above 0,
+    and for 0. Events at one time count as many.
 
     False alerts are one fewer when the last event is missed and an alert opens after it.
     """
     # Both feed several branches below, so they are computed once: a row per window, a row per event.
-    rows = cut_lineage(levelled(cons.join(labels.select("station", "win_end", "label"), ["station", "win_end"]), geom))
-    events = cut_lineage(events.select("station", "te_us"))
+    rows = cut_lineage(levelled(cons.join(labels.select("station", "win_end", "label"), ["station", "win_end"]), geom, thresholds))
+    events = cut_lineage(events.groupBy("station", "te_us").agg(F.count("*").alias("m")))
     stations = rows.groupBy("station").agg(
         F.count("*").alias("n"),
         F.sum("label").alias("positives"),
@@ -84,10 +89,10 @@ def threshold_sweep(cons: DataFrame, labels: DataFrame, events: DataFrame, geom:
     above = _tally(rows.withColumn("zero", F.lit(0)), "zero", "level", {"flagged": "1L", "right": "CAST(label AS BIGINT)"})
 
     # Hits: an event is hit at every threshold up to the highest level of its rows.
-    inside = stations.join(events.groupBy("station").agg(F.count("*").alias("events"), F.max("te_us").alias("last_te")), "station", "left")
+    inside = stations.join(events.groupBy("station").agg(F.sum("m").alias("events"), F.max("te_us").alias("last_te")), "station", "left")
     per_event = event_levels(rows, events, geom)
     best = per_event.groupBy("station", "te_us").agg(F.max("level").alias("level"))
-    hits = _tally(best.withColumn("zero", F.lit(0)), "zero", "level", {"hits": "1L"})
+    hits = _tally(best.join(events, ["station", "te_us"]).withColumn("zero", F.lit(0)), "zero", "level", {"hits": "m"})
 
     # Alerts that hold an event: the last opening at or before any of the event's rows, per threshold.
     starts = rows.filter("prev < level").selectExpr("station", "i", "explode(sequence(prev + 1, level)) AS j")
@@ -113,7 +118,7 @@ def threshold_sweep(cons: DataFrame, labels: DataFrame, events: DataFrame, geom:
     )
 
     keys = ["station", "j"]
-    table = _all_thresholds(stations).join(inside, "station")
+    table = _all_thresholds(stations, len(thresholds)).join(inside, "station")
     for part in (opened, closed, above, hits, held, late):
         table = table.join(part, keys, "left")
     table = table.fillna(0).withColumn("length", F.col("sum_stop") - F.col("sum_start"))
@@ -127,7 +132,7 @@ def threshold_sweep(cons: DataFrame, labels: DataFrame, events: DataFrame, geom:
     some = "alerts > 0"
     scored = table.selectExpr(
         "station",
-        f"j / {float(STEPS)!r}D AS threshold",
+        f"element_at({_array(thresholds)}, j) AS threshold",
         f"CASE WHEN {some} THEN alerts - held - skipped ELSE 0L END AS FP",
         f"CASE WHEN {some} THEN events - hits ELSE events END AS FN",
         f"CASE WHEN {some} THEN hits ELSE 0L END AS TP",
@@ -143,8 +148,10 @@ def threshold_sweep(cons: DataFrame, labels: DataFrame, events: DataFrame, geom:
 
 
 def alert_score(cons: DataFrame, labels: DataFrame, events: DataFrame, geom: Geometry, threshold: float = 0.8) -> DataFrame:
-    """One row of the score table per station."""
-    return threshold_sweep(cons, labels, events, geom).filter(F.round("threshold", 2) == round(threshold, 2))
+    """The row of the score table at exactly ``threshold``, per station."""
+    if threshold <= 0:
+        return threshold_sweep(cons, labels, events, geom, [1.0]).filter("threshold = 0")
+    return threshold_sweep(cons, labels, events, geom, [threshold]).filter("threshold > 0")
 
 
 def score_curves(scores: DataFrame) -> DataFrame:

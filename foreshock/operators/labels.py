@@ -22,10 +22,10 @@ MICRO = 1_000_000
 def _event_buckets(events: DataFrame, width: int, reach: int) -> DataFrame:
     """Events by time bucket, as one short array per (station, bucket).
 
-    Only the first and last event of a grid step can decide whether a range holds an event of that step (no
-    range is shorter than a step), so at most two per step are kept, whatever their number.
+    Only the first and last event of a step can decide whether a range no shorter than the step holds an event of
+    it, so at most two per step are kept, whatever their number. Steps are those of the grid, or the ranges' length if that is less.
     """
-    step = STEP_SECONDS * MICRO
+    step = min(STEP_SECONDS * MICRO, max(width, 1), max(reach, 1))
     kept = events.groupBy("station", floor_div(F.col("te_us"), step).alias("step")).agg(
         F.min("te_us").alias("a"), F.max("te_us").alias("b")
     )

@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterable
 from concurrent.futures import ThreadPoolExecutor
 from itertools import product
 
+from pyspark.errors import ArithmeticException, IllegalArgumentException
 from pyspark.ml import Transformer
 from pyspark.ml.classification import (
     LinearSVC,
@@ -44,12 +45,11 @@ GRIDS = {
     "LR": {"C": [0.001, 0.01, 0.1, 1, 10]},
 }
 # Tried in this order when a stored model set does not say what it is.
-CODES = ("SVM", "KNN", "DT", "RF", "NN", "NB", "LR")
 
 
 def grid_points(code: str) -> list[dict]:
     if code not in GRIDS:
-        raise ValueError(f"classifier '{code}' not recognised")
+        raise ValueError(f"unknown classifier code {code!r}")
     grid = GRIDS[code]
     return [dict(zip(grid, values)) for values in product(*grid.values())]
 
@@ -269,7 +269,7 @@ def make_estimator(code: str, point: dict, n_features: int, n_rows: int):
         return LinearSVC(regParam=1.0 / (point["C"] * n_rows), standardization=False, weightCol="weight", **columns)
     if code == "NN":
         return MultilayerPerceptronClassifier(layers=[n_features, point["hidden_layer_sizes"], 2], maxIter=200, seed=0, **columns)
-    raise ValueError(f"classifier '{code}' not recognised")
+    raise ValueError(f"unknown classifier code {code!r}")
 
 
 def model_frame(rows: DataFrame, weights: DataFrame) -> DataFrame:
@@ -295,7 +295,7 @@ def search_estimator(frame: DataFrame, folds: DataFrame, code: str, n_features:
                     votes = model.transform(part.filter("test")).withColumn("pred", F.col("prediction"))
                     scores.append(balanced_accuracy(votes, []).first()["score"])
                 score = sum(scores) / len(scores)
-            except Exception:  # a failed point scores nothing
+            except (IllegalArgumentException, ArithmeticException, ZeroDivisionError):  # a point that cannot be fitted scores nothing
                 continue
             if score > best_score:
                 best, best_score = point, score

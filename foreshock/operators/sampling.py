@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -62,7 +61,3 @@ def shuffle_split(samples: DataFrame, folds: int = FOLDS, share: float = TEST_SH
     keep = spread.groupBy("model_id", "fold").agg(F.ceil(F.count("*") * share).alias("keep"))
     marked = mark_smallest(spread, ["model_id", "fold"], "digest", keep)
     return marked.withColumnRenamed("chosen", "test").drop("digest")
-
-
-def majority_size(minority: int, ratio: float = RATIO) -> int:
-    return math.floor(minority / ratio)

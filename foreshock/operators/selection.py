@@ -36,10 +36,6 @@ def keep_features(features: DataFrame, names: Iterable[str]) -> DataFrame:
     return features.filter(F.col("feature").isin(list(names)))
 
 
-def keep_feature_table(features: DataFrame, names: DataFrame) -> DataFrame:
-    return features.join(names.select("feature").distinct(), "feature", "left_semi")
-
-
 def pick_calculators(available: Iterable[str], only: Iterable[str] = (), drop: Iterable[str] = ()) -> list[str]:
     """Calculators to compute: the named ones, or all without the dropped ones."""
     only, drop = set(only), set(drop)

@@ -42,7 +42,7 @@ def check_streams(streams: Sequence[str], signals: Sequence[str] = SIGNALS) -> N
     bad = [s for s in streams if split_stream(s)[1] not in signals]
     if bad:
         allowed = [*signals, *[f"{t}_{s}" for s in signals for t in TRANSFORMS]]
-        raise ValueError(f"data restricted to any of {allowed}, got {bad}")
+        raise ValueError(f"unknown streams {bad}; there are {allowed}")
 
 
 def add_inverse(df: DataFrame, signals: Sequence[str] = SIGNALS) -> DataFrame:

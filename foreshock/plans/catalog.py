@@ -16,14 +16,15 @@ ORACLES: dict[str, str] = {}
 
 
 def tidy(df: DataFrame) -> DataFrame:
-    """Output form: doubles to a common precision (six places, or ten digits when large), counts as BIGINT."""
+    """Output form: doubles to a common precision (six places, or ten digits when large), counts as BIGINT. Null, NaN and
+    infinite values stay what they are."""
 
     def column(f: T.StructField) -> str:
         c = f"`{f.name}`"
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
             scale = f"pow(10D, floor(log10(abs({c}))) - 9)"
             return (
-                f"CASE WHEN abs({c}) < 1e5D THEN floor({c} * 1e6D + 0.501D) / 1e6D "
+                f"CASE WHEN isnan({c}) OR abs({c}) = double('infinity') THEN {c} WHEN abs({c}) < 1e5D THEN floor({c} * 1e6D + 0.501D) / 1e6D "
                 f"ELSE floor({c} / {scale} + 0.501D) * {scale} END AS {c}"
             )
         if isinstance(f.dataType, (T.IntegerType, T.ShortType, T.ByteType)):
@@ -36,7 +37,7 @@ def tidy(df: DataFrame) -> DataFrame:
 def sql_num(x: str) -> str:
     """The same output form in the checking SQL."""
     return (
-        f"(CASE WHEN abs({x}) < 1e5 THEN floor(({x})*1e6+0.501)/1e6 "
+        f"(CASE WHEN NOT isfinite(({x})::DOUBLE) THEN {x} WHEN abs({x}) < 1e5 THEN floor(({x})*1e6+0.501)/1e6 "
         f"ELSE floor(({x})/pow(10.0, floor(log10(abs({x})))-9)+0.501)*pow(10.0, floor(log10(abs({x})))-9) END)"
     )
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 from collections.abc import Iterable, Sequence
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.ml.classification import (
     LinearSVCModel,
@@ -82,9 +83,9 @@ class EventForecaster:
             return
         first, last = self.data.series.agg(F.min("t0"), F.max("t1")).first()
         if self.tf is not None and self.tf > last * STEP_SECONDS:
-            raise ValueError(f"Model end date {self.tf} beyond data range {last * STEP_SECONDS}")
+            raise ValueError(f"the range asked for ends at {self.tf}, after the last reading at {last * STEP_SECONDS}")
         if self.ti is not None and self.ti < first * STEP_SECONDS:
-            raise ValueError(f"Model start date {self.ti} predates data range {first * STEP_SECONDS}")
+            raise ValueError(f"the range asked for begins at {self.ti}, before the first reading at {first * STEP_SECONDS}")
 
     def _path(self, *names: str) -> str:
         return os.path.join(self.root, *names)
@@ -170,8 +171,10 @@ class EventForecaster:
         try:
             self._load_estimators()
             return True
-        except Exception:  # absent or unreadable: train again
-            return False
+        except (AnalysisException, Py4JJavaError) as error:
+            if "does not exist" in str(error) or "PATH_NOT_FOUND" in str(error):
+                return False
+            raise
 
     def _fit(self, rows: DataFrame, samples: DataFrame, folds: DataFrame, points: list[dict], n_features: int) -> None:
         path = self._path(f"models_{self.classifier}")
@@ -215,7 +218,7 @@ class EventForecaster:
     def _picked(self) -> DataFrame:
         picked = self._stored("selected", "model_id BIGINT, rank INT, feature STRING, p_value DOUBLE")
         if picked is None or self.classifier is None:
-            raise ValueError("Train model before constructing a forecast.")
+            raise ValueError("no fitted models yet: call train() first")
         return picked
 
     def forecast(self, ti=None, tf=None, recalculate: bool = False, _predictions: str = "predictions") -> DataFrame:

@@ -133,9 +133,11 @@ _SWEEP = f"""{_CONS}, begun AS (SELECT station, min(win_end) AS t0, max(win_end)
 over_j AS (SELECT c.station, g.j, c.i, c.consensus FROM cons c, (SELECT unnest(range(1, 101)) AS j) g WHERE c.consensus > g.j / 100),
 isl AS (SELECT a.*, t0 + i0 * 43200 AS start, t0 + i1 * 43200 AS stop FROM ({_islands("over_j", "true")}) a JOIN begun USING (station)),
 agg AS (SELECT station, j, count(*) AS alerts, sum(i1 - i0) AS length FROM isl GROUP BY station, j),
-hit AS (SELECT i.station, i.j, i.start, m.te_us FROM isl i JOIN marks m ON m.station = i.station
+times AS (SELECT station, te_us, count(*) AS m FROM marks GROUP BY station, te_us),
+hit AS (SELECT i.station, i.j, i.start, m.te_us, m.m FROM isl i JOIN times m ON m.station = i.station
         AND m.te_us > i.start * 1000000 AND m.te_us <= i.stop * 1000000),
-hagg AS (SELECT station, j, count(DISTINCT te_us) AS hits, count(DISTINCT start) AS held FROM hit GROUP BY station, j),
+hagg AS (SELECT station, j, sum(m) AS hits, max(held) AS held FROM (SELECT DISTINCT h.station, h.j, te_us, m, held FROM hit h
+  JOIN (SELECT station, j, count(DISTINCT start) AS held FROM hit GROUP BY station, j) n ON n.station = h.station AND n.j = h.j) GROUP BY station, j),
 ev_n AS (SELECT station, count(*) AS events, max(te_us) AS last_te FROM marks GROUP BY station),
 skip AS (SELECT i.station, i.j, 1 AS skipped FROM isl i JOIN ev_n e ON e.station = i.station
   WHERE NOT EXISTS (SELECT 1 FROM hit h WHERE h.station = i.station AND h.j = i.j AND h.te_us = e.last_te)

@@ -6,7 +6,6 @@ Input rows: ``station, start_s`` (epoch seconds of the first sample), ``samples
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -140,6 +139,3 @@ def waveform_files(spark, path: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path).withColumn("day", F.floor(F.col("start_s") / 86400)).withColumn(
         "n_samples", F.size("samples").cast("bigint")
     )
-
-
-BAND_NAMES: Sequence[str] = tuple(BANDS)

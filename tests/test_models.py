@@ -191,7 +191,7 @@ def test_neighbours_equal_direct_for_small_blocks(spark, k, p, weights):
 
 
 def test_unknown_classifier_is_an_error():
-    with pytest.raises(ValueError, match="not recognised"):
+    with pytest.raises(ValueError, match="unknown classifier"):
         models.grid_points("XX")
     assert len(models.grid_points("DT")) == 24
 
