@@ -1,7 +1,7 @@
 """Toxicity: cumulative-link ordinal regression on sparse text features.
 
 ``P(grade > k) = 1 / (1 + exp(t_k - w x))`` with one weight vector ``w`` for all ordered thresholds ``t_0 <= t_1 <= ...``; the expected severity is
-the sum of these chances over k. Features are words and the first four or five bytes of longer words, hashed; their value is
+the sum of these chances over k. Features are words and the first four to eight bytes of longer words, hashed; their value is
 ``log(1 + times in the text)``.
 
 The labels say toxic or not. Grades above 0 are read from how much a text holds of what sets toxic texts apart: toxic training
@@ -29,16 +29,16 @@ from foreshock.llm.samples import SAMPLE, labelled_texts
 from foreshock.llm.words import Texts, slices
 from foreshock.sources.tables import cut_lineage
 
-PREFIXES = (4, 5)
+PREFIXES = (4, 5, 6, 7, 8)
 FEATURES = 4096
-LEAST_TEXTS = 5
+LEAST_TEXTS = 3
 #: Grades above 0.
 LEVELS = 2
-STEPS, RATE, PENALTY = 300, 0.1, 1e-5
+STEPS, RATE, PENALTY = 300, 0.1, 3e-5
 #: Least distance of two thresholds.
 GAP = 0.05
 #: Chance of any toxicity from which a text is flagged.
-FLAG = 0.4
+FLAG = 0.25
 
 
 def sparse(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
