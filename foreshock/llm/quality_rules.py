@@ -121,3 +121,30 @@ def repetition(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
 
 def op6_repetition_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def _oracle() -> str:
+    grams_ = ", ".join(f"coalesce(sum(chars) FILTER (n = {n}), 0)::BIGINT AS dup_{n}gram_chars" for n in GRAM_LIMITS)
+    bad = " AND ".join(f"dup_{n}gram_chars <= {limit!r}::DOUBLE * word_chars" for n, limit in GRAM_LIMITS.items())
+    return rf"""
+WITH w AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+base AS (SELECT doc_id, len(ws)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
+         length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols FROM w),
+l AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id, line) AS k FROM
+      (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM w) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+dl AS (SELECT doc_id, count(*) AS n_dup_lines, sum(length(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g'))) AS dup_line_chars FROM l WHERE k > 1 GROUP BY doc_id),
+g AS (SELECT doc_id, n, i, count(*) OVER (PARTITION BY doc_id, n, s) AS k FROM (
+      SELECT doc_id, n, i, array_to_string(ws[i : i + n - 1], ' ') AS s FROM (
+        SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM w, (SELECT unnest([{BASE_GRAM}, {", ".join(map(str, GRAM_LIMITS))}]) AS n)))),
+c AS (SELECT DISTINCT doc_id, n, unnest(range(i, i + n)) AS pos FROM g WHERE k > 1),
+cw AS (SELECT c.doc_id, c.n, length(w.ws[c.pos]) AS chars FROM c JOIN w ON w.doc_id = c.doc_id),
+cov AS (SELECT doc_id, count(*) FILTER (n = {BASE_GRAM}) AS n_repeat_words, {grams_} FROM cw GROUP BY doc_id),
+f AS (SELECT base.*, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
+      coalesce(dup_line_chars, 0)::BIGINT AS dup_line_chars, {", ".join(f"coalesce(dup_{n}gram_chars, 0) AS dup_{n}gram_chars" for n in GRAM_LIMITS)}
+      FROM base LEFT JOIN dl ON dl.doc_id = base.doc_id LEFT JOIN cov ON cov.doc_id = base.doc_id),
+v AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed FROM f)
+SELECT *, NOT base_failed AND dup_line_chars <= {LINE_LIMIT!r}::DOUBLE * word_chars AND {bad} AS kept FROM v
+"""
+
+
+ORACLE_OP6 = _oracle()

@@ -11,9 +11,9 @@ from foreshock.llm.decontaminate import op10_template_decontamination
 from foreshock.llm.katz import op9_katz_backoff
 from foreshock.llm.licenses import op3_dice_licenses
 from foreshock.llm.mixing import ORACLE_OP2, op2_pareto_mix
-from foreshock.llm.near_dup import op4_min_max_near_duplicates
+from foreshock.llm.near_dup import ORACLE_OP4, op4_min_max_near_duplicates
 from foreshock.llm.quality_model import op8_boosted_quality
-from foreshock.llm.quality_rules import op6_repetition_coverage
+from foreshock.llm.quality_rules import ORACLE_OP6, op6_repetition_coverage
 from foreshock.llm.secrets import op7_guess_cost_secrets
 from foreshock.llm.toxicity import op1_ordinal_toxicity
 
@@ -30,4 +30,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_template_decontamination": op10_template_decontamination,
 }
 
-ORACLES: dict[str, str] = {"op2_pareto_mix": ORACLE_OP2, "op5_fingerprint_chat": ORACLE_OP5}
+ORACLES: dict[str, str] = {"op2_pareto_mix": ORACLE_OP2, "op4_min_max_near_duplicates": ORACLE_OP4, "op5_fingerprint_chat": ORACLE_OP5, "op6_repetition_coverage": ORACLE_OP6}
