@@ -58,7 +58,7 @@ def mark_smallest(df: DataFrame, keys: Sequence[str], order: str, keep: DataFram
     """Add ``chosen``: true on the ``keep`` rows of each group with the smallest ``order``.
 
     ``order`` is a hex digest; its first three digits are spread evenly, so a histogram of 4096 buckets per
-    group shows the bucket where the count is reached, and rows are ranked only within their bucket.
+    group shows the bucket where the count is reached, and only the rows of that bucket are ranked.
     ``keep`` has one row per group: the keys and ``keep``.
     """
     rows = df.withColumn("_bucket", F.conv(F.substring(order, 1, 3), 16, 10).cast("int"))
@@ -71,16 +71,11 @@ def mark_smallest(df: DataFrame, keys: Sequence[str], order: str, keep: DataFram
         .groupBy(*keys)
         .agg(F.max("_bucket").alias("_cut"), F.max_by(F.col("keep") - F.col("_upto") + F.col("_c"), "_bucket").alias("_need"))
     )
-    place = F.row_number().over(Window.partitionBy(*keys, "_bucket").orderBy(order))
-    return (
-        rows.join(cut, list(keys), "left")
-        .withColumn("_place", place)
-        .withColumn(
-            "chosen",
-            F.expr("coalesce(_bucket < _cut OR (_bucket = _cut AND _place <= _need), false)"),
-        )
-        .drop("_bucket", "_cut", "_need", "_place")
-    )
+    cutted = rows.join(cut, list(keys), "left")
+    sure = cutted.filter("coalesce(_bucket <> _cut, true)").withColumn("chosen", F.expr("coalesce(_bucket < _cut, false)"))
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(order))
+    edge = cutted.filter("_bucket = _cut").withColumn("_place", place).withColumn("chosen", F.expr("_place <= _need")).drop("_place")
+    return sure.unionByName(edge).drop("_bucket", "_cut", "_need")
 
 
 def class_ranks(rows: DataFrame, splits: DataFrame, keys: Sequence[str] = ("model_id",)) -> DataFrame:
