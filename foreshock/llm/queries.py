@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from foreshock.llm.chat import ORACLE_OP5, op5_fingerprint_chat
-from foreshock.llm.decontaminate import op10_template_decontamination
+from foreshock.llm.decontaminate import ORACLE_OP10, op10_template_decontamination
 from foreshock.llm.katz import op9_katz_backoff
 from foreshock.llm.licenses import op3_dice_licenses
 from foreshock.llm.mixing import ORACLE_OP2, op2_pareto_mix
@@ -30,4 +30,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_template_decontamination": op10_template_decontamination,
 }
 
-ORACLES: dict[str, str] = {"op2_pareto_mix": ORACLE_OP2, "op4_min_max_near_duplicates": ORACLE_OP4, "op5_fingerprint_chat": ORACLE_OP5, "op6_repetition_coverage": ORACLE_OP6}
+ORACLES: dict[str, str] = {"op2_pareto_mix": ORACLE_OP2, "op4_min_max_near_duplicates": ORACLE_OP4, "op5_fingerprint_chat": ORACLE_OP5, "op6_repetition_coverage": ORACLE_OP6, "op10_template_decontamination": ORACLE_OP10}
