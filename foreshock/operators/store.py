@@ -37,7 +37,9 @@ def melt(wide: DataFrame) -> DataFrame:
 
 def write_features(features: DataFrame, path: str) -> None:
     month = F.date_format(F.timestamp_seconds("win_end"), "yyyy-MM")
-    features.withColumn("month", month).write.mode("append").partitionBy("month", "calculator").parquet(path)
+    paged = features.withColumn("month", month)
+    paged = paged.repartition("month", "calculator", F.pmod(F.hash("station"), F.lit(16)))  # few files a folder, hot stations apart
+    paged.write.mode("append").partitionBy("month", "calculator").parquet(path)
 
 
 def read_features(

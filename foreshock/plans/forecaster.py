@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import time
+import uuid
 from collections.abc import Iterable, Sequence
 
 from py4j.protocol import Py4JJavaError
@@ -60,9 +62,14 @@ class SensorSeries:
     def year_panel(self, names: Sequence[str] = ("rsam",)) -> DataFrame:
         return explore.year_panel(self.streams(names), self.events, names)
 
+_SELECTED = "model_id BIGINT, rank INT, feature STRING, p_value DOUBLE"
+_RUNS = "run STRING, classifier STRING, n_models BIGINT, trained_us BIGINT"
+
 
 class EventForecaster:
-    """Forecast model of one window geometry. ``root`` is the folder (on a cluster: shared) for its tables."""
+    """Forecast model of one window geometry. ``root`` is the folder (on a cluster: shared) for its tables, a new one where
+    none is given. Tables are kept by geometry and streams, models by classifier and votes by training run, so a folder may serve several
+    forecasters, a new one finds the models of an earlier one, and training anew leaves old votes behind."""
 
     def __init__(
         self, data: SensorSeries, window: float, overlap: float, look_forward: float,
@@ -73,9 +80,10 @@ class EventForecaster:
         self.spark = data.series.sparkSession
         self.ti, self.tf = (None if t is None else to_seconds(t) for t in (ti, tf))
         self._check_range()
-        self.root = root or tables.work_dir(self.spark)
+        self.root = root or os.path.join(tables.work_dir(self.spark), f"forecaster-{uuid.uuid4().hex}")
         self.classifier: str | None = None
         self.n_models = 0
+        self.run: str | None = None
 
     def _check_range(self) -> None:
         """A requested range must lie inside the data; the extent is two numbers over all stations."""
@@ -88,7 +96,8 @@ class EventForecaster:
             raise ValueError(f"the range asked for begins at {self.ti}, before the first reading at {first * STEP_SECONDS}")
 
     def _path(self, *names: str) -> str:
-        return os.path.join(self.root, *names)
+        kind = f"w{self.geom.window}_o{self.geom.overlap}_f{self.geom.look_forward}_{'-'.join(self.streams)}"
+        return os.path.join(self.root, kind, *names)
 
     def _stored(self, name: str, schema: str) -> DataFrame | None:
         try:
@@ -124,7 +133,8 @@ class EventForecaster:
             if left:
                 new = extract_features(self._derived(), self.geom, self.streams, left, (), ti, tf)
                 store.write_features(new.join(missing, ["station", "win_end", "calculator"], "left_semi"), path)
-        rows = store.read_features(self.spark, path, None, None, wanted)
+        first, last = labelled.agg(F.min("win_end"), F.max("win_end")).first()  # prunes months
+        rows = store.read_features(self.spark, path, first, None if last is None else last + 1, wanted)
         features = rows.join(labelled.select("station", "win_end"), ["station", "win_end"], "left_semi")
         return store.impute(selection.drop_features(features, drop, ALL_CALCULATORS)), labelled
 
@@ -142,8 +152,9 @@ class EventForecaster:
         ``retrain``. ``grid`` replaces the classifier's search grid."""
         points = grid or models.grid_points(classifier)
         self.classifier, self.n_models = classifier, Ncl
-        held = None if retrain else self._stored("selected", "model_id BIGINT, rank INT, feature STRING, p_value DOUBLE")
+        held = None if retrain else self._stored(f"selected_{classifier}", _SELECTED)
         if held is not None and held.select("model_id").distinct().count() >= Ncl and self._has_model():
+            self._find_run(classifier)
             return selection.feature_frequency(held)
         features, labelled = self.get_features(ti, tf, drop_features, compute_only_features)
         if use_only_features:
@@ -154,12 +165,26 @@ class EventForecaster:
         samples = cut_lineage(sampling.undersample(labelled, Ncl, random_seed))
         stats = selection.mann_whitney(selection.ranked_values(samples, features))
         picked = cut_lineage(selection.select_topk(selection.p_values(stats), Nfts))
-        tables.write_feature_lists(picked, self._path("selected"))
+        tables.write_feature_lists(picked, self._path(f"selected_{classifier}"))
         rows = cut_lineage(models.training_rows(samples, features, picked))
         folds = sampling.shuffle_split(samples, seed=random_seed)
         self._fit(rows, samples, folds, points, Nfts)
+        self.run = uuid.uuid4().hex
+        run = self.spark.createDataFrame([(self.run, classifier, Ncl, time.time_ns() // 1000)], _RUNS)
+        run.write.mode("append").parquet(self._path("runs"))
         return selection.feature_frequency(picked)
 
+    def _find_run(self, classifier: str | None = None) -> bool:
+        """Take up the latest training run, of any classifier or of one."""
+        runs = self._stored("runs", _RUNS)
+        if runs is None:
+            return False
+        latest = (runs if classifier is None else runs.filter(F.col("classifier") == classifier)).orderBy(F.desc("trained_us")).first()
+        if latest is None:
+            return False
+        self.run, self.classifier, self.n_models = latest["run"], latest["classifier"], latest["n_models"]
+        return True
+
     def _has_model(self) -> bool:
         name = f"models_{self.classifier}"
         if self.classifier in ("DT", "NB", "KNN"):
@@ -216,14 +241,16 @@ class EventForecaster:
         return models.estimator_votes(inputs, self._load_estimators())
 
     def _picked(self) -> DataFrame:
-        picked = self._stored("selected", "model_id BIGINT, rank INT, feature STRING, p_value DOUBLE")
-        if picked is None or self.classifier is None:
+        if self.classifier is None and not self._find_run():
+            raise ValueError("no fitted models yet: call train() first")
+        picked = self._stored(f"selected_{self.classifier}", _SELECTED)
+        if picked is None:
             raise ValueError("no fitted models yet: call train() first")
         return picked
 
     def forecast(self, ti=None, tf=None, recalculate: bool = False, _predictions: str = "predictions") -> DataFrame:
         """Consensus ``station, win_end, consensus``. Stored votes are kept; only missing ones are computed."""
-        picked = self._picked()
+        picked, _predictions = self._picked(), f"{_predictions}_{self.classifier}_{self.run}"
         calculators = [r["calculator"] for r in selection.distinct_calculators(picked).collect()]
         features, labelled = self.get_features(ti, tf, (), calculators)
         held = None if recalculate else self._stored(_predictions, "model_id BIGINT, win_end BIGINT, pred DOUBLE, station BIGINT")

@@ -56,6 +56,25 @@ def test_trees_are_trained_and_reused(forecaster):
     assert first == sorted(map(tuple, forecaster.forecast(recalculate=True).collect()))
 
 
+def test_stored_models_are_found_and_retraining_drops_votes(forecaster):
+    forecaster.train(Nfts=4, Ncl=5, classifier="NB", compute_only_features=CALCS, retrain=True)
+    first = sorted(map(tuple, forecaster.forecast().collect()))
+    other = EventForecaster(forecaster.data, 1.0, 0.75, 2.0, data_streams=["rsam", "log_mf"], root=forecaster.root)
+    assert sorted(map(tuple, other.forecast().collect())) == first and other.run == forecaster.run
+    forecaster.train(Nfts=2, Ncl=3, classifier="NB", compute_only_features=CALCS, retrain=True, random_seed=7)
+    assert forecaster.run != other.run
+    second = sorted(map(tuple, forecaster.forecast().collect()))
+    assert second != first and second == sorted(map(tuple, forecaster.forecast(recalculate=True).collect()))
+
+
+def test_geometries_do_not_share_tables(forecaster):
+    wide = EventForecaster(forecaster.data, 2.0, 0.75, 2.0, data_streams=["rsam", "log_mf"], root=forecaster.root)
+    narrow, _ = forecaster.get_features(compute_only_features=CALCS)
+    assert wide.get_features(compute_only_features=CALCS)[0].count() != narrow.count()
+    with pytest.raises(ValueError):
+        wide.forecast()
+
+
 def test_range_outside_data_is_an_error(forecaster):
     with pytest.raises(ValueError):
         EventForecaster(forecaster.data, 1.0, 0.75, 2.0, tf=(BASE + 10**6) * 600)
