@@ -149,7 +149,7 @@ def _collector(lookup: Lookup, marks: np.ndarray):
             for at, texts in slices(batch.column("text")):
                 owner, feature, times = _matrix(texts, lookup)
                 bounds = np.searchsorted(owner, np.arange(len(texts) + 1)).astype(np.int32)
-                telling = np.bincount(owner, times * marks[feature], len(texts))
+                telling = np.bincount(owner, times * marks[feature], len(texts)).astype(float)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("label").slice(at, len(texts)), pa.array(telling),
