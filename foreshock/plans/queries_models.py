@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from foreshock.config import SIGNALS, Geometry
@@ -11,7 +13,7 @@ from foreshock.operators import consensus as votes
 from foreshock.operators import features_agg, features_arrow, labels, models, sampling, selection, store, trees, windows
 from foreshock.plans.catalog import query, sql, sql_num, sql_out, tidy
 from foreshock.sources import landing
-from foreshock.sources.tables import cut_lineage
+from foreshock.sources.tables import cut_lineage, work_dir
 
 GEOM = Geometry(window=2.0, overlap=0.75, look_forward=2.0)
 N_MODELS, SEED, TOP = 100, 0, 20
@@ -205,7 +207,10 @@ def feature_cols_missing(spark, sf_dir):
     ),
 )
 def feature_store_trim(spark, sf_dir):
-    held = store.trim_store(features(spark, sf_dir), 1704900000, SPLIT_AT, ["mean", "maximum"])
+    """The features go to a store by month and calculator; the read prunes both."""
+    path = f"{work_dir(spark)}/features-{uuid.uuid4().hex}"
+    store.write_features(features(spark, sf_dir), path)
+    held = store.read_features(spark, path, 1704900000, SPLIT_AT, ["mean", "maximum"])
     return held.select("station", "win_end", "feature", "value")
 
 

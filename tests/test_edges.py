@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from foreshock.config import Geometry
 from foreshock.functions.numbers import snap
-from foreshock.operators import evaluate, labels
+from foreshock.operators import evaluate, labels, store
 from foreshock.plans.catalog import tidy
 
 NAN, INF = float("nan"), float("inf")
@@ -57,3 +57,14 @@ def test_windows_without_consensus_stay_in_the_score(spark):
     full = evaluate.alert_score(*scores(spark, [0.9, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0], [0.5]), threshold=0.5).first()
     gaps = evaluate.alert_score(*scores(spark, [0.9, None, NAN, 0.0, None, 0.0, 0.0, 0.0], [0.5]), threshold=0.5).first()
     assert full == gaps
+
+
+def test_store_reads_prune_months_and_calculators(spark, tmp_path):
+    rows = [(s, 1_704_067_200 + d * 86400, "rsam", "", f"rsam__{c}", 1.0, c) for s in (1, 2) for d in range(60) for c in ("mean", "median")]
+    df = spark.createDataFrame(rows, "station BIGINT, win_end BIGINT, stream STRING, params STRING, feature STRING, value DOUBLE, calculator STRING")
+    store.write_features(df, str(tmp_path / "store"))
+    held = store.read_features(spark, str(tmp_path / "store"), 1_704_067_200 + 40 * 86400, None, ["mean"])
+    assert held.count() == 2 * 20
+    plan = held._jdf.queryExecution().executedPlan().toString()
+    filters = next(line for line in plan.split("\n") if "PartitionFilters" in line).split("PartitionFilters")[1]
+    assert "month" in filters and "calculator" in filters
