@@ -45,9 +45,9 @@ K = 5
 #: Mass that larger counts give up.
 TAIL = 1e-3
 #: Tokens and texts of a chunk at most (a longer text is a chunk of its own).
-CHUNK_TOKENS, CHUNK_TEXTS = 1_500_000, 60_000
+CHUNK_TOKENS, CHUNK_TEXTS = 1_200_000, 60_000
 #: Tokens for which one bucket is planned.
-BUCKET_TOKENS = 2_000_000
+BUCKET_TOKENS = 1_500_000
 
 START, END = (int(x) for x in seeds(2, 31))
 CHUNKS = "bucket INT, chunk BIGINT, held BOOLEAN, payload BINARY"
