@@ -258,6 +258,16 @@ def test_leaks_verbatim_reworded_and_inconsistent(spark):
     assert decontaminate.leaks(df, bench.limit(0)).collect() == [] and decontaminate.without_leaks(df.limit(0), bench).collect() == []
 
 
+def test_leaks_whose_values_are_wrapped_or_changed_once(spark):
+    item = "A train leaves Paris at 12 and meets Anna after 12 hours while Bob told Anna of the PARIS office near the old bridge of the town"
+    cases = [item, item.replace("told Anna", "told\nAnna"), item.replace("told Anna", "told  Anna"), item.replace("after 12", "after 15")]
+    cases += [item.replace("Bob", "Anna"), item.replace("Anna", "Carla").replace("12", "15")]
+    cases += [item.replace("meets Anna", "meets Carla").replace("told Anna", "told Dora").replace("12", "15", 1).replace("after 12", "after 17")]
+    df = spark.createDataFrame([(k, "so it goes, " * 5 + t) for k, t in enumerate(cases)], "doc_id BIGINT, text STRING")
+    got = {r.doc_id: r for r in decontaminate.leaks(df, spark.createDataFrame([(1, item)], "item_id BIGINT, text STRING")).collect()}
+    assert set(got) == set(range(6)) and all(r.n_matched == r.n_tokens for r in got.values())
+
+
 def test_digest_of_probe_is_that_of_the_contract():
     want = hashlib.sha256("".join(f"{r}\n{chat.PROBE}\n" for r in ("user", "assistant")).encode()).hexdigest()
     con = duckdb.connect()
