@@ -268,6 +268,22 @@ def test_leaks_whose_values_are_wrapped_or_changed_once(spark):
     assert set(got) == set(range(6)) and all(r.n_matched == r.n_tokens for r in got.values())
 
 
+def test_edited_leaks_are_found_at_every_position(spark):
+    rng = random.Random(6)
+    words = lambda n: ["".join(rng.choice("abcdefgh") for _ in range(7)) for _ in range(n)]
+    texts, docs = {1: words(21), 2: words(10)}, []
+    texts[3] = [x for k, w in enumerate(words(6)) for x in (f"{k + 3}", f"{k + 50}", f"{k + 70}", w)]  # three placeholders of four
+    for shift in range(8):
+        before = words(5 + shift)
+        docs.append((1, [*before, *(x if i not in (3, 10, 17) else "other" for i, x in enumerate(texts[1])), "end"]))
+        docs += [(2, [*before, *(x if i != at else "other" for i, x in enumerate(texts[2]))]) for at in range(10)]
+        docs.append((3, [*before, *(f"1{x}" if x.isdigit() else x for x in texts[3])]))
+    df = spark.createDataFrame([(k, " ".join(t)) for k, (_, t) in enumerate(docs)], "doc_id BIGINT, text STRING")
+    bench = spark.createDataFrame([(k, " ".join(t)) for k, t in texts.items()], "item_id BIGINT, text STRING")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(df, bench).collect()}
+    assert got == {(k, item) for k, (item, _) in enumerate(docs)}
+
+
 def test_digest_of_probe_is_that_of_the_contract():
     want = hashlib.sha256("".join(f"{r}\n{chat.PROBE}\n" for r in ("user", "assistant")).encode()).hexdigest()
     con = duckdb.connect()
