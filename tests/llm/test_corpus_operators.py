@@ -284,6 +284,20 @@ def test_edited_leaks_are_found_at_every_position(spark):
     assert got == {(k, item) for k, (item, _) in enumerate(docs)}
 
 
+def test_leaks_with_words_put_in_or_left_out(spark):
+    rng = random.Random(8)
+    words = lambda n: ["".join(rng.choice("abcdefgh") for _ in range(7)) for _ in range(n)]
+    item, before = words(40), words(9)
+    item[7], item[15], item[33] = "Anna", "12", "Anna"
+    longer = [w for x in item for w in (("Mary", "Jane") if x == "Anna" else (x,))]
+    cases = [[*item[:20], "extra", *item[20:]], [*item[:20], *item[21:]], longer, [*item[:13], *words(40), *item[13:]], item[::-1], item]
+    df = spark.createDataFrame([(k, " ".join([*before, *c, *before])) for k, c in enumerate(cases)], "doc_id BIGINT, text STRING")
+    df = df.unionByName(df.selectExpr("doc_id + 10", f"substr(text, {len(' '.join(before)) + 2}) AS text").toDF("doc_id", "text"))
+    got = {r.doc_id: r for r in decontaminate.leaks(df, spark.createDataFrame([(1, " ".join(item))], "item_id BIGINT, text STRING")).collect()}
+    assert set(got) == {0, 1, 2, 5, 10, 11, 12, 15}
+    assert [got[k].n_matched for k in (0, 1, 2, 5)] == [40, 39, 40, 40] and all(got[k].start == 9 and got[k + 10].start == 0 for k in (0, 1, 2, 5))
+
+
 def test_digest_of_probe_is_that_of_the_contract():
     want = hashlib.sha256("".join(f"{r}\n{chat.PROBE}\n" for r in ("user", "assistant")).encode()).hexdigest()
     con = duckdb.connect()
