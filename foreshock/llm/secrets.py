@@ -2,9 +2,11 @@
 take many guesses.
 
 The number of guesses is the cheapest way to write a value as a row of parts: common words, dates, repeats, keyboard walks
-and brute-force spans. Each part costs the logarithm of its guesses, each further part a constant, and dynamic
+and brute-force spans; letters that read like one word count as a word. Each part costs the logarithm of its guesses, each further part a constant, and dynamic
 programming over positions finds the minimum. ``hunter`` plus a year is cheap; random characters cost their whole length.
 
+A value that reaches beyond the base spans is added whole, so spans may overlap.
+
 Defined results: null and empty texts have no spans (the digest of the empty string). Repeated rows each get their row, null
 ids stay null, and only id and text are read. Positions are code points of the whole text.
 """
@@ -14,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,15 +32,17 @@ MIN_VALUE, MIN_ACCESS, MIN_HEX = 6, 20, 24
 MIN_LOG_GUESSES = 8.0
 #: Log10 of the guesses that each part after the first adds.
 PART_COST = 0.5
+#: Log10 of the guesses for a value that reads like one word of a language.
+WORD_COST = 6.0
 
 # The base patterns.
 ASSIGN = re.compile(rb"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 HEX_DIGITS = b"0123456789abcdef"
 
-# Words of a wider credential context, and what may stand between them and the value.
+# Words of a wider credential context (names may end in them, as DB_PASS), and what may stand between them and the value.
 CONTEXT = re.compile(
-    rb"""(?i:\b(?:pwd|pass|passphrase|passcode|password|passwd|secret|token|credentials?|auth|authorization|bearer|private[_-]?key"""
+    rb"""(?i:(?:pwd|pass|passphrase|passcode|password|passwd|secret|token|credentials?|auth|authorization|bearer|private[_-]?key"""
     rb"""|access[_-]?key|secret[_-]?key|client[_-]?secret|api[_-]?key)\b)["']?(?:[ \t]*(?:[:=]|=>|\bis\b)[ \t]*|[ \t]+(?=["']))["']?(?:(?i:bearer|basic)[ \t]+)?([^\s"'<>,;]+)"""
 )
 HINTS = (b"pass", b"pwd", b"secret", b"token", b"credential", b"auth", b"bearer", b"key")
@@ -61,6 +66,7 @@ _RANK = {w: i + 1 for i, w in enumerate(COMMON)}
 _LONGEST = max(map(len, COMMON))
 _NEXT = {a + b for row in ROWS for a, b in zip(row, row[1:])} | {b + a for row in ROWS for a, b in zip(row, row[1:])}
 _DATE = re.compile(r"(?:19|20)\d\d|[0-3]?\d[./-][0-3]?\d[./-](?:19|20)?\d\d|(?:19|20)\d\d[./-]?[0-1]\d[./-]?[0-3]\d|[0-3]\d[0-1]\d(?:19|20)\d\d")
+_UNLIKE_WORD = re.compile(r"[bcdfghjklmnpqrstvwxz]{6}|[aeiouy]{5}|^[^aeiouy]*$|q[^u]|(.)\1\1")
 _LEET = str.maketrans("04315@$!7", "oaeisasit")
 _HEX = np.zeros(256, bool)
 _HEX[list(HEX_DIGITS)] = True
@@ -83,6 +89,8 @@ def log_guesses(value: str) -> float:
         found = _DATE.match(value, i)
         if found:
             parts[found.end()].append((i, math.log10(120) if found.end() - i == 4 else math.log10(120 * 365)))
+    if like_word(value):
+        parts[n].append((0, WORD_COST))
     _chains(parts, n, lambda i: low[i : i + 2] in _NEXT, lambda k: math.log10(40 * k))
     for unit in range(1, 9):
         same = lambda i, u=unit: value[i] == value[i + u]
@@ -94,6 +102,14 @@ def log_guesses(value: str) -> float:
     return best[n]
 
 
+def like_word(value: str) -> bool:
+    """Whether letters alone read like one word: no mixed case, no long row of consonants or vowels. Other scripts have neither."""
+    if not value.isalpha() or value[1:] not in (value[1:].lower(), value[1:].upper()):
+        return False
+    plain = "".join(c for c in unicodedata.normalize("NFD", value.lower()) if not unicodedata.combining(c))
+    return not plain.isascii() or not _UNLIKE_WORD.search(plain)
+
+
 def _chains(parts, n: int, linked, cost, extra: int = 0, least: int = 2) -> None:
     """Parts from maximal chains of linked positions."""
     i = 0
@@ -116,12 +132,20 @@ def scan(text: bytes, hexes: list[tuple[int, int]]) -> list[tuple[str, int, int]
         i, j = m.span(1)
         value = m[1].decode(errors="replace").rstrip(".!?)")
         j = i + len(value.encode())
-        if len(value) >= MIN_VALUE and not any(a < j and i < b for a, b in covered) and "\ufffd" not in value:
-            if any(c.isdigit() or not c.isalnum() for c in value) and log_guesses(value) >= MIN_LOG_GUESSES:
+        if len(value) >= MIN_VALUE and not _within(i, j, covered) and "\ufffd" not in value:
+            if log_guesses(value) >= MIN_LOG_GUESSES:
                 spans.append(("guess", i, j))
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
+def _within(i: int, j: int, covered: list[tuple[int, int]]) -> bool:
+    """Whether sorted spans cover a span wholly."""
+    for a, b in covered:
+        if a <= i < b:
+            i = b
+    return i >= j
+
+
 def spans_of(texts: Texts) -> dict[int, list[tuple[str, int, int]]]:
     """Spans in bytes of the texts that have any, by text."""
     hexes: dict[int, list] = {}

@@ -127,6 +127,18 @@ def test_masking_replaces_spans_only(spark):
     assert got[10] == "pwd: [SECRET]" and df.columns == ["doc_id", "text", "source", "lang", "n_words"]
 
 
+def test_values_beyond_base_spans_after_prefixes_and_of_letters(spark):
+    texts = [
+        "password=hunter2!Xk9$vQz7#Lw end", "AWS_SECRET_ACCESS_KEY=wJalrXUtnFEMI/K7MDENG", "DB_PASS=q8wZ5tyLmiop x", "MYSQL_PWD: q8wZ5tyLmiop",
+        "passphrase: qXzRtLmVbNwPkJhGdS", "token=abcdefgh12345678", "the password is incorrect", "secret: Zusammenfassung", "passcode: everything.", "pass: akqmdkrzpslw",
+    ]
+    df = spark.createDataFrame(rows(texts), DOCS)
+    got = {r.doc_id: r for r in secrets.secret_spans(df).collect()}
+    assert [got[i].n_added for i in range(10)] == [1, 1, 1, 1, 1, 0, 0, 0, 0, 1] and got[0].spans == "assign:0:16,guess:9:28"
+    masked = {r.doc_id: r.text for r in secrets.mask_secrets(df).collect()}
+    assert masked[0] == "[SECRET] end" and masked[2] == "DB_PASS=[SECRET] x" and masked[4] == "passphrase: [SECRET]" and masked[8] == texts[8]
+
+
 @pytest.mark.parametrize("weak, strong", [("password", "7602ad27cf55"), ("qwertyuiop", "q8wZ5ty#iop"), ("aaaaaaaaaaaa", "akqmdkrzpslw"), ("12.05.1998", "1720591983")])
 def test_guess_cost_order(weak, strong):
     assert secrets.log_guesses(weak) < secrets.log_guesses(strong)
