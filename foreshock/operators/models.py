@@ -12,12 +12,7 @@ from itertools import product
 
 from pyspark.errors import ArithmeticException, IllegalArgumentException
 from pyspark.ml import Transformer
-from pyspark.ml.classification import (
-    LinearSVC,
-    LogisticRegression,
-    MultilayerPerceptronClassifier,
-    RandomForestClassifier,
-)
+from pyspark.ml.classification import MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -261,12 +256,6 @@ def make_estimator(code: str, point: dict, n_features: int, n_rows: int):
             numTrees=trees, bootstrap=trees > 1, maxDepth=point["max_depth"], impurity=point["criterion"],
             featureSubsetStrategy=share, weightCol="weight", seed=0, **columns,
         )
-    if code == "LR":
-        return LogisticRegression(
-            elasticNetParam=0.0, regParam=1.0 / (point["C"] * n_rows), standardization=False, weightCol="weight", **columns
-        )
-    if code == "SVM":
-        return LinearSVC(regParam=1.0 / (point["C"] * n_rows), standardization=False, weightCol="weight", **columns)
     if code == "NN":
         return MultilayerPerceptronClassifier(layers=[n_features, point["hidden_layer_sizes"], 2], maxIter=200, seed=0, **columns)
     raise ValueError(f"unknown classifier code {code!r}")

@@ -9,18 +9,13 @@ from collections.abc import Iterable, Sequence
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
-from pyspark.ml.classification import (
-    LinearSVCModel,
-    LogisticRegressionModel,
-    MultilayerPerceptronClassificationModel,
-    RandomForestClassificationModel,
-)
+from pyspark.ml.classification import MultilayerPerceptronClassificationModel, RandomForestClassificationModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foreshock.config import SIGNALS, STEP_SECONDS, Geometry
 from foreshock.functions.times import to_seconds
-from foreshock.operators import alerts, consensus, evaluate, explore, grid, labels, models, sampling, selection, store, trees, windows
+from foreshock.operators import alerts, consensus, evaluate, explore, grid, labels, linear, models, sampling, selection, store, trees, windows
 from foreshock.operators.transforms import check_streams, with_streams
 from foreshock.plans.extract import ALL_CALCULATORS, extract_features
 from foreshock.sources import tables
@@ -28,8 +23,6 @@ from foreshock.sources.tables import cut_lineage
 
 _LOADERS = {
     "RF": RandomForestClassificationModel,
-    "LR": LogisticRegressionModel,
-    "SVM": LinearSVCModel,
     "NN": MultilayerPerceptronClassificationModel,
 }
 
@@ -187,7 +180,7 @@ class EventForecaster:
 
     def _has_model(self) -> bool:
         name = f"models_{self.classifier}"
-        if self.classifier in ("DT", "NB", "KNN"):
+        if self.classifier not in _LOADERS:
             try:
                 self.spark.read.parquet(self._path(name))
                 return True
@@ -216,6 +209,10 @@ class EventForecaster:
             best = models.search_neighbours(rows, folds, points)
             blocks = models.neighbour_blocks(rows)
             blocks.join(best, "model_id").write.mode("overwrite").parquet(path)
+        elif self.classifier in linear.LOSSES:
+            fitted, searched = linear.search_linear(rows, folds, self.classifier, points)
+            searched.write.mode("overwrite").parquet(self._path(f"search_{self.classifier}"))
+            fitted.write.mode("overwrite").parquet(path)
         else:
             weights = sampling.class_weights(samples)
             fitted = models.fit_estimators(rows, weights, folds, self.classifier, self.n_models, n_features, points)
@@ -235,6 +232,8 @@ class EventForecaster:
             return trees.predict_rules(features, self.spark.read.parquet(path))
         if self.classifier == "NB":
             return models.bayes_votes(features, self.spark.read.parquet(path))
+        if self.classifier in linear.LOSSES:
+            return linear.linear_votes(features, self.spark.read.parquet(path))
         inputs = models.input_rows(features, picked)
         if self.classifier == "KNN":
             return models.searched_neighbour_votes(inputs, self.spark.read.parquet(path))

@@ -10,7 +10,7 @@ from foreshock.config import SIGNALS, Geometry
 from foreshock.functions.names import feature_line
 from foreshock.functions.numbers import log10_signed
 from foreshock.operators import consensus as votes
-from foreshock.operators import features_agg, features_arrow, labels, models, sampling, selection, store, trees, windows
+from foreshock.operators import features_agg, features_arrow, labels, linear, models, sampling, selection, store, trees, windows
 from foreshock.plans.catalog import query, sql, sql_num, sql_out, tidy
 from foreshock.sources import landing
 from foreshock.sources.tables import cut_lineage, work_dir
@@ -482,16 +482,22 @@ def knn_vote(spark, sf_dir):
     return models.neighbour_votes(models.input_rows(feats, chosen), models.neighbour_blocks(rows), k=3, p=2)
 
 
+def _linear_votes(spark, sf_dir, kind):
+    feats, rows, drawn = _training(spark, sf_dir)
+    folded = cut_lineage(sampling.shuffle_split(drawn, seed=SEED))
+    return linear.linear_votes(feats, linear.search_linear(rows, folded, kind, models.grid_points(kind))[0])
+
+
 @query("logistic_vote")
 def logistic_vote(spark, sf_dir):
-    """Logistic regression of the first two models on all windows."""
-    feats, rows, _ = _training(spark, sf_dir)
-    rows = cut_lineage(rows.filter("model_id < 2"))
-    sample = rows.select("model_id", "station", "win_end", "label").distinct()
-    fitted = models.fit_estimators(
-        rows, sampling.class_weights(sample), sampling.shuffle_split(sample, 2), "LR", 2, TOP, [{"C": 0.1}, {"C": 1}], 2
-    )
-    return models.estimator_votes(models.input_rows(feats, rows.select("model_id", "feature").distinct()), fitted)
+    """Logistic regression, the whole grid on all folds of all models; checked against a plain solver in the tests."""
+    return _linear_votes(spark, sf_dir, "LR")
+
+
+@query("svm_vote")
+def svm_vote(spark, sf_dir):
+    """Linear support vectors, likewise."""
+    return _linear_votes(spark, sf_dir, "SVM")
 
 
 @query("feat_fft")

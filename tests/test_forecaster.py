@@ -2,7 +2,7 @@
 
 import numpy as np
 import pytest
-from conftest import make_series
+from series_rows import make_series
 
 from foreshock.plans.forecaster import EventForecaster, SensorSeries
 

@@ -3,7 +3,7 @@
 import numpy as np
 import pandas as pd
 import pytest
-from conftest import make_series
+from series_rows import make_series
 from pyspark.sql import functions as F
 
 from foreshock.config import Geometry
