@@ -12,12 +12,13 @@ are trusted); where the counts of counts do not give shares between 0 and 1, abs
 
 so the probabilities of all words after any context add up to one exactly.
 
-How it runs. Each task turns its texts into chunks: the distinct pairs with the texts they occur in. Chunks are
-cut by the second word and written as a table partitioned by that bucket, so a bucket knows the full count of its words and pairs. A bucket
-adds up, for each text of a chunk, the parts of the score that it knows; the parts that depend on discounts are
-kept as numbers of occurrences by count, so one pass over the pairs does. For pairs never seen, the context and
+How it runs. A first pass counts words. Each task then turns its texts into chunks: the distinct pairs with the texts they occur in and
+how often. Chunks are cut into buckets by the second word, so a bucket knows the full count of its words and pairs; words with more than
+``HOT_TOKENS`` tokens (at most four a planned bucket) are cut by the first word as well, and their counts, known from the first pass, go
+to all tasks. A bucket adds up, for each text of a chunk, the parts of the score that it knows; the parts that depend on discounts are
+kept as numbers of occurrences by count, so one pass over the pairs does; these are written as a table. For pairs never seen, the context and
 the text go to a second table cut by context, where the sums over the context's seen words meet and give the
-backoff weight. A hot word or pair is one entry per chunk however often it occurs.
+backoff weight. A pair is one entry per chunk, and one small entry per text that has it, however often it occurs there.
 
 Defined results: a null or empty text is just its end token; rows are scored one by one, whatever their ids;
 rows without id count as training rows; with no training text every probability is that of the unknown word,
@@ -26,6 +27,7 @@ score and base score follow the same formulas. Words are held as 64-bit hashes.
 
 from __future__ import annotations
 
+import gc
 import json
 import zlib
 from collections.abc import Iterator
@@ -46,8 +48,9 @@ K = 5
 TAIL = 1e-3
 #: Tokens and texts of a chunk at most (a longer text is a chunk of its own).
 CHUNK_TOKENS, CHUNK_TEXTS = 1_200_000, 60_000
-#: Tokens for which one bucket is planned.
+#: Tokens for which one bucket is planned, and those from which a word is dealt over all buckets.
 BUCKET_TOKENS = 1_500_000
+HOT_TOKENS = BUCKET_TOKENS // 4
 
 START, END = (int(x) for x in seeds(2, 31))
 CHUNKS = "bucket INT, chunk BIGINT, held BOOLEAN, payload BINARY"
@@ -96,6 +99,15 @@ def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return ((hashes >> np.uint64(40)) % np.uint64(buckets)).astype(np.int32)
 
 
+def pair_bucket(words: np.ndarray, before: np.ndarray, hot: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket of each pair: that of its word, for hot words (sorted) one by the word before."""
+    place = bucket_of(words, buckets)
+    if len(hot):
+        found = hot[np.minimum(np.searchsorted(hot, words), len(hot) - 1)] == words
+        place[found] = bucket_of(mix(before[found] ^ mix(words[found])), buckets)
+    return place
+
+
 # ---- chunks ----------------------------------------------------------------------------------------------
 
 
@@ -173,9 +185,8 @@ def _words_emitter(buckets: int):
     return emit
 
 
-def _pairs_emitter(buckets: int):
-    """Distinct pairs of a chunk with the texts they occur in, cut by the second word. The bucket of the end token,
-    which every text has, also gets the ids."""
+def _pairs_emitter(buckets: int, hot: np.ndarray):
+    """Distinct pairs of a chunk with the texts they occur in and how often, cut by the second word. One bucket of the chunk also gets the ids."""
 
     def emit(chunk, held, ids, words, counts):
         ends = np.cumsum(counts)
@@ -183,21 +194,24 @@ def _pairs_emitter(buckets: int):
         before = np.empty_like(words)
         before[1:] = words[:-1]
         before[ends - counts] = START
-        place = bucket_of(words, buckets)
+        place = pair_bucket(words, before, hot, buckets)
         by_bucket = np.argsort(narrow(place), kind="stable")
         cut = np.searchsorted(place[by_bucket], np.arange(buckets + 1))
         home = int(bucket_of(np.array([END], np.uint64), buckets)[0])
         for b in sorted({*np.flatnonzero(np.diff(cut)).tolist(), home}):
             rows = by_bucket[cut[b] : cut[b + 1]]
             w, h = words[rows], before[rows]
-            order = np.argsort(h)
+            order = np.argsort(h, kind="stable")  # rows come by text
             order = order[np.argsort(w[order], kind="stable")]
             w, h, d = w[order], h[order], doc[rows][order]
+            each = runs(w, h, d)
+            times = np.diff(np.append(each, len(w)))
+            w, h, d = w[each], h[each], d[each]
             at = runs(w, h)
             first = runs(w[at])
             arrays = [
                 w[at][first], narrow(np.diff(np.append(first, len(at)))), h[at],
-                narrow(np.diff(np.append(at, len(w)))), narrow(d), np.array([len(counts)], np.uint32),
+                narrow(np.diff(np.append(at, len(w)))), narrow(d), narrow(times), np.array([len(counts)], np.uint32),
             ]
             if b == home:
                 known = np.array([i is not None for i in ids], bool)
@@ -237,14 +251,20 @@ def kept(c: np.ndarray, share: np.ndarray, tail: float = TAIL) -> np.ndarray:
 # ---- one bucket of words ---------------------------------------------------------------------------------
 
 
-def _word_totals(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    """How many words of the bucket have each count up to K + 1; 0 stands for all words, -1 for all tokens and -2 for
-    end tokens."""
-    got = [unpack(p) for p in rows["payload"]]
-    words, n = np.concatenate([g[0] for g in got]), np.concatenate([g[1].astype(np.int64) for g in got])
-    words, n = _sum_by(words, n)
-    small = np.bincount(np.minimum(n, K + 2), minlength=K + 3)
-    return pd.DataFrame({"r": [-2, -1, 0, *range(1, K + 2)], "n": [n[words == np.uint64(END)].sum(), n.sum(), len(n), *small[1 : K + 2]]})
+def _word_totals(hot_tokens: int):
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        """How many words of the bucket have each count up to K + 1; 0 stands for all words, -1 for all tokens and -2 for
+        end tokens. Hot words are rows of their own, -3 with the word."""
+        got = [unpack(p) for p in rows["payload"]]
+        words, n = np.concatenate([g[0] for g in got]), np.concatenate([g[1].astype(np.int64) for g in got])
+        words, n = _sum_by(words, n)
+        small = np.bincount(np.minimum(n, K + 2), minlength=K + 3)
+        hot = n > hot_tokens
+        r = [-2, -1, 0, *range(1, K + 2), *[-3] * int(hot.sum())]
+        counts = [n[words == np.uint64(END)].sum(), n.sum(), len(n), *small[1 : K + 2], *n[hot]]
+        return pd.DataFrame({"r": r, "word": [*[0] * (K + 4), *words[hot].view(np.int64)], "n": counts})
+
+    return run
 
 
 def _sum_by(keys: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
@@ -254,7 +274,7 @@ def _sum_by(keys: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
     return [keys[at], *(np.add.reduceat(v[order], at) if len(at) else v[:0] for v in values)]
 
 
-def _bucket_scorer(total: int, share: np.ndarray, unknown: float, context_buckets: int):
+def _bucket_scorer(total: int, share: np.ndarray, unknown: float, context_buckets: int, hot: np.ndarray, hot_counts: np.ndarray):
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         """Parts of the score by text of a chunk (kind 0, its place tells whether it is held
@@ -264,7 +284,7 @@ def _bucket_scorer(total: int, share: np.ndarray, unknown: float, context_bucket
         learn = [g for g, x in zip(got, held) if not x]
         w = np.concatenate([np.repeat(g[0], g[1]) for g in learn]) if learn else np.empty(0, np.uint64)
         h = np.concatenate([g[2] for g in learn]) if learn else np.empty(0, np.uint64)
-        c = np.concatenate([g[3].astype(np.int64) for g in learn]) if learn else np.empty(0, np.int64)
+        c = np.concatenate([_times(g) for g in learn]) if learn else np.empty(0, np.int64)
         pair = mix(w) + h * np.uint64(3)  # one 64-bit name per pair
         order = np.argsort(pair, kind="stable")
         pair, at = pair[order], runs(pair[order])
@@ -272,6 +292,8 @@ def _bucket_scorer(total: int, share: np.ndarray, unknown: float, context_bucket
         c = np.add.reduceat(c[order], at) if len(at) else c
         del pair, order, at
         words, count = _sum_by(w, c)
+        known, whole = _look(hot, hot_counts, words)
+        count = np.where(known, whole, count)  # their other pairs are elsewhere
         p1 = kept(count, share) / max(total, 1)
         small = np.bincount(np.minimum(c, K + 2), minlength=K + 3)
         out = [(4, 0, 0, pack(small[1 : K + 2]))]
@@ -291,42 +313,47 @@ def _bucket_scorer(total: int, share: np.ndarray, unknown: float, context_bucket
             out.append((1, b, 0, pack(contexts[own], mass[own], *(narrow(x[own]) for x in numbers))))
 
         for chunk, x, g in zip(rows["chunk"], held, got):
-            n = int(g[5][0])
-            doc = g[4].astype(np.int64)
+            n = int(g[6][0])
+            doc, often, texts = g[4].astype(np.int64), g[5].astype(np.int64), g[3].astype(np.int64)
             gw = np.repeat(g[0], g[1])
-            times = g[3].astype(np.int64)
             gp = mix(gw) + g[2] * np.uint64(3)
             found, cp = _look(pairs, c, gp)
-            known, cw = _look(words, count, g[0])
-            cw = np.repeat(cw, g[1])
+            known, cw = _look(hot, hot_counts, g[0])
+            cw = np.repeat(np.where(known, cw, _look(words, count, g[0])[1]), g[1])
             base = np.log10(cw + 0.5)
             own = np.where(cw > 0, -np.log10(np.maximum(cw, 1)), 0.0)  # as a context, which each word but the end is once
             own[gw == np.uint64(END)] = 0.0
             uni = np.log10(np.where(cw > 0, kept(cw, share) / max(total, 1), unknown))
             pair_part = np.where(cp > K, np.log10(np.maximum(cp - TAIL, TAIL)), np.log10(np.maximum(cp, 1)))
             value = own + np.where(cp > 0, pair_part, uni)
-            spread = lambda v: np.bincount(doc, np.repeat(v, times), n)
-            columns = [spread(value), spread(base), np.bincount(doc, minlength=n), spread((cw > 0).astype(float)).astype(np.int64)]
+            spread = lambda v: np.bincount(doc, np.repeat(v, texts) * often, n)
+            columns = [spread(value), spread(base), np.bincount(doc, often, n).astype(np.int64), spread((cw > 0).astype(float)).astype(np.int64)]
             columns[2:] = [narrow(v) for v in columns[2:]]
             columns += [narrow(spread((cp == r).astype(float)).astype(np.int64)) for r in range(1, K + 1)]
             here = np.flatnonzero(columns[2])
             columns = [v[here] for v in columns]
-            out.append((0, int(x), int(chunk), pack(narrow(here), np.array([n]), *columns, *g[6:])))
-            unseen = np.repeat(cp == 0, times)
+            out.append((0, int(x), int(chunk), pack(narrow(here), np.array([n]), *columns, *g[7:])))
+            unseen = np.repeat(cp == 0, texts)
             if unseen.any():
-                context, where = np.repeat(g[2], times)[unseen], doc[unseen]
+                context, where, met = np.repeat(g[2], texts)[unseen], doc[unseen], often[unseen]
                 place = bucket_of(context, context_buckets)
                 for b in np.unique(place).tolist():
                     sel = place == b
                     ranked = np.argsort(context[sel], kind="stable")
-                    ctx, docs = context[sel][ranked], where[sel][ranked]
+                    ctx, docs, many = context[sel][ranked], where[sel][ranked], met[sel][ranked]
                     first = runs(ctx)
-                    out.append((2, b, int(chunk), pack(ctx[first], narrow(np.diff(np.append(first, len(ctx)))), narrow(docs), np.array([n]))))
+                    out.append((2, b, int(chunk), pack(ctx[first], narrow(np.diff(np.append(first, len(ctx)))), narrow(docs), narrow(many), np.array([n]))))
         return pd.DataFrame(out, columns=["kind", "place", "chunk", "payload"])
 
     return run
 
 
+def _times(g: list[np.ndarray]) -> np.ndarray:
+    """Count of each pair of a chunk, from its counts by text."""
+    at = np.cumsum(g[3].astype(np.int64)) - g[3]
+    return np.add.reduceat(g[5].astype(np.int64), at.astype(np.int64)) if len(at) else np.empty(0, np.int64)
+
+
 def _look(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Values of wanted keys, 0 where a key is missing."""
     if not len(keys):
@@ -355,9 +382,9 @@ def _backoff(share: np.ndarray):
             weight = np.log10(left) - np.log10(np.maximum(1 - mass, 1e-300))
         out = []
         for chunk, payload in zip(rows["chunk"][rows["kind"] == 2], rows["payload"][rows["kind"] == 2]):
-            ctx, times, doc, n = unpack(payload)
+            ctx, texts, doc, often, n = unpack(payload)
             found, value = _look(contexts, weight, ctx) if len(contexts) else (None, np.zeros(len(ctx)))
-            total = np.bincount(doc.astype(np.int64), np.repeat(value, times), int(n[0]))
+            total = np.bincount(doc.astype(np.int64), np.repeat(value, texts) * often, int(n[0]))
             here = np.flatnonzero(total)
             out.append((3, 0, int(chunk), pack(narrow(here), n, total[here])))
         return pd.DataFrame(out, columns=["kind", "place", "chunk", "payload"])
@@ -398,25 +425,36 @@ RESULT = "doc_id BIGINT, held_out BOOLEAN, n_tokens BIGINT, n_known BIGINT, trai
 PARTS = "kind INT, place BIGINT, chunk BIGINT, payload BINARY"
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of data frames that are no longer held: it does so when the driver's JVM collects them."""
+    gc.collect()
+    spark.sparkContext._jvm.java.lang.System.gc()
+
+
 def katz_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs`` with its score and base score."""
     spark = docs.sparkSession
     plain = docs.selectExpr(f"CAST(`{doc_id}` AS BIGINT) AS doc_id", f"CAST(`{text}` AS STRING) AS text")
     spread = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     words = plain.mapInArrow(_chunker(_words_emitter(spread)), CHUNKS)
-    by_count = words.groupBy("bucket").applyInPandas(_word_totals, "r INT, n BIGINT").groupBy("r").agg(F.sum("n").alias("n"))
-    n = {r: int(x) for r, x in by_count.collect()}  # K + 4 numbers
+    by_count = words.groupBy("bucket").applyInPandas(_word_totals(HOT_TOKENS), "r INT, word BIGINT, n BIGINT").groupBy("r", "word").agg(F.sum("n").alias("n"))
+    rows = by_count.collect()  # K + 4 numbers and the hot words
+    n = {r: int(x) for r, word, x in rows if r > -3}
+    hot = sorted((word % (1 << 64), int(x)) for r, word, x in rows if r == -3)
+    hot, hot_counts = np.array([w for w, _ in hot], np.uint64), np.array([x for _, x in hot], np.int64)
     total, types, texts = n.get(-1, 0), n.get(0, 0), n.get(-2, 0)
     seen = [n.get(r, 0) for r in range(1, K + 2)]
     share = shares(seen)
     buckets = 1 + total // BUCKET_TOKENS
 
-    pairs = plain.mapInArrow(_chunker(_pairs_emitter(buckets)), CHUNKS)
-    scorer = _bucket_scorer(total, share, unknown_mass(total, types, share, seen), buckets)
+    scorer = _bucket_scorer(total, share, unknown_mass(total, types, share, seen), buckets, hot, hot_counts)
+    pairs = plain.mapInArrow(_chunker(_pairs_emitter(buckets, hot)), CHUNKS)
     parts = cut_lineage(pairs.groupBy("bucket").applyInPandas(scorer, PARTS))
+    del words, by_count, pairs
     counts = parts.where("kind = 4").select("payload").mapInArrow(_add_counts, "r INT, n BIGINT").groupBy("r").agg(F.sum("n"))
     m = {r: int(x) for r, x in counts.collect()}  # K + 1 numbers
     pair_share = shares([m.get(r, 0) for r in range(1, K + 2)])
+    free_shuffles(spark)  # after a later job: Spark holds on to the last one's plan
 
     weights = parts.where("kind IN (1, 2)").groupBy("place").applyInPandas(_backoff(pair_share), PARTS)
     both = parts.where("kind = 0").unionByName(weights)
