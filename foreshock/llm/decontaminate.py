@@ -1,17 +1,18 @@
 """Benchmark decontamination by template canonicalisation.
 
 Texts become tokens (numbers, and runs of letters; a capitalised word inside a sentence carries a name mark). A window of
-``n`` tokens becomes a template: lower case, numbers and names replaced by typed placeholders. Items are cut into windows side by side, of which
-there is at least one more than tokens that ``COVERAGE`` lets differ; documents have a window at every position. So wherever an item stands in a
-document, one of its windows is met whole. Windows
+``n`` tokens becomes a template: lower case, with typed placeholders for numbers, names, and units that follow a number. Items are cut into
+windows side by side, of which there is at least one more than tokens that ``COVERAGE`` lets differ; documents have a window at every
+position. So wherever an item stands in a document, one of its windows is met whole. Windows
 are joined by their hash; each hit says where the whole item would lie. There item and document are compared token by token, where that does
 not suffice also with words put in or left out (in order, at offsets that differ by no more than the tokens that may be missing), and the slots are
 checked: where values differ, equal values of the item must stand for equal values of the document and the other way round, which a
-question with other numbers or names keeps and a chance likeness breaks. Values that stand as they are (whatever their case or mark) are always
+question with other numbers, names or units keeps and a chance likeness breaks. Values that stand as they are (whatever their case or mark) are always
 consistent; ``COVERAGE`` of the slots must be, unless the tokens that stand as they are reach half-way from ``COVERAGE`` to all.
 
 Windows that consist of placeholders alone are compared as they
-stand. The windows of the benchmark are joined like any table; Spark sends them to all tasks only where their size allows.
+stand. The windows of the benchmark are joined like any table; Spark sends them to all tasks only where their size allows. A document is cut into
+tokens once, whatever the number of window lengths, and its windows are hashed as they are taken, in compiled code.
 
 Defined results: null and empty texts and items have no tokens and no hits. Repeated rows of documents with one id and text give one
 result, as do repeated items; rows without id are reported with a null id. Empty tables give an empty result. Extra columns are not read.
@@ -30,75 +31,91 @@ COVERAGE = 0.8
 
 # Units that may follow a number.
 UNITS = (
-    "mm cm m km in ft yd mi inch inches feet miles meters metres kilometers kilometres g kg mg lb lbs oz grams kilograms pounds "
-    "s sec secs second seconds min mins minute minutes h hr hrs hour hours day days week weeks month months year years "
-    "l ml liter liters litre litres gallons mph kmh usd eur gbp dollars euros cents percent degrees"
+    "mm cm m km in ft yd yard yards mi mile inch inches foot feet miles meter meters metre metres kilometer kilometers kilometre kilometres "
+    "g kg mg lb lbs oz gram grams kilogram kilograms pound pounds s sec secs second seconds min mins minute minutes h hr hrs hour hours "
+    "day days week weeks month months year years l ml liter liters litre litres gallon gallons mph kmh usd eur gbp dollar dollars euro euros "
+    "cent cents percent degree degrees"
 ).split()
 
-MARK = "§"
-NAME = r"(?<=[\p{Ll}\p{N},;] )(\p{Lu}\p{L}+)"
+MARK, NUMBER, UNIT = "§", "0", "%"
+NAME = r" (?=\p{Lu}\p{L})(?<=[\p{Ll}\p{N},;] )"  # the blank before a name
 TOKEN = rf"\p{{N}}(?:[\p{{N}}.,:/]*\p{{N}})?|{MARK}?\p{{L}}+"
-NUMBER = r"\p{N}[\p{N}.,:/]*"
 
 
 def tokens(text: Column) -> Column:
     """Tokens of a text; names begin with the mark."""
-    marked = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), MARK, " "), NAME, f"{MARK}$1")
+    marked = F.regexp_replace(F.replace(F.coalesce(text, F.lit("")), F.lit(MARK), F.lit(" ")), NAME, f" {MARK}")
     return F.regexp_extract_all(marked, F.lit(TOKEN), F.lit(0))
 
 
-def bare(x: Column) -> Column:
-    """A token without its mark, in lower case."""
-    return F.lower(F.ltrim(x, F.lit(MARK)))
+def _once(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with columns that are computed once, however often what follows uses them."""
+    return df.select("*", F.inline(F.array(F.struct(*(c.alias(name) for name, c in columns.items())))))
 
 
-def typed(x: Column) -> Column:
-    """A token with a placeholder for a number or a name."""
-    return F.when(x.rlike(r"^\p{N}"), F.lit("0")).when(x.startswith(MARK), F.lit(MARK)).otherwise(F.lower(x))
+def with_forms(df: DataFrame, text: str = "text") -> DataFrame:
+    """Tokens of ``text`` as three arrays of the same length in place of it: ``plain``, in lower case without marks, ``form``, with all
+    placeholders, and ``counted``, with those of numbers and units only. Tokens hold no blanks, so whole texts are rewritten at
+    once. Rows without tokens are left out."""
+    line = _once(df, line=F.lower(F.array_join(tokens(F.col(text)), " "))).drop(text).where("line <> ''")
+    counted = F.regexp_replace("line", r"\p{N}[^ ]*+", NUMBER)
+    measured = F.regexp_replace(counted, rf"{NUMBER} (?:{'|'.join(UNITS)})(?![^ ])", f"{NUMBER} {UNIT}")
+    bare = lambda x: F.replace(x, F.lit(MARK), F.lit(""))
+    line = _once(line, measured=measured)
+    lines = {"plain": bare(F.col("line")), "form": F.regexp_replace("measured", rf"{MARK}\p{{L}}+", MARK), "counted": bare(F.col("measured"))}
+    return _once(line, **{name: F.split(x, " ") for name, x in lines.items()}).drop("line", "measured")
 
 
-def joined(forms: Column, i: Column, n: int) -> Column:
-    """Hash of the window of ``n`` token hashes at ``i``."""
-    return F.xxhash64(*(F.get(forms, i + j) for j in range(n)))
+def slot(x: Column) -> Column:
+    return x.isin(NUMBER, MARK, UNIT)
 
 
-def document_windows(keyed: DataFrame, n: int) -> DataFrame:
-    """Windows at every position: as they stand, and with placeholders where these leave a literal token."""
-    hashed = keyed.where(F.size("words") >= n).select(
-        "doc_id", "text_hash", F.transform("words", lambda x: F.xxhash64(bare(x))).alias("plain"),
-        F.transform("words", lambda x: F.xxhash64(typed(x))).alias("form"),
-        F.transform("words", lambda x: x.rlike(rf"^(?:\p{{N}}|{MARK})")).alias("slot"),
+def document_windows(formed: DataFrame, lengths: list[int]) -> DataFrame:
+    """Windows of all lengths at every position: as they stand, with placeholders where these leave a literal token, and with names as
+    they stand beside placeholders of numbers and units (a capital letter need not make a name). Length and kind are columns, so that the compiled
+    code holds one window."""
+    kinds, places = ("plain", "form", "counted"), range(max(lengths))
+    hashed = formed.select("doc_id", "text_hash", *(F.transform(c, lambda x: F.xxhash64(x)).alias(c) for c in kinds)).where(F.size("plain") >= min(lengths))
+    cut = hashed.select("*", F.explode(F.sequence(F.lit(0), F.size("plain") - min(lengths))).alias("block"))
+    cut = cut.select("*", F.explode(F.array(*map(F.lit, lengths))).alias("n")).where("block + n <= size(plain)")
+    token = lambda c, j: F.get(c, F.col("block") + j)
+    count = lambda *slots: sum(
+        F.when((F.col("n") > j) & token("form", j).isin(*slots), 1).otherwise(0) for j in places
     )
-    starts = F.sequence(F.lit(0), F.size("plain") - n)
-    slots = lambda i: sum(F.get("slot", i + j).cast("int") for j in range(n))
-    cut = lambda c: F.transform(starts, lambda i: F.struct(i.alias("block"), joined(F.col(c), i, n).alias("key")))
-    some = F.filter(starts, lambda i: slots(i).between(1, n - 1))
-    typed_ = F.transform(some, lambda i: F.struct(i.alias("block"), joined(F.col("form"), i, n).alias("key")))
-    return hashed.select("doc_id", "text_hash", F.inline(F.concat(cut("plain"), F.when(F.exists("slot", lambda x: x), typed_).otherwise(F.array()))))
+    name, number, unit = (F.xxhash64(F.lit(x)) for x in (MARK, NUMBER, UNIT))
+    cut = cut.select("*", count(name).alias("names"), count(number, unit).alias("numbers"))
+    some, both = F.col("names") + F.col("numbers"), (F.col("names") > 0) & F.col("numbers").between(1, F.col("n") - 1)
+    kind = F.explode(F.array(F.lit(0), F.when(some.between(1, F.col("n") - 1), 1), F.when(both, 2))).alias("kind")
+    cut = cut.select("*", kind).where("kind IS NOT NULL")
+    one = [F.when(F.col("n") > j, F.when(F.col("kind") == 0, token("plain", j)).when(F.col("kind") == 1, token("form", j)).otherwise(token("counted", j))) for j in places]
+    return cut.select("doc_id", "text_hash", "block", F.xxhash64("n", *one).alias("key"))
 
 
 def item_windows(wanted: DataFrame, n: int) -> DataFrame:
     """Windows side by side, in each form that a document's window can have: a name may be marked there or not."""
     mine = wanted.where(F.col("n") == n)
-    places = F.transform(F.sequence(F.lit(0), F.floor(F.size("item") / n).cast("int") - 1), lambda k: k * n)
-    cut = mine.select("item_id", "item", F.explode(places).alias("place")).withColumn("part", F.slice("item", F.col("place") + 1, n))
-    hashes = lambda *xs: F.array_distinct(F.array(*(F.xxhash64(x) for x in xs)))
-    forms = lambda x: F.when(x.rlike(r"^\p{N}"), hashes(F.lit("0"))).when(x.rlike(rf"^{MARK}?\p{{Lu}}"), hashes(F.lit(MARK), bare(x))).otherwise(
-        hashes(bare(x))
-    )
-    rows = F.array(F.array().cast("array<bigint>"))
-    rows = F.aggregate("part", rows, lambda acc, x: F.flatten(F.transform(acc, lambda a: F.transform(forms(x), lambda f: F.concat(a, F.array(f))))))
-    plain = F.transform("part", lambda x: F.xxhash64(bare(x)))
-    each = cut.select("item_id", "place", F.explode(F.array_union(F.array(plain), rows)).alias("form"))
-    return each.select("item_id", "place", joined(F.col("form"), F.lit(0), n).alias("key")).distinct()
+    places = F.transform(F.sequence(F.lit(0), F.floor(F.size("plain") / n).cast("int") - 1), lambda k: k * n)
+    cut = mine.select("item_id", "plain", "form", "capital", F.explode(places).alias("place"))
+
+    def forms(k: Column) -> Column:
+        literal = F.get("plain", k)
+        either = F.when(F.get("capital", k), F.array(F.lit(MARK), literal)).otherwise(F.array(literal))
+        return F.when(F.get("form", k).isin(NUMBER, UNIT), F.array(F.get("form", k))).otherwise(either)
+
+    rows = F.array(F.array().cast("array<string>"))
+    spots = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.col("place") + k)
+    rows = F.aggregate(spots, rows, lambda acc, k: F.flatten(F.transform(acc, lambda a: F.transform(forms(k), lambda f: F.concat(a, F.array(f))))))
+    as_is = F.array(F.slice("plain", F.col("place") + 1, n))
+    each = cut.select("item_id", "place", F.explode(F.array_union(as_is, rows)).alias("one"))
+    return each.select("item_id", "place", F.xxhash64(F.lit(n), *(F.xxhash64(F.get("one", F.lit(j))) for j in range(n))).alias("key")).distinct()
 
 
 def items(benchmark: DataFrame, n: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
     """Items with their tokens and the length of their windows: with one more window than tokens that may differ, one is met whole."""
     plain = benchmark.selectExpr("CAST(item_id AS BIGINT) AS item_id", "CAST(text AS STRING) AS text").distinct()
-    plain = plain.select("item_id", tokens(F.col("text")).alias("item")).where("size(item) > 0")
-    edits = F.size("item") - F.ceil(F.size("item") * F.lit(coverage)).cast("int")
-    return plain.withColumn("n", F.least(F.lit(n), F.floor(F.size("item") / (edits + 1))).cast("int"))
+    plain = with_forms(plain.withColumn("capital", F.transform(tokens(F.col("text")), lambda x: x.rlike(rf"^{MARK}?\p{{Lu}}"))))
+    edits = F.size("plain") - F.ceil(F.size("plain") * F.lit(coverage)).cast("int")
+    return plain.withColumn("n", F.least(F.lit(n), F.floor(F.size("plain") / (edits + 1))).cast("int"))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
@@ -107,57 +124,70 @@ def leaks(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, coverage: floa
     wanted = cut_lineage(items(benchmark, n, coverage))
     lengths = [r[0] for r in wanted.select("n").distinct().orderBy("n").collect()]  # at most n numbers
     plain = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    keyed = plain.select("doc_id", F.xxhash64("text").alias("text_hash"), tokens(F.col("text")).alias("words"))
-
-    hits = None
-    for k in lengths:
-        found = document_windows(keyed, k).join(cut_lineage(item_windows(wanted, k)), "key")
-        found = found.select("doc_id", "text_hash", "item_id", (F.col("block") - F.col("place")).alias("start"))
-        hits = found if hits is None else hits.unionByName(found)
-    if hits is None:
-        hits = keyed.select("doc_id", "text_hash", F.lit(0).cast("bigint").alias("item_id"), F.lit(0).alias("start")).limit(0)
+    if lengths:
+        formed = with_forms(plain.select("doc_id", F.xxhash64("text").alias("text_hash"), "text"))
+        asked = item_windows(wanted, lengths[0])
+        for k in lengths[1:]:
+            asked = asked.unionByName(item_windows(wanted, k))
+        hits = document_windows(formed, lengths).join(cut_lineage(asked), "key")
+        hits = hits.select("doc_id", "text_hash", "item_id", (F.col("block") - F.col("place")).alias("start"))
+    else:
+        hits = plain.selectExpr("doc_id", "0L AS text_hash", "0L AS item_id", "0 AS start").limit(0)
     hits = cut_lineage(hits.distinct())
 
     some = hits.select("doc_id", "text_hash").distinct().withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"})
     same = (F.xxhash64("text") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_id"))
     texts = plain.join(some, same, "left_semi").distinct()
-    texts = texts.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_hash"), tokens(F.col("text")).alias("words"))
-    both = hits.join(texts, (F.col("text_hash") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_id")))
-    both = both.join(wanted.select("item_id", "item"), "item_id")
-    straight = cut_lineage(_compared(both.withColumn("pairs", _straight()), coverage))
+    texts = with_forms(texts.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_hash"), "text"))
+    both = hits.join(texts, (F.col("text_hash") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id", "_hash")
+    both = both.join(wanted.selectExpr("item_id AS _item", "plain AS item", "form AS item_form"), F.col("item_id").eqNullSafe(F.col("_item"))).drop("_item")
+    # the stretch of the document where the item may lie, with room for the words that may be put in or left out
+    reach = F.size("item") - F.ceil(F.size("item") * F.lit(coverage)).cast("int")
+    both = both.withColumn("reach", reach).withColumn("low", F.greatest(F.col("start") - F.col("reach"), F.lit(0)))
+    span = F.col("start") + F.size("item") + F.col("reach") - F.col("low")
+    near = [F.slice(c, F.col("low") + 1, span).alias(c) for c in ("plain", "form")]
+    both = cut_lineage(both.select("doc_id", "text_hash", "item_id", "start", "item", "item_form", "reach", "low", *near))
+
+    straight = cut_lineage(_compared(_once(both, pairs=_straight()), coverage))
     one = (F.col("doc_id").eqNullSafe(F.col("_id"))) & (F.col("text_hash") == F.col("_hash")) & (F.col("item_id").eqNullSafe(F.col("_item")))
     done = straight.selectExpr("doc_id AS _id", "text_hash AS _hash", "item_id AS _item")
-    rest = both.drop("_id", "_hash").join(done, one, "left_anti").where(F.floor(F.size("item") * (1 - F.lit(coverage))) > 0)
-    return straight.unionByName(_compared(_shifted(rest, coverage), coverage))
+    rest = both.join(done, one, "left_anti").where(F.col("reach") > 0).where(_may_suffice(coverage))
+    return straight.unionByName(_compared(_shifted(rest), coverage))
+
+
+def _same(i: Column, j: Column) -> Column:
+    """Whether token ``i`` of the item and ``j`` of the stretch are equal, or of one type."""
+    return (F.get("item_form", i) == F.get("form", j)) | (F.get("item", i) == F.get("plain", j))
 
 
-def _same(a: Column, b: Column) -> Column:
-    return (typed(a) == typed(b)) | (bare(a) == bare(b))
+def _pair(i: Column, j: Column) -> Column:
+    return F.struct(F.get("item", i).alias("a"), F.get("plain", j).alias("b"), slot(F.get("item_form", i)).alias("slot"))
 
 
 def _straight() -> Column:
     """Equal tokens of the item and of the document from ``start``, at one offset."""
-    pair = F.transform(
-        F.sequence(F.lit(0), F.size("item") - 1),
-        lambda i: F.struct(F.get("item", i).alias("a"), F.when(F.col("start") + i >= 0, F.get("words", F.col("start") + i)).alias("b")),
-    )
-    return F.filter(pair, lambda p: _same(p["a"], p["b"]))
+    back = F.col("start") - F.col("low")
+    at = F.filter(F.sequence(F.lit(0), F.size("item") - 1), lambda i: F.coalesce(_same(i, back + i), F.lit(False)))
+    return F.transform(at, lambda i: _pair(i, back + i))
+
+
+def _may_suffice(coverage: float) -> Column:
+    """Whether enough of the item's tokens occur in the stretch at all, in whatever order."""
+    either = lambda i: F.array_contains("form", F.get("item_form", i)) | F.array_contains("plain", F.get("item", i))
+    return F.size(F.filter(F.sequence(F.lit(0), F.size("item") - 1), either)) >= F.ceil(F.size("item") * F.lit(coverage))
 
 
-def _shifted(both: DataFrame, coverage: float) -> DataFrame:
+def _shifted(both: DataFrame) -> DataFrame:
     """Longest row of equal tokens in order, at offsets from ``start`` that differ by no more than tokens may be missing. ``ends`` holds, for
-    the item's tokens so far and each offset, the places (item, document) of the longest row that ends there or before."""
-    reach = F.size("item") - F.ceil(F.size("item") * F.lit(coverage)).cast("int")
-    out = both.withColumn("reach", reach).withColumn("low", F.greatest(F.col("start") - F.col("reach"), F.lit(0)))
-    out = out.withColumn("near", F.slice("words", F.col("low") + 1, F.col("start") + F.size("item") + F.col("reach") - F.col("low")))
-    out = out.withColumn("back", F.col("start") - F.col("reach") - F.col("low")).withColumn("offsets", F.sequence(F.lit(0), 2 * F.col("reach")))
+    the item's tokens so far and each offset, the places (item, stretch) of the longest row that ends there or before."""
+    out = both.withColumn("back", F.col("start") - F.col("reach") - F.col("low")).withColumn("offsets", F.sequence(F.lit(0), 2 * F.col("reach")))
     longer = lambda x, y: F.when(F.size(x) >= F.size(y), x).otherwise(y)
     none = F.array().cast("array<struct<i:int,j:int>>")
 
     def met(ends: Column, i: Column, d: Column) -> Column:
         j = F.col("back") + i + d
         at = F.array(F.struct(i.cast("int").alias("i"), j.cast("int").alias("j")))
-        with_it = F.when((j >= 0) & _same(F.get("item", i), F.get("near", F.when(j >= 0, j))), F.concat(F.get(ends, d), at)).otherwise(F.get(ends, d))
+        with_it = F.when(_same(i, j), F.concat(F.get(ends, d), at)).otherwise(F.get(ends, d))
         return longer(with_it, F.coalesce(F.get(ends, d + 1), none))
 
     def step(ends: Column, i: Column) -> Column:
@@ -166,27 +196,25 @@ def _shifted(both: DataFrame, coverage: float) -> DataFrame:
         return F.aggregate(own, empty, lambda acc, x: F.concat(acc, F.array(longer(x, F.coalesce(F.try_element_at(acc, F.lit(-1)), none)))))
 
     ends = F.aggregate(F.sequence(F.lit(0), F.size("item") - 1), F.transform("offsets", lambda _: none), step)
-    out = out.withColumn("places", F.element_at(ends, -1)).where(F.size("places") > 0)
+    out = _once(out, places=F.element_at(ends, -1)).where(F.size("places") > 0)
     out = out.withColumn("start", F.col("low") + F.get("places", F.lit(0))["j"] - F.get("places", F.lit(0))["i"])
-    return out.withColumn("pairs", F.transform("places", lambda p: F.struct(F.get("item", p["i"]).alias("a"), F.get("near", p["j"]).alias("b"))))
+    return _once(out, pairs=F.transform("places", lambda p: _pair(p["i"], p["j"])))
 
 
 def _compared(out: DataFrame, coverage: float) -> DataFrame:
     """The best placing of each item whose equal tokens and slots suffice."""
-    met = F.filter("pairs", lambda p: p["a"].rlike(rf"^(?:\p{{N}}|{MARK})"))
-    out = out.withColumn("met", met).withColumn("n_matched", F.size("pairs").cast("bigint")).withColumn("n_tokens", F.size("item").cast("bigint"))
-    values = F.transform("met", lambda p: F.struct(bare(p["a"]).alias("a"), bare(p["b"]).alias("b")))
-    changed = F.filter(values, lambda p: p["a"] != p["b"])
-    out = out.withColumn("slots", F.array_distinct("met")).withColumn("changed", changed).withColumn("swaps", F.array_distinct("changed"))
+    out = out.withColumn("n_matched", F.size("pairs").cast("bigint")).withColumn("n_tokens", F.size("item").cast("bigint"))
+    out = out.where(F.col("n_matched") >= F.ceil(F.col("n_tokens") * coverage))
+    out = _once(out, met=F.filter("pairs", lambda p: p["slot"]))
+    out = _once(out, slots=F.array_distinct("met"), changed=F.filter("met", lambda p: p["a"] != p["b"]))
+    out = _once(out, swaps=F.array_distinct("changed"))
     alone = lambda p: F.size(F.filter("swaps", lambda q: (q["a"] == p["a"]) | (q["b"] == p["b"]))) == 1
     broken = F.size("changed") - F.size(F.filter("changed", alone))
     kept = F.col("n_matched") - F.size("changed")
     consistent = (F.size("met") - broken >= F.ceil(F.size("met") * coverage)) | (kept >= F.ceil(F.col("n_tokens") * (1 + coverage) / 2))
-    out = out.where((F.col("n_matched") >= F.ceil(F.col("n_tokens") * coverage)) & consistent)
-    reworded = F.exists("slots", lambda p: F.lower(p["a"]) != F.lower(p["b"]))
-    out = out.select(
+    out = out.where(consistent).select(
         "doc_id", "text_hash", "item_id", F.col("start").cast("bigint").alias("start"), "n_tokens", "n_matched",
-        F.size("slots").cast("bigint").alias("n_slots"), reworded.alias("reworded"),
+        F.size("slots").cast("bigint").alias("n_slots"), (F.size("changed") > 0).alias("reworded"),
     )
     best = F.max(F.struct("n_matched", (-F.col("start")).alias("back"), "n_tokens", "n_slots", "reworded")).alias("best")
     out = out.groupBy("doc_id", "text_hash", "item_id").agg(best)
@@ -208,37 +236,76 @@ def op10_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def _oracle() -> str:
-    tokens_ = (
+    """The same rules in SQL: windows at every position, one offset, then shifted ones."""
+    words = (
         rf"regexp_extract_all(regexp_replace(regexp_replace(replace(coalesce(text, ''), '{MARK}', ' '), "
         rf"'([\p{{Ll}}\p{{N}},;] )(\p{{Lu}}\p{{L}}+)', '\1{MARK}\2', 'g'), '([\p{{Ll}}\p{{N}},;] )(\p{{Lu}}\p{{L}}+)', '\1{MARK}\2', 'g'), '{TOKEN}')"
     )
-    form = (
-        rf"regexp_replace(regexp_replace(regexp_replace(plain, '{MARK}\p{{L}}+', '{MARK}', 'g'), '{NUMBER}', '0', 'g'), "
-        rf"'\b0 (?:{'|'.join(UNITS)})\b', '0 %', 'g')"
-    )
-    typed = lambda x: rf"CASE WHEN regexp_matches({x}, '^\p{{N}}') THEN '0' WHEN starts_with({x}, '{MARK}') THEN '{MARK}' ELSE lower({x}) END"
-    bare = lambda x: f"lower(ltrim({x}, '{MARK}'))"
-    keyed = (
-        f"SELECT *, CASE WHEN (length(form) - length(regexp_replace(form, '[{MARK}0%]', '', 'g'))) * 2 > n THEN plain ELSE form END AS key "
-        f"FROM (SELECT *, {form} AS form FROM"
+    typed = rf"list_transform(words, lambda x: CASE WHEN regexp_matches(x, '^\p{{N}}') THEN '{NUMBER}' WHEN starts_with(x, '{MARK}') THEN '{MARK}' ELSE lower(x) END)"
+    units = ", ".join(f"'{u}'" for u in UNITS)
+    formed = (
+        f"SELECT *, list_transform(form, lambda x, i: CASE WHEN x = '{MARK}' THEN plain[i] ELSE x END) AS counted FROM ("
+        f"SELECT * EXCLUDE (typed), list_transform(typed, lambda x, i: CASE WHEN i > 1 AND typed[i - 1] = '{NUMBER}' AND x IN ({units}) THEN '{UNIT}' ELSE x END) AS form "
+        f"FROM (SELECT *, list_transform(words, lambda x: lower(ltrim(x, '{MARK}'))) AS plain, {typed} AS typed FROM"
     )
+    slots = f"('{NUMBER}', '{MARK}', '{UNIT}')"
+    enough = f"ceil(size * {COVERAGE!r}::DOUBLE)"
+    straight = f"""(SELECT *, list_transform(list_filter(range(0, size), lambda i: start + i >= 0 AND start + i < len(plain)
+     AND (item_form[i + 1] = form[start + i + 1] OR item[i + 1] = plain[start + i + 1])),
+     lambda i: {{'a': item[i + 1], 'b': plain[start + i + 1], 'slot': item_form[i + 1] IN {slots}}}) AS pairs FROM placed)"""
+    shifted = f"""(SELECT r.* EXCLUDE (start), chain[1].j - chain[1].i AS start,
+     list_transform(chain, lambda q: {{'a': item[q.i + 1], 'b': plain[q.j + 1], 'slot': item_form[q.i + 1] IN {slots}}}) AS pairs
+     FROM (SELECT rest.*, ends[-1] AS chain FROM rest JOIN chains ON chains.no = rest.no AND chains.i = rest.size) r WHERE len(chain) > 0)"""
+
+    def judged(pairs: str) -> str:
+        return f"""(
+  SELECT doc_id, text, item_id, start, size::BIGINT AS n_tokens, len(pairs)::BIGINT AS n_matched, len(list_distinct(met))::BIGINT AS n_slots, len(changed) > 0 AS reworded
+  FROM (SELECT *, list_distinct(changed) AS swaps FROM (SELECT *, list_filter(met, lambda p: p.a <> p.b) AS changed
+        FROM (SELECT *, list_filter(pairs, lambda p: p.slot) AS met FROM {pairs})))
+  WHERE len(pairs) >= {enough}
+    AND (len(met) - len(list_filter(changed, lambda p: len(list_filter(swaps, lambda q: q.a = p.a OR q.b = p.b)) <> 1)) >= ceil(len(met) * {COVERAGE!r}::DOUBLE)
+         OR len(pairs) - len(changed) >= ceil(size * {1 + COVERAGE!r}::DOUBLE / 2)))"""
+
     return rf"""
-WITH d AS (SELECT DISTINCT doc_id, text, {tokens_} AS words FROM documents),
-b AS (SELECT item_id, item, least({WINDOW}, (len(item) + 1) // 2) AS n FROM (SELECT DISTINCT item_id, {tokens_} AS item FROM benchmark) WHERE len(item) > 0),
-dw AS ({keyed} (SELECT doc_id, text, n, pos, lower(array_to_string(words[pos + 1 : pos + n], ' ')) AS plain FROM (
-  SELECT doc_id, text, words, n, unnest(range(0, len(words) - n + 1, n)) AS pos FROM d, (SELECT DISTINCT n FROM b) WHERE len(words) >= n)))),
-bw AS ({keyed} (SELECT item_id, n, pos, lower(array_to_string(item[pos + 1 : pos + n], ' ')) AS plain FROM (
-  SELECT item_id, item, n, unnest(range(0, len(item) - n + 1)) AS pos FROM b)))),
-h AS (SELECT DISTINCT dw.doc_id, dw.text, bw.item_id, dw.pos - bw.pos AS start FROM dw JOIN bw ON dw.n = bw.n AND dw.key = bw.key),
-p AS (SELECT doc_id, text, item_id, start, size, a, CASE WHEN start + i >= 0 THEN words[start + i + 1] END AS b FROM (
-  SELECT h.*, b.item, len(b.item) AS size, d.words, unnest(range(0, len(b.item))) AS i, unnest(b.item) AS a
-  FROM h JOIN b ON b.item_id = h.item_id JOIN d ON d.doc_id IS NOT DISTINCT FROM h.doc_id AND d.text IS NOT DISTINCT FROM h.text)),
-m AS (SELECT *, regexp_matches(a, '^(?:\p{{N}}|{MARK})') AS slot FROM p WHERE {typed("a")} = {typed("b")} OR {bare("a")} = {bare("b")}),
-c AS (SELECT doc_id, text, item_id, start, any_value(size)::BIGINT AS n_tokens, count(*)::BIGINT AS n_matched,
-      (count(DISTINCT (a, b)) FILTER (slot))::BIGINT AS n_slots, count(DISTINCT lower(a)) FILTER (slot) AS va, count(DISTINCT lower(b)) FILTER (slot) AS vb,
-      coalesce(bool_or(lower(a) <> lower(b)) FILTER (slot), false) AS reworded FROM m GROUP BY doc_id, text, item_id, start),
-r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, text, item_id ORDER BY n_matched DESC, start) AS k FROM c
-      WHERE n_matched >= ceil(n_tokens * {COVERAGE!r}::DOUBLE) AND va = n_slots AND vb = n_slots)
+WITH RECURSIVE
+d AS ({formed} (SELECT DISTINCT doc_id, text, {words} AS words FROM documents)) WHERE len(words) > 0)),
+b AS (SELECT *, len(plain) AS size, (len(plain) - ceil(len(plain) * {COVERAGE!r}::DOUBLE))::INT AS reach,
+      least({WINDOW}, len(plain) // ((len(plain) - ceil(len(plain) * {COVERAGE!r}::DOUBLE))::INT + 1)) AS n
+      FROM ({formed} (SELECT DISTINCT item_id, {words} AS words FROM benchmark)) WHERE len(words) > 0))),
+dp AS (SELECT doc_id, text, n, pos, plain[pos + 1 : pos + n] AS win, form[pos + 1 : pos + n] AS typed, counted[pos + 1 : pos + n] AS counted FROM (
+  SELECT doc_id, text, plain, form, counted, n, unnest(range(0, len(plain) - n + 1)) AS pos FROM d, (SELECT DISTINCT n FROM b) WHERE len(plain) >= n)),
+dw AS (SELECT doc_id, text, n, pos, win AS key FROM dp
+       UNION SELECT doc_id, text, n, pos, typed FROM dp WHERE len(list_filter(typed, lambda x: x IN {slots})) BETWEEN 1 AND n - 1
+       UNION SELECT doc_id, text, n, pos, counted FROM dp WHERE list_contains(typed, '{MARK}')
+             AND len(list_filter(typed, lambda x: x IN ('{NUMBER}', '{UNIT}'))) BETWEEN 1 AND n - 1),
+bp AS (SELECT item_id, n, unnest(range(0, n * (len(plain) // n), n)) AS pos, words, plain, form FROM b),
+bf(item_id, n, pos, k, words, plain, form, key) AS (
+  SELECT item_id, n, pos, 0, words[pos + 1 : pos + n], plain[pos + 1 : pos + n], form[pos + 1 : pos + n], []::VARCHAR[] FROM bp
+  UNION ALL
+  SELECT item_id, n, pos, k + 1, words, plain, form, list_append(key, unnest(
+    CASE WHEN form[k + 1] IN ('{NUMBER}', '{UNIT}') THEN [form[k + 1]] WHEN regexp_matches(words[k + 1], '^{MARK}?\p{{Lu}}') THEN ['{MARK}', plain[k + 1]] ELSE [plain[k + 1]] END))
+  FROM bf WHERE k < n),
+bw AS (SELECT item_id, n, pos, key FROM bf WHERE k = n UNION SELECT item_id, n, pos, plain FROM bf WHERE k = 0),
+h AS MATERIALIZED (SELECT DISTINCT dw.doc_id, dw.text, bw.item_id, dw.pos - bw.pos AS start FROM dw JOIN bw ON dw.n = bw.n AND dw.key = bw.key),
+placed AS MATERIALIZED (SELECT h.doc_id, h.text, h.item_id, h.start, b.plain AS item, b.form AS item_form, b.size, b.reach, d.plain, d.form
+  FROM h JOIN b ON b.item_id IS NOT DISTINCT FROM h.item_id JOIN d ON d.doc_id IS NOT DISTINCT FROM h.doc_id AND d.text IS NOT DISTINCT FROM h.text),
+straight AS MATERIALIZED (SELECT * FROM {judged(straight)}),
+rest AS MATERIALIZED (SELECT row_number() OVER () AS no, * FROM placed r WHERE reach > 0 AND NOT EXISTS (SELECT 1 FROM straight s
+         WHERE s.doc_id IS NOT DISTINCT FROM r.doc_id AND s.text IS NOT DISTINCT FROM r.text AND s.item_id IS NOT DISTINCT FROM r.item_id)),
+-- longest common rows, one token of the item after another; an entry of ends for each offset
+chains(no, i, ends) AS (
+  SELECT no, 0, list_transform(range(0, 2 * reach + 1), lambda d: []::STRUCT(i BIGINT, j BIGINT)[]) FROM rest
+  UNION ALL
+  SELECT no, i + 1, list_transform(range(1, len(own) + 1), lambda d: list_reduce(own[1 : d], lambda x, y: CASE WHEN len(y) >= len(x) THEN y ELSE x END)) FROM (
+    SELECT chains.no, chains.i, list_transform(range(0, 2 * reach + 1), lambda d: CASE
+        WHEN start - reach + chains.i + d BETWEEN greatest(start - reach, 0) AND least(start + size + reach, len(plain)) - 1
+             AND (item_form[chains.i + 1] = form[start - reach + chains.i + d + 1] OR item[chains.i + 1] = plain[start - reach + chains.i + d + 1])
+             AND len(ends[d + 1]) + 1 >= coalesce(len(ends[d + 2]), 0)
+        THEN list_append(ends[d + 1], {{'i': chains.i::BIGINT, 'j': (start - reach + chains.i + d)::BIGINT}})
+        WHEN coalesce(len(ends[d + 2]), 0) > len(ends[d + 1]) THEN ends[d + 2] ELSE ends[d + 1] END) AS own
+    FROM chains JOIN rest ON rest.no = chains.no WHERE chains.i < size)),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, text, item_id ORDER BY n_matched DESC, start, n_tokens DESC, n_slots DESC, reworded DESC) AS k
+      FROM (SELECT * FROM straight UNION ALL SELECT * FROM {judged(shifted)}))
 SELECT doc_id, item_id, start::BIGINT AS start, n_tokens, n_matched, n_slots, reworded FROM r WHERE k = 1
 """
 
