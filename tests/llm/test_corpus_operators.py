@@ -8,7 +8,9 @@ import re
 import zlib
 
 import duckdb
+import numpy as np
 import pytest
+import regex
 
 from foreshock.llm import chat, decontaminate, katz, mixing, near_dup
 from foreshock.llm.components import contract
@@ -155,6 +157,21 @@ def test_katz_scores_equal_direct_computation(spark, size):
         assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], rel=1e-9)
 
 
+def test_katz_with_a_word_that_is_half_of_all_tokens(spark, monkeypatch):
+    """Pairs of hot words are dealt over the buckets by the word before; scores stay those of direct computation."""
+    rng = random.Random(21)
+    rows = [(i, " ".join("the" if rng.random() < 0.5 else f"w{rng.randint(0, 150)}" for _ in range(rng.randint(1, 90)))) for i in range(120)]
+    rows.append((500, "the " * 3000))
+    monkeypatch.setattr(katz, "BUCKET_TOKENS", 400)
+    monkeypatch.setattr(katz, "HOT_TOKENS", 300)
+    got = {r.doc_id: r for r in katz.katz_scores(spark.createDataFrame(rows, "doc_id BIGINT, text STRING").repartition(3)).collect()}
+    for row in brute_katz(rows):
+        assert tuple(got[row[0]])[:5] == row[:5] and tuple(got[row[0]])[5:] == pytest.approx(row[5:], rel=1e-9)
+    words_ = katz.mix(np.array([7], np.uint64)).repeat(4000)
+    place = katz.pair_bucket(words_, katz.seeds(4000, 5), np.unique(words_), 40)
+    assert np.bincount(place, minlength=40).max() < 3 * 4000 / 40  # the hot word alone is even over buckets
+
+
 def test_katz_on_empty_and_untrained_tables(spark):
     schema = "doc_id BIGINT, text STRING"
     assert katz.katz_scores(spark.createDataFrame([], schema)).collect() == []
@@ -297,6 +314,95 @@ def test_leaks_with_words_put_in_or_left_out(spark):
     assert set(got) == {0, 1, 2, 5, 10, 11, 12, 15}
     assert [got[k].n_matched for k in (0, 1, 2, 5)] == [40, 39, 40, 40] and all(got[k].start == 9 and got[k + 10].start == 0 for k in (0, 1, 2, 5))
 
+def plain_forms(text):
+    """Tokens, their lower case and their typed forms by the rules of the docstring."""
+    marked = regex.sub(r"(?<=[\p{Ll}\p{N},;] )(\p{Lu}\p{L}+)", "§\\1", (text or "").replace("§", " "))
+    words_ = regex.findall(r"\p{N}(?:[\p{N}.,:/]*\p{N})?|§?\p{L}+", marked)
+    plain = [w.lstrip("§").lower() for w in words_]
+    form = ["0" if regex.match(r"\p{N}", w) else "§" if w[0] == "§" else w.lower() for w in words_]
+    form = ["%" if i and form[i - 1] == "0" and f in decontaminate.UNITS else f for i, f in enumerate(form)]
+    return plain, form
+
+
+def plain_leak(text, item):
+    """Most matched tokens over all placements of an item that pass the rules, or none. A placement counts if one of the item's windows
+    is met whole by a window that is not of placeholders alone, without a lower-case word that is marked beside a replaced name."""
+    (plain, form), (own, own_form) = plain_forms(text), plain_forms(item)
+    size, need, best = len(own), -(-len(own) * 4 // 5), None
+    n = min(6, size // (size - need + 1))
+    words_ = regex.findall(r"\p{N}(?:[\p{N}.,:/]*\p{N})?|\p{L}+", item.replace("§", " "))
+    same = lambda i, j: 0 <= j < len(plain) and (own_form[i] == form[j] or own[i] == plain[j])
+
+    def passes(pairs):
+        met = [(own[i], plain[j]) for i, j in pairs if own_form[i] in "0§%"]
+        changed = [p for p in met if p[0] != p[1]]
+        swaps = set(changed)
+        broken = sum(1 for p in changed if sum(q[0] == p[0] or q[1] == p[1] for q in swaps) != 1)
+        return len(pairs) >= need and (len(met) - broken >= math.ceil(len(met) * 0.8) or len(pairs) - len(changed) >= math.ceil(size * 0.9))
+
+    def met_whole(start):
+        for k in range(0, n * (size // n), n):
+            at = [(i, start + i) for i in range(k, k + n)]
+            if all(same(i, j) for i, j in at):
+                if all(own[i] == plain[j] for i, j in at):
+                    return True
+                marked = any(form[j] == "§" and not words_[i][0].isupper() for i, j in at)
+                renamed = any(form[j] == "§" and own[i] != plain[j] for i, j in at)
+                if any(form[j] not in "0§%" or marked and form[j] == "§" for _, j in at) and not (marked and renamed):
+                    return True
+        return False
+
+    for start in range(-size, len(plain)):
+        pairs = [(i, start + i) for i in range(size) if same(i, start + i)]
+        if passes(pairs) and met_whole(start) and (best is None or len(pairs) > best):
+            best = len(pairs)
+    return best
+
+
+def test_leaks_equal_brute_force_over_random_edits(spark):
+    """Every document that brute force finds at one offset is found with as many tokens, and the SQL finds the same rows."""
+    rng = random.Random(12)
+    vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 6))) for _ in range(60)]
+    fill = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    names, units = ["Anna", "Bob", "Carla", "Dora", "Paris"], ["km", "miles", "hours", "kg", "yards"]
+
+    def item():
+        out = fill(rng.randint(4, 25))
+        for _ in range(rng.randint(0, 4)):
+            at = rng.randrange(len(out))
+            out[at : at + 1] = rng.choice([[rng.choice(names)], [str(rng.randint(1, 99)), rng.choice(units)], [str(rng.randint(1, 9))]])
+        return out
+
+    bench = [item() for _ in range(25)]
+
+    def edited(words_):
+        out, swap = list(words_), {x: rng.choice(units if x in units else names) for x in units + names}
+        numbers = rng.random() < 0.5
+        out = [str(int(x) + 7) if numbers and x.isdigit() else swap[x] if numbers and x in swap else x for x in out]
+        for _ in range(rng.randint(0, 5)):
+            at = rng.randrange(len(out))
+            out[at : at + 1] = rng.choice([[rng.choice(vocabulary)], [], [out[at], rng.choice(vocabulary)], [out[at].upper()]])
+            out = out or ["x"]
+        return out
+
+    docs = [(k, " ".join([*fill(rng.randint(0, 9)), *edited(rng.choice(bench)), *fill(rng.randint(0, 9))])) for k in range(150)]
+    docs += [(200 + k, " ".join(fill(40))) for k in range(20)] + [(300, "How many km is 30 yards, she asked"), (301, None), (302, "")]
+    bench = [(k, " ".join(b)) for k, b in enumerate(bench)] + [(50, "How many metres is 12 miles, she asked"), (51, None), (None, bench[0][0])]
+    df, items = spark.createDataFrame(docs, "doc_id BIGINT, text STRING"), spark.createDataFrame(bench, "item_id BIGINT, text STRING")
+    got = [tuple(r) for r in decontaminate.leaks(df, items).drop("text_hash").collect()]
+    matched = {r[:2]: r[4] for r in got}
+    for doc_id, text in docs:
+        for item_id, words_ in bench[:-1]:
+            if words_ and (want := plain_leak(text, words_)):
+                assert matched.get((doc_id, item_id)) == want, (doc_id, item_id, want)
+    assert (300, 50) in matched and {r[0] for r in got} - set(range(200)) <= {300} | set(range(200, 220))
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.execute("CREATE TABLE benchmark (item_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", docs)
+    con.executemany("INSERT INTO benchmark VALUES (?, ?)", bench)
+    assert sorted(con.execute(decontaminate.ORACLE_OP10).fetchall(), key=str) == sorted(got, key=str)
+
 
 def test_digest_of_probe_is_that_of_the_contract():
     want = hashlib.sha256("".join(f"{r}\n{chat.PROBE}\n" for r in ("user", "assistant")).encode()).hexdigest()
