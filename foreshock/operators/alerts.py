@@ -69,19 +69,32 @@ def alert_islands(cons: DataFrame, geom: Geometry, threshold: float = ALERT_LEVE
     )
 
 
+def last_before(rows: DataFrame, keys: list[str], at: str, value: str, chunk: int) -> DataFrame:
+    """Adds ``last``: per row without ``value`` the value of the last row of its keys that has one, at or before it (``at`` counts
+    from anywhere; of rows at one place those without ``value`` come first, unless ``kind`` orders them). Rows meet by stretches of ``chunk``;
+    beyond its stretch a row sees one carried value per stretch."""
+    rows = rows.withColumn("_chunk", floor_div(F.col(at), chunk))
+    has = F.when(F.col(value).isNotNull(), F.col(value))
+    inner = Window.partitionBy(*keys, "_chunk").orderBy(at, "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    tails = rows.groupBy(*keys, "_chunk").agg(F.max_by(has, F.when(F.col(value).isNotNull(), F.col(at))).alias("_tail"))
+    earlier = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    carried = tails.select(*keys, "_chunk", F.last("_tail", ignorenulls=True).over(earlier).alias("_carried"))
+    own = rows.withColumn("_own", F.last(has, ignorenulls=True).over(inner)).filter(F.col(value).isNull())
+    return own.join(carried, [*keys, "_chunk"]).withColumn("last", F.coalesce("_own", "_carried")).drop("_own", "_carried", "_chunk")
+
+
 def alert_match(alerts: DataFrame, events: DataFrame) -> DataFrame:
     """Events with the alert that holds them: ``station, te_us, start`` (null when missed).
 
-    Alerts of a station do not overlap, so an event can only lie in the last one that opened before it: one
-    ordered pass over both, per station, of at most one row per window and per event second.
+    Alerts of a station do not overlap, so an event can only lie in the last one that opened before it: found within the day, or
+    carried over from the days before, one row a station and day.
     """
-    opened = alerts.selectExpr("station", "CAST(start * 1000000 AS BIGINT) AS t", "1 AS kind", "start", "stop")
-    marks = events.selectExpr("station", "te_us AS t", "0 AS kind", "CAST(NULL AS BIGINT) AS start", "CAST(NULL AS DOUBLE) AS stop")
-    order = Window.partitionBy("station").orderBy("t", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    last = F.last(F.when(F.col("kind") == 1, F.struct("start", "stop")), ignorenulls=True).over(order)
-    seen = opened.unionByName(marks).withColumn("alert", last).filter("kind = 0")
-    inside = F.col("t") <= F.col("alert.stop") * MICRO
-    return seen.select("station", F.col("t").alias("te_us"), F.when(inside, F.col("alert.start")).alias("start"))
+    span = "named_struct('start', start, 'stop', stop)"
+    opened = alerts.selectExpr("station", "CAST(start * 1000000 AS BIGINT) AS t", "1 AS kind", f"{span} AS alert")
+    marks = events.selectExpr("station", "te_us AS t", "0 AS kind")
+    seen = last_before(opened.unionByName(marks, allowMissingColumns=True), ["station"], "t", "alert", 86400 * MICRO)
+    inside = F.col("t") <= F.col("last.stop") * MICRO
+    return seen.select("station", F.col("t").alias("te_us"), F.when(inside, F.col("last.start")).alias("start"))
 
 
 def alert_flag(cons: DataFrame, stations: DataFrame, now: DataFrame | int, geom: Geometry, level: float = ALERT_LEVEL) -> DataFrame:

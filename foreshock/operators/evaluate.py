@@ -10,11 +10,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foreshock.config import Geometry
-from foreshock.operators.alerts import NO_ALERT_TN, _edges, first_candidate, number_windows
+from foreshock.config import CHUNK, Geometry
+from foreshock.operators.alerts import NO_ALERT_TN, _edges, first_candidate, last_before, number_windows
 from foreshock.sources.tables import cut_lineage
 
 THRESHOLDS = tuple(j / 100 for j in range(1, 101))
@@ -101,12 +101,10 @@ def threshold_sweep(
         .selectExpr("station", "te_us", "i", "explode(sequence(1, level)) AS j")
         .groupBy("station", "te_us", "j").agg(F.max("i").alias("i"))
     )
-    order = Window.partitionBy("station", "j").orderBy("i", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    both = starts.selectExpr("station", "j", "i", "0 AS kind").unionByName(wanted.selectExpr("station", "j", "i", "1 AS kind"))
-    held = (
-        both.withColumn("opening", F.last(F.when(F.col("kind") == 0, F.col("i")), ignorenulls=True).over(order))
-        .filter("kind = 1").groupBy("station", "j").agg(F.countDistinct("opening").alias("held"))
+    both = starts.selectExpr("station", "j", "i", "0 AS kind", "i AS opening").unionByName(
+        wanted.selectExpr("station", "j", "i", "1 AS kind"), allowMissingColumns=True
     )
+    held = last_before(both, ["station", "j"], "i", "opening", CHUNK).groupBy("station", "j").agg(F.countDistinct("last").alias("held"))
 
     # The miscount: is the last event missed, and does an alert open after it?
     ends = events.groupBy("station").agg(F.max("te_us").alias("te_us"))

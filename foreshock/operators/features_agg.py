@@ -298,12 +298,13 @@ def window_sums(
     calculators: Iterable[str],
     ti: float | None = None,
     tf: float | None = None,
+    runs: DataFrame | None = None,
 ) -> DataFrame:
     """Wide features per (window, stream): one column per calculator and parameter set."""
     chosen = {c: CALCULATORS[c] for c in calculators}
     n = geom.iw
     lag = max((c.lag for c in chosen.values()), default=0)
-    rows = window_rows(attach_lags(df, streams, lag), geom, ti, tf)
+    rows = window_rows(attach_lags(df, streams, lag), geom, ti, tf, runs)
     aggs, mid, outs = {"n": _BASE["n"]}, {}, []
     for name, calc in chosen.items():
         aggs |= calc.aggs(n)
@@ -321,13 +322,14 @@ def chunk_trends(
     streams: Sequence[str],
     ti: float | None = None,
     tf: float | None = None,
+    runs: DataFrame | None = None,
 ) -> DataFrame:
     """Trend over the max, min, mean and variance of runs of 5, 10 and 50 samples in each window.
 
     Runs of 10 and 50 are unions of runs of 5, so the first aggregate shrinks the samples to a fifth and the
     later ones combine its counts, sums and squared deviations.
     """
-    rows = window_rows(attach_lags(df, streams), geom, ti, tf)
+    rows = window_rows(attach_lags(df, streams), geom, ti, tf, runs)
     parts = rows.groupBy(*GROUP, F.expr("pos div 5 AS part")).agg(
         *map(F.expr, ["count(x) AS c", "sum(x) AS s", "avg(x) AS a", "var_pop(x) AS v", "max(x) AS mx", "min(x) AS mn"])
     )

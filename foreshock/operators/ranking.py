@@ -11,46 +11,53 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from foreshock.sources.tables import cut_lineage
+
 HASH_BUCKETS = 4096
 ACCURACY = 10_000
 SPLITTERS = 63
+#: Different values that one task orders.
+CELL = 10_000
 
 
-def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, qs: dict[str, float]) -> DataFrame:
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, qs: dict[str, float], cell: int = CELL) -> DataFrame:
     """Quantiles per group by linear interpolation, exactly: one row per group, one column per name in ``qs``.
 
-    A sketch brackets each wanted rank; rows below a bracket are counted, rows inside are grouped by value
-    and only those counts are ordered. Groups of up to ``ACCURACY`` rows are ordered whole.
+    Equal values meet in a partial aggregate first. Then the stretch of values that holds a wanted rank is cut into cells again and
+    again, by a sketch that only says where to cut: which cell holds the rank follows from exact counts. A stretch of at most ``cell``
+    different values is ordered. Small groups need no cuts and go the same way. Null values do not count; a group without values has no row.
     """
     names = list(qs)
-    margin = 3.0 / ACCURACY
-    edges = [v for n in names for v in (max(qs[n] - margin, 0.0), min(qs[n] + margin, 1.0))]
-    fence = F.percentile_approx(value, [float(e) for e in edges], ACCURACY)
-    groups = df.groupBy(*keys).agg(F.count(value).alias("_n"), fence.alias("_fence"))
-    parts = ", ".join(
-        f"named_struct('name', '{n}', 'q', {qs[n]!r}D, 'lo', IF(_n <= {ACCURACY}, CAST('-Infinity' AS DOUBLE), "
-        f"_fence[{2 * i}]), 'hi', IF(_n <= {ACCURACY}, CAST('Infinity' AS DOUBLE), _fence[{2 * i + 1}]))"
-        for i, n in enumerate(names)
-    )
-    brackets = groups.selectExpr(*keys, "_n", f"inline(array({parts}))")
-    rows = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
-    counted = (
-        rows.join(brackets, list(keys))
-        .filter("_v <= hi")
-        .groupBy(*keys, "name", "q", "_n", F.expr("CASE WHEN _v >= lo THEN _v END AS _at"))
-        .agg(F.count("*").alias("_c"))
-    )
-    order = Window.partitionBy(*keys, "name").orderBy(F.asc_nulls_first("_at"))
-    ranked = counted.withColumn("_upto", F.sum("_c").over(order)).selectExpr(
-        "*", "_upto - _c AS _from", "floor((_n - 1) * q + 1e-9) AS _low", "(_n - 1) * q AS _place"
-    )
-    low = "max(CASE WHEN _from <= _low AND _low < _upto THEN _at END)"
-    high = "max(CASE WHEN _from <= _low + 1 AND _low + 1 < _upto THEN _at END)"
-    share = "greatest(max(_place - _low), 0D)"
-    picked = ranked.groupBy(*keys, "name").agg(
-        F.expr(f"{low} + coalesce(({high} - {low}) * {share}, 0D)").alias("_quantile")
+    ranks = ", ".join(f"named_struct('name', '{n}', 'place', (_n - 1) * {float(qs[n])!r}D)" for n in names)
+    values = cut_lineage(df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_c")))
+    groups = values.groupBy(*keys).agg(F.sum("_c").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count("*").alias("_size"))
+    state = groups.selectExpr(*keys, "_lo", "_hi", "0L AS _below", "_size", f"inline(array({ranks}))")
+    state = cut_lineage(state.selectExpr("*", "CAST(floor(place + 1e-9) AS BIGINT) AS _rank"))
+    stretch = [*keys, "name"]
+    while state.filter(F.col("_size") > cell).limit(1).count():
+        wide = state.filter(F.col("_size") > cell)
+        inside = cut_lineage(values.join(wide, list(keys)).filter("_v >= _lo AND _v <= _hi"))
+        splits = [i / (SPLITTERS + 1) for i in range(1, SPLITTERS + 1)]
+        fences = inside.groupBy(*stretch).agg(F.percentile_approx("_v", splits, ACCURACY).alias("_fences"))
+        cells = inside.join(fences, stretch).groupBy(
+            *stretch, "place", "_rank", "_below", F.expr("size(filter(_fences, f -> f < _v))").alias("_cell")
+        ).agg(F.sum("_c").alias("_c"), F.count("*").alias("_size"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+        upto = F.col("_below") + F.sum("_c").over(Window.partitionBy(*stretch).orderBy("_cell"))  # over at most 64 cells
+        cells = cells.withColumn("_upto", upto).withColumn("_from", F.col("_upto") - F.col("_c"))
+        hold = cells.filter("_upto > _rank AND _from <= _rank + 1").groupBy(*stretch, "place", "_rank").agg(
+            F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"), F.min("_from").alias("_below"), F.sum("_size").alias("_size")
+        )
+        state = cut_lineage(state.filter(F.col("_size") <= cell).unionByName(hold.select(*state.columns)))
+    left = values.join(state, list(keys)).filter("_v >= _lo AND _v <= _hi")
+    order = Window.partitionBy(*stretch).orderBy("_v")
+    ranked = left.withColumn("_upto", F.col("_below") + F.sum("_c").over(order)).withColumn("_from", F.col("_upto") - F.col("_c"))
+    low = "max(CASE WHEN _from <= _rank AND _rank < _upto THEN _v END)"
+    high = "max(CASE WHEN _from <= _rank + 1 AND _rank + 1 < _upto THEN _v END)"
+    picked = ranked.groupBy(*stretch).agg(
+        F.expr(f"{low} + CASE WHEN max(place - _rank) > 0 AND {high} > {low} THEN ({high} - {low}) * max(place - _rank) ELSE 0D END").alias("_quantile")
     )
-    columns = [F.max(F.when(F.col("name") == n, F.col("_quantile"))).alias(n) for n in names]
+    found = F.coalesce("_quantile", F.raise_error(F.lit("a rank was not found in its stretch")).cast("double"))
+    columns = [F.max(F.when(F.col("name") == n, found)).alias(n) for n in names]
     return picked.groupBy(*keys).agg(*columns)
 
 

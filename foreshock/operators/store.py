@@ -86,13 +86,20 @@ def union_features(stored: DataFrame, new: DataFrame) -> DataFrame:
     return stored.unionByName(fresh, allowMissingColumns=True)
 
 
-def impute(features: DataFrame, reference: DataFrame | None = None) -> DataFrame:
-    """Finite values everywhere: NaN and null become the feature's median, infinities its extremes, all over
-    the finite values of the reference rows; 0 where a feature has none. The statistics are one row per feature."""
-    base = (features if reference is None else reference).filter(is_finite(F.col("value")))
+STATISTICS = "feature STRING, _lo DOUBLE, _hi DOUBLE, _med DOUBLE"
+
+
+def impute_statistics(reference: DataFrame) -> DataFrame:
+    """Extremes and median of each feature's finite values, one row per feature; none for a feature without any."""
+    base = reference.filter(is_finite(F.col("value")))
     extremes = base.groupBy("feature").agg(F.min("value").alias("_lo"), F.max("value").alias("_hi"))
-    middle = exact_quantiles(base, ["feature"], "value", {"_med": 0.5})
-    stats = extremes.join(middle, "feature")
+    return extremes.join(exact_quantiles(base, ["feature"], "value", {"_med": 0.5}), "feature")
+
+
+def impute(features: DataFrame, reference: DataFrame | None = None, statistics: DataFrame | None = None) -> DataFrame:
+    """Finite values everywhere: NaN and null become the feature's median, infinities its extremes, all over
+    the finite values of the reference rows (or as in stored ``statistics``); 0 where a feature has none."""
+    stats = statistics if statistics is not None else impute_statistics(features if reference is None else reference)
     v = F.col("value")
     filled = (
         F.when(v.isNull() | F.isnan(v), F.col("_med"))

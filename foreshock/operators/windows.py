@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foreshock.config import CHUNK, STEP_SECONDS, Geometry
@@ -52,18 +52,47 @@ def window_dates(
     )
 
 
+def window_runs(wanted: DataFrame, geom: Geometry) -> DataFrame:
+    """Windows (``station, k, e``) as runs of consecutive ones: ``station, k_from, k_to`` and the samples ``lo <= idx < hi`` that
+    they hold. The order is over a station's window numbers, which the calendar bounds."""
+    order = Window.partitionBy("station").orderBy("k")
+    numbered = wanted.select("station", "k", "e").distinct().withColumn("run", F.col("k") - F.row_number().over(order))
+    return numbered.groupBy("station", "run").agg(
+        F.min("k").alias("k_from"), F.max("k").alias("k_to"), (F.min("e") - geom.iw).alias("lo"), F.max("e").alias("hi")
+    ).drop("run")
+
+
+def run_chunks(runs: DataFrame, before: int = 0, size: int = CHUNK) -> DataFrame:
+    """Each run once per chunk of the series that it reads, or that lies ``before`` samples ahead of it."""
+    return runs.select(
+        "*", F.explode(F.sequence(floor_div(F.col("lo") - before, size), floor_div(F.col("hi") - 1, size))).alias("chunk")
+    )
+
+
+def prune_series(df: DataFrame, runs: DataFrame, before: int = 0, size: int = CHUNK) -> DataFrame:
+    """The rows of a series that runs of windows read, with ``before`` rows ahead of each. Ranges are merged by chunk, so a row is kept once."""
+    reach = run_chunks(runs, before, size).groupBy("station", "chunk").agg(
+        (F.min("lo") - before).alias("lo"), F.max("hi").alias("hi")
+    )
+    near = df.withColumn("chunk", floor_div(F.col("idx"), size)).join(reach, ["station", "chunk"])
+    return near.filter("idx >= lo AND idx < hi").select(*df.columns)
+
+
 def window_rows(
-    df: DataFrame, geom: Geometry, ti: float | None = None, tf: float | None = None
+    df: DataFrame, geom: Geometry, ti: float | None = None, tf: float | None = None, runs: DataFrame | None = None
 ) -> DataFrame:
-    """Each sample once per window that holds it, with its position ``pos`` in the window.
+    """Each sample once per window that holds it, with its position ``pos`` in the window; with ``runs`` only for windows of these.
 
-    The assignment is arithmetic on the sample index: no join, and the copies exist only inside the pipelined
-    explode that feeds a partial aggregate.
+    The assignment is arithmetic on the sample index: no join (but one with the chunks of ``runs``), and the copies exist only inside
+    the pipelined explode that feeds a partial aggregate.
     """
+    if runs is not None:
+        df = df.withColumn("chunk", floor_div(F.col("idx"), CHUNK)).join(run_chunks(runs).drop("lo", "hi"), ["station", "chunk"]).drop("chunk")
+    k_from, k_to = (F.lit(0), F.col("nw") - 1) if runs is None else (F.col("k_from"), F.col("k_to"))
     first, e0, count = window_bounds(geom, ti, tf)
     offset = F.col("idx") - (F.col("e0") - geom.iw)
-    low = F.greatest(F.lit(0), ceil_div(offset - geom.iw + 1, geom.hop))
-    high = F.least(F.col("nw") - 1, floor_div(offset, geom.hop))
+    low = F.greatest(k_from, ceil_div(offset - geom.iw + 1, geom.hop))
+    high = F.least(k_to, floor_div(offset, geom.hop))
     return (
         df.withColumns({"first": first, "e0": e0, "nw": count})
         .withColumns({"low": low, "high": high})
@@ -76,7 +105,7 @@ def window_rows(
             }
         )
         .withColumn("pos", F.col("idx") - (F.col("e") - geom.iw))
-        .drop("first", "e0", "nw", "low", "high")
+        .drop("first", "e0", "nw", "low", "high", "k_from", "k_to")
     )
 
 
@@ -87,8 +116,10 @@ def window_arrays(
     ti: float | None = None,
     tf: float | None = None,
     size: int | None = None,
+    runs: DataFrame | None = None,
 ) -> DataFrame:
-    """One row per window and stream with its ordered samples: ``station, k, e, win_end, stream, x``.
+    """One row per window and stream with its ordered samples: ``station, k, e, win_end, stream, x``; with ``runs`` only for
+    windows of these.
 
     Samples move once per chunk (plus one window of halo), not once per window: a chunk is gathered into
     one array per stream and windows are cut from it by position. At hop 1 this shuffles about a seventh more
@@ -98,15 +129,18 @@ def window_arrays(
     idx = F.col("idx")
     low, high = floor_div(idx + 1, size), floor_div(idx + geom.iw, size)
     copies = df.select("station", "t0", "t1", "idx", *streams, F.explode(F.sequence(low, high)).alias("chunk"))
+    keys = ["station", "chunk", "t0", "t1"]
+    if runs is not None:
+        # the chunk of a window is that of its end
+        ends = runs.withColumn("chunk", F.explode(F.sequence(floor_div(F.col("lo") + geom.iw, size), floor_div(F.col("hi"), size))))
+        copies = copies.join(ends, ["station", "chunk"]).filter("idx >= lo AND idx < hi").drop("lo", "hi")
+        keys += ["k_from", "k_to"]
     chunks = (
         place(copies, "station", "chunk")
-        .groupBy("station", "chunk", "t0", "t1")
+        .groupBy(*keys)
         .agg(F.array_sort(F.collect_list(F.struct("idx", *streams))).alias("rows"))
         .select(
-            "station",
-            "chunk",
-            "t0",
-            "t1",
+            *keys,
             F.col("rows")[0]["idx"].alias("base"),
             F.size("rows").alias("len"),
             *[F.col("rows").getField(s).alias(s) for s in streams],
@@ -116,6 +150,8 @@ def window_arrays(
     bounded = chunks.withColumns({"first": first, "e0": e0, "nw": count})
     k_low = F.greatest(F.lit(0), ceil_div(F.col("chunk") * size - F.col("e0"), geom.hop))
     k_high = F.least(F.col("nw") - 1, floor_div((F.col("chunk") + 1) * size - 1 - F.col("e0"), geom.hop))
+    if runs is not None:
+        k_low, k_high = F.greatest(k_low, F.col("k_from")), F.least(k_high, F.col("k_to"))
     begin = F.col("e") - geom.iw - F.col("base")
     cut = [F.slice(F.col(s), (F.col("begin") + 1).cast("int"), geom.iw) for s in streams]
     return (

@@ -42,22 +42,23 @@ def extract_features(
     drop: Iterable[str] = (),
     ti: float | None = None,
     tf: float | None = None,
+    runs: DataFrame | None = None,
 ) -> DataFrame:
-    """Long features of every window. Only the wanted calculators are computed: the sum-like ones in one
+    """Long features of every window, or of the windows in ``runs``. Only the wanted calculators are computed: the sum-like ones in one
     aggregate, the ordered ones in projections over one table of window arrays, the rest in one Arrow pass."""
     wanted = pick_calculators(ALL_CALCULATORS, only, drop)
     parts = []
     sums = [c for c in wanted if c in features_agg.CALCULATORS]
     if sums:
-        parts.append(melt(features_agg.window_sums(series, geom, streams, sums, ti, tf)))
+        parts.append(melt(features_agg.window_sums(series, geom, streams, sums, ti, tf, runs)))
     if features_agg.CHUNK_TREND in wanted:
-        parts.append(chunk_trend_rows(features_agg.chunk_trends(series, geom, streams, ti, tf)))
+        parts.append(chunk_trend_rows(features_agg.chunk_trends(series, geom, streams, ti, tf, runs)))
     ordered = [c for c in wanted if c in features_array.CALCULATORS]
     kernels = [c for c in wanted if c in features_arrow.NAMES]
     kernels += [k for k, names in FEATURE_OF.items() if any(n in wanted for n in names)]
     corridors = features_array.CHANGE_QUANTILES in wanted
     if ordered or kernels or corridors:
-        arrays = window_arrays(series, geom, streams, ti, tf)
+        arrays = window_arrays(series, geom, streams, ti, tf, runs=runs)
         if ordered:
             parts.append(melt(features_array.window_array_features(arrays, geom, ordered)))
         if corridors:

@@ -320,10 +320,12 @@ def transform_stft(spark, sf_dir):
 
 
 def embedding_blocks(spark, sf_dir):
-    """Embeddings read as waveform rows: one second of samples each, one station per label."""
+    """Embeddings read as waveform rows: one second of samples each, a gap of three seconds after every hundred, a thousand
+    a station."""
     raw = landing.table(spark, sf_dir, "embeddings", "vec_id BIGINT, embedding ARRAY<FLOAT>, label INT")
     return raw.select(
-        F.col("label").cast("bigint").alias("station"), F.col("vec_id").alias("start_s"), F.col("embedding").alias("samples")
+        F.floor(F.col("vec_id") / 1000).alias("station"), (F.col("vec_id") + 3 * F.floor(F.col("vec_id") / 100)).alias("start_s"),
+        F.col("embedding").alias("samples"),
     )
 
 

@@ -77,8 +77,10 @@ def write_series(df: DataFrame, path: str) -> None:
     )
 
 
-def read_series(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(SERIES_FIELDS + ", month STRING").parquet(path).drop("month")
+def read_series(spark: SparkSession, path: str, months: Sequence[str] | None = None) -> DataFrame:
+    """The stored series, or the named months (``yyyy-MM``) of it: other files are not read."""
+    stored = spark.read.schema(SERIES_FIELDS + ", month STRING").parquet(path)
+    return (stored if months is None else stored.filter(F.col("month").isin(list(months)))).drop("month")
 
 
 def write_series_csv(df: DataFrame, path: str, signals: Sequence[str] = SIGNALS) -> None:

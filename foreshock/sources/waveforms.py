@@ -10,10 +10,11 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foreshock.functions.times import nearest_grid
+from foreshock.sources.tables import cut_lineage
 
 # Pass bands in Hz, filter order, scale to nanometres.
 BANDS = {"rsam": (2.0, 5.0), "mf": (4.5, 8.0), "hf": (8.0, 16.0)}
@@ -70,9 +71,8 @@ def band_pass_response(low: float, high: float, rate: float, corners: int = CORN
     return h
 
 
-def band_pass(data: np.ndarray, low: float, high: float, rate: float) -> np.ndarray:
-    """One-pass filter from rest, as overlap-add products with the impulse response."""
-    h = band_pass_response(low, high, rate)
+def convolved(data: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Filter from rest, as overlap-add products with the impulse response."""
     size = 1 << max(14, int(math.ceil(math.log2(4 * len(h)))))
     step = size - len(h) + 1
     spectrum = np.fft.rfft(h, size)
@@ -83,45 +83,117 @@ def band_pass(data: np.ndarray, low: float, high: float, rate: float) -> np.ndar
     return out[: len(data)]
 
 
-def day_signals(data: np.ndarray, rate: float, block: int) -> dict[str, np.ndarray]:
-    """Block means of one day of samples for every band, and the ratio of displacement bands."""
-    whole = block * (len(data) // block)
+def band_pass(data: np.ndarray, low: float, high: float, rate: float) -> np.ndarray:
+    return convolved(data, band_pass_response(low, high, rate))
+
+
+def memory(rate: float) -> int:
+    """Samples before a stretch that its filtered values still depend on."""
+    return max(len(band_pass_response(*band, rate)) for band in BANDS.values()) - 1
+
+
+def islands(waveforms: DataFrame, rate: float) -> DataFrame:
+    """Rows of samples with the island that they lie in: ``station, day, start_s, n, island`` (the time of its first sample) and
+    ``offset`` (samples of the island before the row). An island ends at a gap, at an overlap and with the day. Of rows that
+    begin at one time the longest holds. Only times and sizes are ordered, not samples."""
+    rows = waveforms.select("station", "start_s", F.size("samples").cast("bigint").alias("n")).filter("n > 0")
+    rows = rows.groupBy("station", "start_s").agg(F.max("n").alias("n")).withColumn("day", F.floor(F.col("start_s") / 86400))
+    order = Window.partitionBy("station", "day").orderBy("start_s")
+    until = F.lag(F.col("start_s") + F.col("n") / rate).over(order)
+    begins = F.when(until.isNull() | (F.abs(F.col("start_s") - until) > 0.5 / rate), F.col("start_s"))
+    rows = rows.withColumn("begins", begins).withColumn("island", F.last("begins", ignorenulls=True).over(order))
+    before = Window.partitionBy("station", "day", "island").orderBy("start_s").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("begins")
+
+
+_STRETCH = "station BIGINT, island DOUBLE, part BIGINT, first BIGINT, x ARRAY<DOUBLE>, grown DOUBLE, total DOUBLE, n BIGINT"
+
+
+def stretches(waveforms: DataFrame, rate: float, length: int) -> DataFrame:
+    """Islands in stretches of ``length`` samples, each with the samples before it that filters remember: ``station, island, part,
+    first`` (number of remembered samples) and ``x``. ``grown`` is what the running integral gains over the stretch, ``total`` the
+    sum of that integral from the stretch's begin, ``n`` its samples. A stretch is one task's group, whatever the length of rows."""
+    back = memory(rate)
+    if back > length:
+        raise ValueError(f"a stretch of {length} samples is shorter than the filters' memory of {back}")
+    placed = waveforms.join(islands(waveforms, rate).select("station", "start_s", "n", "island", "offset"), ["station", "start_s"])
+    placed = placed.filter(F.size("samples") == F.col("n")).dropDuplicates(["station", "start_s"])
+    low, high = F.floor(F.col("offset") / length), F.floor((F.col("offset") + F.col("n") - 1 + back) / length)
+    cut = placed.withColumn("part", F.explode(F.sequence(low, high)))
+    begin = F.greatest(F.col("part") * length - back - F.col("offset"), F.lit(0))
+    end = F.least((F.col("part") + 1) * length - F.col("offset"), F.col("n"))
+    cut = cut.withColumns({"begin": begin, "size": end - begin}).filter("size > 0")
+    cut = cut.select(
+        "station", F.col("island").cast("double").alias("island"), "part", (F.col("offset") + F.col("begin")).alias("at"),
+        F.slice("samples", (F.col("begin") + 1).cast("int"), F.col("size").cast("int")).alias("samples"),
+    )
+
+    def gather(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("at")
+        x = np.concatenate([np.asarray(s, dtype=float) for s in rows["samples"]])
+        first = int(key[2] * length - rows["at"].iloc[0])
+        if len(x) <= first:  # nothing but the memory of a stretch that the island does not reach
+            return pd.DataFrame(columns=["station", "island", "part", "first", "x", "grown", "total", "n"])
+        area = _area(x, rate)[first:] - (_area(x, rate)[first - 1] if first else 0.0)
+        return pd.DataFrame([{
+            "station": key[0], "island": key[1], "part": key[2], "first": first, "x": x,
+            "grown": area[-1], "total": area.sum(), "n": len(area),
+        }])
+
+    return cut.groupBy("station", "island", "part").applyInPandas(gather, _STRETCH)
 
-    def mean(x: np.ndarray, low: float, high: float) -> np.ndarray:
-        return np.abs(band_pass(x, low, high, rate)[:whole]).reshape(-1, block).mean(axis=1)
 
-    out = {name: mean(data, *band) * NANO for name, band in BANDS.items()}
-    area = np.concatenate([[0.0], np.cumsum((data[1:] + data[:-1]) / (2 * rate))])
-    area -= area.mean()
-    out["dsar"] = mean(area, *BANDS["mf"]) / mean(area, *BANDS["hf"])
+def _area(x: np.ndarray, rate: float) -> np.ndarray:
+    """Integral from the first sample by trapezes."""
+    return np.concatenate([[0.0], np.cumsum((x[1:] + x[:-1]) / (2 * rate))])
+
+
+def stretch_signals(x: np.ndarray, first: int, before: float, mean: float, rate: float, block: int) -> dict[str, np.ndarray]:
+    """Block means of every band, and the ratio of displacement bands, of one stretch. ``before`` is the integral up to the stretch,
+    ``mean`` that of the island."""
+    whole = block * ((len(x) - first) // block)
+
+    def sizes(data: np.ndarray, low: float, high: float) -> np.ndarray:
+        return np.abs(band_pass(data, low, high, rate)[first : first + whole]).reshape(-1, block).mean(axis=1)
+
+    out = {name: sizes(x, *band) * NANO for name, band in BANDS.items()}
+    area = _area(x, rate)
+    area += before - (area[first - 1] if first else 0.0) - mean
+    out["dsar"] = sizes(area, *BANDS["mf"]) / sizes(area, *BANDS["hf"])
     return out
 
 
-def reduce_days(waveforms: DataFrame, rate: float = 100.0, block_seconds: int = 600) -> DataFrame:
-    """10-minute signals of each station-day: ``station, idx, rsam, mf, hf, dsar``.
+def reduce_days(waveforms: DataFrame, rate: float = 100.0, block_seconds: int = 600, blocks: int = 6) -> DataFrame:
+    """10-minute signals of each station: ``station, idx, rsam, mf, hf, dsar``.
 
-    The filter starts at rest each day and the displacement mean is the day's, so the group is a station-day:
-    at 100 Hz 8.64 million samples, 35 MB, however many stations or days there are.
+    Filters start at rest and the displacement's mean is taken anew in each island of samples without a gap, which a day's end ends
+    too; an island's first block lies on the grid step nearest to its begin. Islands are worked on in stretches of ``blocks`` blocks with the
+    samples before that filters remember, so no task holds a day. Blocks that islands leave incomplete are dropped; of two islands
+    at one grid step the earlier holds.
     """
     block = int(block_seconds * rate)
     columns = ["rsam", "mf", "hf", "dsar"]
-
-    def one_day(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("start_s")
-        data = np.concatenate([np.asarray(s, dtype=float) for s in pdf["samples"]])
-        if len(data) < block:
-            return pd.DataFrame(columns=["station", "start_s", "pos", *columns])
-        signals = day_signals(data, rate, block)
-        n = len(data) // block
-        return pd.DataFrame(
-            {"station": pdf["station"].iloc[0], "start_s": pdf["start_s"].iloc[0], "pos": np.arange(n)} | signals
-        )
-
-    schema = "station BIGINT, start_s BIGINT, pos BIGINT, " + ", ".join(f"{c} DOUBLE" for c in columns)
-    days = waveforms.select("station", "start_s", "samples", F.floor(F.col("start_s") / 86400).alias("day"))
-    out = days.groupBy("station", "day").applyInPandas(lambda pdf: one_day(pdf), schema)
-    first = nearest_grid(F.col("start_s"), block_seconds)
-    return out.select("station", (F.floor(first / block_seconds) + F.col("pos")).alias("idx"), *columns)
+    parts = cut_lineage(stretches(waveforms, rate, block * max(blocks, -(-memory(rate) // block))))
+    order = Window.partitionBy("station", "island").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("station", "island")  # a row per stretch, without samples
+    numbers = parts.select("station", "island", "part", "grown", "total", "n").withColumn("before", F.coalesce(F.sum("grown").over(order), F.lit(0.0)))
+    mean = F.sum(F.col("total") + F.col("n") * F.col("before")).over(whole) / F.sum("n").over(whole)
+    numbers = numbers.select("station", "island", "part", "before", mean.alias("mean"))
+    length = block * max(blocks, -(-memory(rate) // block))
+
+    def signals(batches):
+        for pdf in batches:
+            for r in pdf.itertuples():
+                out = stretch_signals(np.asarray(r.x, dtype=float), r.first, r.before, r.mean, rate, block)
+                pos = r.part * (length // block) + np.arange(len(out["rsam"]))
+                yield pd.DataFrame({"station": r.station, "island": r.island, "pos": pos} | out)
+
+    schema = "station BIGINT, island DOUBLE, pos BIGINT, " + ", ".join(f"{c} DOUBLE" for c in columns)
+    rows = parts.select("station", "island", "part", "first", "x").join(numbers, ["station", "island", "part"]).mapInPandas(signals, schema)
+    begin = nearest_grid(F.col("island"), block_seconds)
+    placed = rows.withColumn("idx", (F.floor(begin / block_seconds) + F.col("pos")).cast("bigint"))
+    first = placed.groupBy("station", "idx").agg(F.min_by(F.struct(*columns), "island").alias("s"))
+    return first.select("station", "idx", "s.*")
 
 
 def band_ratio(df: DataFrame, steps: int, top: str = "mf", bottom: str = "hf") -> DataFrame:

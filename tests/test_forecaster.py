@@ -4,7 +4,9 @@ import numpy as np
 import pytest
 from series_rows import make_series
 
+from foreshock.operators import windows
 from foreshock.plans.forecaster import EventForecaster, SensorSeries
+from foreshock.sources import tables
 
 BASE = 2_800_000
 CALCS = ["mean", "maximum", "standard_deviation", "median"]
@@ -80,3 +82,72 @@ def test_range_outside_data_is_an_error(forecaster):
         EventForecaster(forecaster.data, 1.0, 0.75, 2.0, tf=(BASE + 10**6) * 600)
     with pytest.raises(ValueError):
         EventForecaster(forecaster.data, 1.0, 0.75, 2.0, ti=0)
+
+
+def test_updates_compute_only_missing_windows(spark, tmp_path):
+    """A day more: only the new windows' part of the series is read, and the store holds what a full computation gives."""
+    rng = np.random.default_rng(5)
+    x = rng.gamma(4, 5, (144 * 70, 4)).tolist()
+    events = spark.createDataFrame([(1, (BASE + 4000) * 600 * 1_000_000)], "station BIGINT, te_us BIGINT")
+    calcs = ["mean", "maximum", "median", "agg_linear_trend", "autocorrelation"]
+    streams = ["rsam", "diff_mf", "stft_hf"]
+
+    def stored(n, path):
+        tables.write_series(make_series(spark, {1: x[:n], 2: x[:n]}), path)
+        return SensorSeries(tables.read_series(spark, path), events, path=path)
+
+    old = EventForecaster(stored(144 * 69, str(tmp_path / "s")), 1.0, 0.75, 2.0, data_streams=streams, root=str(tmp_path / "r"))
+    before = old.get_features(compute_only_features=calcs[:3])[0].select("station", "win_end").distinct().count()
+    data = stored(144 * 70, str(tmp_path / "s2"))
+    new = EventForecaster(data, 1.0, 0.75, 2.0, data_streams=streams, root=str(tmp_path / "r"))
+    read, months, prune, load = [], [], windows.prune_series, tables.read_series
+    windows.prune_series = lambda *a, **k: read.append(prune(*a, **k)) or read[-1]
+    tables.read_series = lambda spark, path, m=None: months.append(m) or load(spark, path, m)
+    try:
+        got = new.get_features(compute_only_features=calcs)[0]
+    finally:
+        windows.prune_series, tables.read_series = prune, load
+    sizes = [r.count() for r in read]
+    assert min(sizes) <= 2 * (144 * 2 + 36 + 72) and max(sizes) > 144 * 60  # the day for three calculators, all for the new two
+    assert set(months[sizes.index(min(sizes))]) <= {"2023-05", "2023-06"}  # of four stored months
+    full = EventForecaster(data, 1.0, 0.75, 2.0, data_streams=streams, root=str(tmp_path / "full")).get_features(compute_only_features=calcs)[0]
+    key = lambda df: {(r.station, r.win_end, r.feature): r.value for r in df.collect()}
+    a, b = key(got), key(full)
+    assert set(a) == set(b) and len({k[:2] for k in a}) == before + 2 * 4
+    assert all(a[k] == pytest.approx(b[k], rel=1e-9, abs=1e-9) for k in a)
+
+
+def test_windows_are_filled_alike_in_every_request(forecaster):
+    """What fills gaps comes from training, not from the period asked for."""
+    forecaster.train(Nfts=4, Ncl=3, classifier="NB", compute_only_features=CALCS)
+    raw, _ = forecaster._raw_features(compute_only_features=CALCS)
+    want = {r.feature: r._med for r in forecaster._statistics().collect()}
+    late = (BASE + 144 * 35) * 600
+    hole = raw.withColumn("value", raw.value * float("nan"))
+    forecaster._raw_features, real = (lambda *a: (hole, None)), forecaster._raw_features
+    try:
+        got = forecaster.get_features(late, None, (), CALCS, forecaster._statistics())[0]
+    finally:
+        forecaster._raw_features = real
+    assert {(r.feature, r.value) for r in got.select("feature", "value").distinct().collect()} == {(f, v) for f, v in want.items()}
+
+
+def test_choices_have_models_of_their_own_and_sets_are_taken_up(forecaster, tmp_path):
+    forecaster.train(Nfts=4, Ncl=3, classifier="NB", compute_only_features=CALCS)
+    first, run = forecaster.choice, forecaster.run
+    forecaster.train(Nfts=3, Ncl=3, classifier="NB", compute_only_features=CALCS)
+    assert forecaster.choice != first and forecaster.run != run
+    forecaster.train(Nfts=4, Ncl=3, classifier="NB", compute_only_features=CALCS)
+    assert (forecaster.choice, forecaster.run) == (first, run)  # found again
+    ys = sorted(map(tuple, forecaster.forecast().collect()))
+    other = EventForecaster(forecaster.data, 1.0, 0.75, 2.0, data_streams=["rsam", "log_mf"], root=str(tmp_path / "o"))
+    assert sorted(map(tuple, other.use_model(forecaster.root, first).forecast().collect())) == ys
+    with pytest.raises(ValueError):
+        EventForecaster(forecaster.data, 1.0, 0.75, 2.0, data_streams=["rsam", "log_mf"], root=str(tmp_path / "p")).use_model(str(tmp_path / "none"))
+
+
+def test_linear_classifiers_in_the_workflow(forecaster):
+    for kind in ("LR", "SVM"):
+        forecaster.train(Nfts=3, Ncl=2, classifier=kind, compute_only_features=CALCS, grid=[{"C": 0.1}, {"C": 1}])
+        ys = forecaster.forecast()
+        assert ys.filter("consensus > 0.5").count() > 0 and ys.filter("consensus IS NULL").count() == 0

@@ -117,18 +117,42 @@ def test_band_pass_equals_recursion():
     assert np.allclose(waveforms.band_pass(x, 8, 16, 100.0), recursion(x, 8, 16, 100.0), atol=1e-10)
 
 
-def test_reduce_days(spark):
-    x = RNG.normal(size=2600)
-    rows = [(1, 86400 * 3 + 10 * i, [float(v) for v in x[i * 1000 : (i + 1) * 1000]]) for i in range(3)]
-    df = spark.createDataFrame(rows, "station BIGINT, start_s BIGINT, samples ARRAY<FLOAT>")
-    got = waveforms.reduce_days(df, 100.0, 10).orderBy("idx").collect()
-    x32 = x.astype(np.float32).astype(float)
-    want = waveforms.day_signals(x32, 100.0, 1000)
-    assert [r.idx for r in got] == [86400 * 3 // 10, 86400 * 3 // 10 + 1]
-    assert [r.mf for r in got] == pytest.approx(list(want["mf"]))
-    assert [r.dsar for r in got] == pytest.approx(list(want["dsar"]))
-    first = np.abs(recursion(x32, 2, 5, 100.0)[:1000]).mean() * 1e9
-    assert got[0].rsam == pytest.approx(first)
+def whole_island(x, rate, block):
+    """Signals of one island in one piece, by recursion."""
+    def sizes(data, low, high):
+        whole = block * (len(data) // block)
+        return np.abs(recursion(data, low, high, rate)[:whole]).reshape(-1, block).mean(axis=1)
+
+    area = np.concatenate([[0.0], np.cumsum((x[1:] + x[:-1]) / (2 * rate))])
+    area -= area.mean()
+    out = {n: sizes(x, *band) * 1e9 for n, band in waveforms.BANDS.items()}
+    return out | {"dsar": sizes(area, 4.5, 8.0) / sizes(area, 8.0, 16.0)}
+
+
+def test_reduce_days_by_stretches_with_gaps(spark):
+    """Pieces of uneven length, a gap, an overlap, a repeated piece, the end of a day and a piece longer than a stretch."""
+    rate, block, day = 50.0, 500, 86400
+    islands = {day * 3: 9100, day * 3 + 300: 2600, day * 4 - 20: 1000, day * 4: 1300, day * 4 + 1000: 5000, day * 4 + 1013: 600}
+    data, rows = {}, []
+    for begin, n in islands.items():
+        x = data[begin] = RNG.normal(size=n).astype(np.float32).astype(float)
+        at, steps = 0, [700, 150, n] if begin == day * 3 else [n] if begin == day * 4 + 1000 else [400, 350, 250]
+        while at < n:
+            step = steps.pop(0)
+            rows.append((1, begin + at / rate, [float(v) for v in x[at : at + step]]))
+            at, steps = at + step, steps + [step]
+    rows.append(rows[2])
+    df = spark.createDataFrame(rows, "station BIGINT, start_s DOUBLE, samples ARRAY<FLOAT>").repartition(3)
+    got = {r.idx: r for r in waveforms.reduce_days(df, rate, 10, blocks=3).collect()}
+    want = {}
+    for begin, x in sorted(data.items(), reverse=True):
+        signals = whole_island(x, rate, block)
+        first = begin // day * day // 10 + round((begin % day) / 10)
+        want |= {first + k: {n: v[k] for n, v in signals.items()} for k in range(len(x) // block)}
+    assert set(got) == set(want) and len(got) > 30
+    for idx, signals in want.items():
+        for n, v in signals.items():
+            assert got[idx][n] == pytest.approx(v, rel=1e-7), (idx, n)
 
 
 def test_sensitivity(spark):

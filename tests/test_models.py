@@ -34,6 +34,26 @@ def test_exact_quantiles_large_group_with_hot_value(spark):
     assert [got.a, got.b, got.c] == pytest.approx(list(np.quantile(values, [0.005, 0.5, 0.995])), abs=1e-12)
 
 
+def test_exact_quantiles_go_one_way_for_groups_of_every_size(spark):
+    """One value, millions of ties, many different values, infinities and small groups, through several rounds of cuts."""
+    parts = [
+        "SELECT 'one' AS g, 5D AS v", "SELECT 'ties' AS g, CAST(id % 2 AS DOUBLE) AS v FROM range(2000001)",
+        "SELECT 'wide' AS g, CAST((id * 7919) % 60013 AS DOUBLE) / 7 AS v FROM range(60013)",
+        "SELECT 'edge' AS g, CASE WHEN id < 2 THEN double('-Infinity') WHEN id > 97 THEN double('Infinity') ELSE CAST(id AS DOUBLE) END AS v FROM range(100)",
+        "SELECT 'two' AS g, CAST(id AS DOUBLE) AS v FROM range(2)", "SELECT 'none' AS g, CAST(NULL AS DOUBLE) AS v",
+    ]
+    df = spark.sql(" UNION ALL ".join(parts))
+    qs = {"a": 0.0, "b": 0.013, "c": 0.5, "d": 0.77, "e": 1.0}
+    got = {r.g: [r.a, r.b, r.c, r.d, r.e] for r in ranking.exact_quantiles(df, ["g"], "v", qs, cell=40).collect()}
+    wide = np.sort((np.arange(60013) * 7919 % 60013) / 7)
+    ties = np.sort(np.arange(2000001) % 2).astype(float)
+    assert set(got) == {"one", "ties", "wide", "edge", "two"}
+    assert got["one"] == [5.0] * 5 and got["two"] == pytest.approx([0, 0.013, 0.5, 0.77, 1])
+    assert got["wide"] == pytest.approx(list(np.quantile(wide, list(qs.values()))), abs=1e-9)
+    assert got["ties"] == list(np.quantile(ties, list(qs.values())))
+    assert got["edge"][0] == -math.inf and got["edge"][2] == pytest.approx(49.5) and got["edge"][4] == math.inf
+
+
 def test_undersample_ratio_seed_and_no_replacement(spark):
     labels = spark.range(1000).selectExpr("1L AS station", "id AS win_end", "CAST(id < 30 AS DOUBLE) AS label")
     got = sampling.undersample(labels, 3, seed=5).collect()
