@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import functions as F
@@ -324,7 +325,26 @@ def mann_whitney(spark, sf_dir):
     return statistics(*stored_inputs(spark, sf_dir)).select("model_id", "feature", "c0", "c1", "u", "z")
 
 
-@query("fdr_flag")
+# Fisher's exact test (all tables no likelier than this one) where a feature has two values, else the tail of the normal distribution: a
+# series near the middle, a continued fraction beyond.
+_LOGS = "-(lgamma(k + 1) + lgamma(a1 + a0 - k + 1) + lgamma(c1 - k + 1) + lgamma(c0 - a0 - a1 + k + 1))"
+_PVALUES = f"""tails AS (SELECT model_id, feature, c0, c1, abs(z) / sqrt(2) AS x FROM mw WHERE isfinite(z)),
+sides2 AS (SELECT model_id, feature, count(*) AS n_values, arg_min(n0, value)::BIGINT AS a0, arg_min(n1, value)::BIGINT AS a1 FROM ranked GROUP BY ALL),
+tabled AS (SELECT t.model_id, t.feature, list({_LOGS}) AS logs, any_value({re.sub(r"\bk\b", "a1", _LOGS)}) AS own
+  FROM (SELECT t.*, s.a0, s.a1, unnest(generate_series(greatest(0, a1 + a0 - c0), least(a1 + a0, c1))) AS k
+        FROM tails t JOIN sides2 s USING (model_id, feature) WHERE n_values = 2) t GROUP BY t.model_id, t.feature),
+fisher AS (SELECT model_id, feature, least(1, list_sum(list_transform(list_filter(logs, lambda l: exp(l - own) <= 1 + 1e-7), lambda l: exp(l - list_max(logs))))
+  / list_sum(list_transform(logs, lambda l: exp(l - list_max(logs))))) AS p FROM tabled),
+normal AS (SELECT model_id, feature, CASE
+   WHEN x < 2.5 THEN 1 - 2 / sqrt(pi()) * list_sum(list_transform(range(70), lambda n: (CASE WHEN n % 2 = 0 THEN 1 ELSE -1 END) * x * exp(2 * n * ln(greatest(x, 1e-300)) - lgamma(n + 1)) / (2 * n + 1)))
+   ELSE exp(-x * x) / sqrt(pi()) / list_reduce(list_prepend(x::DOUBLE, list_transform(range(80, 0, -1), lambda n: n::DOUBLE)), lambda f, n: x + n / 2 / f) END AS p FROM tails),
+pv AS (SELECT n.model_id, n.feature, coalesce(f.p, n.p) AS p_value FROM normal n LEFT JOIN fisher f USING (model_id, feature)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY model_id ORDER BY p_value, feature) AS rank, count(*) OVER (PARTITION BY model_id) AS m FROM pv),
+passing AS (SELECT *, p_value <= 0.05 * rank / (m * list_sum(list_transform(range(1, m + 1), lambda i: 1 / i))) AS ok FROM placed),
+flagged AS (SELECT model_id, feature, p_value, rank, rank <= coalesce(max(CASE WHEN ok THEN rank END) OVER (PARTITION BY model_id), 0) AS relevant FROM passing)"""
+
+
+@query("fdr_flag", sql(_RANKED + ", " + _PVALUES, sql_out("SELECT * FROM flagged", "model_id, feature, rank, relevant", ["p_value"])))
 def fdr_flag(spark, sf_dir):
     return selection.fdr_flag(selection.p_values(statistics(*stored_inputs(spark, sf_dir))))
 
@@ -438,9 +458,45 @@ def train_consensus(spark, sf_dir):
     return votes.consensus(stump_votes(spark, sf_dir)[0], N_MODELS)
 
 
-@query("tree_vote")
+def _grown_sql(depth: int, max_features: int) -> str:
+    """Trees level by level: per node the best split of a few features, then each row goes to a child."""
+    steps = ["cw AS (SELECT model_id, count(*) / (2 * count(*) FILTER (label <= 0)) AS w0, count(*) / (2 * count(*) FILTER (label > 0)) AS w1 FROM sample GROUP BY model_id)",
+             "t0 AS (SELECT *, 1::BIGINT AS node FROM tr)"]
+    side = "2*{0}0*{0}1/({0}0+{0}1)".format
+    for d in range(depth):
+        steps.append(f"""v{d} AS (SELECT model_id, node, feature, value, count(*) FILTER (label <= 0) AS n0, count(*) FILTER (label > 0) AS n1 FROM t{d} GROUP BY ALL),
+r{d} AS (SELECT v.*, sum(n0) OVER w AS l0, sum(n1) OVER w AS l1, sum(n0) OVER p AS c0, sum(n1) OVER p AS c1, lead(value) OVER w AS above FROM v{d} v
+   WINDOW w AS (PARTITION BY model_id, node, feature ORDER BY value), p AS (PARTITION BY model_id, node, feature)),
+k{d} AS (SELECT r.*, l0 * w0 AS a0, l1 * w1 AS a1, (c0 - l0) * w0 AS b0, (c1 - l1) * w1 AS b1 FROM r{d} r JOIN cw USING (model_id)
+   WHERE above IS NOT NULL AND c0 > 0 AND c1 > 0),
+f{d} AS (SELECT model_id, node, feature FROM (SELECT DISTINCT model_id, node, feature FROM k{d})
+   QUALIFY row_number() OVER (PARTITION BY model_id, node ORDER BY md5(concat_ws(':', model_id, node, feature))) <= {max_features}),
+s{d} AS MATERIALIZED (SELECT model_id, node, feature, (value + above) / 2 AS cut, (CASE WHEN a1 > a0 THEN 1 ELSE 0 END)::DOUBLE AS lv,
+   (CASE WHEN b1 > b0 THEN 1 ELSE 0 END)::DOUBLE AS rv FROM k{d} JOIN f{d} USING (model_id, node, feature)
+   QUALIFY row_number() OVER (PARTITION BY model_id, node ORDER BY round({side("a")} + {side("b")}, 9), feature, value, a0, a1, b0, b1) = 1),
+t{d + 1} AS MATERIALIZED (SELECT t.* EXCLUDE (node), m.child AS node FROM t{d} t JOIN (SELECT x.model_id, x.station, x.win_end, x.node * 2 + (x.value > s.cut)::BIGINT AS child
+   FROM t{d} x JOIN s{d} s USING (model_id, node, feature)) m USING (model_id, station, win_end))""")
+    steps.append("p0 AS (SELECT DISTINCT s.model_id, f.station, f.win_end, 1::BIGINT AS node, NULL::DOUBLE AS vote FROM s0 s, (SELECT DISTINCT station, win_end FROM feats) f)")
+    for d in range(depth):
+        steps.append(f"""p{d + 1} AS (SELECT p.model_id, p.station, p.win_end, CASE WHEN s.node IS NULL THEN -1 ELSE p.node * 2 + (f.value > s.cut)::BIGINT END AS node,
+   CASE WHEN s.node IS NULL THEN p.vote WHEN f.value > s.cut THEN s.rv ELSE s.lv END AS vote
+   FROM p{d} p LEFT JOIN s{d} s ON s.model_id = p.model_id AND s.node = p.node
+   LEFT JOIN feats f ON f.station = p.station AND f.win_end = p.win_end AND f.feature = s.feature)""")
+    return ", ".join(steps)
+
+
+@query(
+    "tree_vote",
+    sql(
+        _TRAIN + ", " + _grown_sql(3, 4),
+        sql_out(
+            f"SELECT station, win_end, CASE WHEN count(vote) >= {N_MODELS} THEN avg(vote) END AS consensus FROM p3 GROUP BY station, win_end",
+            "station, win_end", ["consensus"],
+        ),
+    ),
+)
 def tree_vote(spark, sf_dir):
-    """Consensus of depth-3 trees on four random features a node; checked against brute force in the tests."""
+    """Consensus of depth-3 trees on four random features a node."""
     feats, rows, _ = _training(spark, sf_dir)
     rules = trees.grow_trees(rows, depth=3, max_features=4)
     return votes.consensus(trees.predict_rules(feats, rules), N_MODELS)

@@ -320,12 +320,18 @@ def transform_stft(spark, sf_dir):
 
 
 def embedding_blocks(spark, sf_dir):
-    """Embeddings read as waveform rows: one second of samples each, a gap of three seconds after every hundred, a thousand
-    a station."""
+    """Embeddings read as waveform rows: one second of samples each, one station per label."""
     raw = landing.table(spark, sf_dir, "embeddings", "vec_id BIGINT, embedding ARRAY<FLOAT>, label INT")
     return raw.select(
-        F.floor(F.col("vec_id") / 1000).alias("station"), (F.col("vec_id") + 3 * F.floor(F.col("vec_id") / 100)).alias("start_s"),
-        F.col("embedding").alias("samples"),
+        F.col("label").cast("bigint").alias("station"), F.col("vec_id").alias("start_s"), F.col("embedding").alias("samples")
+    )
+
+
+def island_blocks(spark, sf_dir):
+    """The same with a gap of three seconds after every hundred, a thousand rows a station."""
+    vec = F.col("start_s")
+    return embedding_blocks(spark, sf_dir).select(
+        F.floor(vec / 1000).alias("station"), (vec + 3 * F.floor(vec / 100)).alias("start_s"), "samples"
     )
 
 
@@ -344,10 +350,59 @@ def block_mean_abs(spark, sf_dir):
     return embedding_blocks(spark, sf_dir).select("start_s", "station", F.posexplode(means).alias("block", "mean_abs"))
 
 
-@query("band_reduce")
+def _impulse_sql(rate: float) -> str:
+    """Impulse responses of the bands by their recursions, as reversed lists ``h`` by ``band``: a row per band and sample."""
+    rows, size = [], 1 + waveforms.memory(rate)
+    for name, band in waveforms.BANDS.items():
+        gain, sections, _ = waveforms.band_pass_sections(*band, rate)
+        rows.append(f"('{name}', {gain!r}::DOUBLE, " + ", ".join(f"{a1!r}::DOUBLE, {a2!r}::DOUBLE" for a1, a2 in sections) + ")")
+    n = len(sections)
+    names = ", ".join(f"a{k}, b{k}" for k in range(n))
+    state = ", ".join(f"x{k}, u{k}, y{k}, v{k}" for k in range(n))  # inputs and outputs one and two samples ago
+    zeros = ", ".join(["0::DOUBLE"] * (4 * n))
+    inner = f"SELECT *, CASE WHEN t = -1 THEN gain ELSE 0 END AS i0 FROM imp WHERE t < {size - 1}"
+    for k in range(n):
+        inner = f"SELECT *, i{k} - u{k} - a{k} * y{k} - b{k} * v{k} AS i{k + 1} FROM ({inner})"
+    moved = ", ".join(f"i{k}, x{k}, i{k + 1}, y{k}" for k in range(n))
+    return f"""coef(band, gain, {names}) AS (VALUES {", ".join(rows)}),
+imp(band, gain, {names}, t, {state}, out) AS (
+  SELECT band, gain, {names}, -1::BIGINT, {zeros}, 0::DOUBLE FROM coef UNION ALL
+  SELECT band, gain, {names}, t + 1, {moved}, i{n} FROM ({inner})),
+resp AS (SELECT band, list(out ORDER BY t DESC) AS h FROM imp WHERE t >= 0 GROUP BY band)"""
+
+
+_RATE, _SIZE = 64, 1 + waveforms.memory(64.0)
+_BAND_SQL = f"""WITH RECURSIVE {_impulse_sql(64.0)},
+rows_ AS (SELECT vec_id // 1000 AS station, vec_id + 3 * (vec_id // 100) AS start_s, embedding FROM embeddings),
+ends_ AS (SELECT *, start_s // 86400 AS day, lag(start_s + len(embedding) / {_RATE}) OVER (PARTITION BY station, start_s // 86400 ORDER BY start_s) AS until FROM rows_),
+isl AS (SELECT *, last_value(CASE WHEN until IS NULL OR abs(start_s - until) > 0.5 / {_RATE} THEN start_s END IGNORE NULLS)
+  OVER (PARTITION BY station, day ORDER BY start_s) AS island FROM ends_),
+smp AS (SELECT station, island, start_s, unnest(embedding)::DOUBLE AS v, unnest(range(len(embedding))) AS q FROM isl),
+steps AS (SELECT *, coalesce((v + lag(v) OVER w) / {2 * _RATE}, 0) AS grown, row_number() OVER w - 1 AS t FROM smp WINDOW w AS (PARTITION BY station, island ORDER BY start_s, q)),
+areas AS (SELECT *, sum(grown) OVER (PARTITION BY station, island ORDER BY t) AS area FROM steps),
+lists AS (SELECT station, island, list(v ORDER BY t) AS x, list(area - mean ORDER BY t) AS d
+  FROM (SELECT *, avg(area) OVER (PARTITION BY station, island) AS mean FROM areas) GROUP BY station, island),
+signals AS (SELECT station, island, 'v' AS kind, x FROM lists UNION ALL SELECT station, island, 'd', d FROM lists),
+padded AS (SELECT station, island, kind, band, len(x) AS n, list_concat(list_transform(range({_SIZE - 1}), lambda z: 0::DOUBLE), x) AS x, h
+  FROM signals, resp WHERE kind = 'v' OR band <> 'rsam'),
+filtered AS (SELECT station, island, kind, band, t, list_dot_product(x[t + 1 : t + {_SIZE}], h) AS y
+  FROM (SELECT *, unnest(range(n // {10 * _RATE} * {10 * _RATE})) AS t FROM padded)),
+blocks AS (SELECT station, island, t // {10 * _RATE} AS pos, kind, band, avg(abs(y)) AS size FROM filtered GROUP BY ALL),
+wide AS (SELECT station, island, pos, {", ".join(f"max(size) FILTER (kind = 'v' AND band = '{b}') * 1e9 AS {b}" for b in waveforms.BANDS)},
+  max(size) FILTER (kind = 'd' AND band = 'mf') / max(size) FILTER (kind = 'd' AND band = 'hf') AS dsar FROM blocks GROUP BY ALL),
+placed AS (SELECT *, (island // 86400 * 86400 + round_even((island % 86400) / 10.0, 0) * 10)::BIGINT // 10 + pos AS idx FROM wide)
+"""
+
+
+@query(
+    "band_reduce",
+    _BAND_SQL + sql_out(
+        "SELECT * FROM placed QUALIFY row_number() OVER (PARTITION BY station, idx ORDER BY island) = 1", "station, idx", ["rsam", "mf", "hf", "dsar"]
+    ),
+)
 def band_reduce(spark, sf_dir):
     """Band signals of every embedding station, at 64 samples a second in blocks of 10 seconds."""
-    return waveforms.reduce_days(embedding_blocks(spark, sf_dir), rate=64.0, block_seconds=10)
+    return waveforms.reduce_days(island_blocks(spark, sf_dir), rate=64.0, block_seconds=10)
 
 
 @query(

@@ -40,12 +40,12 @@ def block_means(samples: Column, block: int) -> Column:
     )
 
 
-@lru_cache(maxsize=32)
-def band_pass_response(low: float, high: float, rate: float, corners: int = CORNERS) -> np.ndarray:
-    """Impulse response of a one-pass Butterworth band-pass, cut where it has died out below 1e-18.
+def band_pass_sections(low: float, high: float, rate: float, corners: int = CORNERS) -> tuple[float, list[tuple[float, float]], float]:
+    """Gain, recursions of second order (``y = x - x[-2] - a1 y[-1] - a2 y[-2]``) and size of the slowest pole of a one-pass
+    Butterworth band-pass.
 
     Poles of the analogue prototype are moved to the band and mapped by the bilinear transform; each conjugate
-    pair gives one recursion of second order.
+    pair gives one recursion.
     """
     edges = 2 * rate * np.tan(np.pi * np.array([low, high]) / rate)
     centre, width = math.sqrt(edges[0] * edges[1]), edges[1] - edges[0]
@@ -57,12 +57,18 @@ def band_pass_response(low: float, high: float, rate: float, corners: int = CORN
     # Zeros: as many at +1 as at -1. The gain follows from |H| = 1 at the band centre.
     at = np.exp(2j * math.atan(centre / (2 * rate)))
     gain = abs(np.prod(at - poles) / ((at - 1) ** corners * (at + 1) ** corners))
-    slowest = np.max(np.abs(poles))
+    sections = [(-2 * float(p.real), float(abs(p) ** 2)) for p in poles[poles.imag > 0]]
+    return float(gain), sections, float(np.max(np.abs(poles)))
+
+
+@lru_cache(maxsize=32)
+def band_pass_response(low: float, high: float, rate: float, corners: int = CORNERS) -> np.ndarray:
+    """Impulse response of the band-pass, cut where it has died out below 1e-18."""
+    gain, sections, slowest = band_pass_sections(low, high, rate, corners)
     length = int(math.ceil(math.log(1e-18) / math.log(slowest))) + 2 * corners
     h = np.zeros(length)
     h[0] = gain
-    for pole in poles[poles.imag > 0]:
-        a1, a2 = -2 * pole.real, abs(pole) ** 2
+    for a1, a2 in sections:
         x = np.concatenate([[0.0, 0.0], h])
         y = np.zeros(length + 2)
         for i in range(2, length + 2):
