@@ -225,7 +225,8 @@ def _compared(out: DataFrame, coverage: float) -> DataFrame:
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the rows that hold an item; all columns stay."""
-    found = leaks(docs, benchmark).selectExpr("doc_id AS _id", "text_hash AS _hash").distinct()
+    # written first: its size is known then, and where it is small the texts need no shuffle
+    found = cut_lineage(leaks(docs, benchmark).selectExpr("doc_id AS _id", "text_hash AS _hash").distinct())
     same = (F.xxhash64(F.col("text").cast("string")) == F.col("_hash")) & F.col("doc_id").cast("bigint").eqNullSafe(F.col("_id"))
     return docs.join(found, same, "left_anti")
 
