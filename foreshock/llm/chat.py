@@ -104,7 +104,7 @@ def canonical(records: DataFrame, keys: list[str], record: str = "record") -> Da
     """``keys, layout, part, role, text``: one row per turn; a record of unknown layout is one row with nulls."""
     parsed = records.select(*keys, F.parse_json(record).alias("_record"))
     parsed = parsed.withColumn("fingerprint", fingerprint(F.col("_record")))
-    known = parsed.join(mappings(records.sparkSession), "fingerprint", "left")
+    known = parsed.join(F.broadcast(mappings(records.sparkSession)), "fingerprint", "left")  # a fixed table, a row a layout
     turns = known.select(*keys, "layout", F.posexplode_outer(turns_of(F.col("_record"), F.col("layout"))).alias("part", "_turn"))
     return turns.select(*keys, "layout", "part", "_turn.role", "_turn.text")
 
