@@ -131,6 +131,7 @@ def test_values_beyond_base_spans_after_prefixes_and_of_letters(spark):
     texts = [
         "password=hunter2!Xk9$vQz7#Lw end", "AWS_SECRET_ACCESS_KEY=wJalrXUtnFEMI/K7MDENG", "DB_PASS=q8wZ5tyLmiop x", "MYSQL_PWD: q8wZ5tyLmiop",
         "passphrase: qXzRtLmVbNwPkJhGdS", "token=abcdefgh12345678", "the password is incorrect", "secret: Zusammenfassung", "passcode: everything.", "pass: akqmdkrzpslw",
+        "Zusammenfassung: everything incorrect",
     ]
     df = spark.createDataFrame(rows(texts), DOCS)
     got = {r.doc_id: r for r in secrets.secret_spans(df).collect()}
@@ -151,6 +152,72 @@ def test_guess_cost_is_at_most_brute_force_and_never_negative():
         assert 0 <= secrets.log_guesses(v) <= len(v) * np.log10(92) + 1e-9
 
 
+def plain_guesses(value, words):
+    """The minimum over all ways to cut ``value``, each part priced by itself."""
+    per_char, (low, plain) = np.log10(secrets.alphabet(value)), secrets.folded(value)
+
+    def price(i, j):
+        part, out = value[i:j], [(j - i) * per_char, words.cost(value, low, plain, i, j)] if j - i >= 3 else [(j - i) * per_char]
+        if j - i >= secrets.WALK and all(low[k : k + 2] in secrets._NEXT for k in range(i, j - 1)):
+            out.append(secrets.WALK_COST + (j - i - 1) * secrets.STEP_COST)
+        for u in range(1, secrets.PERIOD + 1):
+            if j - i > u and all(part[k] == part[k - u] for k in range(u, j - i)):
+                out.append(u * per_char + secrets.REPEAT_COST + (j - i - u) * secrets.STEP_COST)
+        for k, date in enumerate(secrets._DATES):
+            if (found := date.match(value, i)) and found.end() == j:
+                out.append(secrets._DAY if k else secrets._YEAR)
+        return min(out)
+
+    costs = [price(0, len(value))]
+    for cut in range(1, 1 << (len(value) - 1)):
+        at = [0, *(k + 1 for k in range(len(value) - 1) if cut >> k & 1), len(value)]
+        costs.append(sum(price(i, j) for i, j in zip(at, at[1:])) + secrets.PART_COST * (len(at) - 2))
+    return min(costs)
+
+
+@pytest.mark.parametrize("value", [
+    "", "a", "hunter1998", "Passw0rdqwe", "aaaaabbbbb", "xqwertyuu", "ababab1.2.99", "monkeyqweas", "1qaz2wsx3e", "zzz19991231", "Ünïqwdragon", "logınİqwe12",
+])
+def test_guess_cost_is_the_minimum_over_all_cuts(value):
+    words = secrets.Words(["dragonfly", "uniq", "keyq", "was"])
+    if value:
+        assert secrets.log_guesses(value, words) == pytest.approx(plain_guesses(value, words), abs=1e-9)
+    assert value or secrets.log_guesses(value, words) == 0
+
+
+def test_guess_cost_is_the_minimum_on_random_values_and_may_stop_early():
+    rng, words = random.Random(7), secrets.Words(["qwe", "abca", "bcab", "weas"])
+    for _ in range(40):
+        value = "".join(rng.choice(["a", "b", "c", "qw", "e", "as", "1", "2", "1999", ".", "A"]) for _ in range(rng.randint(1, 7)))[:11]
+        least = plain_guesses(value, words)
+        assert secrets.log_guesses(value, words) == pytest.approx(least, abs=1e-9)
+        for bar in (2.0, 4.0, 6.0, 8.0):
+            assert (secrets.log_guesses(value, words, bar) >= bar) == (secrets.log_guesses(value, words) >= bar)
+
+
+def test_secrets_of_words_of_the_corpus_and_of_none(spark):
+    texts = [
+        "passphrase: correcthorsebatterystaple", "passphrase=bakolimerusatinopegudalovemi", "the secret is trustworthiness", "trustworthiness matters",
+        "password: " + "x" * 40, "token: \u5bc6\u7801\u5728\u8fd9\u91cc\u8bf7\u52ff\u5206\u4eab", "pwd: " + "pq7Z" * 500_000, "pwd: xK9#mQ2$vL7p", "pwd: xK9#mQ2$vL7p", None, "",
+    ]
+    got = {r.doc_id: r for r in secrets.secret_spans(spark.createDataFrame(rows(texts), DOCS)).collect()}
+    assert [got[i].n_added for i in range(11)] == [1, 1, 0, 0, 0, 0, 1, 1, 1, 0, 0]
+    assert got[6].spans == "guess:5:2000005" and got[7].spans == got[8].spans == "guess:5:17"
+
+
+def test_frequent_words_leave_out_credential_values(spark):
+    texts = ["the cat and the dog", "password is zebra the", "pass: tiger tiger", None, "", "THE Ünder" + "a" * 30]
+    df = spark.createDataFrame(rows(texts), DOCS)
+    assert secrets.frequent_words(df) == ["the", "and", "cat", "dog", "tiger"] and secrets.frequent_words(df, limit=1) == ["the"]
+    assert secrets.frequent_words(df.limit(0)) == [] and secrets.secret_spans(df.limit(0)).collect() == []
+
+
+def test_many_credentials_in_one_text(spark):
+    text = "token=abcdef123 " * 50_000
+    got = secrets.secret_spans(spark.createDataFrame(rows([text]), DOCS)).collect()[0]
+    assert (got.n_assign, got.n_added) == (50_000, 0)
+
+
 def plain_dice(a, b):
     x, y = licenses.bigrams(a), licenses.bigrams(b)
     n = sum(x.values()) + sum(y.values())
