@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foreshock.llm.components import contract
+from foreshock.llm.hot import lookup
 from foreshock.llm.words import Texts, grams, mix, seeds, slices
 from foreshock.sources.tables import cut_lineage
 
@@ -292,10 +293,10 @@ def near_duplicates(
     hubs = members.join(known, "node").groupBy("band").agg(F.max(F.struct("met", "node")).alias("hub")).selectExpr("band", "hub.node AS hub")
     pairs = cut_lineage(members.join(hubs, "band").where("node <> hub").select("node", "hub").distinct())
 
-    info = signed.join(known.select("node"), "node").groupBy("node").agg(
+    info = signed.where("node IS NOT NULL").groupBy("node").agg(
         F.min(_known("doc_id")).alias("doc_id"), F.max("n_shingles").alias("n_shingles"), F.max("marks").alias("marks"), F.max("bands").alias("bands")
     )
-    info = cut_lineage(info)
+    info = cut_lineage(info.join(known.select("node"), "node"))
     keyed = plain.mapInArrow(_keyer(n), "doc_id BIGINT, n_shingles BIGINT, node BIGINT, text STRING")
     held = keyed.withColumn("doc_id", _known("doc_id")).join(info.select("node", "doc_id"), ["node", "doc_id"])
     texts = cut_lineage(held.groupBy("node").agg(F.max("n_shingles").alias("n_shingles"), F.min("text").alias("text")))
@@ -303,11 +304,13 @@ def near_duplicates(
     labels = contract(info.selectExpr("node", "node AS comp"), _links(pairs, texts, n, percent))
     labels = contract(labels, _rest(members, labels, info.select("node", "n_shingles", "marks", "bands"), texts, n, percent))
 
-    first = signed.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first"))
-    classes = first.join(labels, "node", "left").selectExpr("node", "coalesce(comp, node) AS comp", "first")
+    first = signed.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
+    classes = first.join(labels, "node", "left").selectExpr("node", "coalesce(comp, node) AS comp", "first", "n")
     smallest = classes.groupBy("comp").agg(F.min("first").alias("component_id"))
-    named = classes.join(smallest, "comp").select("node", "component_id")
-    out = signed.select("doc_id", "text_hash", "n_shingles", "node").join(named, "node", "left")
+    named = classes.join(smallest, "comp").select("node", "component_id", "n")
+    signs = signed.select("doc_id", "text_hash", "n_shingles", "node")
+    empty = signs.where("node IS NULL").withColumn("component_id", F.lit(None).cast("bigint"))
+    out = lookup(signs.where("node IS NOT NULL"), named, "node").unionByName(empty)
     return out.selectExpr(
         "doc_id",
         "n_shingles",
