@@ -299,7 +299,9 @@ def near_duplicates(
     info = cut_lineage(info.join(known.select("node"), "node"))
     keyed = plain.mapInArrow(_keyer(n), "doc_id BIGINT, n_shingles BIGINT, node BIGINT, text STRING")
     held = keyed.withColumn("doc_id", _known("doc_id")).join(info.select("node", "doc_id"), ["node", "doc_id"])
-    texts = cut_lineage(held.groupBy("node").agg(F.max("n_shingles").alias("n_shingles"), F.min("text").alias("text")))
+    # one doc_id a node, so groups are those of nodes and lie where the join has put them
+    one = held.groupBy("node", "doc_id").agg(F.max("n_shingles").alias("n_shingles"), F.min("text").alias("text"))
+    texts = cut_lineage(one.drop("doc_id"))
 
     labels = contract(info.selectExpr("node", "node AS comp"), _links(pairs, texts, n, percent))
     labels = contract(labels, _rest(members, labels, info.select("node", "n_shingles", "marks", "bands"), texts, n, percent))
