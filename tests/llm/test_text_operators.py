@@ -238,3 +238,60 @@ def test_license_lines_against_all_templates(spark):
         for k, line in enumerate((t or "").split("\n")):
             if any(plain_dice(line, x) >= licenses.DICE for group in licenses.TEMPLATES.values() for x in group):
                 assert any(a <= k <= b for _, a, b in got[i])
+
+
+def found_licenses(spark, texts, **more):
+    out = {}
+    for r in licenses.license_matches(spark.createDataFrame(rows(texts), DOCS), **more).collect():
+        out.setdefault(r.doc_id, []).append((r.license, r.start, r.end, r.dice, r.template))
+    return {i: sorted(x, key=lambda y: y[1]) for i, x in out.items()}
+
+
+def test_licenses_beside_other_words_and_whole_bodies(spark):
+    body = next(t for t in reversed(licenses.TEMPLATES["MIT"]))
+    isc = licenses.TEMPLATES["ISC"][1]
+    wrapped = "\n * ".join(re.findall(r".{1,40}(?: |$)", body))
+    texts = [
+        "Copyright (c) 2020 Foo Inc. All rights reserved.", "Copyright (c) 2020 Foo Inc. Licensed under the MIT License.",
+        "Here \u00fc is what we say: " + isc + " And so on.", licenses.TEMPLATES["MIT"][4], "/*\n * Copyright 2019 A B\n * " + wrapped + "*/",
+        "word " * 30_000 + "Licensed under the Apache License, Version 2.0. " + "word " * 30_000, "All rights reserved. " * 300, "2001 2002 2003", "x" * 300_000,
+        licenses.TEMPLATES["GPL-3.0-or-later"][0] + "\n\n" + licenses.TEMPLATES["BSD-3-Clause"][-1], None,
+    ]
+    got = found_licenses(spark, texts)
+    assert [[x[0] for x in got.get(i, [])] for i in range(11)] == [
+        ["Proprietary"], ["MIT"], ["ISC"], ["MIT"], ["MIT"], ["Apache-2.0"], ["Proprietary"] * 300, [], [], ["GPL-3.0-or-later", "BSD-3-Clause"], [],
+    ]
+    assert texts[0][got[0][0][1] : got[0][0][2]] == "All rights reserved" and texts[2][got[2][0][1] : got[2][0][2]] == isc[:-1]
+    assert got[4][0][4] == body and got[5][0][1] == 150_000
+
+
+def test_licenses_equal_brute_force_over_windows(spark):
+    rng = random.Random(3)
+    templates = {"A": ["a b c d e f", "c d a"], "B": ["b c b c a b c", "f e d 2020 a"], "C": ["a a a a"]}
+    texts = [" ".join(rng.choice("aabbccdef") for _ in range(rng.randint(0, 40))) for _ in range(40)]
+    texts += ["a b c d e f " * 6, "a " * 30, "a b x c d e f\na b c d 1999 e f", "a b c", "c d a"]
+    got = found_licenses(spark, texts, templates=templates)
+    flat = [t for group in templates.values() for t in group]
+    for i, text in enumerate(texts):
+        spans = [(m.start(), m.end()) for m in re.finditer(r"[a-z0-9]+", text)]
+        values = {}
+        for a in range(len(spans)):
+            for b in range(a + 1, min(len(spans), a + 16)):
+                values[spans[a][0], spans[b][1]] = max(plain_dice(text[spans[a][0] : spans[b][1]], t) for t in flat)
+        mine = got.get(i, [])
+        for name, start, end, value, template in mine:
+            assert template in templates[name] and value == pytest.approx(plain_dice(text[start:end], template)) and value >= licenses.DICE
+            assert value == pytest.approx(values[start, end])
+        assert all(x[2] <= y[1] for x, y in zip(mine, mine[1:]))
+        assert max((x[3] for x in mine), default=0) == pytest.approx(max((v for v in values.values() if v >= licenses.DICE), default=0))
+        for (start, end), value in values.items():  # nothing near enough is left between the matches
+            assert value < licenses.DICE or any(start < y and x < end for _, x, y, _, _ in mine)
+
+
+def test_licenses_of_odd_tables(spark):
+    schema = "doc_id BIGINT, text STRING, license STRING, start BIGINT, dice DOUBLE"
+    notice = "Licensed under CC BY 4.0."
+    df = spark.createDataFrame([(None, notice, "x", 1, 0.1), (3, notice, None, None, None), (3, notice, "y", 2, 0.2), (None, None, None, None, None)], schema)
+    got = licenses.license_matches(df).collect()
+    assert sorted((r.doc_id or 0, r.license, r.start, r.end, r.dice) for r in got) == [(0, "CC-BY-4.0", 0, 24, 1.0), (3, "CC-BY-4.0", 0, 24, 1.0), (3, "CC-BY-4.0", 0, 24, 1.0)]
+    assert licenses.license_matches(df.limit(0)).collect() == [] and licenses.license_matches(df, templates={}).collect() == []
