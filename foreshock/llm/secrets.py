@@ -6,7 +6,7 @@ walks and brute-force spans. Each part costs the logarithm of its guesses, each
 positions finds the minimum over every way to cut the value, parts of longer walks and repeats included. ``hunter`` plus a year is
 cheap; random characters cost their whole length, and so does a row of words that is long enough.
 
-The dictionary is a short fixed list of frequent passwords and the ``WORDS`` most frequent words of the texts themselves, counted over
+The dictionary is a short fixed list of frequent passwords and at most ``WORDS`` of the most frequent words of the texts themselves, counted over
 all of them; what stands in a credential context is not counted, so a value never makes itself cheap.
 
 A value that reaches beyond the base spans is added whole, so spans may overlap. Values without a digit or a letter with case, as prose in
@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foreshock.llm.words import Texts, slices
+from foreshock.sources.tables import cut_lineage
 
 KINDS = ("assign", "access", "hex", "guess")
 MIN_VALUE, MIN_ACCESS, MIN_HEX = 6, 20, 24
@@ -230,8 +231,9 @@ SCHEMA = "doc_id BIGINT, n_assign BIGINT, n_access BIGINT, n_hex BIGINT, base_sh
 
 
 def frequent_words(docs: DataFrame, text: str = "text", limit: int = WORDS) -> list[str]:
-    """The ``limit`` most frequent words (runs of letters in lower case) of all texts, the most frequent first, equally frequent ones by name.
-    Credential contexts are cut out before. Words are counted in partial sums, so no word is hot; at most ``limit`` words come to the driver."""
+    """The most frequent words (runs of letters in lower case) of all texts, the most frequent first, equally frequent ones by name: all
+    of every level of counts (an eighth of a doubling each) down to the last with which there are no more than ``limit``. Credential contexts are
+    cut out before. Words are counted in partial sums, so no word is hot; the size of each level (a few hundred) and ``limit`` words at most come to the driver."""
     least, most = WORD_LETTERS
     plain = F.col(f"`{text}`").cast("string")
     low = F.lower(plain)
@@ -239,7 +241,15 @@ def frequent_words(docs: DataFrame, text: str = "text", limit: int = WORDS) -> l
     prose = F.lower(F.when(named, F.regexp_replace(plain, CONTEXT.pattern.decode(), " ")).otherwise(plain))
     word = F.regexp_extract_all(prose, F.lit(rf"(?<!\p{{L}})\p{{L}}{{{least},{most}}}(?!\p{{L}})"), F.lit(0))
     counts = docs.select(F.explode(word).alias("word")).groupBy("word").count()
-    return [r.word for r in counts.orderBy(F.desc("count"), "word").limit(limit).collect()]
+    counts = cut_lineage(counts.withColumn("level", F.floor(8 * F.log2("count"))))
+    cut, total = None, 0
+    for level, size in sorted(map(tuple, counts.groupBy("level").agg(F.count("*")).collect()), reverse=True):
+        total += size
+        if total > limit:
+            break
+        cut = level
+    found = [] if cut is None else counts.where(F.col("level") >= cut).select("word", "count").collect()
+    return [r["word"] for r in sorted(found, key=lambda r: (-r["count"], r["word"]))]
 
 
 def _mapper(learnt: list[str]):
