@@ -194,8 +194,8 @@ def _links(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFram
     """The pairs (node, hub) whose full sets are similar enough. A hub with many partners is dealt over groups of
     bounded size, each with one copy of the hub's text."""
     sizes = texts.select("node", "n_shingles")
-    load = pairs.join(sizes, "node").groupBy("hub").agg(F.sum("n_shingles").alias("load"))
-    dealt = pairs.join(load, "hub").selectExpr(
+    load = pairs.join(sizes, "node").groupBy("hub").agg(F.sum("n_shingles").alias("load"), F.count("*").alias("n"))
+    dealt = lookup(pairs, load, "hub").selectExpr(
         "hub", "node", f"CAST(pmod(xxhash64(node), ceil(load / {GROUP_SHINGLES})) AS BIGINT) AS part"
     )
     both = dealt.unionByName(dealt.selectExpr("hub", "hub AS node", "part").distinct())
