@@ -11,7 +11,7 @@ from foreshock.config import SIGNALS, Geometry
 from foreshock.functions.names import feature_line
 from foreshock.functions.numbers import log10_signed
 from foreshock.operators import consensus as votes
-from foreshock.operators import features_agg, features_arrow, labels, linear, models, sampling, selection, store, trees, windows
+from foreshock.operators import features_agg, features_arrow, forests, labels, linear, models, sampling, selection, store, trees, windows
 from foreshock.plans.catalog import query, sql, sql_num, sql_out, tidy
 from foreshock.sources import landing
 from foreshock.sources.tables import cut_lineage, work_dir
@@ -502,6 +502,65 @@ def tree_vote(spark, sf_dir):
     return votes.consensus(trees.predict_rules(feats, rules), N_MODELS)
 
 
+def _forest_sql(trees: int, depth: int, max_features: int) -> str:
+    """Forests level by level: rows of each tree's bootstrap with their counts, the best split of a few features a node, and
+    the share of the upper class at the end of each path."""
+    draws = ", ".join(f"({t}, {pow(forests.NEXT, t + 1, forests.PRIME)})" for t in range(trees))
+    number = "list_sum(list_transform(range(1, 9), lambda i: (instr('0123456789abcdef', substr(md5(concat_ws(':', model_id, station, win_end)), i::INT, 1)) - 1) * (16 ** (8 - i))::BIGINT))::BIGINT"
+    side = "2*{0}0*{0}1/({0}0+{0}1)".format
+    node = "model_id, tree, node"
+    steps = [
+        "cw AS (SELECT model_id, count(*) / (2 * count(*) FILTER (label <= 0)) AS w0, count(*) / (2 * count(*) FILTER (label > 0)) AS w1 FROM sample GROUP BY model_id)",
+        f"""drawn_rows AS (SELECT *, {" + ".join(f"(u >= {c})::BIGINT" for c in forests.COPIES)} AS n
+  FROM (SELECT model_id, station, win_end, tree, {number} % {forests.PRIME} * a % {forests.PRIME} AS u FROM sample, (VALUES {draws}) d(tree, a)))""",
+        "t0 AS MATERIALIZED (SELECT tr.*, tree, n, 1::BIGINT AS node FROM tr JOIN drawn_rows USING (model_id, station, win_end) WHERE n > 0)",
+        """p0 AS (SELECT r.*, f.station, f.win_end FROM (SELECT model_id, tree, 1::BIGINT AS node,
+   sum(n * w1) FILTER (label > 0) / (sum(n * w1) FILTER (label > 0) + coalesce(sum(n * w0) FILTER (label <= 0), 0)) AS share
+   FROM t0 JOIN cw USING (model_id) GROUP BY ALL) r, (SELECT DISTINCT station, win_end FROM feats) f)""",
+    ]
+    for d in range(depth):
+        steps.append(f"""v{d} AS (SELECT {node}, feature, value, coalesce(sum(n) FILTER (label <= 0), 0) AS n0, coalesce(sum(n) FILTER (label > 0), 0) AS n1 FROM t{d} GROUP BY ALL),
+r{d} AS (SELECT v.*, sum(n0) OVER w AS l0, sum(n1) OVER w AS l1, sum(n0) OVER p AS c0, sum(n1) OVER p AS c1, lead(value) OVER w AS above FROM v{d} v
+   WINDOW w AS (PARTITION BY {node}, feature ORDER BY value), p AS (PARTITION BY {node}, feature)),
+k{d} AS (SELECT r.*, l0 * w0 AS a0, l1 * w1 AS a1, (c0 - l0) * w0 AS b0, (c1 - l1) * w1 AS b1 FROM r{d} r JOIN cw USING (model_id)
+   WHERE above IS NOT NULL AND c0 > 0 AND c1 > 0),
+f{d} AS (SELECT {node}, feature FROM (SELECT DISTINCT {node}, feature FROM k{d})
+   QUALIFY row_number() OVER (PARTITION BY {node} ORDER BY md5(concat_ws(':', {node}, feature))) <= {max_features}),
+s{d} AS MATERIALIZED (SELECT {node}, feature, (value + above) / 2 AS cut, a1 / (a0 + a1) AS ls, b1 / (b0 + b1) AS rs FROM k{d} JOIN f{d} USING ({node}, feature)
+   QUALIFY row_number() OVER (PARTITION BY {node} ORDER BY round({side("a")} + {side("b")}, 9), feature, value) = 1),
+t{d + 1} AS MATERIALIZED (SELECT t.* EXCLUDE (node), m.child AS node FROM t{d} t JOIN (SELECT x.model_id, x.tree, x.station, x.win_end, x.node * 2 + (x.value > s.cut)::BIGINT AS child
+   FROM t{d} x JOIN s{d} s USING ({node}, feature)) m USING (model_id, tree, station, win_end)),
+p{d + 1} AS (SELECT p.model_id, p.tree, CASE WHEN s.node IS NULL THEN -1 ELSE p.node * 2 + (f.value > s.cut)::BIGINT END AS node,
+   CASE WHEN s.node IS NULL THEN p.share WHEN f.value > s.cut THEN s.rs ELSE s.ls END AS share, p.station, p.win_end
+   FROM p{d} p LEFT JOIN s{d} s USING ({node}) LEFT JOIN feats f ON f.station = p.station AND f.win_end = p.win_end AND f.feature = s.feature)""")
+    return ", ".join(steps)
+
+
+def _forest_votes(spark, sf_dir, code, points):
+    feats, rows, drawn = _training(spark, sf_dir)
+    folded = cut_lineage(sampling.shuffle_split(drawn, seed=SEED))
+    return forests.forest_votes(feats, cut_lineage(forests.search_forests(rows, folded, points, code)[0]))
+
+
+@query(
+    "rf_vote",
+    sql(
+        _TRAIN + ", " + _forest_sql(10, 3, 4),
+        "SELECT model_id, station, win_end, (round(avg(coalesce(share, 0)), 9) > 0.5)::DOUBLE AS pred FROM p3 GROUP BY model_id, station, win_end",
+    ),
+)
+def rf_vote(spark, sf_dir):
+    """Random forests of ten trees, the smallest of the grid, on the square root of the features at each node."""
+    point = {"n_estimators": 10, "max_depth": 3, "criterion": "gini", "max_features": "sqrt"}
+    return _forest_votes(spark, sf_dir, "RF", [point])
+
+
+@query("tree_search_vote")
+def tree_search_vote(spark, sf_dir):
+    """Trees, the whole grid on all folds of all models; checked against growing each point alone in the tests."""
+    return _forest_votes(spark, sf_dir, "DT", models.grid_points("DT"))
+
+
 @query(
     "nb_vote",
     sql(
