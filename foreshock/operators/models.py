@@ -12,12 +12,11 @@ from itertools import product
 
 from pyspark.errors import ArithmeticException, IllegalArgumentException
 from pyspark.ml import Transformer
-from pyspark.ml.classification import MultilayerPerceptronClassifier, RandomForestClassifier
+from pyspark.ml.classification import MultilayerPerceptronClassifier
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foreshock.operators.trees import grow_trees
 from foreshock.sources.tables import cut_lineage
 
 SMOOTHING = 1e-9
@@ -188,7 +187,7 @@ def searched_neighbour_votes(inputs: DataFrame, fitted: DataFrame) -> DataFrame:
     return out
 
 
-# ---- trees with a grid search over all models at once ----------------------------------------------------
+# ---- trees -----------------------------------------------------------------------------------------------
 
 
 def feature_count(rule: str | None, n: int) -> int | None:
@@ -197,65 +196,15 @@ def feature_count(rule: str | None, n: int) -> int | None:
     return max(1, int(math.sqrt(n)) if rule in ("auto", "sqrt") else int(math.log2(n)))
 
 
-def search_trees(rows: DataFrame, folded: DataFrame, n_features: int, points: list[dict]) -> DataFrame:
-    """Best tree per model: every grid point is fitted on the training part of each fold for all models at
-    once, scored on the test part, and the best point of each model is refitted on the whole sample.
-
-    ``folded`` is ``model_id, station, win_end, fold, test``. The fold is folded into the model number, so a
-    grid point costs one job, not one per model and fold.
-    """
-    folds = folded.select(*KEYS, "fold", "test")
-    spread = cut_lineage(
-        rows.join(folds, KEYS).withColumn("parent", F.col("model_id")).withColumn("model_id", F.col("model_id") * 1000 + F.col("fold"))
-    )
-    scores, shapes = None, [(p["max_depth"], p["criterion"], feature_count(p["max_features"], n_features)) for p in points]
-    for number, shape in enumerate(dict.fromkeys(shapes)):
-        rules = grow_trees(spread.filter("NOT test"), *shape)
-        tests = spread.filter("test")
-        labels = tests.select("model_id", "parent", "station", "win_end", "label").distinct()
-        mine = tests.join(rules, ["model_id", "feature"]).filter("value > lo AND value <= hi")
-        votes = (
-            mine.groupBy(*KEYS, "leaf", "vote", "n_terms").agg(F.count("*").alias("met")).filter("met = n_terms")
-            .select(*KEYS, F.col("vote").alias("pred")).join(labels, KEYS)
-        )
-        score = cut_lineage(
-            balanced_accuracy(votes, ["model_id", "parent"])
-            .groupBy(F.col("parent").alias("model_id"))
-            .agg(F.avg("score").alias("score"))
-            .withColumn("shape", F.lit(number))
-        )
-        scores = score if scores is None else scores.unionByName(score)
-    best = cut_lineage(
-        scores.groupBy("model_id").agg(F.max(F.struct("score", F.negative("shape").alias("shape"))).alias("s")).selectExpr(
-            "model_id", "CAST(-s.shape AS INT) AS shape", "s.score AS score"
-        )
-    )
-    fitted = None
-    for number, shape in enumerate(dict.fromkeys(shapes)):
-        mine = rows.join(best.filter(F.col("shape") == number).select("model_id"), "model_id", "left_semi")
-        if mine.isEmpty():
-            continue
-        rules = grow_trees(mine, *shape)
-        fitted = rules if fitted is None else fitted.unionByName(rules)
-    return fitted
-
-
 # ---- Spark ML --------------------------------------------------------------------------------------------
 
 
 def make_estimator(code: str, point: dict, n_features: int, n_rows: int):
     """Spark ML estimator of a classifier code at one grid point.
 
-    Differences that Spark ML leaves: SVM is linear, networks are sigmoid without weight decay.
+    Differences that Spark ML leaves: networks are sigmoid without weight decay.
     """
     columns = {"featuresCol": "vector", "labelCol": "label"}
-    if code in ("DT", "RF"):
-        share = {"auto": "sqrt", "sqrt": "sqrt", "log2": "log2", None: "all"}[point["max_features"]]
-        trees = point.get("n_estimators", 1)
-        return RandomForestClassifier(
-            numTrees=trees, bootstrap=trees > 1, maxDepth=point["max_depth"], impurity=point["criterion"],
-            featureSubsetStrategy=share, weightCol="weight", seed=0, **columns,
-        )
     if code == "NN":
         return MultilayerPerceptronClassifier(layers=[n_features, point["hidden_layer_sizes"], 2], maxIter=200, seed=0, **columns)
     raise ValueError(f"unknown classifier code {code!r}")

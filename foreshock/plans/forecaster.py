@@ -11,22 +11,20 @@ from collections.abc import Iterable, Sequence
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
-from pyspark.ml.classification import MultilayerPerceptronClassificationModel, RandomForestClassificationModel
+from pyspark.ml.classification import MultilayerPerceptronClassificationModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foreshock.config import CHUNK, SIGNALS, STEP_SECONDS, Geometry
 from foreshock.functions.times import index_time, to_seconds
-from foreshock.operators import alerts, consensus, evaluate, explore, grid, labels, linear, models, sampling, selection, store, trees, windows
+from foreshock.operators import alerts, consensus, evaluate, explore, forests, grid, labels, linear, models, sampling, selection, store, windows
 from foreshock.operators.transforms import SEGMENT, check_streams, with_streams
 from foreshock.plans.extract import ALL_CALCULATORS, extract_features
 from foreshock.sources import tables
 from foreshock.sources.tables import cut_lineage
 
-_LOADERS = {
-    "RF": RandomForestClassificationModel,
-    "NN": MultilayerPerceptronClassificationModel,
-}
+_LOADERS = {"NN": MultilayerPerceptronClassificationModel}
+_TREES = ("DT", "RF")
 
 
 class SensorSeries:
@@ -188,6 +186,8 @@ class EventForecaster:
             Nfts, Ncl, random_seed, sorted(drop_features), [[str(d) for d in pair] for pair in exclude_dates],
             list(use_only_features), sorted(compute_only_features), points,
         ]
+        if classifier in _TREES:
+            asked.append(forests.FITTED)  # sets stored as other tables are not read
         self.classifier, self.n_models = classifier, Ncl
         self.choice = f"{classifier}_{hashlib.sha256(json.dumps(asked).encode()).hexdigest()[:16]}"
         held = None if retrain else self._stored(f"selected_{self.choice}", _SELECTED)
@@ -247,12 +247,9 @@ class EventForecaster:
 
     def _fit(self, rows: DataFrame, samples: DataFrame, folds: DataFrame, points: list[dict], n_features: int) -> None:
         path = self._path(f"models_{self.choice}")
-        if self.classifier == "DT":
-            if len(points) == 1:
-                p = points[0]
-                fitted = trees.grow_trees(rows, p["max_depth"], p["criterion"], models.feature_count(p["max_features"], n_features))
-            else:
-                fitted = models.search_trees(rows, folds, n_features, points)
+        if self.classifier in _TREES:
+            fitted, searched = forests.search_forests(rows, folds, points, self.classifier)
+            searched.write.mode("overwrite").parquet(self._path(f"search_{self.choice}"))
             fitted.write.mode("overwrite").parquet(path)
         elif self.classifier == "NB":
             models.fit_bayes(rows, points[0]["var_smoothing"]).write.mode("overwrite").parquet(path)
@@ -285,8 +282,8 @@ class EventForecaster:
     def votes(self, features: DataFrame, picked: DataFrame) -> DataFrame:
         """Votes of all trained models on long features."""
         path = self._path(f"models_{self.choice}")
-        if self.classifier == "DT":
-            return trees.predict_rules(features, self.spark.read.parquet(path))
+        if self.classifier in _TREES:
+            return forests.forest_votes(features, self.spark.read.parquet(path))
         if self.classifier == "NB":
             return models.bayes_votes(features, self.spark.read.parquet(path))
         if self.classifier in linear.LOSSES:

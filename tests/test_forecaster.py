@@ -151,3 +151,10 @@ def test_linear_classifiers_in_the_workflow(forecaster):
         forecaster.train(Nfts=3, Ncl=2, classifier=kind, compute_only_features=CALCS, grid=[{"C": 0.1}, {"C": 1}])
         ys = forecaster.forecast()
         assert ys.filter("consensus > 0.5").count() > 0 and ys.filter("consensus IS NULL").count() == 0
+
+
+def test_forests_in_the_workflow(forecaster):
+    grid = [{"n_estimators": n, "max_depth": 2, "criterion": "gini", "max_features": "sqrt"} for n in (2, 4)]
+    forecaster.train(Nfts=3, Ncl=2, classifier="RF", compute_only_features=CALCS, grid=grid)
+    ys = forecaster.forecast().collect()
+    assert ys and all(0 <= r.consensus <= 1 for r in ys)

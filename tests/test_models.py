@@ -167,18 +167,6 @@ def test_trees_equal_brute_force(spark, depth):
         assert [got[(m, i)] for i in range(len(x0))] == [tree(r) for r in x0]
 
 
-def test_grid_search_of_trees(spark):
-    x, y = data(3)
-    rows = long_rows(spark, x, y)
-    sample = rows.select("model_id", "station", "win_end", "label").distinct()
-    points = [{"max_depth": 1, "criterion": "gini", "max_features": None}, {"max_depth": 3, "criterion": "entropy", "max_features": None}]
-    rules = models.search_trees(rows, sampling.shuffle_split(sample, 3), 4, points)
-    votes = trees.predict_rules(rows.select("station", "win_end", "feature", "value"), rules)
-    assert votes.count() == len(x)
-    score = models.balanced_accuracy(votes.join(sample, models.KEYS), ["model_id"]).first().score
-    assert score > 0.8
-
-
 def test_bayes_equals_direct(spark):
     x, y = data(4)
     rows = long_rows(spark, x, y)
