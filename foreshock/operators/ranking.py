@@ -66,19 +66,20 @@ def mark_smallest(df: DataFrame, keys: Sequence[str], order: str, keep: DataFram
 
     ``order`` is a hex digest; its first three digits are spread evenly, so a histogram of 4096 buckets per
     group shows the bucket where the count is reached, and only the rows of that bucket are ranked.
-    ``keep`` has one row per group: the keys and ``keep``.
+    ``keep`` has one row per group: the keys and ``keep``. So has the table of cuts, and both are broadcast by name: rows made from
+    few stored ones by an explode look small to the planner, which would send them to the driver instead.
     """
     rows = df.withColumn("_bucket", F.conv(F.substring(order, 1, 3), 16, 10).cast("int"))
     counts = rows.groupBy(*keys, "_bucket").agg(F.count("*").alias("_c"))
     upto = Window.partitionBy(*keys).orderBy("_bucket")
     cut = (
         counts.withColumn("_upto", F.sum("_c").over(upto))
-        .join(keep, list(keys))
+        .join(F.broadcast(keep), list(keys))
         .filter("_upto - _c < keep")
         .groupBy(*keys)
         .agg(F.max("_bucket").alias("_cut"), F.max_by(F.col("keep") - F.col("_upto") + F.col("_c"), "_bucket").alias("_need"))
     )
-    cutted = rows.join(cut, list(keys), "left")
+    cutted = rows.join(F.broadcast(cut), list(keys), "left")
     sure = cutted.filter("coalesce(_bucket <> _cut, true)").withColumn("chosen", F.expr("coalesce(_bucket < _cut, false)"))
     place = F.row_number().over(Window.partitionBy(*keys).orderBy(order))
     edge = cutted.filter("_bucket = _cut").withColumn("_place", place).withColumn("chosen", F.expr("_place <= _need")).drop("_place")

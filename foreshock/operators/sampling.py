@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foreshock.operators.chunks import place
 from foreshock.operators.ranking import mark_smallest
 from foreshock.sources.tables import cut_lineage
 
@@ -28,11 +29,12 @@ def class_sizes(labels: DataFrame, ratio: float = RATIO) -> DataFrame:
 
 def undersample(labels: DataFrame, n_models: int, seed: int = 0, ratio: float = RATIO) -> DataFrame:
     """One sample without replacement per model: ``model_id`` and the label rows (``station, win_end, label``)."""
-    labels = cut_lineage(labels.select("station", "win_end", "label"))
+    labels = cut_lineage(labels.select("station", "win_end", "label"))  # a small file, whose rows become one per model
     sizes = class_sizes(labels, ratio)
     models = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_models - 1).cast("bigint")))
     digest = F.md5(F.concat_ws(":", F.col("model_id") + seed, "station", "win_end"))
-    spread = labels.select("station", "win_end", "label", models.alias("model_id")).withColumn("digest", digest)
+    placed = place(labels, "station", "win_end")
+    spread = placed.select("station", "win_end", "label", models.alias("model_id")).withColumn("digest", digest)
     keep = sizes.select("label", "keep", models.alias("model_id"))
     marked = mark_smallest(spread, ["model_id", "label"], "digest", keep)
     return marked.filter("chosen").select("model_id", "station", "win_end", "label")
@@ -54,7 +56,7 @@ def class_weights(samples: DataFrame) -> DataFrame:
 
 def shuffle_split(samples: DataFrame, folds: int = FOLDS, share: float = TEST_SHARE, seed: int = 0) -> DataFrame:
     """Random splits of each model's sample: adds ``fold`` and ``test``."""
-    samples = cut_lineage(samples)
+    samples = place(cut_lineage(samples), "station", "win_end")  # all models in one or two files, whose rows become one per fold
     fold = F.explode(F.sequence(F.lit(0), F.lit(folds - 1))).alias("fold")
     digest = F.md5(F.concat_ws(":", F.col("model_id") + seed, "fold", "station", "win_end"))
     spread = samples.select("*", fold).withColumn("digest", digest)

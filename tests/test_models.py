@@ -71,6 +71,20 @@ def test_split_has_a_quarter_in_each_fold(spark):
     assert {(r.t, r.n) for r in got} == {(26, 101)} and len(got) == 5
 
 
+def executed(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_samples_are_not_broadcast(spark):
+    """Rows of few windows times many models look small to the planner; only the cuts, one a group, go to the driver."""
+    labels = spark.range(400).selectExpr("id % 3 AS station", "id AS win_end", "CAST(id < 30 AS DOUBLE) AS label")
+    drawn = sampling.undersample(labels, 50)
+    split = sampling.shuffle_split(drawn)
+    for plan in (executed(drawn), executed(split)):
+        assert "BuildRight" in plan and "BuildLeft" not in plan
+    assert drawn.count() == 50 * 70 and split.filter("test").count() == 50 * 5 * 18
+
+
 def test_mann_whitney_with_ties_and_p(spark):
     rng = np.random.default_rng(2)
     v, y = rng.integers(0, 6, 60).astype(float), rng.integers(0, 2, 60).astype(float)
