@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from foreshock.operators.chunks import place
 from foreshock.sources.tables import cut_lineage
 
 HASH_BUCKETS = 4096
@@ -86,6 +87,13 @@ def mark_smallest(df: DataFrame, keys: Sequence[str], order: str, keep: DataFram
     return sure.unionByName(edge).drop("_bucket", "_cut", "_need")
 
 
+def in_ranges(rows: DataFrame, splits: DataFrame) -> DataFrame:
+    """Rows with the number ``part`` of the range of their feature's ``splits`` that holds their value, dealt over tasks by feature and
+    range. The splits, at most 63 numbers a feature, are broadcast."""
+    part = F.expr("size(filter(splits, s -> s < value))").alias("part")
+    return place(rows.join(F.broadcast(splits), "feature").select(*rows.columns, part), "feature", "part")
+
+
 def class_ranks(rows: DataFrame, splits: DataFrame, keys: Sequence[str] = ("model_id",)) -> DataFrame:
     """Distinct values per (keys, feature) with class counts and the class counts of all smaller values.
 
@@ -94,11 +102,23 @@ def class_ranks(rows: DataFrame, splits: DataFrame, keys: Sequence[str] = ("mode
     happens within a range only. Output: keys, ``feature, value, n0, n1, below0, below1``.
     """
     group = [*keys, "feature"]
-    values = rows.groupBy(*group, "value").agg(
-        F.count_if(F.col("label") <= 0).alias("n0"), F.count_if(F.col("label") > 0).alias("n1")
-    )
-    part = F.expr("size(filter(splits, s -> s < value))").alias("part")
-    placed = values.join(splits, "feature").select(*group, "value", "n0", "n1", part)
+    return ranks_in_ranges(in_ranges(_class_counts(rows, [*group, "value"]), splits), keys)
+
+
+def packed_ranks(rows: DataFrame, splits: DataFrame, key: str = "model_id", packed: str = "models") -> DataFrame:
+    """The same for rows that carry the array ``packed`` of all their keys. They are dealt once per row, not once per key, and
+    unfolded where their range is; what follows finds them in place."""
+    placed = in_ranges(rows, splits).select(F.explode(packed).alias(key), "feature", "part", "value", "label")
+    return ranks_in_ranges(_class_counts(placed, [key, "feature", "part", "value"]), [key])
+
+
+def _class_counts(rows: DataFrame, group: Sequence[str]) -> DataFrame:
+    return rows.groupBy(*group).agg(F.count_if(F.col("label") <= 0).alias("n0"), F.count_if(F.col("label") > 0).alias("n1"))
+
+
+def ranks_in_ranges(placed: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Class counts ``n0, n1`` of values dealt by ``in_ranges``, with those of all smaller values. Only the sums of ranges move."""
+    group = [*keys, "feature"]
     before = Window.partitionBy(*group).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         placed.groupBy(*group, "part")
@@ -111,7 +131,7 @@ def class_ranks(rows: DataFrame, splits: DataFrame, keys: Sequence[str] = ("mode
         )
     )
     inner = Window.partitionBy(*group, "part").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    return placed.join(offsets, [*group, "part"]).select(
+    return placed.join(place(offsets, "feature", "part").hint("merge"), [*group, "part"]).select(
         *group,
         "value",
         "n0",

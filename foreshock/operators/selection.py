@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foreshock.functions.names import calculator_of, glob_match
-from foreshock.operators.ranking import class_ranks, value_splits
+from foreshock.operators.ranking import packed_ranks, value_splits
 
 FDR_LEVEL = 0.05
 NAMED_HOOKS = ("fft_coefficient_hann",)
@@ -46,13 +46,17 @@ def pick_calculators(available: Iterable[str], only: Iterable[str] = (), drop: I
 
 
 def sample_values(samples: DataFrame, features: DataFrame) -> DataFrame:
-    """Feature values of each model's sample: ``model_id, station, win_end, label, feature, value``."""
-    return samples.join(features.select("station", "win_end", "feature", "value"), ["station", "win_end"])
+    """Feature values of the sampled windows, each once for all models: ``station, win_end, label, models, feature, value``.
+
+    Files of samples hold a few bits a row, so their size says nothing of the memory that a broadcast takes.
+    """
+    drawn = samples.groupBy("station", "win_end", "label").agg(F.collect_list("model_id").alias("models"))
+    return features.select("station", "win_end", "feature", "value").join(drawn.hint("merge"), ["station", "win_end"])
 
 
 def ranked_values(samples: DataFrame, features: DataFrame) -> DataFrame:
     rows = sample_values(samples, features).filter(F.col("value").isNotNull())
-    return class_ranks(rows, value_splits(features))
+    return packed_ranks(rows.select("feature", "value", "label", "models"), value_splits(features))
 
 
 def mann_whitney(ranked: DataFrame) -> DataFrame:
