@@ -84,7 +84,7 @@ def vectors(rows: DataFrame, folded: DataFrame) -> DataFrame:
     row; ``x`` has the values in the order of feature names and, last, the row's digest for bootstraps."""
     tests = folded.groupBy(*KEYS).agg(F.sum(F.expr("CASE WHEN test THEN shiftleft(1L, fold) ELSE 0L END")).alias("folds"))
     named = F.array_sort(F.collect_list(F.struct("feature", "value")))
-    x = rows.groupBy(*KEYS, "label").agg(named.getField("value").alias("x")).join(tests, KEYS, "left")
+    x = rows.groupBy(*KEYS, "label").agg(named.getField("value").alias("x")).join(tests.hint("merge"), KEYS, "left")
     digest = f"pmod(CAST(conv(substr(md5(concat_ws(':', model_id, station, win_end)), 1, 8), 16, 10) AS BIGINT), {PRIME})"
     out = x.selectExpr(
         "model_id", "label", "coalesce(folds, 0L) AS folds", f"concat(x, array(CAST({digest} AS DOUBLE))) AS x", "xxhash64(station, win_end) AS spot"

@@ -89,7 +89,7 @@ def vectors(rows: DataFrame, folded: DataFrame, scaled: DataFrame) -> DataFrame:
         .groupBy(*KEYS, "label").agg(named.getField("value").alias("x"))
     )
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    out = x.join(tests, KEYS, "left").selectExpr("model_id", "label", "coalesce(folds, 0L) AS folds", "x", "xxhash64(station, win_end) AS spot")
+    out = x.join(tests.hint("merge"), KEYS, "left").selectExpr("model_id", "label", "coalesce(folds, 0L) AS folds", "x", "xxhash64(station, win_end) AS spot")
     return out.repartitionByRange(parts, "model_id", "spot").sortWithinPartitions("model_id").drop("spot")
 
 

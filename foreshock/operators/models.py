@@ -49,11 +49,11 @@ def grid_points(code: str) -> list[dict]:
 
 
 def training_rows(samples: DataFrame, features: DataFrame, selected: DataFrame) -> DataFrame:
-    """Long rows of each model's sample and features. The feature lists are small: models times features."""
-    chosen = selected.select("model_id", "feature")
-    return samples.join(features.select("station", "win_end", "feature", "value"), ["station", "win_end"]).join(
-        chosen, ["model_id", "feature"], "left_semi"
-    )
+    """Long rows of each model's sample and features. The feature lists are small, models times features; samples are not, though
+    their files are."""
+    chosen = F.broadcast(selected.select("model_id", "feature"))
+    values = features.select("station", "win_end", "feature", "value").hint("merge")
+    return samples.join(values, ["station", "win_end"]).join(chosen, ["model_id", "feature"], "left_semi")
 
 
 def input_rows(features: DataFrame, selected: DataFrame) -> DataFrame:

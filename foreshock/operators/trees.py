@@ -44,7 +44,7 @@ def split_scores(ranked: DataFrame, weights: DataFrame, criterion: str = "gini")
         .agg(F.max("c0").alias("c0"), F.max("c1").alias("c1"))
     )
     sides = (
-        ranked.join(totals.join(weights, "model_id"), list(NODE))
+        ranked.join(F.broadcast(totals.join(weights, "model_id")), list(NODE))  # one row per node
         .selectExpr(*NODE, "feature", "value", "c0", "c1", "w0", "w1", "below0 + n0 AS l0", "below1 + n1 AS l1")
         .filter("l0 + l1 < c0 + c1 AND c0 > 0 AND c1 > 0")
         .selectExpr(
@@ -76,7 +76,7 @@ def best_splits(
     ).select(*NODE, "s.*")
     following = (
         ranked.select(*NODE, "feature", F.col("value").alias("v"))
-        .join(best.select(*NODE, "feature", "value"), [*NODE, "feature"])
+        .join(F.broadcast(best.select(*NODE, "feature", "value")), [*NODE, "feature"])
         .filter("v > value")
         .groupBy(*NODE)
         .agg(F.min("v").alias("above"))
@@ -109,7 +109,7 @@ def stumps_from_ranks(ranked: DataFrame, selected: DataFrame, weights: DataFrame
         F.max(F.when(F.col("label") <= 0, F.col("weight"))).alias("w0"),
         F.max(F.when(F.col("label") > 0, F.col("weight"))).alias("w1"),
     )
-    kept = ranked.join(selected.select("model_id", "feature"), ["model_id", "feature"], "left_semi")
+    kept = ranked.join(F.broadcast(selected.select("model_id", "feature")), ["model_id", "feature"], "left_semi")
     return best_splits(kept.withColumn("node", F.lit(1).cast("bigint")), sides, criterion).drop("node")
 
 

@@ -450,7 +450,7 @@ def train_vote(spark, sf_dir):
 )
 def balanced_accuracy(spark, sf_dir):
     cast, drawn = stump_votes(spark, sf_dir)
-    return models.balanced_accuracy(cast.join(drawn, ["model_id", "station", "win_end"]), ["model_id"])
+    return models.balanced_accuracy(cast.join(drawn.hint("merge"), ["model_id", "station", "win_end"]), ["model_id"])
 
 
 @query("train_consensus", sql(_STUMP, sql_out("SELECT station, win_end, avg(pred) AS consensus FROM stump_votes GROUP BY ALL", "station, win_end", ["consensus"])))

@@ -85,6 +85,28 @@ def test_samples_are_not_broadcast(spark):
     assert drawn.count() == 50 * 70 and split.filter("test").count() == 50 * 5 * 18
 
 
+def test_ranks_move_once_for_all_models(spark):
+    """Values of a window are dealt once, whatever the number of models that drew it, and ranks are those of each model alone."""
+    x, y = data(7, n=120, k=3)
+    x[:40, 0] = 0.5
+    feats = long_rows(spark, x, y).select("station", "win_end", "feature", "value")
+    mine = [(m, 1, i, float(y[i])) for m in range(9) for i in range(120) if (i * 7 + m * 5) % 9 < 4]
+    drawn = spark.createDataFrame(mine, "model_id BIGINT, station BIGINT, win_end BIGINT, label DOUBLE")
+    ranked = selection.ranked_values(drawn, feats)
+    unfolded = "Generate explode(models"
+    plan = executed(ranked)
+    assert unfolded in plan and "Exchange" not in plan[plan.index("Window [") : plan.index(unfolded)].split("SortMergeJoin")[0]
+    got = {(r.model_id, r.feature, r.value): (r.n0, r.n1, r.below0, r.below1) for r in ranked.collect()}
+    want = {}
+    for m in range(9):
+        own = [i for k, _, i, _ in mine if k == m]
+        for j in range(3):
+            for v in set(x[own, j]):
+                at = [[sum(1 for i in own if y[i] == c and test(x[i, j])) for c in (0, 1)] for test in (lambda u: u == v, lambda u: u < v)]
+                want[m, f"f{j:02d}", v] = (*at[0], *at[1])
+    assert got == want
+
+
 def test_mann_whitney_with_ties_and_p(spark):
     rng = np.random.default_rng(2)
     v, y = rng.integers(0, 6, 60).astype(float), rng.integers(0, 2, 60).astype(float)
