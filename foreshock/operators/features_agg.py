@@ -18,7 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foreshock.config import CHUNK, SAMPLES_PER_DAY, STEP_SECONDS, Geometry
-from foreshock.operators.chunks import chunk_order, drop_halo, with_halo
+from foreshock.functions.numbers import floor_div
+from foreshock.operators.chunks import chunk_order, drop_halo, place, with_halo
 from foreshock.operators.windows import complete_only, window_rows
 
 # Parameters of the calculators.
@@ -264,10 +265,11 @@ CHUNK_TREND = "agg_linear_trend"
 NAMES = (*CALCULATORS, CHUNK_TREND)
 
 
-def attach_lags(df: DataFrame, streams: Sequence[str], lag: int = 0, size: int = CHUNK) -> DataFrame:
+def attach_lags(df: DataFrame, streams: Sequence[str], lag: int = 0, size: int = CHUNK, keep: Sequence[str] = ()) -> DataFrame:
     """One row per sample and stream, ``station, t0, t1, idx, code, x``, with the ``lag`` samples before it
-    as ``x_1 ..``, found once per series, in chunks. ``code`` is the place of the stream in ``streams``."""
-    rows = df.select("station", "t0", "t1", "idx", *streams)
+    as ``x_1 ..``, found once per series, in chunks. ``code`` is the place of the stream in ``streams``.
+    The columns ``keep`` ride along."""
+    rows = df.select("station", "t0", "t1", "idx", *keep, *streams)
     if lag:
         order, whole = chunk_order(), F.struct(*streams)
         halo = with_halo(rows, before=lag, size=size)
@@ -278,7 +280,7 @@ def attach_lags(df: DataFrame, streams: Sequence[str], lag: int = 0, size: int =
         + ")"
         for i, s in enumerate(streams)
     )
-    return rows.selectExpr("station", "t0", "t1", "idx", f"inline(array({pairs}))")
+    return rows.selectExpr("station", "t0", "t1", "idx", *keep, f"inline(array({pairs}))")
 
 
 def group_keys(streams: Sequence[str]) -> list[str]:
@@ -327,16 +329,21 @@ def chunk_trends(
     """Trend over the max, min, mean and variance of runs of 5, 10 and 50 samples in each window.
 
     Runs of 10 and 50 are unions of runs of 5, so the first aggregate shrinks the samples to a fifth and the
-    later ones combine its counts, sums and squared deviations.
+    later ones combine its counts, sums and squared deviations. Samples move once, to the chunks in which their
+    windows end; all aggregates of a window find its rows there.
     """
-    rows = window_rows(attach_lags(df, streams), geom, ti, tf, runs)
-    parts = rows.groupBy(*GROUP, F.expr("pos div 5 AS part")).agg(
+    size, idx = max(CHUNK, 4 * geom.iw), F.col("idx")
+    homes = F.sequence(floor_div(idx + 1, size), floor_div(idx + geom.iw, size))
+    copies = place(df.select("station", "t0", "t1", "idx", *streams, F.explode(homes).alias("home")), "station", "home")
+    rows = window_rows(attach_lags(copies, streams, keep=["home"]), geom, ti, tf, runs).filter(floor_div(F.col("e"), size) == F.col("home"))
+    group = ("home", *GROUP)
+    parts = rows.groupBy(*group, F.expr("pos div 5 AS part")).agg(
         *map(F.expr, ["count(x) AS c", "sum(x) AS s", "avg(x) AS a", "var_pop(x) AS v", "max(x) AS mx", "min(x) AS mn"])
     )
     levels = ", ".join(map(str, TREND_CHUNKS))
     runs = (
         parts.selectExpr("*", f"explode(array({levels})) AS length")
-        .groupBy(*GROUP, "length", F.expr("part * 5 div length AS run"))
+        .groupBy(*group, "length", F.expr("part * 5 div length AS run"))
         .agg(
             *map(
                 F.expr,
@@ -345,7 +352,7 @@ def chunk_trends(
         )
         .selectExpr("*", "s / c AS mean", "greatest(q / c - (s / c) * (s / c), 0D) AS var")
     )
-    fits = runs.groupBy(*GROUP, "length").agg(
+    fits = runs.groupBy(*group, "length").agg(
         F.expr("count(run) AS m"),
         F.expr("sum(c) AS n"),
         F.expr("avg(run) AS x_mean"),

@@ -139,3 +139,20 @@ def test_constant_windows_have_finite_or_missing_values(spark):
     assert out["rsam__linear_trend__attr_slope"] == 0 and out["rsam__linear_trend__attr_rvalue"] == 0
     assert out["rsam__autocorrelation__lag_1"] is None and out["rsam__binned_entropy__max_bins_10"] == 0
     assert out["rsam__skewness"] is None and out["rsam__number_peaks__n_1"] == 0
+
+
+def test_samples_of_chunk_trends_move_once(spark):
+    """No aggregate of a window needs an exchange after its samples have met; windows that end in different chunks are all there."""
+    geom = Geometry(1.0, 0.75, 1.0)
+    rows = spark.range(5000).selectExpr("id % 2 AS station", "id DIV 2 AS idx", "0L AS t0", "2499L AS t1", "CAST((id * 7919) % 101 AS DOUBLE) AS rsam")
+    found = features_agg.chunk_trends(rows, geom, ["rsam"])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    got = {(r.station, r.k, r.length): r.slope_mean for r in found.collect()}
+    n = (2499 - geom.iw) // geom.hop
+    assert len(got) == 2 * n * 3 and n * geom.hop > 1440
+    x = {s: np.array([((2 * i + s) * 7919) % 101 for i in range(2500)], float) for s in (0, 1)}
+    for (s, k, length), slope in got.items():
+        window = x[s][k * geom.hop : k * geom.hop + geom.iw]
+        means = [window[a : a + length].mean() for a in range(0, geom.iw, length)]
+        assert slope == pytest.approx(np.polyfit(np.arange(len(means)), means, 1)[0], abs=1e-9)
