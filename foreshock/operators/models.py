@@ -10,17 +10,20 @@ from collections.abc import Callable, Iterable
 from concurrent.futures import ThreadPoolExecutor
 from itertools import product
 
+import numpy as np
 from pyspark.errors import ArithmeticException, IllegalArgumentException
 from pyspark.ml import Transformer
 from pyspark.ml.classification import MultilayerPerceptronClassifier
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from foreshock.operators import neighbours
+from foreshock.operators.chunks import place
 from foreshock.sources.tables import cut_lineage
 
 SMOOTHING = 1e-9
-BLOCK = 256
+BLOCK = 4096
 KEYS = ["model_id", "station", "win_end"]
 
 # Search grids by classifier code.
@@ -38,6 +41,7 @@ GRIDS = {
     "NB": {"var_smoothing": [SMOOTHING]},
     "LR": {"C": [0.001, 0.01, 0.1, 1, 10]},
 }
+MOST = max(GRIDS["KNN"]["n_neighbors"])
 # Tried in this order when a stored model set does not say what it is.
 
 
@@ -57,8 +61,13 @@ def training_rows(samples: DataFrame, features: DataFrame, selected: DataFrame)
 
 
 def input_rows(features: DataFrame, selected: DataFrame) -> DataFrame:
-    """Features each model needs, by name: ``model_id, station, win_end, feature, value``."""
-    return features.select("station", "win_end", "feature", "value").join(selected.select("model_id", "feature"), "feature")
+    """Features each model needs: ``model_id, station, win_end, vec``, values in the order of their names. Values of a window meet once,
+    for all models; the lists of features, models times features, are broadcast."""
+    wanted = selected.groupBy("model_id").agg(F.collect_set("feature").alias("names"))
+    held = F.array_sort(F.collect_list(F.struct("feature", "value"))).alias("held")
+    windows = place(features.select("station", "win_end", "feature", "value"), "station", "win_end").groupBy("station", "win_end").agg(held)
+    vec = "transform(filter(held, x -> array_contains(names, x.feature)), x -> x.value) AS vec"
+    return windows.crossJoin(F.broadcast(wanted)).selectExpr(*KEYS, vec).filter("size(vec) > 0")
 
 
 # ---- scores ----------------------------------------------------------------------------------------------
@@ -115,35 +124,105 @@ def bayes_votes(features: DataFrame, fitted: DataFrame) -> DataFrame:
 
 
 def _vectors(rows: DataFrame, extra: Iterable[str] = ()) -> DataFrame:
+    if "vec" in rows.columns:
+        return rows.select(*KEYS, *extra, "vec")
     ordered = F.array_sort(F.collect_list(F.struct("feature", "value")))
     return rows.groupBy(*KEYS, *extra).agg(ordered.getField("value").alias("vec"))
 
 
-def neighbour_blocks(rows: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Training vectors of each model in blocks of about ``block`` rows: ``model_id, members``."""
-    sizes = rows.select(*KEYS).distinct().groupBy("model_id").agg(F.ceil(F.count("*") / block).alias("blocks"))
-    member = F.struct("vec", "label", "station", "win_end")
-    return (
-        _vectors(rows, ["label"])
-        .join(sizes, "model_id")
-        .groupBy("model_id", F.pmod(F.xxhash64("station", "win_end"), F.col("blocks")).alias("block"))
-        .agg(F.collect_list(member).alias("members"))
+def _sides(length: int) -> list:
+    """Aggregates: rows, least and largest value at each place of their vectors."""
+    at = [F.get("vec", F.lit(i)) for i in range(length)]
+    return [F.count("*").alias("n"), F.max(F.size("vec")).alias("size"), F.array(*map(F.min, at)).alias("low"), F.array(*map(F.max, at)).alias("high")]
+
+
+def _length(vectors: DataFrame) -> int:
+    return vectors.agg(F.max(F.size("vec"))).first()[0] or 0
+
+
+def neighbour_blocks(rows: DataFrame, block: int = BLOCK, k: int = MOST) -> DataFrame:
+    """Training vectors of each model with the number of their block: ``model_id, station, win_end, label, vec, block``.
+
+    A block of more than ``block`` rows is cut at the median of its widest feature, all blocks of all models in one round. Of equal
+    vectors the first ``k`` by station and time are kept, since no vote of up to ``k`` neighbours counts another. Block 0 has the rows
+    that no box can hold: values missing or not finite, or another number of them than most of the model.
+    """
+    first = F.row_number().over(Window.partitionBy("model_id", "vec").orderBy("station", "win_end"))
+    vectors = cut_lineage(_vectors(rows, ["label"]).withColumn("place", first).filter(F.col("place") <= k).drop("place"))
+    length = _length(vectors)
+    full = vectors.groupBy("model_id").agg(F.max(F.size("vec")).alias("full"))
+    sound = "CAST(size(vec) = full AND forall(vec, x -> coalesce(abs(x) < double('infinity'), false)) AS BIGINT) AS block"
+    held = cut_lineage(vectors.join(F.broadcast(full), "model_id").selectExpr(*vectors.columns, sound))
+    while True:
+        widest = "array_max(transform(sequence(0, size - 1), i -> named_struct('width', high[i] / 2 - low[i] / 2, 'i', i, 'low', low[i], 'high', high[i])))"
+        large = held.filter("block > 0").groupBy("model_id", "block").agg(*_sides(length)).filter(F.col("n") > block)
+        large = cut_lineage(large.selectExpr("model_id", "block", f"{widest} AS side").filter("side.low < side.high"))
+        if large.isEmpty():
+            return held
+        inside = held.join(F.broadcast(large), ["model_id", "block"]).withColumn("x", F.expr("vec[side.i]"))
+        middle = "side.low / 2 + side.high / 2"
+        cuts = inside.groupBy("model_id", "block", "side").agg(F.percentile_approx("x", 0.5, 1000).alias("median")).selectExpr(
+            "model_id", "block", "side.i AS i",
+            f"CASE WHEN median < side.high THEN median WHEN {middle} < side.high THEN {middle} ELSE side.low END AS cut",
+        )
+        child = "CASE WHEN cut IS NULL THEN block ELSE block * 2 + CAST(vec[i] > cut AS BIGINT) END AS block"
+        held = cut_lineage(held.join(F.broadcast(cuts), ["model_id", "block"], "left").selectExpr(*vectors.columns, child))
+
+
+def _boxes(blocks: DataFrame) -> neighbours.Boxes:
+    """Numbers and boxes of each model's blocks; one box for each some thousand training rows."""
+    found: dict[int, list] = {}
+    for r in blocks.filter("block > 0").groupBy("model_id", "block").agg(*_sides(_length(blocks))).collect():
+        found.setdefault(r.model_id, []).append((r.block, r.low[: r.size], r.high[: r.size]))
+    return {m: tuple(np.array(x) for x in zip(*sorted(boxes))) for m, boxes in found.items()}
+
+
+def _first_of_kind(blocks: DataFrame, k: int) -> DataFrame:
+    """Per model, the rows that decide where distances do not order: ``model_id, sound, members``.
+
+    Distances to a window of missing or infinite values are the same for all rows with missing or infinite values at the same places,
+    and so are those of any window to such rows. The first ``k`` of each kind are enough. Rows with another number of values all stay.
+    """
+    full = blocks.groupBy("model_id").agg(F.max(F.size("vec")).alias("full"))
+    letter = "CASE WHEN x IS NULL THEN 'n' WHEN isnan(x) THEN 'x' WHEN x = double('infinity') THEN '+' WHEN x = -double('infinity') THEN '-' ELSE '0' END"
+    kind = f"CASE WHEN size(vec) = full THEN array_join(transform(vec, x -> {letter}), '') ELSE concat_ws(':', station, win_end) END AS kind"
+    order = F.row_number().over(Window.partitionBy("model_id", "kind").orderBy("station", "win_end"))
+    first = blocks.join(F.broadcast(full), "model_id").selectExpr(*blocks.columns, kind).withColumn("place", order).filter(F.col("place") <= k)
+    return first.groupBy("model_id", F.expr("block > 0").alias("sound")).agg(
+        F.collect_list(F.struct("vec", "label", "station", "win_end")).alias("members")
     )
 
 
+def _nearest_of_blocks(asked: DataFrame, blocks: DataFrame, k: int, p: int, boxes: neighbours.Boxes | None, odd: set[int]) -> DataFrame:
+    """The k best of its block for each window; blocks come before their windows."""
+    rows = blocks.filter("block > 0").selectExpr(*KEYS, "label", "vec", "block", "false AS asks")
+    both = rows.unionByName(asked.selectExpr(*KEYS, "CAST(NULL AS DOUBLE) AS label", "vec", "block", "true AS asks"))
+    ordered = place(both, "model_id", "block").sortWithinPartitions("model_id", "block", "asks", "station", "win_end")
+    schema = "model_id BIGINT, station BIGINT, win_end BIGINT, near ARRAY<STRUCT<d DOUBLE, s BIGINT, w BIGINT, label DOUBLE>>"
+    if boxes is not None:
+        schema += ", others ARRAY<BIGINT>, vec ARRAY<DOUBLE>"
+    return ordered.mapInArrow(neighbours.searcher(k, p, boxes, odd), schema)
+
+
 def neighbour_votes(inputs: DataFrame, blocks: DataFrame, k: int = 3, p: int = 2, weights: str = "uniform") -> DataFrame:
-    """Exact k-nearest-neighbour votes. A window meets each block of its model once and takes its k best from
-    it; the k best of those decide. No pair of rows is ever emitted."""
+    """Exact k-nearest-neighbour votes; ``k`` is at most that of the blocks. A window takes its k best from the block next to it, then
+    from the other blocks of its model whose boxes are no farther than the worst of these, and the k best of all decide. A task holds
+    one block and a batch of windows; no pair of rows is ever emitted. Windows and rows that no box can hold meet directly, by kinds."""
+    boxes = _boxes(blocks)
+    few = cut_lineage(_first_of_kind(blocks, k))
+    odd = {r.model_id for r in few.filter("NOT sound").select("model_id").distinct().collect()}
+    vectors = _vectors(inputs)
+    routed = vectors.mapInArrow(neighbours.router(boxes, p), "model_id BIGINT, station BIGINT, win_end BIGINT, vec ARRAY<DOUBLE>, block BIGINT")
+    started = cut_lineage(_nearest_of_blocks(routed, blocks, k, p, boxes, odd).withColumn("block", F.expr("size(near) > 0")))
+    open_ = started.filter("vec IS NOT NULL")
+    visits = open_.select(*KEYS, "vec", F.explode("others").alias("block"))
     gap = "abs(u - v)" if p == 1 else f"pow(abs(u - v), {p})"
     distance = f"aggregate(zip_with(vec, m.vec, (u, v) -> {gap}), 0D, (a, d) -> a + d)"
     near = f"slice(array_sort(transform(members, m -> struct({distance} AS d, m.station AS s, m.win_end AS w, m.label AS label))), 1, {k})"
-    best = (
-        _vectors(inputs)
-        .join(blocks, "model_id")
-        .selectExpr(*KEYS, f"{near} AS near")
-        .groupBy(*KEYS)
-        .agg(F.expr(f"slice(array_sort(flatten(collect_list(near))), 1, {k}) AS near"))
-    )
+    direct = open_.join(few, "model_id").filter("NOT (sound AND block)").selectExpr(*KEYS, f"{near} AS near")
+    met = open_.select(*KEYS, "near").unionByName(_nearest_of_blocks(visits, blocks, k, p, None, odd)).unionByName(direct)
+    best = met.groupBy(*KEYS).agg(F.expr(f"slice(array_sort(flatten(collect_list(near))), 1, {k}) AS near")).filter("size(near) > 0")
+    best = best.unionByName(started.filter("vec IS NULL").select(*KEYS, "near"))
     if weights == "uniform":
         weight = "1D"
     else:
@@ -159,7 +238,7 @@ def search_neighbours(rows: DataFrame, folded: DataFrame, points: list[dict]) ->
     spread = cut_lineage(
         rows.join(folds, KEYS).withColumn("parent", F.col("model_id")).withColumn("model_id", F.col("model_id") * 1000 + F.col("fold"))
     )
-    blocks, tests = cut_lineage(neighbour_blocks(spread.filter("NOT test"))), spread.filter("test")
+    blocks, tests = neighbour_blocks(spread.filter("NOT test")), spread.filter("test")
     labels = tests.select("model_id", "parent", "station", "win_end", "label").distinct()
     scores = None
     for number, point in enumerate(points):
@@ -182,7 +261,7 @@ def searched_neighbour_votes(inputs: DataFrame, fitted: DataFrame) -> DataFrame:
     out = None
     for u in used:
         mine = fitted.filter((F.col("k") == u["k"]) & (F.col("p") == u["p"]) & (F.col("weights") == u["weights"]))
-        part = neighbour_votes(inputs, mine.select("model_id", "block", "members"), u["k"], u["p"], u["weights"])
+        part = neighbour_votes(inputs, mine.select(*KEYS, "label", "vec", "block"), u["k"], u["p"], u["weights"])
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -6,9 +6,10 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from foreshock.operators import models, ranking, sampling, selection, store, trees
+from foreshock.operators import models, neighbours, ranking, sampling, selection, store, trees
 from foreshock.functions import names
 
 LONG = "model_id BIGINT, station BIGINT, win_end BIGINT, label DOUBLE, feature STRING, value DOUBLE"
@@ -234,6 +235,87 @@ def test_neighbours_equal_direct_for_small_blocks(spark, k, p, weights):
         assert got[i] == float(sum(wj * (2 * y[j] - 1) for wj, j in zip(w, near)) > 0)
 
 
+def plain_neighbour_votes(inputs, rows, k, p):
+    """Every window against every training row of its model."""
+    ordered = "transform(array_sort(collect_list(struct(feature, value))), x -> x.value)"
+    asked = inputs.groupBy("model_id", "station", "win_end").agg(F.expr(ordered).alias("vec"))
+    held = rows.groupBy("model_id", "station", "win_end", "label").agg(F.expr(ordered).alias("tvec"))
+    held = held.withColumnsRenamed({"station": "s", "win_end": "w"})
+    gap = f"aggregate(zip_with(vec, tvec, (u, v) -> pow(abs(u - v), {p})), 0D, (a, d) -> a + d) AS d"
+    pairs = asked.join(held, "model_id").selectExpr("model_id", "station", "win_end", "s", "w", "label", gap)
+    order = Window.partitionBy("model_id", "station", "win_end").orderBy("d", "s", "w")
+    near = pairs.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)
+    return near.groupBy("model_id", "station", "win_end").agg(F.expr("CAST(sum(2 * label - 1) > 0 AS DOUBLE)").alias("pred"))
+
+
+@pytest.mark.parametrize("block,k,p", [(8, 3, 2), (4096, 4, 2), (16, 7, 1)])
+def test_neighbours_with_missing_infinite_equal_and_skewed_values(spark, rows, block, k, p):
+    rng = np.random.default_rng(11)
+    odd = [None, math.nan, math.inf, -math.inf]
+    train, asked = [], []
+    for m in range(4):
+        x = np.round(rng.normal(size=(90, 4)) * [1, 1e6, 20, 1e-3], 4)
+        x[30:60] = x[rng.integers(0, 3, 30)]
+        for to, n in ((train, 60), (asked, 90)):
+            for i in range(90 - n, 90):
+                values = [float(v) for v in x[i]]
+                if m and i % 9 == m:
+                    values[i % 4] = odd[(i // 9) % 4]
+                if m == 2 and i % 13 == 0:
+                    values = values[:3]
+                if m == 3 and i % 4 == 0:
+                    values[i % 3] = odd[i % 3]
+                to.extend((m, i % 5, i, float(rng.random() < 0.5) if to is train else 0.0, f"f{j}", v) for j, v in enumerate(values))
+    labels = {(r[0], r[2]): r[3] for r in train}
+    train = [(*r[:3], labels[r[0], r[2]], *r[4:]) for r in train]
+    training = spark.createDataFrame(train, LONG)
+    inputs = spark.createDataFrame(asked, LONG).drop("label")
+    got = rows(models.neighbour_votes(inputs, models.neighbour_blocks(training, block), k, p))
+    assert len(got) == 360 and got == rows(plain_neighbour_votes(inputs, training, k, p))
+
+
+def test_windows_meet_few_training_rows(spark):
+    """Blocks hold rows that are near, so that a window needs few of them, and of equal rows no more than votes count."""
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(size=(1500, 5)) * [1, 1, 300, 1, 200], rng.integers(0, 2, 1500)
+    x[:400] = x[0]
+    training = long_rows(spark, x, y)
+    blocks = models.neighbour_blocks(training, 64)
+    sizes = {r.block: r.n for r in blocks.groupBy("block").agg(F.count("*").alias("n")).collect()}
+    assert max(sizes.values()) <= 64 and sum(sizes.values()) == 1100 + models.MOST
+    boxes = models._boxes(blocks)
+    asked = models._vectors(training).mapInArrow(neighbours.router(boxes, 2), "model_id BIGINT, station BIGINT, win_end BIGINT, vec ARRAY<DOUBLE>, block BIGINT")
+    first = models._nearest_of_blocks(asked, blocks, 3, 2, boxes, set())
+    visits = first.agg(F.sum(F.size("others") + 1)).first()[0]
+    assert visits < 1500 * len(sizes) / 3
+
+
+def test_windows_of_models_are_packed_once(spark):
+    """Values of a window are gathered once, not once for each model, and come in the order of the names."""
+    feats = spark.createDataFrame([(1, w, f, None if v is None else w + v) for w in range(3) for f, v in (("b", 0.5), ("a", 0.25), ("c", None)) if v or w], "station BIGINT, win_end BIGINT, feature STRING, value DOUBLE")
+    chosen = spark.createDataFrame([(0, "b"), (0, "a"), (1, "c"), (2, "c"), (2, "b")], "model_id BIGINT, feature STRING")
+    inputs = models.input_rows(feats, chosen)
+    got = {(r.model_id, r.win_end): r.vec for r in inputs.collect()}
+    want = {0: lambda w: [w + 0.25, w + 0.5], 1: lambda w: [None] if w else [], 2: lambda w: [w + 0.5, None] if w else [0.5]}
+    assert got == {(m, w): f(w) for m, f in want.items() for w in range(3) if f(w)}
+    plan = executed(inputs)
+    assert plan.index("BroadcastNestedLoopJoin") < plan.index("collect_list(struct(feature")
+
+
+def test_searched_neighbours_vote_with_their_points(spark, rows):
+    (x0, y0), (x1, y1) = data(0), data(1)
+    training = long_rows(spark, x0, y0, 0).unionByName(long_rows(spark, x1, y1, 1))
+    folded = sampling.shuffle_split(training.select("model_id", "station", "win_end", "label").distinct(), folds=2)
+    points = [{"n_neighbors": 3, "weights": "uniform", "p": 2}, {"n_neighbors": 12, "weights": "distance", "p": 1}]
+    best = models.search_neighbours(training, folded, points)
+    found = {r.model_id: r.asDict() for r in best.collect()}
+    assert set(found) == {0, 1}
+    blocks, inputs = models.neighbour_blocks(training), training.drop("label")
+    got = rows(models.searched_neighbour_votes(inputs, blocks.join(best, "model_id")))
+    want = [r for m, f in found.items() for r in rows(models.neighbour_votes(inputs.filter(f"model_id = {m}"), blocks, f["k"], f["p"], f["weights"]))]
+    assert got == sorted(want) and len(got) == 160
+
+
 def test_unknown_classifier_is_an_error():
     with pytest.raises(ValueError, match="unknown classifier"):
         models.grid_points("XX")
