@@ -18,6 +18,8 @@ ENTROPY_M = 2
 ENTROPY_R = (0.1, 0.3, 0.5, 0.7, 0.9)
 SAMPLE_R = 0.2
 DRIFT_ORDER, DRIFT_BINS = 3, 30
+# Largest condition of a least-squares problem that is solved by a triangular factor.
+WELL_POSED = 1e7
 
 Columns = dict[str, np.ndarray]
 
@@ -90,10 +92,34 @@ def _lagged(x: np.ndarray, lags: int) -> np.ndarray:
     return np.stack(columns, axis=2)
 
 
+def _triangles(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Triangular factors of designs whose last column is the target, from which all of a least-squares fit follows, and which of them
+    are sound: designs of full rank by a wide margin and a target that they do not explain wholly. The rest needs singular values."""
+    whole = np.stack(columns, axis=2)
+    sound = np.isfinite(whole).all(axis=(1, 2))
+    whole[~sound] = 0
+    r = np.linalg.qr(whole, mode="r")
+    k = whole.shape[2] - 1
+    if r.shape[1] <= k:
+        return r, np.zeros(len(r), bool)
+    sound &= (np.abs(np.diagonal(r, axis1=1, axis2=2)) > 0).all(axis=1)
+    design = np.where(sound[:, None, None], r[:, :k, :k], np.eye(k))
+    with np.errstate(over="ignore", invalid="ignore"):
+        spread = np.sqrt((design**2).sum(axis=(1, 2)) * (np.linalg.inv(design) ** 2).sum(axis=(1, 2)))
+        sound &= (spread < WELL_POSED) & (np.abs(r[:, k, k]) * WELL_POSED > np.sqrt((r[:, :, k] ** 2).sum(axis=1)))
+    return r, sound
+
+
 def ar_coefficient(x: np.ndarray) -> Columns:
     """Least-squares autoregression with a constant: coefficient 0 is the constant."""
-    design, target = _lagged(x, AR_ORDER), x[:, AR_ORDER:]
-    beta = np.stack([np.linalg.lstsq(d, t, rcond=None)[0] for d, t in zip(design, target)])
+    n = x.shape[1]
+    lagged = [x[:, AR_ORDER - j : n - j] for j in range(1, AR_ORDER + 1)]
+    r, sound = _triangles([np.ones((len(x), n - AR_ORDER)), *lagged, x[:, AR_ORDER:]])
+    beta = np.empty((len(x), AR_ORDER + 1))
+    k = AR_ORDER + 1
+    beta[sound] = np.linalg.solve(r[sound, :k, :k], r[sound, :k, k:])[:, :, 0]
+    for i in np.flatnonzero(~sound):
+        beta[i] = np.linalg.lstsq(_lagged(x[i : i + 1], AR_ORDER)[0], x[i, AR_ORDER:], rcond=None)[0]
     return {f"k_{AR_ORDER}__coeff_{c}": beta[:, c] for c in range(AR_COEFFS)}
 
 
@@ -158,10 +184,13 @@ def max_langevin_fixed_point(x: np.ndarray) -> Columns:
     return {f"m_{DRIFT_ORDER}__r_{DRIFT_BINS}": np.array([root(w) for w in x])}
 
 
+def _most_lags(n: int) -> int:
+    return min(int(math.ceil(12.0 * (n / 100.0) ** 0.25)), n // 2 - 2)
+
+
 def _adf(window: np.ndarray) -> tuple[float, float]:
     """Unit-root t statistic with constant; lag count by the Akaike criterion on a common sample."""
-    n = len(window)
-    most = min(int(math.ceil(12.0 * (n / 100.0) ** 0.25)), n // 2 - 2)
+    most = _most_lags(len(window))
     d = np.diff(window)
 
     def design(lags: int, skip: int) -> tuple[np.ndarray, np.ndarray]:
@@ -189,7 +218,37 @@ def _adf(window: np.ndarray) -> tuple[float, float]:
 
 
 def augmented_dickey_fuller(x: np.ndarray) -> Columns:
-    pairs = np.array([_adf(w) for w in x]).reshape(-1, 2)
+    """The same for all windows at once. The designs of a window's lag counts on the common sample are the first columns of one, so one
+    factor gives all their sums of squares; a second, with the level as its last column, gives the statistic."""
+    n, most, d = x.shape[1], _most_lags(x.shape[1]), np.diff(x, axis=1)
+    pairs = np.full((len(x), 2), np.nan)
+
+    def columns(at: np.ndarray, lags: int, skip: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
+        part = d[at]
+        before = [part[:, skip - j : n - 1 - j] for j in range(1, lags + 1)]
+        return np.ones((len(at), n - 1 - skip)), before, x[at, skip : n - 1], part[:, skip:]
+
+    left = np.arange(len(x))
+    if most >= 0 and len(x):
+        ones, before, level, target = columns(left, most, most)
+        r, sound = _triangles([ones, level, *before, target])
+        rows = n - 1 - most
+        rss = np.cumsum(r[sound, ::-1, -1] ** 2, axis=1)[:, ::-1][:, 2 : most + 3]
+        sizes = np.arange(most + 1) + 2
+        best = (rows * (np.log(2 * math.pi * rss / rows) + 1) + 2 * sizes).argmin(axis=1)
+        at = np.flatnonzero(sound)
+        for lags in np.unique(best):
+            mine = at[best == lags]
+            ones, before, level, target = columns(mine, lags, lags)
+            r, fit = _triangles([*before, ones, level, target])
+            k = lags + 2
+            with np.errstate(divide="ignore", invalid="ignore"):
+                stat = np.sign(r[:, k - 1, k - 1]) * r[:, k - 1, k] / np.sqrt(r[:, k, k] ** 2 / (n - 1 - lags - k))
+            pairs[mine[fit]] = np.stack([stat[fit], np.full(fit.sum(), float(lags))], axis=1)
+            sound[mine[~fit]] = False
+        left = np.flatnonzero(~sound)
+    for i in left:
+        pairs[i] = _adf(x[i])
     return {"attr_teststat": pairs[:, 0], "attr_usedlag": pairs[:, 1]}
 
 

@@ -17,6 +17,8 @@ from foreshock.functions.kernels import FEATURE_OF, KERNELS
 from foreshock.operators.features_agg import KEYS
 
 NAMES = tuple(KERNELS)
+#: Windows that the kernels hold at once. Designs of a window are many times its size, and those of a whole Arrow batch fit no cache.
+BATCH = 64
 
 
 def _labels(calculator: str) -> list[tuple[str, str]]:
@@ -40,11 +42,14 @@ def window_arrow_features(arrays: DataFrame, calculators: Iterable[str]) -> Data
     def values(x: pd.Series) -> pd.Series:
         if not len(x):
             return pd.Series([], dtype=object)
-        batch = np.stack(x.to_numpy()).astype(float)
-        columns = []
-        for c in wanted:
-            columns += [v for out in [KERNELS[c](batch)] for v in out.values()] * len(FEATURE_OF.get(c, (c,)))
-        return pd.Series(list(np.stack(columns, axis=1)))
+        found = []
+        for at in range(0, len(x), BATCH):
+            batch = np.stack(x.iloc[at : at + BATCH].to_numpy()).astype(float)
+            columns = []
+            for c in wanted:
+                columns += [v for out in [KERNELS[c](batch)] for v in out.values()] * len(FEATURE_OF.get(c, (c,)))
+            found.extend(np.stack(columns, axis=1))
+        return pd.Series(found)
 
     names = ", ".join(f"named_struct('calculator', '{c}', 'params', '{p}')" for c, p in labels)
     computed = arrays.select(*KEYS, values("x").alias("vals"))

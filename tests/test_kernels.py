@@ -67,6 +67,45 @@ def test_unit_root_statistic_is_lower_for_stationary_series():
     assert kernels.augmented_dickey_fuller(walk)["attr_teststat"][0] > -4
 
 
+def odd_windows():
+    """Noise, walks and filled gaps, then constants, lines, periods, steps, single peaks, levels far from zero and a missing value."""
+    rng = np.random.default_rng(8)
+    t = np.arange(288.0)
+    fine = [*rng.normal(size=(20, 288)), *rng.normal(size=(20, 288)).cumsum(axis=1)]
+    fine += [np.interp(t, np.sort(rng.choice(288, 40, replace=False)), rng.normal(50, 9, 40)) for _ in range(20)]
+    odd = [t * 0, t * 0 + 7.3, t, 3 * t - 50, t % 3, (t > 99) * 1.0, (t == 150) * 1.0, (t == 287) * 1.0, (t == 0) * 1.0]
+    odd += [*(1e5 + rng.normal(size=(5, 288))), np.where(t == 5, np.nan, t % 7)]
+    return np.array(fine), np.array(odd)
+
+
+def test_fits_of_many_windows_equal_those_of_each_alone():
+    fine, odd = odd_windows()
+    every = np.concatenate([fine, odd[:-1]])[np.random.default_rng(1).permutation(len(fine) + len(odd) - 1)]
+    got = kernels.augmented_dickey_fuller(every)
+    want = np.array([kernels._adf(w) for w in every])
+    assert np.allclose(got["attr_usedlag"], want[:, 1], equal_nan=True) and np.isnan(want).any()
+    assert np.allclose(got["attr_teststat"], want[:, 0], rtol=1e-8, atol=1e-8, equal_nan=True)
+    design = kernels._lagged(every, kernels.AR_ORDER)
+    beta = np.stack([np.linalg.lstsq(a, b, rcond=None)[0] for a, b in zip(design, every[:, kernels.AR_ORDER :])])
+    got = kernels.ar_coefficient(every)
+    assert np.allclose(np.stack([got[f"k_10__coeff_{c}"] for c in range(5)], axis=1), beta[:, :5], rtol=1e-8, atol=1e-8)
+    for n in (8, 12, 25):
+        short = fine[:30, :n]
+        assert np.allclose(kernels.augmented_dickey_fuller(short)["attr_teststat"], [kernels._adf(w)[0] for w in short], rtol=1e-8, equal_nan=True)
+
+
+def test_ordinary_windows_need_no_singular_values(monkeypatch):
+    """A window took a least-squares solution by singular values for each number of lags."""
+    fine, odd = odd_windows()
+    solve, calls = np.linalg.lstsq, []
+    monkeypatch.setattr(np.linalg, "lstsq", lambda *a, **k: calls.append(1) or solve(*a, **k))
+    kernels.ar_coefficient(fine)
+    kernels.augmented_dickey_fuller(fine)
+    assert not calls
+    kernels.augmented_dickey_fuller(odd[:3])
+    assert calls
+
+
 def test_trend_p_value_by_integration():
     x = X[0][:20]
     r = np.corrcoef(np.arange(20), x)[0, 1]
