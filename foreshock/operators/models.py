@@ -23,7 +23,7 @@ from foreshock.operators.chunks import place
 from foreshock.sources.tables import cut_lineage
 
 SMOOTHING = 1e-9
-BLOCK = 4096
+BLOCK = 2048
 KEYS = ["model_id", "station", "win_end"]
 
 # Search grids by classifier code.
@@ -63,10 +63,15 @@ def training_rows(samples: DataFrame, features: DataFrame, selected: DataFrame)
 def input_rows(features: DataFrame, selected: DataFrame) -> DataFrame:
     """Features each model needs: ``model_id, station, win_end, vec``, values in the order of their names. Values of a window meet once,
     for all models; the lists of features, models times features, are broadcast."""
-    wanted = selected.groupBy("model_id").agg(F.collect_set("feature").alias("names"))
+    names = selected.select("feature").distinct().agg(F.array_sort(F.collect_list("feature")).alias("every"))
+    wanted = selected.groupBy("model_id").agg(F.array_sort(F.collect_set("feature")).alias("names"))
+    wanted = wanted.crossJoin(names).selectExpr("model_id", "names", "transform(names, x -> array_position(every, x) - 1) AS places")
     held = F.array_sort(F.collect_list(F.struct("feature", "value"))).alias("held")
     windows = place(features.select("station", "win_end", "feature", "value"), "station", "win_end").groupBy("station", "win_end").agg(held)
-    vec = "transform(filter(held, x -> array_contains(names, x.feature)), x -> x.value) AS vec"
+    windows = windows.crossJoin(F.broadcast(names)).selectExpr("station", "win_end", "filter(held, x -> array_contains(every, x.feature)) AS held", "every")
+    windows = windows.selectExpr("station", "win_end", "held", "held.value AS vals", "held.feature = every AS whole")
+    # a window with each feature once is read by places, any other by names
+    vec = "IF(whole, transform(places, i -> vals[i]), transform(filter(held, x -> array_contains(names, x.feature)), x -> x.value)) AS vec"
     return windows.crossJoin(F.broadcast(wanted)).selectExpr(*KEYS, vec).filter("size(vec) > 0")
 
 

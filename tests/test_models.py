@@ -248,7 +248,7 @@ def plain_neighbour_votes(inputs, rows, k, p):
     return near.groupBy("model_id", "station", "win_end").agg(F.expr("CAST(sum(2 * label - 1) > 0 AS DOUBLE)").alias("pred"))
 
 
-@pytest.mark.parametrize("block,k,p", [(8, 3, 2), (4096, 4, 2), (16, 7, 1)])
+@pytest.mark.parametrize("block,k,p", [(8, 3, 2), (2048, 4, 2), (16, 7, 1)])
 def test_neighbours_with_missing_infinite_equal_and_skewed_values(spark, rows, block, k, p):
     rng = np.random.default_rng(11)
     odd = [None, math.nan, math.inf, -math.inf]
