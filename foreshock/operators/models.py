@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from foreshock.operators import neighbours
 from foreshock.operators.chunks import place
+from foreshock.operators.packed import Packed, choose
 from foreshock.sources.tables import cut_lineage
 
 SMOOTHING = 1e-9
@@ -52,9 +53,11 @@ def grid_points(code: str) -> list[dict]:
     return [dict(zip(grid, values)) for values in product(*grid.values())]
 
 
-def training_rows(samples: DataFrame, features: DataFrame, selected: DataFrame) -> DataFrame:
+def training_rows(samples: DataFrame | Packed, features: DataFrame, selected: DataFrame) -> DataFrame | Packed:
     """Long rows of each model's sample and features. The feature lists are small, models times features; samples are not, though
-    their files are."""
+    their files are. Packed samples hold the values already and are told which of them a model has."""
+    if isinstance(samples, Packed):
+        return choose(samples, selected)
     chosen = F.broadcast(selected.select("model_id", "feature"))
     values = features.select("station", "win_end", "feature", "value").hint("merge")
     return samples.join(values, ["station", "win_end"]).join(chosen, ["model_id", "feature"], "left_semi")

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foreshock.functions.names import calculator_of, glob_match
+from foreshock.operators.packed import Packed, rank_parts, rank_sums
 from foreshock.operators.ranking import packed_ranks, value_splits
 
 FDR_LEVEL = 0.05
@@ -54,7 +55,10 @@ def sample_values(samples: DataFrame, features: DataFrame) -> DataFrame:
     return features.select("station", "win_end", "feature", "value").join(drawn.hint("merge"), ["station", "win_end"])
 
 
-def ranked_values(samples: DataFrame, features: DataFrame) -> DataFrame:
+def ranked_values(samples: DataFrame | Packed, features: DataFrame) -> DataFrame:
+    """Ranks of each model's values. Those of packed samples are summed up where they are found."""
+    if isinstance(samples, Packed):
+        return rank_sums(samples, rank_parts(samples))
     rows = sample_values(samples, features).filter(F.col("value").isNotNull())
     return packed_ranks(rows.select("feature", "value", "label", "models"), value_splits(features))
 
@@ -62,10 +66,11 @@ def ranked_values(samples: DataFrame, features: DataFrame) -> DataFrame:
 def mann_whitney(ranked: DataFrame) -> DataFrame:
     """Rank-sum statistic per (model, feature) with correction for ties and continuity.
 
-    Output adds ``n_values`` and the class counts at the smaller of two values, for two-valued features.
+    Output adds ``n_values`` and the class counts at the smaller of two values, for two-valued features. Ranks that are summed up
+    already (``rank_sum``) are taken as they are.
     """
     t = "(n0 + n1)"
-    sums = ranked.groupBy("model_id", "feature").agg(
+    sums = ranked if "rank_sum" in ranked.columns else ranked.groupBy("model_id", "feature").agg(
         F.expr("sum(n0) AS c0"),
         F.expr("sum(n1) AS c1"),
         F.expr("count(*) AS n_values"),

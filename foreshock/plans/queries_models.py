@@ -11,7 +11,7 @@ from foreshock.config import SIGNALS, Geometry
 from foreshock.functions.names import feature_line
 from foreshock.functions.numbers import log10_signed
 from foreshock.operators import consensus as votes
-from foreshock.operators import features_agg, features_arrow, forests, labels, linear, models, sampling, selection, store, trees, windows
+from foreshock.operators import features_agg, features_arrow, forests, labels, linear, models, packed, sampling, selection, store, trees, windows
 from foreshock.plans.catalog import query, sql, sql_num, sql_out, tidy
 from foreshock.sources import landing
 from foreshock.sources.tables import cut_lineage, work_dir
@@ -401,6 +401,15 @@ def _training(spark, sf_dir):
     return feats, cut_lineage(models.training_rows(drawn, feats, chosen)), drawn
 
 
+def _packed_training(spark, sf_dir):
+    """The same with one row per window for all models."""
+    drawn, feats = stored_inputs(spark, sf_dir)
+    vectors = packed.window_vectors(feats)
+    sampled = packed.sampled_windows(drawn, feats, vectors)
+    chosen = selection.select_topk(selection.p_values(statistics(sampled, feats)), TOP)
+    return vectors, models.training_rows(sampled, feats, chosen), drawn
+
+
 def stumps(spark, sf_dir):
     """Stumps of the model set, features and samples. Values are ranked once, for the test and the splits."""
     drawn, feats = stored_inputs(spark, sf_dir)
@@ -497,7 +506,7 @@ t{d + 1} AS MATERIALIZED (SELECT t.* EXCLUDE (node), m.child AS node FROM t{d} t
 )
 def tree_vote(spark, sf_dir):
     """Consensus of depth-3 trees on four random features a node."""
-    feats, rows, _ = _training(spark, sf_dir)
+    feats, rows, _ = _packed_training(spark, sf_dir)
     rules = trees.grow_trees(rows, depth=3, max_features=4)
     return votes.consensus(trees.predict_rules(feats, rules), N_MODELS)
 
