@@ -23,9 +23,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foreshock.operators import packed
+from foreshock.operators.chunks import place
 from foreshock.operators.linear import ALL, _collected, _in_fold
 from foreshock.operators.linear import _by_model as _runs
 from foreshock.operators.models import KEYS, feature_count
+from foreshock.operators.packed import Packed, Vectors
 from foreshock.operators.ranking import class_ranks, value_splits
 from foreshock.sources.tables import cut_lineage
 
@@ -262,6 +265,170 @@ def grow(data: DataFrame, models: dict[int, Grown], depth: int) -> dict[int, Gro
     return models
 
 
+# ---- growth over packed samples --------------------------------------------------------------------------
+#
+# Bins of a model's sample are a byte a value, so the sample is small whatever the number of features' digits. Pieces of it
+# meet by model, and a model's fits are grown there, one after another: no counts of nodes are shuffled.
+
+_ENDS = "place INT, part INT, model ARRAY<BIGINT>, bin ARRAY<BIGINT>, low ARRAY<DOUBLE>, high ARRAY<DOUBLE>"
+
+
+def packed_bins(rows: Packed) -> dict[int, list[tuple[np.ndarray, np.ndarray]]]:
+    """Lowest and highest values of the bins of each model's features, in their order."""
+    splits, chosen, base = rows.splits, rows.chosen, rows.base
+    parts = max(map(len, splits)) + 1
+
+    def count(model: int, y: np.ndarray, tests: np.ndarray, x: np.ndarray) -> np.ndarray:
+        p = x.shape[1]
+        return np.bincount((packed.parts_of(x, [splits[j] for j in chosen[model]]) + np.arange(p) * parts).ravel(), minlength=p * parts).astype(float)
+
+    counts = {m: n.reshape(-1, parts) for m, n in packed.collected(rows, count).items()}
+    below = {m: (n.cumsum(axis=1) - n, n.sum(axis=1)) for m, n in counts.items()}
+    sent = rows.windows.sparkSession.sparkContext.broadcast(below)
+
+    def run(key: tuple, part: pa.Table) -> pa.Table:
+        column, number = key[0].as_py(), key[1].as_py()
+        value, y, on, starts = packed._ordered(part)
+        value, out = value[starts], []
+        for some, n0, n1 in packed._class_runs(y, on, starts):
+            for i, t in enumerate((n0 + n1).T):
+                model = base + some.start + i
+                at = np.flatnonzero(t)
+                if not len(at) or model not in chosen or column not in chosen[model]:
+                    continue
+                j = np.searchsorted(chosen[model], column)
+                under, n = sent.value[model]
+                bin_ = BINS * (int(under[j, number]) + np.cumsum(t[at]) - t[at]) // int(n[j])
+                first = packed.starts_of(bin_.astype(float))
+                last = np.append(first[1:], len(bin_)) - 1
+                out.append((np.full(len(first), model), bin_[first], value[at][first], value[at][last]))
+        lists = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, int), np.zeros(0, int), np.zeros(0), np.zeros(0)]
+        names, kinds = ("model", "bin", "low", "high"), (pa.int64(), pa.int64(), pa.float64(), pa.float64())
+        return pa.table({"place": pa.array([column], pa.int32()), "part": pa.array([number], pa.int32())} | {n: pa.array([c], pa.list_(k)) for n, c, k in zip(names, lists, kinds)})
+
+    found = place(packed.dealt_values(rows), "place", "part").groupBy("place", "part").applyInArrow(run, _ENDS).toArrow()
+    sent.unpersist()
+    flat = {c: pc.list_flatten(found.column(c)).to_numpy() for c in ("model", "bin", "low", "high")}
+    sizes = pc.list_value_length(found.column("model")).to_numpy()
+    column, part = (np.repeat(found.column(c).to_numpy(), sizes) for c in ("place", "part"))
+    order = np.lexsort((part, flat["bin"], column, flat["model"]))
+    column, (model, bin_, low, high) = column[order], (flat[c][order] for c in ("model", "bin", "low", "high"))
+    first = packed.starts_of(bin_.astype(float), column, model)  # a bin may reach over ranges
+    last = np.append(first[1:], len(bin_)) - 1
+    out: dict[int, list] = {}
+    group = packed.starts_of(column[first].astype(float), model[first])
+    for a, b in zip(group, [*group[1:], len(first)]):
+        out.setdefault(int(model[first[a]]), []).append((low[first[a:b]], high[last[a:b]]))
+    return out
+
+
+_PIECES = "model_id BIGINT, codes BINARY, label BINARY, tests BINARY, digest BINARY"
+
+
+def packed_samples(rows: Packed, block: dict[int, Grown], digests: bool) -> DataFrame:
+    """Pieces of the samples of some models: bins of the features, labels, fold bits and, if wanted, digests for bootstraps as bytes."""
+    read, base, chosen = packed.batches(rows._replace(windows=None)), rows.base, rows.chosen
+    sent = rows.windows.sparkSession.sparkContext.broadcast({m: g.low for m, g in block.items()})
+
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, b in read(found):
+            keys = [f"{s}:{w}" for s, w in zip(*(batch.column(c).to_pylist() for c in ("station", "win_end")))] if digests else []
+            for model, low in sent.value.items():
+                r = np.flatnonzero(b.on[:, model - base])
+                if not len(r):
+                    continue
+                codes = np.stack([np.searchsorted(ends, b.x[r, j], side="right") - 1 for j, ends in zip(chosen[model], low)], axis=1)
+                digest = [int.from_bytes(hashlib.md5(f"{model}:{keys[i]}".encode()).digest()[:4], "big") % PRIME for i in r] if digests else []
+                data = codes.astype(np.uint8), b.y[r], np.packbits(b.tests[r, :, model - base], axis=1, bitorder="little"), np.array(digest, np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array([model], pa.int64()), *(pa.array([d.tobytes()], pa.binary()) for d in data)], ["model_id", "codes", "label", "tests", "digest"])
+
+    parts = int(rows.windows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.windows.mapInArrow(run, _PIECES).repartition(max(parts, 2 * len(block)), "model_id")
+
+
+def _grown_fit(model: int, grown: Grown, k: int, depth: int, cells: np.ndarray, codes: np.ndarray, r: np.ndarray, weight: np.ndarray | None) -> None:
+    """Grows a fit from its rows ``r``. ``cells`` has the number of (feature, bin, class) of each value."""
+    fits, p = grown.fits, codes.shape[1]
+    node, span, step = np.ones(len(r), np.int64), p * BINS * 2, max(1, HELD // p)
+    bin_of = np.zeros(fits.feature.shape[1], np.int64)
+    for level in range(depth):
+        nodes = 1 << level
+        sums = np.zeros(nodes * span)
+        for a in range(0, len(r), step):
+            some = slice(a, a + step)
+            cell = cells[r[some]] + ((node[some] - nodes) * span)[:, None].astype(cells.dtype)
+            sums += np.bincount(cell.ravel(), None if weight is None else np.repeat(weight[some], p), len(sums))
+        keys = np.flatnonzero(sums)
+        if not len(keys):
+            return
+        splits, whole = node_splits(model, grown, k, level, keys, sums[keys])
+        if level == 0:
+            fits.mass[k, 1] = whole
+        at = splits[:, 0].astype(np.int64)
+        fits.feature[k, at], fits.cut[k, at] = splits[:, 1], splits[:, 2]
+        fits.mass[k, 2 * at], fits.mass[k, 2 * at + 1] = splits[:, 3:5], splits[:, 5:7]
+        if not len(at) or level == depth - 1:
+            return
+        for i, j, cut in zip(at, splits[:, 1].astype(int), splits[:, 2]):
+            bin_of[i] = np.searchsorted(grown.high[j], cut, side="right") - 1  # rows that are learnt from lie in no bin between
+        feature = fits.feature[k][node]
+        on = feature >= 0
+        r, node, weight = r[on], node[on], None if weight is None else weight[on]
+        node = 2 * node + (codes[r, feature[on]] > bin_of[node])
+
+
+_FITS = "model_id BIGINT, feature BINARY, cut BINARY, mass BINARY"
+
+
+def grow_samples(pieces: DataFrame, models: dict[int, Grown], folds: int, depth: int) -> dict[int, Grown]:
+    """All fits of ``models`` grown to ``depth``; a model's pieces, some thirty bytes a row, meet in one task."""
+    sent = pieces.sparkSession.sparkContext.broadcast(models)
+    wide = -(-folds // 8)
+
+    def run(key: tuple, part: pa.Table) -> pa.Table:
+        model = key[0].as_py()
+        grown = sent.value[model]
+        fits, p = grown.fits, len(grown.names)
+        whole = lambda c, kind: np.frombuffer(b"".join(part.column(c).to_pylist()), kind)
+        codes, y, digest = whole("codes", np.uint8).reshape(-1, p), whole("label", np.uint8), whole("digest", np.int32).astype(np.int64)
+        tests = np.unpackbits(whole("tests", np.uint8).reshape(len(y), wide), axis=1, bitorder="little") if folds else None
+        cells = (np.arange(p, dtype=np.int32) * BINS + codes) * 2 + y[:, None]
+        if (1 << depth) * p * BINS * 2 > 2**31 - 1:
+            cells = cells.astype(np.int64)
+        for k, (fold, tree) in enumerate(zip(fits.fold.tolist(), fits.tree.tolist())):
+            learns = np.ones(len(y), bool) if fold == ALL else tests[:, fold] == 0
+            weight = None if tree == PLAIN else copies(digest, tree)
+            r = np.flatnonzero(learns if weight is None else learns & (weight > 0))
+            _grown_fit(model, grown, k, depth, cells, codes, r, None if weight is None else weight[r])
+        data = [pa.array([a.tobytes()], pa.binary()) for a in (fits.feature, fits.cut, fits.mass)]
+        return pa.table({"model_id": pa.array([model], pa.int64())} | dict(zip(("feature", "cut", "mass"), data)))
+
+    for r in pieces.groupBy("model_id").applyInArrow(run, _FITS).collect():
+        fits = models[r["model_id"]].fits
+        for name in ("feature", "cut", "mass"):
+            held = getattr(fits, name)
+            held[...] = np.frombuffer(r[name], held.dtype).reshape(held.shape)
+    sent.unpersist()
+    return models
+
+
+def _tested_windows(rows: Packed, block: dict[int, Grown], points: list[Point], kinds: dict[int, list]) -> dict[int, np.ndarray]:
+    """What ``_tested`` counts, from packed samples."""
+    sent = rows.windows.sparkSession.sparkContext.broadcast(block)
+    depths = sorted({q.depth for q in points})
+
+    def run(model: int, y: np.ndarray, tests: np.ndarray, x: np.ndarray) -> np.ndarray:
+        fits, out = sent.value[model].fits, np.zeros((tests.shape[1], len(points), 4))
+        for fold in range(tests.shape[1]):
+            mine = tests[:, fold]
+            out[fold] = _right_ones(fits, fold, points, kinds[model], depths, y[mine], x[mine])
+        return out.ravel()
+
+    found = packed.collected(rows._replace(chosen={m: rows.chosen[m] for m in block}), run)
+    sent.unpersist()
+    return found
+
+
 # ---- grid search -----------------------------------------------------------------------------------------
 
 
@@ -329,19 +496,24 @@ def _tested(sent, points: list[Point], kinds: dict[int, list], folds: int):
         out = np.zeros((folds, len(points), 4))
         for fold in range(folds):
             tests = _in_fold(bits, fold)
-            low, high = tests & ~y, tests & y
-            for kind in dict.fromkeys(kinds[model]):
-                k = _chosen(fits, fold, kind, max(q.trees for q in points))
-                shares = _shares(fits, k, x, depths)
-                for i, q in enumerate(points):
-                    if kinds[model][i] == kind:
-                        right = votes_of(shares[q.depth][: q.trees]) == y
-                        out[fold, i] = low.sum(), right[low].sum(), high.sum(), right[high].sum()
+            out[fold] = _right_ones(fits, fold, points, kinds[model], depths, y[tests], x[tests])
         return out.ravel()
 
     return run
 
 
+def _right_ones(fits: Fits, fold: int, points: list[Point], kinds: list, depths: list[int], y: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """By point: rows of the lower class, right ones among them, of the upper class, right ones."""
+    out = np.zeros((len(points), 4))
+    for kind in dict.fromkeys(kinds):
+        shares = _shares(fits, _chosen(fits, fold, kind, max(q.trees for q in points)), x, depths)
+        for i, q in enumerate(points):
+            if kinds[i] == kind:
+                right = votes_of(shares[q.depth][: q.trees]) == y
+                out[i] = (~y).sum(), right[~y].sum(), y.sum(), right[y].sum()
+    return out
+
+
 def _class_counts(data: DataFrame, folds: int) -> dict[int, np.ndarray]:
     """Rows of both classes that each fold learns from; the last entry is for all rows."""
 
@@ -376,34 +548,55 @@ def _table(model: int, grown: Grown, k: np.ndarray, depth: int) -> pa.Table:
     })
 
 
-def search_forests(rows: DataFrame, folded: DataFrame, points: list[dict], code: str = "DT") -> tuple[DataFrame, DataFrame]:
+def search_forests(rows: DataFrame | Packed, folded: DataFrame, points: list[dict], code: str = "DT") -> tuple[DataFrame, DataFrame]:
     """The trees (``DT``) or forests (``RF``) of best mean balanced accuracy over folds, grown from whole samples (``FITTED``, a row per
     node), and the score of every model, point and fold (``SEARCHED``). A fold that learns from one class only cannot be fitted: its
     score is null and points count without it. Of equal points the first in the grid holds; a model of one class is an error.
 
-    ``rows`` are the long training rows, every window with a value of each of its model's features; ``folded`` is ``model_id, station,
-    win_end, fold, test``. With a single point there is no search and ``SEARCHED`` is empty.
+    ``rows`` are the long training rows, every window with a value of each of its model's features, or packed samples; ``folded`` is
+    ``model_id, station, win_end, fold, test``. With a single point there is no search and ``SEARCHED`` is empty.
     """
-    spark, grid = rows.sparkSession, _points(points, code)
-    ends: dict[int, list] = {}
-    for r in bins(rows).orderBy("model_id", "feature").collect():  # models times features times bins
-        ends.setdefault(r["model_id"], []).append(r)
-    if not ends:
-        return spark.createDataFrame([], FITTED), spark.createDataFrame([], SEARCHED)
-    folds = int(folded.agg(F.max("fold")).first()[0]) + 1 if len(grid) > 1 else 0
-    data = cut_lineage(vectors(rows, folded))
-    counts = _class_counts(data, folds)
-    fitted, searched, block = [], [], {}
-
-    def finish(block: dict[int, Grown]) -> None:
-        grow(data, block, max(q.depth for q in grid))
-        tested = {}
-        if folds:
+    grid, depth = _points(points, code), max(p["max_depth"] for p in points)
+    if isinstance(rows, Packed):
+        spark = rows.windows.sparkSession
+        if not rows.chosen:
+            return spark.createDataFrame([], FITTED), spark.createDataFrame([], SEARCHED)
+        rows = packed.with_folds(rows, folded) if len(grid) > 1 else rows
+        folds, counts, names = rows.folds, packed.class_counts(rows), {m: [rows.names[j] for j in c] for m, c in rows.chosen.items()}
+        _two_classes(counts)
+        ends = packed_bins(rows)
+
+        def grown(block: dict[int, Grown]) -> dict[int, np.ndarray]:
+            grow_samples(packed_samples(rows, block, code == "RF"), block, folds, depth)
+            return _tested_windows(rows, block, grid, {m: kinds[m] for m in block}) if folds else {}
+
+    else:
+        spark, ends, names = rows.sparkSession, {}, {}
+        for r in bins(rows).orderBy("model_id", "feature").collect():  # models times features times bins
+            ends.setdefault(r["model_id"], []).append(tuple(np.array([b[end] for b in r["bins"]]) for end in ("low", "high")))
+            names.setdefault(r["model_id"], []).append(r["feature"])
+        if not ends:
+            return spark.createDataFrame([], FITTED), spark.createDataFrame([], SEARCHED)
+        folds = int(folded.agg(F.max("fold")).first()[0]) + 1 if len(grid) > 1 else 0
+        data = cut_lineage(vectors(rows, folded))
+        counts = _class_counts(data, folds)
+        _two_classes(counts)
+
+        def grown(block: dict[int, Grown]) -> dict[int, np.ndarray]:
+            grow(data, block, depth)
+            if not folds:
+                return {}
             sent = spark.sparkContext.broadcast(block)
             mine = data.filter(F.col("model_id").isin(list(block)))
             tested = _collected(mine, _tested(sent, grid, {m: kinds[m] for m in block}, folds), lambda m, s: s)
             sent.unpersist()
-        for model, grown in block.items():
+            return tested
+
+    fitted, searched, block = [], [], {}
+
+    def finish(block: dict[int, Grown]) -> None:
+        tested = grown(block)
+        for model, own in block.items():
             best = 0
             if folds:
                 score = _balanced(tested[model].reshape(folds, len(grid), 4), counts[model])
@@ -412,25 +605,28 @@ def search_forests(rows: DataFrame, folded: DataFrame, points: list[dict], code:
                 searched.extend(
                     (model, i, f, float(score[f, i]) if known[f, i] else None) for f in range(folds) for i in range(len(grid))
                 )
-            fitted.append(_table(model, grown, _chosen(grown.fits, ALL, kinds[model][best], grid[best].trees), grid[best].depth))
+            fitted.append(_table(model, own, _chosen(own.fits, ALL, kinds[model][best], grid[best].trees), grid[best].depth))
 
     kinds: dict[int, list] = {}
     held = 0
     for model, own in sorted(ends.items()):
-        if not counts[model][ALL].all():
-            raise ValueError(f"the sample of model {model} has one class only")
         usable = [f for f in range(folds) if counts[model][f].all()] + [ALL]
         fits, kinds[model] = _planned(grid, len(own), usable, code)
-        low, high = ([np.array([b[end] for b in r["bins"]]) for r in own] for end in ("low", "high"))
         if block and held + len(fits.fold) > MAX_FITS:
             finish(block)
             block, held = {}, 0
-        block[model] = Grown([r["feature"] for r in own], low, high, counts[model], fits)
+        block[model] = Grown(names[model], [low for low, _ in own], [high for _, high in own], counts[model], fits)
         held += len(fits.fold)
     finish(block)
     return spark.createDataFrame(pa.concat_tables(fitted), FITTED), spark.createDataFrame(searched, SEARCHED)
 
 
+def _two_classes(counts: dict[int, np.ndarray]) -> None:
+    for model, n in sorted(counts.items()):
+        if not n[ALL].all():
+            raise ValueError(f"the sample of model {model} has one class only")
+
+
 # ---- votes -----------------------------------------------------------------------------------------------
 
 
@@ -453,28 +649,34 @@ def _loaded(fitted: DataFrame) -> tuple[list[str], dict[int, tuple[np.ndarray, F
     return names, out
 
 
-def forest_votes(features: DataFrame, fitted: DataFrame) -> DataFrame:
-    """Votes ``model_id, station, win_end, pred`` of long features: the class of the larger share, averaged over a model's trees.
+def forest_votes(features: DataFrame | Vectors, fitted: DataFrame) -> DataFrame:
+    """Votes ``model_id, station, win_end, pred`` of long features or vectors: the class of the larger share, averaged over a model's trees.
 
     A window's features are gathered once and meet all trees of all models there. A window that lacks a feature of a model's trees,
     or has no number there, has no vote of that model.
     """
-    spark = features.sparkSession
+    spark = fitted.sparkSession
     names, forests = _loaded(fitted)
     sent = spark.sparkContext.broadcast(forests)
     places = F.broadcast(spark.createDataFrame([(n, j) for j, n in enumerate(names)], "feature STRING, place INT"))
-    width = len(names)
-    known = features.select("station", "win_end", "feature", "value").join(places, "feature", "left").groupBy("station", "win_end").agg(
+    width, every = len(names), features.names if isinstance(features, Vectors) else None
+    known = features.windows if every is not None else features.select("station", "win_end", "feature", "value").join(places, "feature", "left").groupBy("station", "win_end").agg(
         F.collect_list(F.when(F.col("place").isNotNull() & F.col("value").isNotNull(), F.struct("place", "value"))).alias("x")
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = np.full((batch.num_rows, width), np.nan)
-            pairs = batch.column("x")
-            row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(pairs).to_numpy())
-            flat = pc.list_flatten(pairs)
-            x[row, flat.field("place").to_numpy()] = flat.field("value").to_numpy(zero_copy_only=False)
+            if every is not None:
+                held = packed.matrix(batch, len(every))
+                for j, name in enumerate(names):
+                    if name in every:
+                        x[:, j] = held[:, every.index(name)]
+            else:
+                pairs = batch.column("x")
+                row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(pairs).to_numpy())
+                flat = pc.list_flatten(pairs)
+                x[row, flat.field("place").to_numpy()] = flat.field("value").to_numpy(zero_copy_only=False)
             for model, (used, fits, depth) in sent.value.items():
                 on = np.flatnonzero(~np.isnan(x[:, used]).any(axis=1))
                 if width:

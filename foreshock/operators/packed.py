@@ -239,7 +239,7 @@ def rank_parts(rows: Packed) -> DataFrame:
             )
         return pa.table({"place": pa.array([key[0].as_py()], pa.int32()), "part": pa.array([key[1].as_py()], pa.int32()), "sums": pa.array([out.ravel()], pa.list_(pa.float64()))})
 
-    return dealt_values(rows).groupBy("place", "part").applyInArrow(run, _PARTS)
+    return place(dealt_values(rows), "place", "part").groupBy("place", "part").applyInArrow(run, _PARTS)
 
 
 _RANKS = "model_id BIGINT, feature STRING, c0 BIGINT, c1 BIGINT, n_values BIGINT, rank_sum DOUBLE, ties DOUBLE, a0 BIGINT, a1 BIGINT"

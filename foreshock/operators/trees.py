@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foreshock.operators import packed
+from foreshock.operators.chunks import place
 from foreshock.operators.packed import Packed, Vectors
 from foreshock.operators.ranking import class_ranks, value_splits
 from foreshock.sources.tables import cut_lineage
@@ -258,14 +259,14 @@ def _deal(rows: Packed, sent, level: int):
                 r, node = r[i], node[i]
                 column = chosen[model][known.tried[node, t]]
                 held.append((column, parts[r, column], number * nodes + node, b.x[r, column], b.y[r]))
-            place, part, node, value, y = (np.concatenate(c) for c in zip(*held))
-            cell = place * (max(map(len, splits)) + 1) + part
+            column, part, node, value, y = (np.concatenate(c) for c in zip(*held))
+            cell = column * (max(map(len, splits)) + 1) + part
             order = np.argsort(cell, kind="stable")
             first = packed.starts_of(cell[order].astype(float))
             ends = pa.array(np.append(first, len(cell)), pa.int32())
             lists = [pa.ListArray.from_arrays(ends, pa.array(c[order])) for c in (node, value, y)]
             yield pa.RecordBatch.from_arrays(
-                [*(pa.array(c[order][first], pa.int32()) for c in (place, part)), *lists], ["place", "part", "node", "value", "label"]
+                [*(pa.array(c[order][first], pa.int32()) for c in (column, part)), *lists], ["place", "part", "node", "value", "label"]
             )
 
     return run
@@ -295,7 +296,7 @@ def _cut(rows: Packed, sent, level: int, entropy: bool):
     chosen, nodes = rows.chosen, 1 << level
 
     def run(key: tuple, part: pa.Table) -> pa.Table:
-        place, number = key[0].as_py(), key[1].as_py()
+        column, number = key[0].as_py(), key[1].as_py()
         node, value, y = (pc.list_flatten(part.column(c)).to_numpy() for c in ("node", "value", "label"))
         order = np.lexsort((value, node))
         node, value, y = node[order], value[order], y[order]
@@ -305,7 +306,7 @@ def _cut(rows: Packed, sent, level: int, entropy: bool):
         known, models = sent.value, list(sent.value)
         first = np.flatnonzero(np.append(True, node[1:] != node[:-1]))
         below = np.stack([
-            known[m].below[k % nodes, np.searchsorted(chosen[m], place), number] for k in node[first] for m in [models[k // nodes]]
+            known[m].below[k % nodes, np.searchsorted(chosen[m], column), number] for k in node[first] for m in [models[k // nodes]]
         ])
         size = np.diff(np.append(first, len(node)))
         upto = np.cumsum(n, axis=0)
@@ -319,7 +320,7 @@ def _cut(rows: Packed, sent, level: int, entropy: bool):
         last = first + size - 1
         out[:, :5] = np.column_stack([node[first], value[first], value[last], upto[last]])
         out[np.searchsorted(node[first], node[at][best]), 5:] = np.column_stack([score[best], value[at][best], value[at[best] + 1], upto[at[best]]])
-        return pa.table({"place": pa.array([place], pa.int32()), "part": pa.array([number], pa.int32()), "cuts": pa.array([out.ravel()], pa.list_(pa.float64()))})
+        return pa.table({"place": pa.array([column], pa.int32()), "part": pa.array([number], pa.int32()), "cuts": pa.array([out.ravel()], pa.list_(pa.float64()))})
 
     return run
 
@@ -328,17 +329,17 @@ def _best_cuts(cuts: pa.Table, known: dict[int, Level], level: int, entropy: boo
     """The best cut of each node from those within ranges and those between them: rows ``node, place, cut, votes left and right``."""
     nodes, found = 1 << level, [np.array(c.values).reshape(-1, 10) for c in cuts.column("cuts").combine_chunks()]
     sizes = [len(f) for f in found]
-    place, part = (np.repeat(cuts.column(c).to_numpy(), sizes) for c in ("place", "part"))
+    column, part = (np.repeat(cuts.column(c).to_numpy(), sizes) for c in ("place", "part"))
     rows = np.concatenate(found)
-    order = np.lexsort((part, place, rows[:, 0]))
-    rows, place = rows[order], place[order]
+    order = np.lexsort((part, column, rows[:, 0]))
+    rows, column = rows[order], column[order]
     inner = ~np.isnan(rows[:, 5])
-    same = np.flatnonzero((rows[1:, 0] == rows[:-1, 0]) & (place[1:] == place[:-1]))
+    same = np.flatnonzero((rows[1:, 0] == rows[:-1, 0]) & (column[1:] == column[:-1]))
     total, weight = _nodes_of(known, rows[same, 0].astype(int), nodes)
     between = _score(rows[same, 3:5] * weight, (total - rows[same, 3:5]) * weight, entropy)
     table = np.concatenate([
-        np.column_stack([rows[inner, 0], place[inner], rows[inner, 5:]]),
-        np.column_stack([rows[same, 0], place[same], between, rows[same, 2], rows[same + 1, 1], rows[same, 3:5]]),
+        np.column_stack([rows[inner, 0], column[inner], rows[inner, 5:]]),
+        np.column_stack([rows[same, 0], column[same], between, rows[same, 2], rows[same + 1, 1], rows[same, 3:5]]),
     ])
     table = table[np.lexsort((table[:, 3], table[:, 1], table[:, 2], table[:, 0]))]
     table = table[packed.starts_of(table[:, 0])]
@@ -366,14 +367,14 @@ def grow_packed(rows: Packed, depth: int, criterion: str, max_features: int | No
         if not known:
             break
         sent = spark.sparkContext.broadcast(known)
-        dealt = rows.windows.mapInArrow(_deal(rows, sent, level), _DEALT).groupBy("place", "part")
+        dealt = place(rows.windows.mapInArrow(_deal(rows, sent, level), _DEALT), "place", "part").groupBy("place", "part")
         cuts = dealt.applyInArrow(_cut(rows, sent, level, criterion == "entropy"), _CUTS).toArrow()
         sent.unpersist()
         models = list(known)
-        for node, place, cut, left, right in _best_cuts(cuts, known, level, criterion == "entropy"):
+        for node, column, cut, left, right in _best_cuts(cuts, known, level, criterion == "entropy"):
             model, number = models[int(node) >> level], (1 << level) + int(node) % (1 << level)
-            found[model][number] = place, cut
-            out.append((model, number, rows.names[int(place)], float(cut), float(left), float(right)))
+            found[model][number] = column, cut
+            out.append((model, number, rows.names[int(column)], float(cut), float(left), float(right)))
     if not out:
         raise ValueError("no feature separates the classes of any model")
     return spark.createDataFrame(out, _NODES)

@@ -546,7 +546,7 @@ p{d + 1} AS (SELECT p.model_id, p.tree, CASE WHEN s.node IS NULL THEN -1 ELSE p.
 
 
 def _forest_votes(spark, sf_dir, code, points):
-    feats, rows, drawn = _training(spark, sf_dir)
+    feats, rows, drawn = _packed_training(spark, sf_dir)
     folded = cut_lineage(sampling.shuffle_split(drawn, seed=SEED))
     return forests.forest_votes(feats, cut_lineage(forests.search_forests(rows, folded, points, code)[0]))
 

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from foreshock.operators import models, packed, sampling, selection, trees
+from foreshock.operators import forests, models, packed, sampling, selection, trees
 from foreshock.sources.tables import cut_lineage
 
 NAMES = ["a__mean", "b__mean", "c__maximum", "d__minimum", "e__mean"]
@@ -91,3 +91,43 @@ def test_missing_values_meet_no_rule(spark):
     gap = feats.filter("NOT (win_end = 600 AND feature <> 'a__mean')").withColumn("value", F.expr("CASE win_end WHEN 1200 THEN double('nan') WHEN 1800 THEN NULL ELSE value END"))
     got = votes(trees.predict_rules(packed.window_vectors(gap), rules))
     assert got == votes(trees.predict_rules(gap, rules)) and not {1200, 1800} & {k[2] for k in got}
+
+
+def only(packs, long, n):
+    return packs._replace(chosen={m: c for m, c in packs.chosen.items() if m < 3 + n}), long.filter(f"model_id < {3 + n}")
+
+
+@pytest.mark.parametrize("code, n", [("DT", 90), ("RF", 90), ("DT", 500)])
+def test_searches_over_packed_windows_are_those_over_long_rows(spark, rows, monkeypatch, code, n):
+    """Bins of one value, and of several, that reach over ranges; blocks of models."""
+    feats, long, vectors, packs, drawn = both(spark, keep=4, seed=4, n=n, n_models=4)
+    packs, long = only(packs, long, 3)
+    folded = cut_lineage(sampling.shuffle_split(drawn.filter("model_id < 6")))
+    sizes = {"n_estimators": [4]} if code == "RF" else {}
+    points = [{"max_depth": d, "criterion": c, "max_features": s} | {k: v[0] for k, v in sizes.items()} for d in (2, 5) for c in ("gini", "entropy") for s in ("sqrt", None)]
+    want, scores = forests.search_forests(long, folded, points, code)
+    monkeypatch.setattr(forests, "MAX_FITS", 30)
+    monkeypatch.setattr(forests, "HELD", 200)
+    got, found = forests.search_forests(packs, folded, points, code)
+    assert rows(found) == rows(scores) and len(rows(got)) > 10
+    for a, b in zip(rows(got.fillna(-1.0).fillna("")), rows(want.fillna(-1.0).fillna(""))):
+        assert a[:4] == b[:4] and a[4:] == pytest.approx(b[4:], rel=1e-12)
+    assert votes(forests.forest_votes(vectors, got)) == votes(forests.forest_votes(feats, want))
+
+
+def test_growth_of_packed_samples_shuffles_no_counts(spark):
+    """What meets by model is a byte a value, not class counts by node."""
+    _, _, _, packs, drawn = both(spark, keep=4, seed=5, n=300, n_models=3)
+    block = {m: forests.Grown([packs.names[j] for j in c], [low for low, _ in ends], [high for _, high in ends], None, None) for (m, c), ends in zip(packs.chosen.items(), forests.packed_bins(packs).values())}
+    pieces = forests.packed_samples(packs, block, digests=True).collect()
+    n = drawn.count()
+    assert sum(len(r.codes) for r in pieces) == 4 * n and sum(len(r.label) for r in pieces) == n and sum(len(r.digest) for r in pieces) == 4 * n
+
+
+def test_packed_samples_of_one_class_are_an_error(spark):
+    _, _, _, packs, drawn = both(spark, keep=2, seed=6, n=40, n_models=2)
+    one = packs._replace(windows=packs.windows.filter("label > 0"))
+    with pytest.raises(ValueError, match="one class"):
+        forests.search_forests(one, drawn, [{"max_depth": 2, "criterion": "gini", "max_features": None}])
+    none = packs._replace(chosen={})
+    assert forests.search_forests(none, drawn, [{"max_depth": 2, "criterion": "gini", "max_features": None}])[0].count() == 0
