@@ -20,7 +20,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foreshock.operators import packed
 from foreshock.operators.models import KEYS
+from foreshock.operators.packed import Packed, Vectors
 from foreshock.sources.tables import cut_lineage
 
 #: Fold number of the fits that learn from all rows.
@@ -28,6 +30,8 @@ ALL = -1
 ROUNDS = 100
 #: A fit has converged when a Newton step would lower its objective by less than this share.
 CLOSE = 1e-12
+#: Rows of a model that a task takes at a time.
+STEP = 4096
 #: Part of the Hessian's diagonal added before it is inverted; it bends the steps, not the solution.
 RIDGE = 1e-10
 
@@ -257,31 +261,121 @@ def test_counts(data: DataFrame, fits: dict[int, Fits]) -> dict[int, np.ndarray]
     return {m: s.reshape(-1, 4) for m, s in _collected(data, count, lambda m, s: s).items()}
 
 
+# ---- packed samples --------------------------------------------------------------------------------------
+
+
+def packed_scales(rows: Packed) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Mean and spread of each model's features. Constant features keep scale 1."""
+
+    def ends(model: int, y: np.ndarray, tests: np.ndarray, x: np.ndarray) -> np.ndarray:
+        return np.concatenate([x.min(axis=0), -x.max(axis=0)])
+
+    found = packed.collected(rows, ends, merge=lambda arrays: arrays.min(axis=0))
+    low = {m: e[: len(e) // 2] for m, e in found.items()}
+    flat = {m: e[: len(e) // 2] == -e[len(e) // 2 :] for m, e in found.items()}
+
+    def moments(model: int, y: np.ndarray, tests: np.ndarray, x: np.ndarray) -> np.ndarray:
+        return np.append((x - near[model]).sum(axis=0), len(x))
+
+    def squares(model: int, y: np.ndarray, tests: np.ndarray, x: np.ndarray) -> np.ndarray:
+        return np.append(((x - near[model]) ** 2).sum(axis=0), len(x))
+
+    near = low
+    near = {m: low[m] + s[:-1] / s[-1] for m, s in packed.collected(rows, moments).items()}
+    spread = {m: np.sqrt(s[:-1] / s[-1]) for m, s in packed.collected(rows, squares).items()}
+    return {m: (near[m], np.where(flat[m] | ~(spread[m] > 0), 1.0, spread[m])) for m in near}
+
+
+def _packed_derivatives(kind: str, sent):
+    loss_of = LOSSES[kind]
+
+    def run(model: int, y: np.ndarray, tests: np.ndarray, x: np.ndarray) -> np.ndarray | None:
+        """What ``_derivatives`` gives, all open fits of a model at a time."""
+        fits, counts, centre, scale = sent.value[model]
+        open_ = np.flatnonzero(~fits.done)
+        if not len(open_):
+            return None
+        p = x.shape[1] + 1
+        i, j = np.triu_indices(p)
+        n = counts[fits.fold[open_]]  # ALL is the last
+        by_class = n.sum(axis=1)[:, None] / (2 * n) * fits.c[open_, None]
+        tried, sums = fits.tried[open_].T, np.zeros((len(open_), 1 + p + len(i)))
+        learns = np.column_stack([~tests, np.ones(len(y), bool)])[:, fits.fold[open_]]
+        for a in range(0, len(y), STEP):
+            some = slice(a, a + STEP)
+            z = np.column_stack([(x[some] - centre) / scale, np.ones(len(x[some]))])
+            sign = np.where(y[some], 1.0, -1.0)[:, None]
+            loss, slope, curve = loss_of(sign * (z @ tried))
+            weight = np.where(y[some, None], by_class[:, 1], by_class[:, 0]) * learns[some]
+            sums[:, 0] += (weight * loss).sum(axis=0)
+            sums[:, 1 : 1 + p] += (weight * slope * sign).T @ z
+            sums[:, 1 + p :] += (weight * curve).T @ (z[:, i] * z[:, j])
+        return sums.ravel()
+
+    return run
+
+
+def fit_packed(rows: Packed, kind: str, fits: dict[int, Fits], counts: dict[int, np.ndarray], scaled: dict, rounds: int = ROUNDS) -> dict[int, Fits]:
+    """All fits after as many rounds as the slowest needs, or ``rounds``; models whose fits are done are passed over."""
+    context = rows.windows.sparkSession.sparkContext
+    for _ in range(rounds):
+        left = {m: f for m, f in fits.items() if not f.done.all()}
+        if not left:
+            break
+        sent = context.broadcast({m: (f, counts[m], *scaled[m]) for m, f in left.items()})
+        finish = lambda m, sums: _flat(advance(sent.value[m][0], sums))  # noqa: E731, B023
+        moved = packed.collected(rows._replace(chosen={m: rows.chosen[m] for m in left}), _packed_derivatives(kind, sent), finish)
+        fits = fits | {m: _restore(flat, len(fits[m].fold)) for m, flat in moved.items()}
+        sent.unpersist()
+    return fits
+
+
+def packed_tests(rows: Packed, fits: dict[int, Fits], scaled: dict) -> dict[int, np.ndarray]:
+    """What ``test_counts`` gives."""
+    sent = rows.windows.sparkSession.sparkContext.broadcast({m: (f, *scaled[m]) for m, f in fits.items()})
+
+    def count(model: int, y: np.ndarray, tests: np.ndarray, x: np.ndarray) -> np.ndarray:
+        f, centre, scale = sent.value[model]
+        right = (np.column_stack([(x - centre) / scale, np.ones(len(x))]) @ f.base.T > 0) == y[:, None]
+        mine = np.column_stack([tests, np.zeros(len(y), bool)])[:, f.fold]
+        return np.column_stack([(mine & side[:, None] & hit).sum(axis=0) for side in (~y, y) for hit in (True, right)]).ravel().astype(float)
+
+    return {m: s.reshape(-1, 4) for m, s in packed.collected(rows, count).items()}
+
+
 # ---- grid search -----------------------------------------------------------------------------------------
 
 FITTED = "model_id BIGINT, c DOUBLE, feature STRING, coefficient DOUBLE, intercept DOUBLE, converged BOOLEAN"
 SEARCHED = "model_id BIGINT, c DOUBLE, fold INT, score DOUBLE, converged BOOLEAN"
 
 
-def search_linear(rows: DataFrame, folded: DataFrame, kind: str, points: list[dict]) -> tuple[DataFrame, DataFrame]:
+def search_linear(rows: DataFrame | Packed, folded: DataFrame, kind: str, points: list[dict]) -> tuple[DataFrame, DataFrame]:
     """The fits of best mean balanced accuracy over folds, refitted on whole samples (``FITTED``, one row per model and feature), and the
     score of every model, point and fold (``SEARCHED``). A fold whose learning part has one class only cannot be fitted: its score is
     null and its points count without it. Of equal points the first in the grid holds; a model that has one class only is an error.
 
-    ``rows`` are the long training rows, ``folded`` is ``model_id, station, win_end, fold, test``.
+    ``rows`` are the long training rows or packed samples, ``folded`` is ``model_id, station, win_end, fold, test``.
     """
     if kind not in LOSSES:
         raise ValueError(f"unknown linear classifier {kind!r}")
     if any(set(p) - {"C"} for p in points):
         raise ValueError(f"{kind} is linear: its grid has C only")
-    spark, cs = rows.sparkSession, [float(p["C"]) for p in points]
-    scaled = cut_lineage(scales(rows))
-    folds = folded.agg(F.max("fold")).first()[0] + 1
-    data = cut_lineage(vectors(rows, folded, scaled))
-    counts = class_counts(data, folds)
+    cs = [float(p["C"]) for p in points]
     shapes: dict[int, list] = {}
-    for r in scaled.orderBy("model_id", "feature").collect():  # models times features
-        shapes.setdefault(r["model_id"], []).append(r)
+    if isinstance(rows, Packed):
+        spark, rows = rows.windows.sparkSession, packed.with_folds(rows, folded)
+        folds, counts, held = rows.folds, packed.class_counts(rows), packed_scales(rows)
+        for model, (centre, scale) in sorted(held.items()):
+            shapes[model] = [
+                {"feature": rows.names[j], "centre": float(c), "scale": float(s)} for j, c, s in zip(rows.chosen[model], centre, scale)
+            ]
+    else:
+        spark, scaled = rows.sparkSession, cut_lineage(scales(rows))
+        folds = folded.agg(F.max("fold")).first()[0] + 1
+        data = cut_lineage(vectors(rows, folded, scaled))
+        counts = class_counts(data, folds)
+        for r in scaled.orderBy("model_id", "feature").collect():  # models times features
+            shapes.setdefault(r["model_id"], []).append(r)
     fits = {}
     for model, own in shapes.items():
         if not counts[model][ALL].all():
@@ -292,8 +386,12 @@ def search_linear(rows: DataFrame, folded: DataFrame, kind: str, points: list[di
         zero = np.zeros(n)
         one_class = ~counts[model][fold].all(axis=1)
         fits[model] = Fits(fold, np.tile(cs, folds + 1), np.tile(penalty, (n, 1)), np.zeros((n, p)), np.zeros((n, p)), zero, zero + np.inf, zero, one_class)
-    fits = fit_all(data, kind, fits, counts)
-    tested = test_counts(data, fits)
+    if isinstance(rows, Packed):
+        fits = fit_packed(rows, kind, fits, counts, held)
+        tested = packed_tests(rows, fits, held)
+    else:
+        fits = fit_all(data, kind, fits, counts)
+        tested = test_counts(data, fits)
 
     fitted, searched = [], []
     for model, f in sorted(fits.items()):
@@ -316,8 +414,10 @@ def search_linear(rows: DataFrame, folded: DataFrame, kind: str, points: list[di
     return spark.createDataFrame(fitted, FITTED), spark.createDataFrame(searched, SEARCHED)
 
 
-def linear_votes(features: DataFrame, fitted: DataFrame) -> DataFrame:
-    """Votes ``model_id, station, win_end, pred`` of long features: the side of each model's plane they lie on."""
+def linear_votes(features: DataFrame | Vectors, fitted: DataFrame) -> DataFrame:
+    """Votes ``model_id, station, win_end, pred`` of long features or vectors: the side of each model's plane they lie on."""
+    if isinstance(features, Vectors):
+        return _vector_votes(features, fitted)
     return (
         features.select("station", "win_end", "feature", "value")
         .join(fitted.select("model_id", "feature", "coefficient", "intercept"), "feature")
@@ -325,3 +425,27 @@ def linear_votes(features: DataFrame, fitted: DataFrame) -> DataFrame:
         .agg((F.sum(F.col("value") * F.col("coefficient")) + F.max("intercept")).alias("margin"))
         .select(*KEYS, (F.col("margin") > 0).cast("double").alias("pred"))
     )
+
+
+def _vector_votes(vectors: Vectors, fitted: DataFrame) -> DataFrame:
+    """A window without any value of a model's features has no vote; what is no number lies above all planes, as in SQL."""
+    at, width = {n: j for j, n in enumerate(vectors.names)}, len(vectors.names)
+    planes: dict[int, list] = {}
+    for r in fitted.select("model_id", "feature", "coefficient", "intercept").collect():  # models times features
+        if r["feature"] in at:
+            planes.setdefault(r["model_id"], []).append((at[r["feature"]], r["coefficient"], r["intercept"]))
+    held = [(m, np.array([t[0] for t in ts]), np.array([t[1] for t in ts]), max(t[2] for t in ts)) for m, ts in sorted(planes.items())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = packed.matrix(batch, width)
+            none = pc.is_null(pc.list_flatten(batch.column("x"))).to_numpy(zero_copy_only=False).reshape(x.shape)
+            known = np.where(none, 0.0, x)
+            for model, columns, coefficients, intercept in held:
+                on = np.flatnonzero(~none[:, columns].all(axis=1))
+                margin = known[on[:, None], columns] @ coefficients + intercept
+                keys = batch.take(pa.array(on)).select(["station", "win_end"]).columns
+                pred = ((margin > 0) | np.isnan(margin)).astype(float)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(on), model)), *keys, pa.array(pred)], ["model_id", "station", "win_end", "pred"])
+
+    return vectors.windows.mapInArrow(run, "model_id BIGINT, station BIGINT, win_end BIGINT, pred DOUBLE")

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from foreshock.operators import forests, models, packed, sampling, selection, trees
+from foreshock.operators import forests, linear, models, packed, sampling, selection, trees
 from foreshock.sources.tables import cut_lineage
 
 NAMES = ["a__mean", "b__mean", "c__maximum", "d__minimum", "e__mean"]
@@ -131,3 +131,18 @@ def test_packed_samples_of_one_class_are_an_error(spark):
         forests.search_forests(one, drawn, [{"max_depth": 2, "criterion": "gini", "max_features": None}])
     none = packs._replace(chosen={})
     assert forests.search_forests(none, drawn, [{"max_depth": 2, "criterion": "gini", "max_features": None}])[0].count() == 0
+
+
+@pytest.mark.parametrize("kind", ["LR", "SVM"])
+def test_linear_fits_of_packed_windows_are_those_of_long_rows(spark, rows, monkeypatch, kind):
+    feats, long, vectors, packs, drawn = both(spark, keep=4, seed=7, n_models=4)
+    packs, long = only(packs, long, 3)
+    folded = cut_lineage(sampling.shuffle_split(drawn.filter("model_id < 6")))
+    want, scores = linear.search_linear(long, folded, kind, [{"C": 0.1}, {"C": 10}])
+    monkeypatch.setattr(linear, "STEP", 20)
+    got, found = linear.search_linear(packs, folded, kind, [{"C": 0.1}, {"C": 10}])
+    assert rows(found) == rows(scores)
+    for a, b in zip(rows(got), rows(want)):
+        assert a[:3] == b[:3] and a[3:] == pytest.approx(b[3:], rel=1e-5, abs=1e-7)
+    gap = feats.filter("NOT (win_end = 600 AND feature <> 'a__mean')").withColumn("value", F.expr("CASE win_end WHEN 1200 THEN double('nan') ELSE value END"))
+    assert votes(linear.linear_votes(packed.window_vectors(gap), got)) == votes(linear.linear_votes(gap, got))
