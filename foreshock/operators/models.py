@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from foreshock.operators import neighbours
 from foreshock.operators.chunks import place
-from foreshock.operators.packed import Packed, choose
+from foreshock.operators.packed import Packed, Vectors, choose, model_vectors
 from foreshock.sources.tables import cut_lineage
 
 SMOOTHING = 1e-9
@@ -63,9 +63,12 @@ def training_rows(samples: DataFrame | Packed, features: DataFrame, selected: Da
     return samples.join(values, ["station", "win_end"]).join(chosen, ["model_id", "feature"], "left_semi")
 
 
-def input_rows(features: DataFrame, selected: DataFrame) -> DataFrame:
+def input_rows(features: DataFrame | Vectors, selected: DataFrame | Packed) -> DataFrame:
     """Features each model needs: ``model_id, station, win_end, vec``, values in the order of their names. Values of a window meet once,
-    for all models; the lists of features, models times features, are broadcast."""
+    for all models; the lists of features, models times features, are broadcast. Vectors hold the windows' values, packed samples
+    the lists."""
+    if isinstance(features, Vectors):
+        return model_vectors(features.windows, selected, sampled=False)
     names = selected.select("feature").distinct().agg(F.array_sort(F.collect_list("feature")).alias("every"))
     wanted = selected.groupBy("model_id").agg(F.array_sort(F.collect_set("feature")).alias("names"))
     wanted = wanted.crossJoin(names).selectExpr("model_id", "names", "transform(names, x -> array_position(every, x) - 1) AS places")
@@ -148,15 +151,21 @@ def _length(vectors: DataFrame) -> int:
     return vectors.agg(F.max(F.size("vec"))).first()[0] or 0
 
 
-def neighbour_blocks(rows: DataFrame, block: int = BLOCK, k: int = MOST) -> DataFrame:
+def neighbour_blocks(rows: DataFrame | Packed, block: int = BLOCK, k: int = MOST) -> DataFrame:
     """Training vectors of each model with the number of their block: ``model_id, station, win_end, label, vec, block``.
 
-    A block of more than ``block`` rows is cut at the median of its widest feature, all blocks of all models in one round. Of equal
+    A block of more than ``block`` rows is cut at the median of its widest feature, one of more than twice as many at its quartiles, all
+    blocks of all models in one round. Of equal
     vectors the first ``k`` by station and time are kept, since no vote of up to ``k`` neighbours counts another. Block 0 has the rows
     that no box can hold: values missing or not finite, or another number of them than most of the model.
     """
-    first = F.row_number().over(Window.partitionBy("model_id", "vec").orderBy("station", "win_end"))
-    vectors = cut_lineage(_vectors(rows, ["label"]).withColumn("place", first).filter(F.col("place") <= k).drop("place"))
+    if isinstance(rows, Packed):
+        rows = model_vectors(rows.windows, rows, sampled=True)
+    # the digest spares the sort most comparisons of vectors; equal ones have equal digests, but 0 and -0 are made one
+    digest = F.expr("xxhash64(transform(vec, x -> x + 0D))")
+    first = F.row_number().over(Window.partitionBy("model_id", "digest", "vec").orderBy("station", "win_end"))
+    held = _vectors(rows, ["label"]).withColumn("digest", digest).withColumn("place", first)
+    vectors = cut_lineage(held.filter(F.col("place") <= k).drop("place", "digest"))
     length = _length(vectors)
     full = vectors.groupBy("model_id").agg(F.max(F.size("vec")).alias("full"))
     sound = "CAST(size(vec) = full AND forall(vec, x -> coalesce(abs(x) < double('infinity'), false)) AS BIGINT) AS block"
@@ -164,16 +173,18 @@ def neighbour_blocks(rows: DataFrame, block: int = BLOCK, k: int = MOST) -> Data
     while True:
         widest = "array_max(transform(sequence(0, size - 1), i -> named_struct('width', high[i] / 2 - low[i] / 2, 'i', i, 'low', low[i], 'high', high[i])))"
         large = held.filter("block > 0").groupBy("model_id", "block").agg(*_sides(length)).filter(F.col("n") > block)
-        large = cut_lineage(large.selectExpr("model_id", "block", f"{widest} AS side").filter("side.low < side.high"))
+        large = cut_lineage(large.selectExpr("model_id", "block", f"n > {2 * block} AS far", f"{widest} AS side").filter("side.low < side.high"))
         if large.isEmpty():
             return held
         inside = held.join(F.broadcast(large), ["model_id", "block"]).withColumn("x", F.expr("vec[side.i]"))
         middle = "side.low / 2 + side.high / 2"
-        cuts = inside.groupBy("model_id", "block", "side").agg(F.percentile_approx("x", 0.5, 1000).alias("median")).selectExpr(
+        marks = "filter(IF(far, marks, array(marks[1])), x -> x < side.high)"
+        quartiles = F.percentile_approx("x", [0.25, 0.5, 0.75], 1000).alias("marks")
+        cuts = inside.groupBy("model_id", "block", "far", "side").agg(quartiles).selectExpr(
             "model_id", "block", "side.i AS i",
-            f"CASE WHEN median < side.high THEN median WHEN {middle} < side.high THEN {middle} ELSE side.low END AS cut",
+            f"CASE WHEN size({marks}) > 0 THEN array_distinct({marks}) WHEN {middle} < side.high THEN array({middle}) ELSE array(side.low) END AS cuts",
         )
-        child = "CASE WHEN cut IS NULL THEN block ELSE block * 2 + CAST(vec[i] > cut AS BIGINT) END AS block"
+        child = "CASE WHEN cuts IS NULL THEN block ELSE block * 4 + size(filter(cuts, x -> vec[i] > x)) END AS block"
         held = cut_lineage(held.join(F.broadcast(cuts), ["model_id", "block"], "left").selectExpr(*vectors.columns, child))
 
 

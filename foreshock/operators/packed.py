@@ -103,6 +103,17 @@ def choose(rows: Packed, selected: DataFrame) -> Packed:
     return rows._replace(chosen={m: np.array(sorted(c)) for m, c in sorted(chosen.items())})
 
 
+def model_vectors(windows: DataFrame, rows: Packed, sampled: bool) -> DataFrame:
+    """Windows once for each model, with the values of its features: ``model_id, station, win_end, [label,] vec``; of sampled
+    windows, those in the model's sample."""
+    spark = windows.sparkSession
+    wanted = spark.createDataFrame([(m, c.tolist()) for m, c in rows.chosen.items()], "model_id BIGINT, places ARRAY<INT>")
+    pairs, at = windows.crossJoin(F.broadcast(wanted)), f"(model_id - {rows.base}L)"
+    if sampled:
+        pairs = pairs.filter(f"getbit(models[CAST({at} DIV 64 AS INT)], CAST({at} % 64 AS INT)) = 1")
+    return pairs.selectExpr("model_id", *WINDOW, *(["label"] if sampled else []), "transform(places, i -> x[i]) AS vec")
+
+
 # ---- reading ---------------------------------------------------------------------------------------------
 
 

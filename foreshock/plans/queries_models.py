@@ -601,9 +601,8 @@ def nb_vote(spark, sf_dir):
     ),
 )
 def knn_vote(spark, sf_dir):
-    feats, rows, _ = _training(spark, sf_dir)
-    chosen = rows.select("model_id", "feature").distinct()
-    return models.neighbour_votes(models.input_rows(feats, chosen), models.neighbour_blocks(rows), k=3, p=2)
+    feats, rows, _ = _packed_training(spark, sf_dir)
+    return models.neighbour_votes(models.input_rows(feats, rows), models.neighbour_blocks(rows), k=3, p=2)
 
 
 def _linear_votes(spark, sf_dir, kind):

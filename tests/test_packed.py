@@ -146,3 +146,11 @@ def test_linear_fits_of_packed_windows_are_those_of_long_rows(spark, rows, monke
         assert a[:3] == b[:3] and a[3:] == pytest.approx(b[3:], rel=1e-5, abs=1e-7)
     gap = feats.filter("NOT (win_end = 600 AND feature <> 'a__mean')").withColumn("value", F.expr("CASE win_end WHEN 1200 THEN double('nan') ELSE value END"))
     assert votes(linear.linear_votes(packed.window_vectors(gap), got)) == votes(linear.linear_votes(gap, got))
+
+
+def test_neighbours_of_packed_windows_are_those_of_long_rows(spark, rows):
+    feats, long, vectors, packs, _ = both(spark, keep=4, seed=8, n_models=4)
+    chosen = long.select("model_id", "feature").distinct()
+    want = models.neighbour_votes(models.input_rows(feats, chosen), models.neighbour_blocks(long, 16))
+    got = models.neighbour_votes(models.input_rows(vectors, packs), models.neighbour_blocks(packs, 16))
+    assert len(votes(got)) == 360 and votes(got) == votes(want)
